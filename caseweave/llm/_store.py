@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """The session, with this package shipped to its Python workers as by --py-files."""
+    sc = spark.sparkContext
+    if getattr(sc, "_caseweave_shipped", None) is None:
+        top = Path(__file__).resolve().parents[2]
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "caseweave.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted((top / "caseweave").rglob("*.py")):
+                z.write(f, f.relative_to(top))
+        sc.addPyFile(path)
+        sc._caseweave_shipped = path
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where the setting is absent (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

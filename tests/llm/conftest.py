@@ -1,0 +1,6 @@
+import pytest
+
+
+@pytest.fixture
+def shared(spark, tmp_path_factory):
+    return spark
