@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import minhash, mixing, packing, substrings
 
 QUERIES = {
     "op1_packing": packing.op1,
+    "op2_minhash": minhash.op2,
     "op7_mixing": mixing.op7,
+    "op9_substrings": substrings.op9,
 }
 
 SQL = {"op7_mixing": mixing.OP7_SQL}
