@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, packing, substrings
+from . import media, minhash, mixing, packing, shards, substrings, vectors
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_minhash": minhash.op2,
+    "op3_media": media.op3,
+    "op4_sharding": shards.op4,
     "op7_mixing": mixing.op7,
     "op9_substrings": substrings.op9,
+    "op10_vectors": vectors.op10,
 }
 
-SQL = {"op7_mixing": mixing.OP7_SQL}
+SQL = {"op4_sharding": shards.OP4_SQL, "op7_mixing": mixing.OP7_SQL}
