@@ -143,8 +143,13 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str):
-    """Sizes that allow similarity 0.75, and bit sketches that agree as similar sets' do."""
-    size = (F.col(f"{a}.n") * 4 >= F.col(f"{b}.n") * 3) & (F.col(f"{b}.n") * 4 >= F.col(f"{a}.n") * 3)
+    """Sizes that allow similarity 0.75, and bit sketches that agree as similar sets' do.
+
+    m is how much of a set any other set has; an intersection is no larger than either m, and similarity 0.75 takes
+    3 / 7 of both sizes together.
+    """
+    both = (F.col(f"{a}.n") + F.col(f"{b}.n")) * 3
+    size = (F.col(f"{a}.m") * 7 >= both) & (F.col(f"{b}.m") * 7 >= both)
     differ = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
     return size & (differ <= 128 - AGREE)
 
@@ -181,11 +186,12 @@ def links(sketched: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: st
     # A shingle that no other set here has is in no intersection: with over a quarter of such, a set has no link.
     lone = sets.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.first("node").alias("node")).filter("c = 1")
     lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
-    able = written(sets.select("node", "n").join(lone, "node", "left").filter("4 * (n - coalesce(lone, 0)) >= 3 * n").select("node"), "minhash-able")
+    able = sets.select("node", "n").distinct().join(lone, "node", "left").select("node", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m"), "n")
+    able = written(able.filter("4 * m >= 3 * n").drop("n"), "minhash-able")
     sets = sets.join(able, "node", "left_semi")
-    members = written(buckets.join(able, "node", "left_semi"), "minhash-members")
+    members = written(buckets.join(able, "node"), "minhash-members")
 
-    leader = members.groupBy("key").agg(F.min_by(F.struct("node", "n", "s1", "s2"), "node").alias("l"), F.count("*").alias("c")).filter("c > 1")
+    leader = members.groupBy("key").agg(F.min_by(F.struct("node", "n", "m", "s1", "s2"), "node").alias("l"), F.count("*").alias("c")).filter("c > 1")
     stars = members.alias("m").join(leader, "key").filter("m.node <> l.node").filter(_may_link("m", "l"))
     first = written(_confirmed(stars.select(F.col("l.node").alias("a"), F.col("m.node").alias("b")), sets, percent), "minhash-stars")
 
