@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, minhash, mixing, packing, shards, substrings, vectors
+from . import media, minhash, mixing, packing, shards, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_minhash": minhash.op2,
     "op3_media": media.op3,
     "op4_sharding": shards.op4,
+    "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
     "op9_substrings": substrings.op9,
     "op10_vectors": vectors.op10,
