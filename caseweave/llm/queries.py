@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, minhash, mixing, packing, shards, substrings, toxicity, vectors
+from . import lines, media, minhash, mixing, packing, shards, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_sharding": shards.op4,
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
+    "op8_lines": lines.op8,
     "op9_substrings": substrings.op9,
     "op10_vectors": vectors.op10,
 }
 
-SQL = {"op4_sharding": shards.OP4_SQL, "op7_mixing": mixing.OP7_SQL}
+SQL = {"op4_sharding": shards.OP4_SQL, "op7_mixing": mixing.OP7_SQL, "op8_lines": lines.OP8_SQL}
