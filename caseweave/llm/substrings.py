@@ -153,14 +153,18 @@ class FingerprintIndex:
         for run in self.runs:
             past = run.groupBy("hash").agg(F.min("doc_id").alias("a0"), F.max("doc_id").alias("z0"))
             per = per.join(past, "hash", "left").select("hash", F.least("a", "a0").alias("a"), F.greatest("z", "z0").alias("z"))
-        shared = per.filter("a < z").select("hash")
+        # Written, so that the join below deals both sides anew and a very common fingerprint can be split.
+        shared = written(per.filter("a < z").select("hash"), "substring-shared")
         wanted = every.join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("wanted"))
         sources = reduce(DataFrame.unionByName, [*self.texts, texts])
         rows = sources.join(wanted, "doc_id").select("doc_id", "text", "wanted")
         windows = written(_windows(rows, window), "substring-windows")
         least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("h1", "h2", "a")
         found = windows.join(least, ["h1", "h2"]).filter("doc_id > a").join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-        return found.groupBy("doc_id", "t1").agg(F.collect_set("start").alias("starts"))
+        starts = written(found.groupBy("doc_id", "t1").agg(F.collect_set("start").alias("starts")), "substring-found")
+        remove(windows)
+        remove(shared)
+        return starts
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = 2) -> DataFrame:
@@ -172,27 +176,27 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     """
     base = written(described(docs, doc_id, text, window), "substring-base")
     # Of equal word sequences only the first document can keep or give words; the others lose all of them.
-    groups = base.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"))
-    long_ = base.join(groups, ["t1", "t2"])
-    own = written(long_.filter("doc_id = first_id").select("doc_id", "t1", "t2", F.explode("anchors").alias("hash")).select("doc_id", "hash"), "substring-prints")
+    named = base.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+    groups = named.groupBy("t1", "t2").agg(F.min("doc_id").alias("first_id"))
+    later = written(named.join(groups, ["t1", "t2"]).filter("doc_id > first_id").select("doc_id", "t1", "t2").distinct(), "substring-later")
+    own = named.join(later, ["doc_id", "t1", "t2"], "left_anti").select("doc_id", F.explode("anchors").alias("hash"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    firsts = groups.select(F.col("first_id").alias("doc_id")).distinct()
-    numeric = dict(own.dtypes)["doc_id"] in ("bigint", "int")
     cuts: list = []
-    if numeric and batches > 1:
-        row = own.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("q")).first()
+    if dict(base.dtypes)["doc_id"] in ("bigint", "int") and batches > 1:
+        row = named.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("q")).first()
         cuts = sorted(set(row["q"] or []))
     edges = [None, *cuts, None]
     index, found = FingerprintIndex(), []
     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         inside = lambda df: df.filter((F.lit(True) if a is None else F.col("doc_id") > a) & (F.lit(True) if b is None else F.col("doc_id") <= b))  # noqa: B023,E731
-        prints, batch = inside(own), inside(texts.join(firsts, "doc_id", "left_semi"))
-        found.append(written(index.repeats(prints, batch, window), "substring-found"))
+        prints, batch = inside(own), inside(texts)
+        found.append(index.repeats(prints, batch, window))
         if k + 2 < len(edges):
             index.append(prints, batch)
+    for run in index.runs:
+        remove(run)
     starts = reduce(DataFrame.unionByName, found)
-    named = texts.join(starts, "doc_id").select("doc_id", "text", "t1", "starts")
-    cut = _cut(named, window).withColumn("cut_sha", F.sha2(F.encode("kept_text", "utf-8"), 256))
+    cut = _cut(texts.join(starts, "doc_id").select("doc_id", "text", "t1", "starts"), window).withColumn("cut_sha", F.sha2(F.encode("kept_text", "utf-8"), 256))
     all_gone = F.col("first_id").isNotNull() & (F.col("doc_id") > F.col("first_id"))
     kept = base.drop("anchors").join(groups, ["t1", "t2"], "left").join(cut.dropDuplicates(["doc_id", "t1"]), ["doc_id", "t1"], "left")
     return kept.select(
