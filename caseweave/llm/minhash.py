@@ -4,8 +4,10 @@ Two small collections of half-keys (each a pair of minhashes) are computed per s
 combinations of a half-key of the first with one of the second, so 100 keys need 40 minhashes.  Pairs of a bucket
 are confirmed on the full sets.  At similarity 0.75 a pair shares a key with probability above 0.9994.
 
-Sets that are equal are one node throughout.  Buckets are worked off without a cap: first each member against the
-bucket's leader, then every member outside the bucket's largest confirmed component against the whole bucket.
+Sets that are equal are one node throughout.  Buckets are worked off without a cap: first each member against its
+bucket's leader.  What this leaves apart is compared by half-key, as two sets that share a table key share a half-key:
+in every half-key's bucket all members outside its largest confirmed component meet all members, in blocks of bounded
+size that count exact intersections.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SHINGLE = 5
 HALF_KEYS, HASHES = 10, 2
 #: Bits of two 128-bin sketches that must agree; two sets of similarity 0.75 have 112 in the mean, deviation under 4.
 AGREE = 94
+#: Sets of a block, and uses in a block pair from which a shingle's pairs are counted as a matrix product.
+BLOCK, DENSE = 512, 12
 
 _N = 2 * HALF_KEYS * HASHES
 _XOR = _text.mix64(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -196,15 +200,73 @@ def links(sketched: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: st
     first = written(_confirmed(stars.select(F.col("l.node").alias("a"), F.col("m.node").alias("b")), sets, percent), "minhash-stars")
 
     roots = components(first)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    open_ = written(placed.join(per.select("key", "main"), "key"), "minhash-open")
-    minor = open_.filter("root <> main")
-    rest = minor.alias("m").join(open_.alias("l"), "key").filter("m.root <> l.root and (l.root = l.main or m.node < l.node)").filter(_may_link("m", "l"))
-    more = _confirmed(rest.select(F.col("l.node").alias("a"), F.col("m.node").alias("b")), sets, percent)
+    halves = able.join(nodes, "node").select("node", F.posexplode(F.slice("halves", 1, HALF_KEYS)).alias("i", "half"))
+    placed = halves.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = placed.groupBy("i", "half", "root").agg(F.count("*").alias("c")).groupBy("i", "half")
+    per = per.agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("roots")).filter("roots > 1")
+    # Blocks 0 to k - 1 hold the bucket's minor components, the others its main one; a pair of blocks has a minor one.
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    per = per.withColumn("minor", F.col("all") - F.col("most")).withColumn("k", blocks("minor")).withColumn("z", F.col("k") + blocks("most"))
+    deal = F.xxhash64("node", F.lit(2))
+    open_ = placed.join(per, ["i", "half"]).withColumn("at", F.when(F.col("root") == F.col("main"), F.col("k") + F.pmod(deal, F.col("z") - F.col("k"))).otherwise(F.pmod(deal, F.col("k"))).cast("int"))
+    partners = F.sequence(F.lit(0), F.when(F.col("at") < F.col("k"), F.col("z") - 1).otherwise(F.col("k") - 1))
+    open_ = open_.withColumn("with", F.explode(partners)).select("i", "half", F.least("at", "with").alias("a"), F.greatest("at", "with").alias("b"), "node", "root")
+    dealt = open_.join(sets.dropDuplicates(["node"]), "node")
+    more = dealt.groupBy("i", "half", "a", "b").applyInArrow(_block(percent), "u binary, v binary")
     return first.unionByName(written(more, "minhash-rest"))
 
 
+def _overlaps(row: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """Exact intersection sizes of n sets given as (row, shingle) pairs; the diagonal is not used."""
+    order = np.argsort(shingle, kind="stable")
+    row, shingle = row[order], shingle[order]
+    start = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] ^ np.uint64(1)))
+    uses = np.diff(np.append(start, len(shingle)))
+    counts = np.zeros(n * n, np.float32)
+    for d in range(2, DENSE):
+        own = row[start[uses == d][:, None] + np.arange(d)]
+        if len(own):
+            counts += np.bincount((own[:, :, None] * n + own[:, None, :]).ravel(), minlength=n * n)
+    counts = counts.reshape(n, n)
+    many = np.flatnonzero(uses >= DENSE)
+    for k in range(0, len(many), 2048):
+        part = many[k : k + 2048]
+        has = np.zeros((n, len(part)), np.float32)
+        has[row[_text.ranges(start[part], uses[part])], np.repeat(np.arange(len(part)), uses[part])] = 1
+        counts += has @ has.T
+    return counts
+
+
+def _block(percent: int):
+    """Links between sets of different roots in a pair of blocks: one for each row that has any, to its first partner,
+    and as many more as join what these leave apart."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, roots = table["node"].to_pylist(), table["root"].to_pylist()
+        lists = table["hashes"].combine_chunks()
+        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+        n = len(names)
+        both = _overlaps(np.repeat(np.arange(n), sizes), np.asarray(lists.flatten()).view(np.uint64), n)
+        _, group = np.unique(np.array(roots, object), return_inverse=True)
+        union = sizes[:, None] + sizes[None, :] - both
+        linked = (100 * both >= percent * union) & (group[:, None] != group[None, :])
+        x, y = np.nonzero(np.triu(linked, 1))
+        root = list(range(n))
+        keep = []
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = p, q
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[a] = b
+                keep.append((names[p], names[q]))
+        return pa.table({"u": pa.array([k[0] for k in keep], pa.binary()), "v": pa.array([k[1] for k in keep], pa.binary())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept, n_copies.
 
