@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, media, minhash, mixing, packing, shards, substrings, toxicity, vectors
+from . import lines, lm, media, minhash, mixing, packing, shards, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_packing": packing.op1,
     "op2_minhash": minhash.op2,
     "op3_media": media.op3,
     "op4_sharding": shards.op4,
+    "op5_scoring": lm.op5,
     "op6_toxicity": toxicity.op6,
     "op7_mixing": mixing.op7,
     "op8_lines": lines.op8,
