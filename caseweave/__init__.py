@@ -1,0 +1 @@
+"""Fraud-correlation and risk analytics as Spark jobs."""

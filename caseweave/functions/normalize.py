@@ -31,7 +31,7 @@ def imei(c: Column) -> Column:
 
 
 def imei_ok(c: Column) -> Column:
-    return F.coalesce(F.luhn_check(imei(c)), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", imei(c)), F.lit(False))
 
 
 def imei_base(c: Column) -> Column:

@@ -43,7 +43,7 @@ def detected(files: DataFrame) -> DataFrame:
         F.when(F.col("head").rlike("(?m)^Received:"), "EML")
         .when(F.col("head").rlike('"(device_info|installed_apps|sms_messages)"'), "ANDROID_DUMP")
         .when(F.col("by_header").isNotNull(), F.col("by_header"))
-        .when(F.exists(fifteen, lambda x: F.luhn_check(x)), "CDR")
+        .when(F.exists(fifteen, lambda x: F.call_function("luhn_check", x)), "CDR")
         .when(F.col("head").rlike(r"\b[A-Za-z0-9._-]+@[a-z]{2,}\b(?!\.)"), "UPI")
         .otherwise("UNKNOWN")
     )

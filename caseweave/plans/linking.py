@@ -12,7 +12,7 @@ from caseweave.operators import links, windows
 from caseweave.operators.adapter import EVENTS_SQL, device_events, table, transfers
 from caseweave.plans._plain import plain
 
-HUB = 60
+HUB = 40
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -55,12 +55,12 @@ def shared_ip_subnet(spark, sf_dir):
 
 
 def time_proximity(spark, sf_dir):
-    return windows.time_proximity(transfers(spark, sf_dir).filter("event_type = 'TRANSFER'"), "src", "ts", 5)
+    return windows.time_proximity(transfers(spark, sf_dir).filter("event_type = 'TRANSFER'"), "src", "ts", 60)
 
 
 def _all(spark, sf_dir) -> DataFrame:
     uses = device_events(spark, sf_dir)
-    weak = windows.time_proximity(transfers(spark, sf_dir).filter("event_type = 'TRANSFER'"), "src", "ts", 5).select("a", "b", F.col("n").alias("support"))
+    weak = windows.time_proximity(transfers(spark, sf_dir).filter("event_type = 'TRANSFER'"), "src", "ts", 60).select("a", "b", F.col("n").alias("support"))
     parts = [
         links.shared_attribute(uses.filter("imei < 20"), "phone", "imei", "SHARED_IMEI", hub=HUB),
         _beneficiary(spark, sf_dir),
@@ -96,16 +96,16 @@ _BASE = (
     "WITH "
     + EVENTS_SQL
     + r""",
-u1 AS (SELECT DISTINCT phone AS e, imei AS v FROM dev), s1 AS (SELECT v, count(*) AS users FROM u1 GROUP BY v HAVING count(*) BETWEEN 2 AND 60),
+u1 AS (SELECT DISTINCT phone AS e, imei AS v FROM dev), s1 AS (SELECT v, count(*) AS users FROM u1 GROUP BY v HAVING count(*) BETWEEN 2 AND 40),
 imei AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u1 a JOIN s1 USING (v) JOIN u1 b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
-u1b AS (SELECT * FROM u1 WHERE v < 20), s1b AS (SELECT v, count(*) AS users FROM u1b GROUP BY v HAVING count(*) BETWEEN 2 AND 60),
+u1b AS (SELECT * FROM u1 WHERE v < 20), s1b AS (SELECT v, count(*) AS users FROM u1b GROUP BY v HAVING count(*) BETWEEN 2 AND 40),
 imeib AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u1b a JOIN s1b USING (v) JOIN u1b b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
 u2 AS (SELECT DISTINCT phone AS e, imsi AS v FROM dev WHERE imei < 50), s2 AS (SELECT v, count(*) AS users FROM u2 GROUP BY v HAVING count(*) >= 2),
 imsi AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u2 a JOIN s2 USING (v) JOIN u2 b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
 u3 AS (SELECT DISTINCT src AS e, dst AS v FROM tr WHERE amount > 100 AND event_type <> 'ATM_WITHDRAWAL'), s3 AS (SELECT v, count(*) AS users FROM u3 GROUP BY v HAVING count(*) >= 3),
 bene AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u3 a JOIN s3 USING (v) JOIN u3 b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
 prox AS (
-  SELECT a.src AS a, b.src AS b, count(*) AS n FROM tr a JOIN tr b ON a.dst = b.dst AND a.src < b.src AND b.ts BETWEEN a.ts - INTERVAL '5 minutes' AND a.ts + INTERVAL '5 minutes'
+  SELECT a.src AS a, b.src AS b, count(*) AS n FROM tr a JOIN tr b ON a.dst = b.dst AND a.src < b.src AND b.ts BETWEEN a.ts - INTERVAL '60 minutes' AND a.ts + INTERVAL '60 minutes'
   WHERE a.event_type = 'TRANSFER' AND b.event_type = 'TRANSFER' GROUP BY a.src, b.src),
 every AS (
   SELECT a, b, 'SHARED_IMEI' AS link_type, 0.95::DOUBLE AS confidence, support FROM imeib
@@ -126,7 +126,7 @@ QUERIES = {
 
 SQL = {
     "shared_imei": _BASE + "SELECT a, b, 'SHARED_IMEI' AS link_type, 0.95::DOUBLE AS confidence, support FROM imei",
-    "shared_imei_hubs": _BASE + "SELECT v AS value, e AS entity, users FROM u1 JOIN (SELECT v, count(*) AS users FROM u1 GROUP BY v HAVING count(*) > 60) USING (v)",
+    "shared_imei_hubs": _BASE + "SELECT v AS value, e AS entity, users FROM u1 JOIN (SELECT v, count(*) AS users FROM u1 GROUP BY v HAVING count(*) > 40) USING (v)",
     "shared_imsi": _BASE + "SELECT a, b, 'SHARED_IMSI' AS link_type, 0.95::DOUBLE AS confidence, support FROM imsi",
     "recurring_beneficiary": _BASE + "SELECT * FROM every WHERE link_type = 'RECURRING_BENEFICIARY'",
     "shared_email_domain": _BASE
