@@ -1,5 +1,5 @@
 """Registered queries, and their DuckDB forms, by subject."""
 
-from caseweave.plans import flows, graphs, linking
+from caseweave.plans import cases, evidence, flows, graphs, linking
 
-MODULES = [flows, linking, graphs]
+MODULES = [flows, linking, graphs, evidence, cases]
