@@ -238,8 +238,7 @@ def _overlaps(row: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
 
 
 def _block(percent: int):
-    """Links between sets of different roots in a pair of blocks: one for each row that has any, to its first partner,
-    and as many more as join what these leave apart."""
+    """Of the links between sets of different roots in a pair of blocks, as many as join all that they join."""
 
     def run(table: pa.Table) -> pa.Table:
         names, roots = table["node"].to_pylist(), table["root"].to_pylist()
