@@ -51,6 +51,13 @@ def neighbours(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("entity"), F.col("b").alias("other"), "link_type", "confidence").unionByName(flip)
 
 
+def neighbour_counts(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """entity, link_type, value, others: distinct neighbours by link type, and by value for rows of shared_classes."""
+    direct = neighbours(links).groupBy("entity", "link_type").agg(F.count_distinct("other").alias("others"))
+    direct = direct.select("entity", "link_type", F.lit(None).cast("string").alias("value"), "others")
+    return direct.unionByName(classes.select("entity", "link_type", "value", (F.col("users") - 1).alias("others")))
+
+
 def search(entities: DataFrame, text: str | None = None, entity_type: str | None = None) -> DataFrame:
     out = entities
     if entity_type:

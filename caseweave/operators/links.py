@@ -49,6 +49,48 @@ def hub_stars(uses: DataFrame, entity: str, attribute: str, hub: int) -> DataFra
     return own.join(big, "value").select("value", "entity", "users")
 
 
+def shared_classes(uses: DataFrame, entity: str, attribute: str, link_type: str, least: int = 2) -> DataFrame:
+    """One row per value and entity that uses it: link_type, value, entity, users, smallest, confidence, first_at, last_at.
+
+    Two entities are linked if they share a value: every pair of shared_attribute without a hub, in rows that grow as
+    the uses do and not as the square of a value's users.
+    """
+    own = uses.filter(F.col(entity).isNotNull() & F.col(attribute).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(attribute).alias("value"))
+    own = own.agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    size = own.groupBy("value").agg(F.count("*").alias("users"), F.min("entity").alias("smallest")).filter(F.col("users") >= least)
+    confidence = F.lit(CONFIDENCE[link_type])
+    if link_type == "RECURRING_BENEFICIARY":
+        confidence = F.least(F.lit(0.95), confidence + F.lit(0.02) * F.col("users"))
+    found = own.join(size, "value").withColumn("confidence", confidence).withColumn("link_type", F.lit(link_type))
+    return found.select("link_type", F.col("value").cast("string").alias("value"), "entity", "users", "smallest", "confidence", "first_at", "last_at")
+
+
+def as_stars(classes: DataFrame) -> DataFrame:
+    """Rows of shared_classes as links a, b, link_type, value, confidence, support from each value's smallest entity, its own row included."""
+    return classes.select(F.col("smallest").alias("a"), F.col("entity").alias("b"), "link_type", "value", "confidence", F.col("users").alias("support"))
+
+
+def surfaced_classes(links: DataFrame, classes: DataFrame, dismissed: DataFrame | None = None, threshold: float = ACTIVE_CONFIDENCE) -> DataFrame:
+    """What surfaced() shows of links and strong classes: a weak link stays beside a strong one, or where its ends share a strong class.
+
+    A dismissed pair (a, b, link_type) of a class corroborates nothing; the class itself stays.
+    """
+    strong = classes.filter(F.col("confidence") >= threshold)
+    if dismissed is not None:
+        links = links.join(dismissed, ["a", "b", "link_type"], "left_anti")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    ends = links.groupBy(*pair).agg(F.max("confidence").alias("best"))
+    of = lambda end: strong.select(F.col("entity").alias(end), "link_type", "value")
+    shared = ends.filter(F.col("best") < threshold).join(of("a"), "a").join(of("b"), ["b", "link_type", "value"]).select("a", "b", "link_type").distinct()
+    if dismissed is not None:
+        shared = shared.join(dismissed.select(*pair, "link_type").distinct(), ["a", "b", "link_type"], "left_anti")
+    shown = ends.filter(F.col("best") >= threshold).select("a", "b").unionByName(shared.select("a", "b").distinct())
+    shown = shown.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    kept = links.join(shown, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_semi")
+    kept = kept.select("a", "b", "link_type", F.lit(None).cast("string").alias("value"), "confidence", "support")
+    return kept.unionByName(as_stars(strong))
+
+
 def fund_flow(transfers: DataFrame) -> DataFrame:
     """Directed: source, destination, number of transfers, total, first and last time."""
     pairs = transfers.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(

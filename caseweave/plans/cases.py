@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseweave.config import RULES
 from caseweave.operators import anomaly, cases, graph, links, rules
 from caseweave.operators.adapter import device_events, table, transfers
-from caseweave.plans import flows
+from caseweave.plans import flows, linking
 from caseweave.plans._plain import plain
 
 
@@ -43,6 +43,10 @@ def case_neighbours(spark, sf_dir):
     return cases.neighbours(every).groupBy("entity", "link_type").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
 
 
+def case_neighbour_classes(spark, sf_dir):
+    return cases.neighbour_counts(links.fund_flow(transfers(spark, sf_dir)), linking._classes(spark, sf_dir, "SHARED_IMEI"))
+
+
 def score_history(spark, sf_dir):
     runs = None
     for k, least in enumerate((0, 50, 100)):
@@ -106,7 +110,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         case_dashboard, case_timeline, case_timelines, case_appearances, case_seizures, case_neighbours, score_history, current_scores, reason_evidence, pipeline_steps,
-        top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief,
+        top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief, case_neighbour_classes,
     )
 }
 

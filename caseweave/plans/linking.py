@@ -92,6 +92,64 @@ def link_accuracy(spark, sf_dir):
     return links.compared(found, expected).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _classes(spark, sf_dir, kind: str) -> DataFrame:
+    """Membership rows of one link type over all of its rows: no hub, no range of values or amounts."""
+    if kind in ("SHARED_IMEI", "SHARED_IMSI"):
+        return links.shared_classes(device_events(spark, sf_dir), "phone", kind[7:].lower(), kind)
+    if kind == "RECURRING_BENEFICIARY":
+        return links.shared_classes(transfers(spark, sf_dir).filter("event_type <> 'ATM_WITHDRAWAL'"), "src", "dst", kind, least=3)
+    if kind == "SHARED_EMAIL_DOMAIN":
+        return links.shared_classes(_identifiers(spark, sf_dir, "EMAIL").withColumn("domain", normalize.email_domain(F.col("raw"))), "doc_id", "domain", kind)
+    return links.shared_classes(_identifiers(spark, sf_dir, "IP").withColumn("net", normalize.ip_prefix(F.col("raw"))), "doc_id", "net", kind)
+
+
+def _rows(classes: DataFrame) -> DataFrame:
+    return classes.select("link_type", "value", "entity", "users", "smallest", F.round("confidence", 4).alias("confidence"))
+
+
+def shared_imei_classes(spark, sf_dir):
+    return _rows(_classes(spark, sf_dir, "SHARED_IMEI"))
+
+
+def shared_imsi_classes(spark, sf_dir):
+    return _rows(_classes(spark, sf_dir, "SHARED_IMSI"))
+
+
+def recurring_beneficiary_classes(spark, sf_dir):
+    return _rows(_classes(spark, sf_dir, "RECURRING_BENEFICIARY"))
+
+
+def shared_email_domain_classes(spark, sf_dir):
+    return _rows(_classes(spark, sf_dir, "SHARED_EMAIL_DOMAIN"))
+
+
+def shared_ip_subnet_classes(spark, sf_dir):
+    return _rows(_classes(spark, sf_dir, "SHARED_IP_SUBNET"))
+
+
+def _pairs_and_classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(links that are pairs by nature, classes): what all_links merges, of all rows."""
+    t = transfers(spark, sf_dir)
+    weak = windows.time_proximity(t.filter("event_type = 'TRANSFER'"), "src", "ts", 60).select("a", "b", F.col("n").alias("support"))
+    pairs = links.merged(links.fund_flow(t).unionByName(links._linked(weak, "TEMPORAL_PROXIMITY")))
+    return pairs, _classes(spark, sf_dir, "SHARED_IMEI").unionByName(_classes(spark, sf_dir, "RECURRING_BENEFICIARY"))
+
+
+def _starred(df: DataFrame) -> DataFrame:
+    return df.select("a", "b", "link_type", "value", F.round("confidence", 4).alias("confidence"), "support")
+
+
+def all_link_classes(spark, sf_dir):
+    pairs, classes = _pairs_and_classes(spark, sf_dir)
+    return _starred(pairs.withColumn("value", F.lit(None).cast("string")).select("a", "b", "link_type", "value", "confidence", "support").unionByName(links.as_stars(classes)))
+
+
+def surfaced_link_classes(spark, sf_dir):
+    pairs, classes = _pairs_and_classes(spark, sf_dir)
+    dismissed = pairs.filter("(a + b) % 11 = 0").select("a", "b", F.lit("SHARED_IMEI").alias("link_type")).distinct()
+    return _starred(links.surfaced_classes(pairs, classes, dismissed))
+
+
 _BASE = (
     "WITH "
     + EVENTS_SQL
@@ -121,8 +179,11 @@ ipn AS (SELECT v, count(*) AS users FROM ips GROUP BY v HAVING count(*) BETWEEN
 
 QUERIES = {
     f.__name__: f
-    for f in (shared_imei, shared_imei_hubs, shared_imsi, recurring_beneficiary, shared_email_domain, shared_ip_subnet, time_proximity, all_links, surfaced_links, link_upsert, link_accuracy)
-}
+    for f in (
+        shared_imei, shared_imei_hubs, shared_imsi, recurring_beneficiary, shared_email_domain, shared_ip_subnet, time_proximity, all_links, surfaced_links, link_upsert, link_accuracy,
+        shared_imei_classes, shared_imsi_classes, recurring_beneficiary_classes, shared_email_domain_classes, shared_ip_subnet_classes, all_link_classes, surfaced_link_classes,
+    )
+}
 
 SQL = {
     "shared_imei": _BASE + "SELECT a, b, 'SHARED_IMEI' AS link_type, 0.95::DOUBLE AS confidence, support FROM imei",

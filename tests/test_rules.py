@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from caseweave import config
 from caseweave.functions import normalize, parsing
-from caseweave.operators import anomaly, features, graph, ingest, integrity, links, mapping, rules, windows
+from caseweave.operators import anomaly, cases, features, graph, ingest, integrity, links, mapping, rules, windows
 from caseweave.sources import files
 from caseweave.streaming.fan import fan_in_stream
 
@@ -186,6 +186,24 @@ def test_links_and_corroboration(spark):
     assert links.rationale(strong).first().rationale.startswith("Both used one imei")
 
 
+def test_classes_have_no_user_bound(spark):
+    uses = spark.createDataFrame([(p, i, T0) for i, n in ((1, 60), (2, 3), (3, 1)) for p in range(100 * i % 300, 100 * i % 300 + n)] + [(110, 2, T0)], "phone long, imei long, ts timestamp")
+    rows = uses.collect()
+    brute = {(x.phone, y.phone) for x in rows for y in rows if x.imei == y.imei and x.phone < y.phone}
+    classes = links.shared_classes(uses, "phone", "imei", "SHARED_IMEI")
+    got = classes.collect()
+    assert {(x.entity, y.entity) for x in got for y in got if x.value == y.value and x.entity < y.entity} == brute
+    assert {(r.value, r.users, r.smallest) for r in got} == {("1", 60, 100), ("2", 4, 110)} and len(got) == 64
+    weak = spark.createDataFrame([(100, 159, 1), (101, 110, 1), (105, 200, 1), (900, 901, 1)], "a long, b long, support long")
+    weak = links._linked(weak, "TEMPORAL_PROXIMITY")
+    dismissed = spark.createDataFrame([(100, 159, "SHARED_IMEI")], "a long, b long, link_type string")
+    pairs = lambda df: {(r.a, r.b) for r in df.filter("link_type = 'TEMPORAL_PROXIMITY'").collect()}
+    assert pairs(links.surfaced_classes(weak, classes)) == {(100, 159), (101, 110)}
+    assert pairs(links.surfaced_classes(weak, classes, dismissed)) == {(101, 110)}
+    counts = {(r.entity, r.value): r.others for r in cases.neighbour_counts(weak, classes).collect()}
+    assert counts[(100, "1")] == 59 and counts[(110, "2")] == 3 and counts[(900, None)] == 1
+
+
 def test_fan_in_stream(spark, tmp_path):
     money(spark, [(f"s{k}", "hub", 1, k) for k in range(9)] + [("s0", "hub", 1, 900)]).select("src", "dst", "ts").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("src string, dst string, ts timestamp").parquet(str(tmp_path / "in"))
