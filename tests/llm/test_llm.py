@@ -268,6 +268,26 @@ def test_line_dedup(spark):
     assert "Page <*> of the yearly report" in {r.template for r in lines.templates(d).collect()}
 
 
+def prose(rng, n):
+    return text(rng, n).translate(str.maketrans("0123456789", "abcdefghij"))
+
+
+def test_line_dedup_counts_copies_once(spark):
+    rng = random.Random(5)
+    law, other = "Licensed under the terms that the owner has set for everyone who reads this", "All rights reserved by the owner of this place and by nobody else at all"
+    copy = "\n".join([prose(rng, 12), law, prose(rng, 12)])
+    rows = [(k, copy) for k in range(60)] + [(100 + k, "\n".join([prose(rng, 5), law, prose(rng, 4), other])) for k in range(12)]
+    base = [prose(rng, 14).split() for _ in range(4)]
+    for k in range(30):  # edited copies of one document: none of its lines recurs
+        words = [list(x) for x in base]
+        words[k % 4][k % 14] = f"edit{chr(97 + k % 26)}{k // 26 * 'x'}"
+        rows.append((200 + k, "\n".join(map(" ".join, words))))
+    got = {r.doc_id: r for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(law not in r.text and other not in r.text for r in got.values())
+    assert all(got[k].n_removed == 1 for k in range(60)) and all(got[100 + k].n_removed == 2 for k in range(12))
+    assert all(got[k].text == t and got[k].n_removed == 0 for k, t in rows if k >= 200)
+
+
 def brute_windows(rows, window=13):
     first = {}
     for k, t, *_ in sorted(rows, key=lambda r: r[0]):
