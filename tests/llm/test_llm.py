@@ -288,6 +288,17 @@ def test_line_dedup_counts_copies_once(spark):
     assert all(got[k].text == t and got[k].n_removed == 0 for k, t in rows if k >= 200)
 
 
+def test_line_dedup_has_several_templates_a_leaf(spark):
+    rng = random.Random(6)
+    tails = [" ".join(prose(rng, 9).split()[:9]) for _ in range(4)]
+    fixed = [f"see also the {t}" for t in tails]
+    rows = [(k, "\n".join([prose(rng, 12), fixed[k % 4]])) for k in range(48)] + [(100 + k, "\n".join([prose(rng, 12), "see also the " + prose(rng, 9)])) for k in range(150)]
+    rows += [(300 + k, "\n".join([prose(rng, 12), "17 4 2026 12 30 0 stamp"])) for k in range(12)]
+    got = {r.doc_id: r for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].n_removed == 1 and "\n" not in got[k].text for k in [*range(48), *range(300, 312)])
+    assert all(got[100 + k].n_removed == 0 for k in range(150))
+
+
 def brute_windows(rows, window=13):
     first = {}
     for k, t, *_ in sorted(rows, key=lambda r: r[0]):
