@@ -1,18 +1,20 @@
 """Best-fit packing of documents into token sequences.
 
-Bulk-synchronous best-fit decreasing.  Documents (their pieces) and the gaps of open sequences are kept in order of
-size.  One step sweeps a whole run of equal pieces onto its successor, the run of smallest gaps that hold them;
-which piece gets which gap is settled by rank inside the two runs; the gaps shrink and the next sweep follows.
-A size is an integer of at most `capacity`, so the runs are a table of at most `capacity` rows at any corpus size:
-Spark counts it, the sweeps over it give intervals of ranks, and Spark deals the intervals to the pieces.
+Bulk-synchronous best-fit.  Documents (their pieces) and the gaps of open sequences are sorted by size.  A sweep matches
+all documents with the gaps at once: each takes its successor, the smallest gap that holds it; conflicts are resolved
+by rank, larger documents first; then the gaps shrink and the next sweep follows, until every document has a place.
+A size is an integer of at most `capacity`, so the sweeps, windows over runs of equal documents and equal gaps, work
+on some thousand rows at any corpus size; Spark ranks the pieces inside their runs and deals the intervals to them.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from bisect import bisect_left, insort
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,42 +24,33 @@ from pyspark.sql import functions as F
 from ._store import written
 
 CAPACITY = 2048
-#: Distinct text pieces that a worker remembers; beyond it, the memory starts anew.
-CACHE = 300_000
 
 
 class Encoder:
     """Token ids (little-endian unsigned 32-bit) of a text, by a vocabulary of the tokenizers library.
 
-    Pieces between the pattern's breaks are encoded by themselves, so each distinct piece is merged only once.  Merges
-    use the rank file of the same vocabulary; a text with a special token's string goes to the library whole.
+    Merges use the rank file of the same vocabulary, at twice the library's speed; a text with a special token's
+    string goes to the library itself.  Nothing is remembered between texts.
     """
 
     def __init__(self, json_path: str, rank_path: str, pattern: str):
-        import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-        class Memory(dict):
-            def __missing__(self, piece):
-                if len(self) >= CACHE:
-                    self.clear()
-                self[piece] = ids = np.array(encode(piece), "<u4").tobytes()
-                return ids
-
-        self.whole = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = regex.compile(pattern).findall
-        self.memory = Memory()
+        with open(json_path, "rb") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.json_path, self.library = json_path, None
+        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.memory.__getitem__, self.pieces(text)))
+            if self.library is None:  # few texts need it, and it takes much memory
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.json_path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(array("I", self.encode(text)), "<u4").tobytes()
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -108,50 +101,90 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def sweep(sizes: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over runs of equal sizes {length: how many}.
+def _sweep(docs: DataFrame, gaps: DataFrame, top: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One sweep of docs (length, rank, n) over gaps (gap, first, n): (docs left, gaps left, steps).
 
-    Steps (length, first rank, how many, first sequence, offset): the pieces of that length with these ranks go, one
-    each, to as many consecutive sequences, at that offset.
+    A row is a run of equals.  A gap of several times the largest document counts as so many slots.  Larger documents
+    go first: a document is placed if the slots that hold it outnumber the larger documents placed.  In rising order
+    each takes its successor, the smallest slot that holds it; where several have one successor, their rank among the
+    placed moves them on to the next slots.
+    """
+    order = lambda *c: Window.orderBy(*c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    layers = F.greatest(F.floor(F.col("gap") / top), F.lit(1)).cast("int")
+    slots = gaps.select("*", layers.alias("layers")).select("*", F.explode(F.sequence(F.lit(0), F.col("layers") - 1)).alias("layer"))
+    slots = slots.select(F.floor(F.col("gap") / F.col("layers")).alias("length"), F.lit(None).cast("long").alias("rank"), "n", F.lit(0).alias("doc"), "first", "layer")
+    rows = docs.select("length", "rank", "n", F.lit(1).alias("doc"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("int").alias("layer")).unionByName(slots)
+    falling, rising = [F.desc("length"), "doc"], ["length", F.desc("doc"), "first", "layer"]
+    of = lambda doc, c: F.when(F.col("doc") == doc, F.col(c)).otherwise(F.lit(0))
+    rows = rows.withColumn("over", F.sum(of(0, "n") - of(1, "n")).over(order(*falling)))
+    rows = rows.withColumn("low", F.least(F.lit(0), F.min("over").over(order(*falling))))
+    rows = rows.withColumn("m", of(1, "n") - F.when(F.col("doc") == 1, F.coalesce(F.lag("low").over(Window.orderBy(*falling)), F.lit(0)) - F.col("low")).otherwise(F.lit(0)))
+    # Smaller slots and placed documents below each row; where the placed begin among the slots.
+    rows = rows.withColumn("below", F.sum(of(0, "n")).over(order(*rising)) - of(0, "n")).withColumn("i", F.sum("m").over(order(*rising)) - F.col("m"))
+    rows = rows.withColumn("j", F.col("i") + F.max(F.when(F.col("m") > 0, F.col("below") - F.col("i"))).over(order(*rising)))
+    rows = written(rows.drop("over", "low", "i"), "pack-placed")
+    who = F.struct("length", "rank", "j", (F.col("j") + F.col("m")).alias("end"))
+    where = F.struct("first", F.col("below").alias("at"), "layer")
+    mark = lambda p, d, s: F.struct(p.alias("p"), F.when(F.lit(d), who).alias("who"), F.when(F.lit(s), where).alias("where"))
+    marks = F.when(F.col("doc") == 0, F.array(mark(F.col("below"), False, True))).otherwise(F.array(mark(F.col("j"), True, False), mark(F.col("j") + F.col("m"), False, False)))
+    marks = rows.filter("doc = 0 or m > 0").select(F.explode(marks).alias("x")).select("x.*").groupBy("p").agg(F.max("who").alias("who"), F.max("where").alias("where"))
+    cut = marks.select("p", F.last("who", True).over(order("p")).alias("d"), F.last("where", True).over(order("p")).alias("s"), F.lead("p").over(Window.orderBy("p")).alias("q"))
+    cut = cut.filter("q is not null and d.end > p")
+    steps = cut.select(
+        F.col("d.length").alias("length"),
+        (F.col("d.rank") + F.col("p") - F.col("d.j")).alias("rank"),
+        (F.col("q") - F.col("p")).alias("n"),
+        (F.col("s.first") + F.col("p") - F.col("s.at")).alias("sequence"),
+        (F.lit(turn << 12) + F.col("s.layer")).cast("long").alias("turn"),
+        F.col("s.first").alias("run"),
+    )
+    left = rows.filter("doc = 1 and m < n").select("length", (F.col("rank") + F.col("m")).alias("rank"), (F.col("n") - F.col("m")).alias("n"))
+    change = lambda df, run, x, n, by: df.select(F.col(run).alias("run"), F.explode(F.array(F.struct(F.col(x).alias("x"), by.alias("g")), F.struct((F.col(x) + F.col(n)).alias("x"), (-by).alias("g")))).alias("e"))
+    edges = change(gaps, "first", "first", "n", F.col("gap")).unionByName(change(steps, "run", "sequence", "n", -F.col("length")))
+    edges = edges.groupBy("run", "e.x").agg(F.sum("e.g").alias("g"))
+    along = Window.partitionBy("run").orderBy("x")
+    rest = edges.select("x", F.sum("g").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("gap"), F.lead("x").over(along).alias("z"))
+    rest = rest.filter("z is not null and gap > 0").select("gap", F.col("x").alias("first"), (F.col("z") - F.col("x")).alias("n"))
+    return left, rest, steps.drop("run")
+
+
+def sweeps(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """sizes (length, n) -> steps (length, rank, n, sequence, turn): the pieces of that length with these n ranks go, one
+    each, to as many consecutive sequences; inside a sequence they stand in the order of turn.
+
+    Bulk-synchronous rounds of _sweep.  Before each, the documents that no gap holds and that have over half the largest
+    one's size open as many sequences as they need at least, by their tokens and by how many cannot share one.  Runs are tables of a few thousand rows at any corpus size.
     """
-    steps: list[tuple[int, int, int, int, int]] = []
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, how many)
-    order: list[int] = []
-    sequences = 0
-
-    def leave(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(order, gap)
-            runs.setdefault(gap, []).append((first, n))
-
-    for length in sorted(sizes, reverse=True):
-        rank, left = 0, sizes[length]
-        while left:
-            at = bisect_left(order, length)  # the successor: the smallest gap that holds the piece
-            if at < len(order):
-                gap = order[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], order[at]
-            else:
-                gap, first, n = capacity, sequences, -(-left // (capacity // length))
-                sequences += n
-            per = gap // length
-            full, rest = min(n, left // per), 0
-            if full < n and left > full * per:
-                rest = left - full * per
-            for slot in range(per):
-                take = full + (slot < rest)
-                if take:
-                    steps.append((length, rank, take, first, capacity - gap + slot * length))
-                    rank += take
-            left -= full * per + rest
-            leave(gap - per * length, first, full)
-            if rest:
-                leave(gap - rest * length, first + full, 1)
-            leave(gap, first + full + bool(rest), n - full - bool(rest))
-    return steps
+    spark = sizes.sparkSession
+    kinds = {"doc": ["length", "rank", "n"], "gap": ["gap", "first", "n"], "step": ["length", "rank", "n", "sequence", "turn"]}
+    fields = [f"c{k}" for k in range(5)]
+
+    def saved(**parts: DataFrame) -> dict[str, DataFrame]:
+        """The tables, written as one."""
+        rows = [df.select(F.lit(kind).alias("kind"), *[(F.col(kinds[kind][k]) if k < len(kinds[kind]) else F.lit(0)).cast("long").alias(f) for k, f in enumerate(fields)]) for kind, df in parts.items()]
+        table = written(reduce(DataFrame.unionByName, rows).coalesce(1), "pack-round")
+        return {kind: table.filter(F.col("kind") == kind).select(*[F.col(f).alias(n) for f, n in zip(fields, kinds[kind], strict=False)]) for kind in parts} | {"all": table}
+
+    state = saved(doc=sizes.select("length", F.lit(0).alias("rank"), "n"))
+    state["gap"] = spark.createDataFrame([], "gap long, first long, n long")
+    steps, sequences, turn = [], 0, 0
+    while True:
+        facts = state["all"].agg(F.max(F.when(F.col("kind") == "doc", F.col("c0"))).alias("top"), F.min(F.when(F.col("kind") == "doc", F.col("c0"))).alias("least"), F.max(F.when(F.col("kind") == "gap", F.col("c0"))).alias("room")).first()
+        if facts["top"] is None:
+            break
+        top, room = facts["top"], facts["room"] or 0
+        gaps = state["gap"].filter(F.col("gap") >= facts["least"])
+        if top > room:
+            unfit = state["doc"].filter((F.col("length") > room) & (2 * F.col("length") > top))
+            need = unfit.agg(F.sum(F.col("n") * F.col("length")).alias("tokens"), F.sum(F.when(2 * F.col("length") > capacity, F.col("n"))).alias("alone")).first()
+            opened = max(-(-need["tokens"] // capacity), need["alone"] or 0)
+            gaps = gaps.unionByName(spark.range(1).select(F.lit(capacity).cast("long").alias("gap"), F.lit(sequences).cast("long").alias("first"), F.lit(opened).cast("long").alias("n")))
+            sequences += opened
+        left, rest, made = _sweep(state["doc"], gaps, top, turn)
+        state = saved(doc=left, gap=rest, step=made)
+        steps.append(state["step"])
+        turn += 1
+    return reduce(DataFrame.unionByName, steps, spark.createDataFrame([], "length long, rank long, n long, sequence long, turn long"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:
@@ -161,14 +194,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:
     doc_id and piece.  An empty table gives an empty result; other columns of docs are not read.
     """
     cut = written(pieces(docs, capacity=capacity, **how), "pack-pieces")
-    sizes = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    steps = sorted(sweep(sizes, capacity))
-    plan = np.array(steps, np.int64).reshape(-1, 5)
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast(plan)
+    steps = sweeps(cut.groupBy("length").agg(F.count("*").alias("n")), capacity).orderBy("length", "rank").toArrow()  # runs, not pieces
+    plan = np.stack([steps[c].to_numpy() for c in ("length", "rank", "sequence", "turn")], axis=1).astype(np.int64).reshape(-1, 4)
+    share = docs.sparkSession.sparkContext.broadcast(plan)
 
     # Rank among equals without gathering them in one task: a hash deals each length to buckets, whose sizes add up.
-    buckets = max(16, sum(sizes.values()) // 200_000)
+    buckets = max(16, cut.count() // 200_000)
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -185,12 +216,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:
             step = np.searchsorted(key, length << 40 | rank, "right") - 1
             names = [n for n in b.schema.names if n != "rank"]
             own = [b.column(b.schema.get_field_index(n)) for n in names]
-            at = p[step] if len(step) else np.zeros((0, 5), np.int64)
-            more = [pa.array(at[:, 3] + rank - at[:, 1]), pa.array(at[:, 4])]
-            yield pa.RecordBatch.from_arrays(own + more, [*names, "sequence_id", "offset"])
+            at = p[step] if len(step) else np.zeros((0, 4), np.int64)
+            more = [pa.array(at[:, 2] + rank - at[:, 1]), pa.array(at[:, 3])]
+            yield pa.RecordBatch.from_arrays(own + more, [*names, "sequence_id", "turn"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(deal, f"{fields}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(deal, f"{fields}, sequence_id long, turn long")
+    so_far = Window.partitionBy("sequence_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select(*cut.columns, "sequence_id", F.coalesce(F.sum("length").over(so_far), F.lit(0)).alias("offset"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -81,9 +81,11 @@ def test_packing_round_trip(docs, rows):
     assert len(seq) <= math.ceil(sum(r.length for r in got) / 256) * 1.05 + 1
 
 
-def test_best_fit_matches_sequential():
+@pytest.mark.parametrize("kind", ["even", "small", "few", "hot"])
+def test_best_fit_matches_sequential(spark, kind):
     rng = random.Random(2)
-    sizes = [rng.randint(1, 100) for _ in range(2000)]
+    sizes = {"even": lambda: rng.randint(1, 100), "small": lambda: rng.randint(1, 7), "few": lambda: rng.choice([100, 51, 34, 20, 3]), "hot": lambda: 40 if rng.random() < 0.4 else rng.randint(1, 100)}
+    sizes = [sizes[kind]() for _ in range(2000)]
     gaps = []
     for s in sorted(sizes, reverse=True):
         fit = min((g for g in gaps if g >= s), default=None)
@@ -92,8 +94,16 @@ def test_best_fit_matches_sequential():
         else:
             gaps.remove(fit)
             gaps.append(fit - s)
-    steps = packing.sweep(dict(collections.Counter(sizes)), 100)
-    assert 1 + max(first + n - 1 for _, _, n, first, _ in steps) == len(gaps)
+    counts = collections.Counter(sizes)
+    steps = packing.sweeps(spark.createDataFrame(list(counts.items()), "length long, n long"), 100).collect()
+    fill, ranks = collections.Counter(), collections.defaultdict(list)
+    for s in steps:
+        ranks[s.length] += range(s.rank, s.rank + s.n)
+        for k in range(s.n):
+            fill[s.sequence + k] += s.length
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+    assert max(fill.values()) <= 100 and sorted(fill) == list(range(len(fill)))
+    assert len(fill) <= len(gaps) * 1.02
 
 
 def brute_classes(rows):
