@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +367,38 @@ def test_vectors(spark):
     assert {k: (r.n_links, r.component_id, r.kept) for k, r in got.items()} == {k: (n[k], find(k), find(k) == k) for k in root}
 
 
+def test_vectors_recall_and_candidates(spark):
+    """The driver's vectors with copies planted at the threshold, against brute force; how many pairs are counted."""
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(path)
+    rows = table.select("vec_id", "label", "embedding").toPandas()
+    rng = np.random.default_rng(1)
+    near = rows[:1000].copy()
+    x = np.stack(near["embedding"].to_list()).astype(float)
+    aside = rng.normal(size=x.shape)
+    aside -= (aside * x).sum(axis=1, keepdims=True) / (x * x).sum(axis=1, keepdims=True) * x
+    aside *= np.linalg.norm(x, axis=1, keepdims=True) / np.linalg.norm(aside, axis=1, keepdims=True)
+    near["embedding"] = list((x + aside * np.tan(np.arccos(0.9801))).astype(np.float32).tolist())
+    near["vec_id"] += 1_000_000
+    both = pd.concat([rows, near])
+    planted = spark.createDataFrame([(int(r.vec_id), int(r.label), list(map(float, r.embedding))) for r in both.itertuples()], "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(planted).collect()}
+    want = {}
+    for _, part in both.groupby("label"):
+        x = np.stack([np.asarray(v, np.float32) for v in part["embedding"]]).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        want |= dict(zip(part["vec_id"].tolist(), ((x @ x.T >= 0.98).sum(axis=1) - 1).tolist(), strict=True))
+    assert sum(want.values()) >= 2000 and all(got[k] <= n for k, n in want.items())
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+    all_pairs = sum(n * (n - 1) // 2 for n in rows.groupby("label").size())
+    groups = vectors.nodes_of(table, "vec_id", "embedding", "label").filter("node is not null").dropDuplicates(["label", "node"])
+    groups = groups.join(groups.groupBy("label", "d").count(), ["label", "d"]).withColumn("k", vectors.n_lines(F.col("count")))
+    met = vectors.members(groups, 0.2, np.float32).groupBy("key").count().collect()
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in met) * 20 < all_pairs
+
+
 def test_empty_tables(spark, empty, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert packing.pack(empty).count() == 0
