@@ -311,6 +311,86 @@ def test_line_dedup_has_several_templates_a_leaf(spark):
     assert all(got[100 + k].n_removed == 0 for k in range(150))
 
 
+def brute_lines(rows, support=8):
+    """The numbers of the removed lines by text, from the rules as the module states them."""
+    half_of = lambda n: (n + 1) // 2
+    parsed = {}
+    for t in {t for _, t in rows if t is not None}:
+        for no, line in enumerate(t.split("\n")):
+            w = line.encode().split()
+            n, few = len(w), 3 if len(w) >= 6 else 2
+            if not n:
+                continue
+            m = tuple(b"<*>" if any(48 <= c <= 57 for c in x) else x for x in w)
+            h, fixed = half_of(n), [x != b"<*>" for x in m]
+            keys = [("pat", n, m) if sum(fixed) * 2 >= n else ("plain", tuple(w))]
+            if h >= 3 and all(fixed[:h]):
+                keys.append(("half1", n, m[:h]))
+            if h >= 3 and all(fixed[n - h :]):
+                keys.append(("half2", n, m[:3], m[n - h :]))
+            cues = [("head", tuple(w[:few])), ("tail", tuple(w[n - few :]))] if n >= 4 else []
+            parsed[t, no] = (n, m, keys, ("leaf", n, m[:3]) if n > 3 else None, cues)
+
+    def common(pairs):
+        texts = collections.defaultdict(set)
+        for key, t in pairs:
+            texts[key].add(t)
+        return {k for k, v in texts.items() if len(v) >= support}
+
+    listed = common((k, t) for (t, _), p in parsed.items() if p[0] >= 2 for k in p[2])
+    cand = {at: {k for k in p[2] if k in listed} for at, p in parsed.items() if p[0] >= 2}
+    cand = {at: k for at, k in cand.items() if k}
+    rest = {at: p for at, p in parsed.items() if p[3] and at not in cand}
+    leaves = common((p[3], at[0]) for at, p in rest.items())
+    for leaf in leaves:
+        own = {at: p[1] for at, p in rest.items() if p[3] == leaf}
+        modes = [collections.Counter(x).most_common(1)[0] for x in zip(*own.values(), strict=True)]
+        plan = [x if c * 2 >= len(own) and x != b"<*>" else None for x, c in modes]
+        for at, m in own.items():
+            if sum(a == b for a, b in zip(m[3:], plan[3:], strict=True)) >= (len(m) - 3) * 0.5:
+                cand[at] = {leaf}
+    seen = {c for at in cand for c in parsed[at][4]}
+    own = collections.defaultdict(set)
+    for at, p in parsed.items():
+        if at not in cand and not seen & set(p[4]):
+            own[at[0]].add(p[2][0])
+    sets = collections.defaultdict(set)
+    for (t, _), keys in cand.items():
+        for k in keys:
+            sets[k].add(frozenset(own[t]))
+    going = {k for k, v in sets.items() if len(v) >= support}
+    out = collections.defaultdict(set)
+    for (t, no), keys in cand.items():
+        if keys & going:
+            out[t].add(no)
+    return out
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_line_dedup_against_brute_force(spark, monkeypatch, limit):
+    if limit is not None:  # texts joined with line numbers instead of broadcast keys
+        monkeypatch.setattr(lines, "BROADCAST_KEYS", limit)
+    rng = random.Random(11)
+    notes = ["Read more", "please share this page with friends", "please share this offer by email", "Copyright 2024 by the owner of all that", "x 1 2 3 4"]
+    rows = []
+    for k in range(120):
+        own = [prose(rng, rng.choice([1, 2, 3, 7, 12])) for _ in range(rng.randint(0, 5))]
+        own += [n.replace("2024", str(2000 + k % 30)) for j, n in enumerate(notes) if (k + j) % 4 == 0]
+        if k % 3 == 0:
+            own.append(f"see also the {prose(rng, 2)} list of all {prose(rng, 1)} places here")
+        rng.shuffle(own)
+        rows.append((k, "\n".join(own)))
+    rows += [(200 + k, rows[k % 9][1]) for k in range(30)] + [(300, None), (301, ""), (302, "\n\n"), (303, prose(rng, 3000)), (None, rows[5][1])]
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute_lines(rows)
+    assert len(got) == len(rows) and sum(map(len, want.values())) > 100
+    by = {k: t for k, t in rows}
+    for r in got:
+        t = by[r.doc_id]
+        kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(t, ()))
+        assert (r.text, r.n_lines, r.n_removed) == (kept, 0 if t is None else t.count("\n") + 1, len(want.get(t, ())))
+
+
 def brute_windows(rows, window=13):
     first = {}
     for k, t, *_ in sorted(rows, key=lambda r: r[0]):
