@@ -202,25 +202,89 @@ def test_scoring(docs, rows):
 
 
 def test_scoring_is_a_probability():
-    """Over all continuations of a prefix by one byte, the model's bit probabilities add up to one."""
+    """Over all continuations of a prefix by one byte, and over all symbols, probabilities add up to one."""
     import pyarrow as pa
 
-    tables = [np.zeros((1 << size, 2), np.float32) for *_, size in lm.CONTEXTS]
+    rng = np.random.default_rng(3)
+    tables = [rng.integers(0, 5, (1 << size, 2)).astype(np.float32) for *_, size in lm.SHORT_CONTEXTS]
     mixer = lm.Mixer()
-    data, owner, contexts = lm._contexts(pa.array([b"the", b"them"]), np.zeros(2, int))
-    for y, slots in lm._bits(data, contexts):
-        for t, s in zip(tables, slots, strict=True):
-            np.add.at(t, (s, y), 3.0)
-    total = 0.0
-    for x in range(256):
-        byte = np.full(1, x, np.uint8)
-        logs = 0.0
-        for y, slots in lm._bits(byte, [c[:1] for c in contexts]):
-            logits, gate = lm._inputs(tables, slots, None)
-            p = mixer.refined(mixer.mixed(logits, gate), gate)
-            logs += math.log(p[0] if y[0] else 1 - p[0])
-        total += math.exp(logs)
-    assert total == pytest.approx(1, abs=1e-6)
+    mixer.tallies += rng.integers(0, 9, mixer.tallies.shape)
+    words = pa.array([b"them" + bytes([x]) for x in range(256) if x not in (10, 32)], pa.binary())
+    edges = lm.Edges(words, np.zeros(len(words), int))
+    assert len(edges.data) == 4 + 2 * len(words)  # the shared prefix once
+    lp = lm.log10_words(edges, edges.weights(np.ones(len(words))), tables, mixer)
+    assert (lp < 0).all() and (10.0**lp).sum() < 1
+    shape = (lm.CLASSES, lm.SYMBOLS, lm.SYMBOLS, lm.SYMBOLS)
+    counts = rng.integers(0, 4, shape).astype(float) * (rng.random(shape) < 0.01)
+    assert np.allclose((10.0 ** lm.symbol_logs(counts).astype(float)).sum(axis=-1), 1, atol=1e-4)
+
+
+def brute_spelling(words, train, tables, mixer):
+    """log10 probability of each (class, word), bit by bit, from the rules as the module states them."""
+    full_bits = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full_bits
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full_bits
+        return x ^ x >> 31
+
+    uses = collections.Counter()
+    for (g, w), c in train.items():
+        full = w + b" "
+        for i, byte in enumerate(full):
+            for j in range(8):
+                for key in ((full[:i], None), (full[:i], g)):
+                    uses[key, j, byte >> 8 - j, byte >> 7 - j & 1] += c
+    out = {}
+    for g, w in words:
+        full, total = w + b" ", 0.0
+        for i, byte in enumerate(full):
+            for j in range(8):
+                node, y = byte >> 8 - j | 1 << j, byte >> 7 - j & 1
+                counts, before = [], 0
+                for (back, with_class, size), table in zip(lm.SHORT_CONTEXTS, tables, strict=True):
+                    before = (before * 257 + (full[i - back] + 1 if i >= back else 0)) & full_bits
+                    h = mix((before + (back << 58) + ((g + 1) * 0x8EBC6AF09C88C6E3 if with_class else 0)) & full_bits)
+                    counts.append(table[((h ^ node * 0x9E3779B97F4A7C15 & full_bits) * 0xD6E8FEB86659FD93 & full_bits) >> 64 - size])
+                for key in ((full[:i], None), (full[:i], g)):
+                    counts.append([uses[key, j, byte >> 8 - j, b] * (i >= lm.LEAD) for b in (0, 1)])
+                gate = 0
+                for k, (n0, n1) in enumerate(counts):
+                    if n0 + n1 > 0:
+                        gate = 1 + k * lm.GRADES + min(lm.GRADES - 1, int(math.log2(max(1, n0 + n1))) // 2)
+                logits = [math.log((n1 + 0.3) / (n0 + 0.3)) for n0, n1 in counts] + [0.3]
+                z = max(-12, min(12, sum(a * b for a, b in zip(logits, mixer.weights[gate], strict=True))))
+                p = mixer.refined(np.array([z]), np.array([gate]))[0]
+                total += math.log10(p if y else 1 - p)
+        out[g, w] = total
+    return out
+
+
+def test_spelling_against_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = sorted({(rng.randint(0, 1), "".join(rng.choice("abc") for _ in range(rng.randint(1, 7))).encode()) for _ in range(60)} | {(0, "é".encode()), (1, b"x" * 300)})
+    train = {w: rng.randint(0, 4) for w in words}
+    tables = [np.random.default_rng(k).integers(0, 3, (1 << size, 2)).astype(np.float32) for k, (*_, size) in enumerate(lm.SHORT_CONTEXTS)]
+    mixer = lm.Mixer(weights=np.random.default_rng(1).random((lm.N_INPUTS * lm.GRADES + 1, lm.N_INPUTS + 1)) * 0.4)
+    edges = lm.Edges(pa.array([w for _, w in words], pa.binary()), np.array([g for g, _ in words]))
+    got = lm.log10_words(edges, edges.weights(np.array([train[w] for w in words], float)), tables, mixer)
+    want = brute_spelling(words, train, tables, mixer)
+    assert got == pytest.approx([want[w] for w in words], rel=1e-4)
+
+
+def test_scoring_ignores_layout_and_held_out_texts(spark):
+    rng = random.Random(8)
+    rows = [(k, text(rng, rng.choice([3, 30, 80]))) for k in range(150)]
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
+    other = [(k, "quite another text " + text(rng, 20) if h else t) for (k, t), h in zip(rows, held, strict=True)]
+    schema = "doc_id long, text string"
+    first = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, schema).repartition(2)).collect()}
+    again = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows[::-1], schema).repartition(5)).collect()}
+    changed = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(other, schema).repartition(3)).collect()}
+    assert any(held) and first == pytest.approx(again, abs=1e-6)
+    assert all(changed[k] == pytest.approx(first[k], abs=1e-6) for (k, _), h in zip(rows, held, strict=True) if not h)
 
 
 def test_toxicity_learns_held_out_words(spark):
