@@ -40,6 +40,35 @@ def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("event_id", "ts", F.col("src").alias("phone"), F.col("dst").alias("imei"), ((F.col("event_id") + F.col("src")) % 40).alias("imsi"))
 
 
+def mail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, value: a mail for each document, from one account's address to another's; some headers are forged."""
+    n = F.col("doc_id")
+    sender = F.concat(F.lit("u"), (n % 1500).cast("string"), F.lit("@bank.example"))
+    recipient = F.concat(F.lit("u"), (n * 7 % 1500).cast("string"), F.lit("@mail.example"))
+    back = F.when(n % 21 == 0, "bounce@bannk.example").when(n % 35 == 0, "bounce@other.test").otherwise(sender)
+    lines = F.concat_ws(
+        "\r\n",
+        F.concat(F.lit("Return-Path: <"), back, F.lit(">")),
+        F.lit("Received: from a.example\r\n\tby b.example"),
+        F.lit("Received: from b.example by c.example"),
+        F.concat(F.lit("Authentication-Results: c.example; spf="), F.when(n % 33 == 0, "fail").otherwise("pass"), F.lit("; dkim="), F.when(n % 55 == 0, "fail").otherwise("pass"), F.lit("; dmarc=none")),
+        F.concat(F.lit("From: Someone <"), sender, F.lit(">")),
+        F.concat(F.lit("To: "), recipient),
+        F.concat(F.lit("Subject: Statement "), n.cast("string")),
+        F.lit("Date: Wed, 04 Mar 2026 10:23:00 +0530"),
+        F.lit(""),
+        F.substring("text", 1, 200),
+    )
+    return table(spark, sf_dir, "documents").filter("doc_id is not null").select(F.concat(F.lit("mail-"), n.cast("string")).alias("path"), lines.alias("value"))
+
+
+def address_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """address, entity: both addresses of every account."""
+    own = transfers(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
+    forms = F.array(*[F.concat(F.lit("u"), F.col("entity").cast("string"), F.lit(d)) for d in ("@bank.example", "@mail.example")])
+    return own.select("entity", F.explode(forms).alias("address"))
+
+
 #: The same views for DuckDB.
 EVENTS_SQL = """
 ev AS (
@@ -48,5 +77,8 @@ ev AS (
          user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) AS dst, CAST(value AS DECIMAL(18,2)) AS amount
   FROM events),
 tr AS (SELECT * FROM ev WHERE event_type IN ('TRANSFER', 'UPI_TXN', 'ATM_WITHDRAWAL') AND dst IS NOT NULL AND src <> dst),
-dev AS (SELECT event_id, ts, src AS phone, dst AS imei, (event_id + src) % 40 AS imsi FROM ev WHERE event_type = 'CALL' AND dst IS NOT NULL)
+dev AS (SELECT event_id, ts, src AS phone, dst AS imei, (event_id + src) % 40 AS imsi FROM ev WHERE event_type = 'CALL' AND dst IS NOT NULL),
+ml AS (
+  SELECT doc_id, doc_id % 1500 AS s, doc_id * 7 % 1500 AS r, doc_id % 21 = 0 OR doc_id % 35 = 0 AS other, doc_id % 21 = 0 AS lookalike,
+         doc_id % 33 = 0 AS spf, doc_id % 55 = 0 AS dkim FROM documents WHERE doc_id IS NOT NULL)
 """

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.config import BANDS
+from caseweave.operators.ranking import numbered
 
 FEATURES = [
     "passthrough_ratio", "fan_in_count", "fan_out_count", "layering_depth", "sim_switch_count", "device_share_count", "account_age_days", "turnover",
@@ -92,28 +93,15 @@ def isolation_scores(frame: DataFrame, columns: list[str] | None = None, trees:
 
     kind = dict(rows.dtypes)["entity"]
     scored = rows.mapInPandas(score, f"entity {kind}, anomaly_score double")
-    return _numbered(scored).select("entity", "anomaly_score", (F.col("anomaly_score") - 0.5).alias("anomaly_raw"), (F.col("anomaly_score") > 0.5).alias("is_anomaly"), "anomaly_rank")
-
-
-def _numbered(scored: DataFrame) -> DataFrame:
-    """anomaly_rank by falling score, then entity: numbers within classes of the score, after the counts of the classes above."""
-    binned = scored.withColumn("bin", F.floor(F.col("anomaly_score") * 2000).cast("int"))
-    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    first = binned.groupBy("bin").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n")
-    among = Window.partitionBy("bin").orderBy(F.desc("anomaly_score"), "entity")
-    return binned.withColumn("r", F.row_number().over(among)).join(first, "bin").withColumn("anomaly_rank", F.col("above") + F.col("r"))
+    scored = numbered(scored, [F.desc("anomaly_score"), F.col("entity")], "anomaly_rank").withColumn("anomaly_rank", F.col("anomaly_rank").cast("long"))
+    return scored.select("entity", "anomaly_score", (F.col("anomaly_score") - 0.5).alias("anomaly_raw"), (F.col("anomaly_score") > 0.5).alias("is_anomaly"), "anomaly_rank")
 
 
 def reranked(scores: DataFrame, anomalies: DataFrame) -> DataFrame:
     """rank_in_case by band, then anomaly rank, then score; bands stay; without anomaly scores, by band and score."""
     place = F.coalesce(*[F.when(F.col("band") == b, F.lit(k)) for k, b in enumerate(sorted(BANDS, key=BANDS.get, reverse=True))])
-    both = scores.join(anomalies.select("entity", "anomaly_score", "anomaly_rank"), "entity", "left").withColumn("place", place)
-    sizes = both.groupBy("place").agg(F.count("*").alias("n"))
-    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("place").orderBy(F.col("anomaly_rank").asc_nulls_last(), F.desc("score"), "entity")
-    out = both.withColumn("r", F.row_number().over(within)).join(F.broadcast(first), "place")
-    return out.withColumn("rank_in_case", F.col("before") + F.col("r")).drop("place", "r", "before")
+    both = scores.join(anomalies.select("entity", "anomaly_score", "anomaly_rank"), "entity", "left")
+    return numbered(both, [place, F.col("anomaly_rank").asc_nulls_last(), F.desc("score"), F.col("entity")], "rank_in_case")
 
 
 def evaluation(predicted: DataFrame, truth: DataFrame) -> DataFrame:

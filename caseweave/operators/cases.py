@@ -70,8 +70,9 @@ def search(entities: DataFrame, text: str | None = None, entity_type: str | None
 def history(versions: DataFrame) -> DataFrame:
     """entity, run_no, score, change since the run before, is_current."""
     w = Window.partitionBy("entity").orderBy("run_no")
-    last = F.max("run_no").over(Window.partitionBy("case_id"))
-    return versions.select("entity", "run_no", "score", F.round(F.col("score") - F.lag("score").over(w), 4).alias("change"), (F.col("run_no") == last).alias("is_current"))
+    last = versions.groupBy("case_id").agg(F.max("run_no").alias("last"))
+    rows = versions.withColumn("before", F.lag("score").over(w)).join(last, "case_id")
+    return rows.select("entity", "run_no", "score", F.round(F.col("score") - F.col("before"), 4).alias("change"), (F.col("run_no") == F.col("last")).alias("is_current"))
 
 
 def evidence_refs(reasons: DataFrame, events: DataFrame, per_reason: int = 5) -> DataFrame:

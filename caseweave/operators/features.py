@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.functions.parsing import ist_hour
-from caseweave.operators import windows
+from caseweave.functions.parsing import canonical_json, ist_hour
+from caseweave.operators import graph, windows
 
 DEFAULTS = {
     "in_amount": 0, "out_amount": 0, "in_count": 0, "out_count": 0, "turnover": 0.0, "passthrough_ratio": 0.0, "fan_in_count": 0, "fan_out_count": 0,
@@ -66,15 +66,54 @@ def sim_switch(uses: DataFrame, days: int = 7) -> DataFrame:
     return uses.select("phone", "imei").distinct().join(per, "imei").groupBy(F.col("phone").alias("entity")).agg(F.max("most").alias("sim_switch_count"))
 
 
+def call_flags(hits: DataFrame) -> DataFrame:
+    """entity, has_call_then_transfer from the rows of windows.call_then_transfer."""
+    return hits.select(F.col("victim").alias("entity"), F.lit(1).alias("has_call_then_transfer")).distinct()
+
+
+def spoofed_flags(mails: DataFrame, owners: DataFrame) -> DataFrame:
+    """entity, has_spoofed_header: senders and recipients of mail with a forged header, by the accounts that own an address.
+
+    mails (sender, recipient, spoofed); owners (address, entity).
+    """
+    ends = mails.filter("spoofed").select(F.explode(F.array("sender", "recipient")).alias("address")).distinct()
+    return ends.join(owners, "address").select("entity", F.lit(1).alias("has_spoofed_header")).distinct()
+
+
+def centrality(edges: DataFrame) -> DataFrame:
+    """entity, betweenness_centrality of every node: exact up to 5,000 nodes, else from 500 pivots."""
+    return graph.betweenness(edges, pivots="auto").select(F.col("node").alias("entity"), F.round("betweenness", 8).alias("betweenness_centrality"))
+
+
+def activity(transfers: DataFrame) -> DataFrame:
+    """Flow, night hours and cash-out of each account in one pass over its transfers."""
+    both = oriented(transfers)
+    inc, out = F.col("incoming") == 1, F.col("incoming") == 0
+    zero = F.lit(0).cast("decimal(18,2)")
+    flow = both.groupBy("entity").agg(
+        F.coalesce(F.sum(F.when(inc, F.col("amount"))), zero).cast("decimal(18,2)").alias("in_amount"),
+        F.coalesce(F.sum(F.when(out, F.col("amount"))), zero).cast("decimal(18,2)").alias("out_amount"),
+        F.count_if(inc).alias("in_count"),
+        F.count_if(out).alias("out_count"),
+        F.count_distinct("other").alias("unique_counterparties"),
+        F.count_if(ist_hour(F.col("ts")) < 5).alias("odd_hour_txn_count"),
+        F.max((F.col("event_type") == "ATM_WITHDRAWAL").cast("int")).alias("has_cash_out"),
+    )
+    return flow.withColumn("turnover", F.round((F.col("in_amount") + F.col("out_amount")).cast("double"), 2))
+
+
 def feature_frame(transfers: DataFrame, uses: DataFrame | None = None, extra: list[DataFrame] = (), overrides: DataFrame | None = None) -> DataFrame:
-    """entity and all features; absent ones get their defaults, a row of overrides wins over what was computed."""
+    """entity and all features; absent ones get their defaults, a row of overrides wins over what was computed.
+
+    Ratios are those of the sixty minutes after a credit.  extra holds frames (entity, feature) that need other
+    evidence: call_flags, spoofed_flags, centrality.
+    """
     parts = [
-        node_flow(transfers),
-        odd_hours(transfers),
-        cash_out(transfers),
+        activity(transfers),
+        windows.windowed_pass_through(transfers).select(F.col("account").alias("entity"), F.col("ratio").alias("passthrough_ratio")),
         windows.distinct_in_window(transfers, "dst", "src", "ts", "2 hours").select(F.col("dst").alias("entity"), F.col("most").alias("fan_in_count")),
         windows.distinct_in_window(transfers, "src", "dst", "ts", "2 hours").select(F.col("src").alias("entity"), F.col("most").alias("fan_out_count")),
-        windows.layering_chains(transfers, max_hops=4).select(F.col("account").alias("entity"), F.col("depth").alias("layering_depth")),
+        windows.layering_chains(transfers).select(F.col("account").alias("entity"), F.col("depth").alias("layering_depth")),
         *([device_share(uses), sim_switch(uses)] if uses is not None else []),
         *extra,
     ]
@@ -87,3 +126,13 @@ def feature_frame(transfers: DataFrame, uses: DataFrame | None = None, extra: li
         found = ([F.col(f"over_{name}")] if name in over else []) + ([F.col(name)] if name in frame.columns else [])
         columns.append(F.coalesce(*found, F.lit(default)).alias(name))
     return frame.select("entity", *columns)
+
+
+def account_ages(attributes: DataFrame) -> DataFrame:
+    """entity, account_age_days from entities' attributes (JSON); null where they do not say."""
+    return attributes.select("entity", F.get_json_object("attributes_json", "$.account_age_days").try_cast("int").alias("account_age_days"))
+
+
+def as_json(features: DataFrame) -> DataFrame:
+    """entity, features_json with sorted names."""
+    return features.select("entity", canonical_json(**{c: F.col(c) for c in features.columns if c != "entity"}).alias("features_json"))

@@ -5,18 +5,10 @@ Loops are bounded, stop on an empty frontier and cut their lineage with checkpoi
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed to the shared folder that the session names; a temporary one only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="caseweave-"))
-    return df.checkpoint()
+from caseweave.operators.checkpoints import cut as _cut
 
 
 def build(entities: DataFrame, links: DataFrame, transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,10 +71,11 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
-def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = 6, directed: bool = True, timed: bool = False) -> DataFrame:
+def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = 6, directed: bool = True, timed: bool = False, minutes: float | None = None) -> DataFrame:
     """source, target, hops, path, total, minutes of every simple path from sources (node) to targets (node).
 
-    With `timed` each hop is later than the one before.
+    With `timed` each hop is later than the one before, and with `minutes` at most so long after the first; then every
+    transfer is a hop of its own, and trails of equal nodes count one by one.
     """
     hops = edges.select("src", "dst", F.col("amount").cast("double").alias("amount"), F.unix_micros("ts").alias("t"))
     if not directed:
@@ -95,6 +88,8 @@ def paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: in
     found = None
     for hop in range(1, max_hops + 1):
         later = F.col("t").isNull() | (F.col("t1") > F.col("t")) if timed else F.lit(True)
+        if minutes is not None:
+            later = later & (F.col("t0").isNull() | (F.col("t1") - F.col("t0") <= minutes * 60e6))
         front = front.join(step, "end").filter(later & ~F.array_contains("path", F.col("to")))
         front = front.select("source", F.col("to").alias("end"), F.concat("path", F.array("to")).alias("path"), (F.col("total") + F.col("a")).alias("total"), F.coalesce("t0", "t1").alias("t0"), F.col("t1").alias("t"))
         if hop > 2:
@@ -119,6 +114,37 @@ def path_share(path_rows: DataFrame) -> DataFrame:
     return inner.groupBy("node").agg(F.count("*").alias("n_paths")).join(F.broadcast(total)).select("node", "n_paths", F.round(F.col("n_paths") / F.col("all"), 4).alias("share"))
 
 
+def timed_cycles(edges: DataFrame, minutes: float, max_length: int = 6) -> DataFrame:
+    """length, cycle, n of the simple cycles in which money goes round: each transfer later than the one before, all
+    within the time after the first; n counts the rounds of one cycle, which is written from its first payer."""
+    hops = _cut(edges.filter("src <> dst").select("src", "dst", F.unix_micros("ts").alias("t")))
+    step = hops.select(F.col("src").alias("end"), F.col("dst").alias("to"), F.col("t").alias("t1"))
+    front = hops.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("cycle"), F.col("t").alias("t0"), "t")
+    found = None
+    for length in range(2, max_length + 1):
+        grown = front.join(step, "end").filter((F.col("t1") > F.col("t")) & (F.col("t1") - F.col("t0") <= minutes * 60e6))
+        hit = grown.filter("to = start").select(F.lit(length).alias("length"), "cycle")
+        found = hit if found is None else found.unionByName(hit)
+        front = grown.filter(~F.array_contains("cycle", F.col("to"))).select("start", F.col("to").alias("end"), F.concat("cycle", F.array("to")).alias("cycle"), "t0", F.col("t1").alias("t"))
+        if length < max_length:
+            front = _cut(front)
+            if front.isEmpty():
+                break
+    return found.groupBy("length", "cycle").agg(F.count("*").alias("n"))
+
+
+def caption(path_rows: DataFrame) -> DataFrame:
+    """path_rows with a caption: hops, money and minutes."""
+    text = F.format_string("%d hops, %s, %s minutes", F.col("hops").cast("int"), F.format_number("total", 2), F.format_number("minutes", 1))
+    return path_rows.withColumn("caption", text)
+
+
+def central(metrics: DataFrame, share: float = 0.05) -> DataFrame:
+    """node, betweenness, is_central: whether it is among the highest share (those equal to the last one included)."""
+    bound = metrics.agg(F.expr(f"percentile(betweenness, {1 - share})").alias("bound"))
+    return metrics.join(F.broadcast(bound)).select("node", "betweenness", ((F.col("betweenness") >= F.col("bound")) & (F.col("betweenness") > 0)).alias("is_central"))
+
+
 def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
     """length, cycle of every simple cycle up to a length, once each, written from its smallest node."""
     hops = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
@@ -165,8 +191,14 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def betweenness(edges: DataFrame, pivots: int | None = None, seed: int = 42, max_depth: int = 30) -> DataFrame:
-    """node, betweenness: normalised, directed, from all nodes or from `pivots` of them chosen by a seeded hash.
+def central_pivots(n: int) -> int | None:
+    """All nodes of a graph of up to 5,000, else 500."""
+    return None if n <= 5000 else 500
+
+
+def betweenness(edges: DataFrame, pivots: int | str | None = None, seed: int = 42, max_depth: int = 30) -> DataFrame:
+    """node, betweenness: normalised, directed, from all nodes or from `pivots` of them chosen by a seeded hash; with
+    "auto" from all of a graph of up to 5,000 nodes, else from 500.
 
     Level-synchronous: state is (pivot, node, distance, number of shortest paths); dependencies flow back level by
     level.
@@ -174,6 +206,7 @@ def betweenness(edges: DataFrame, pivots: int | None = None, seed: int = 42, max
     hops = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
     nodes = _cut(hops.select(F.col("src").alias("node")).unionByName(hops.select(F.col("dst").alias("node"))).distinct())
     n = nodes.count()
+    pivots = central_pivots(n) if pivots == "auto" else pivots
     start = nodes if pivots is None or pivots >= n else nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(pivots)
     k = n if pivots is None else min(n, pivots)
     levels = [_cut(start.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("sigma")))]
@@ -213,9 +246,11 @@ def top_subgraph(edges: DataFrame, scores: DataFrame, n: int = 50) -> DataFrame:
 
 
 def snapshot(edges: DataFrame, run_id: str) -> DataFrame:
-    """One row: run_id, node_count, edge_count."""
+    """One row: run_id, node_count, edge_count, betweenness_k (how many pivots a snapshot of that size takes)."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).agg(F.count_distinct("node").alias("node_count"))
-    return nodes.join(F.broadcast(edges.agg(F.count("*").alias("edge_count")))).select(F.lit(run_id).alias("run_id"), "node_count", "edge_count")
+    both = nodes.join(F.broadcast(edges.agg(F.count("*").alias("edge_count"))))
+    k = F.when(F.col("node_count") <= 5000, F.col("node_count")).otherwise(F.lit(500).cast("long"))
+    return both.select(F.lit(run_id).alias("run_id"), "node_count", "edge_count", k.alias("betweenness_k"))
 
 
 def current(versions: DataFrame, keys: list[str], run: str = "run_no") -> DataFrame:

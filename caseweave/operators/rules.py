@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.config import BANDS, RULES
+from caseweave.operators.ranking import numbered
 
 #: code -> (value that the rule looks at, setting that holds its threshold, sentence if it fired, sentence if not)
 MEASURES = {
@@ -54,6 +55,7 @@ def reasons(features: DataFrame, rules: dict[str, dict] | None = None) -> DataFr
     for k, (code, rule) in enumerate((rules or RULES).items()):
         value, setting, yes, no = MEASURES[code]
         shown = F.round(F.col(value).cast("double"), 4)
+        written = F.regexp_replace(shown.cast("decimal(38,4)").cast("string"), r"\.?0+$", "")
         made.append(
             F.struct(
                 F.lit(code).alias("rule_code"),
@@ -61,7 +63,7 @@ def reasons(features: DataFrame, rules: dict[str, dict] | None = None) -> DataFr
                 shown.alias("raw_value"),
                 F.lit(float(rule[setting])).alias("threshold"),
                 F.when(fires(code, rule), F.lit(rule["weight"])).otherwise(F.lit(0.0)).alias("points"),
-                F.when(fires(code, rule), F.format_string(yes, shown.cast("string"))).otherwise(F.format_string(no, shown.cast("string"))).alias("text"),
+                F.when(fires(code, rule), F.format_string(yes, written)).otherwise(F.format_string(no, written)).alias("text"),
                 F.lit(k + 1).alias("display_order"),
             )
         )
@@ -75,20 +77,10 @@ def top_reasons(reason_rows: DataFrame, n: int = 3) -> DataFrame:
 
 
 def ranked(scores: DataFrame, within_band: bool = True) -> DataFrame:
-    """rank_in_case by band and score, or by score alone, then by entity.
-
-    Distinct (band, score) values are few whatever the number of accounts (points are sums of fixed weights), so
-    their counts give each value its first rank, and only equals are numbered among themselves.
-    """
+    """rank_in_case by band and score, or by score alone, then by entity."""
     order = {name: k for k, name in enumerate(sorted(BANDS, key=BANDS.get, reverse=True))}
-    place = F.coalesce(*[F.when(F.col("band") == b, F.lit(k)) for b, k in order.items()]) if within_band else F.lit(0)
-    keyed = scores.withColumn("place", place)
-    sizes = keyed.groupBy("place", "score").agg(F.count("*").alias("n"))
-    before = Window.orderBy("place", F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    among = Window.partitionBy("place", "score").orderBy("entity")
-    out = keyed.withColumn("among", F.row_number().over(among)).join(first, ["place", "score"])
-    return out.withColumn("rank_in_case", F.col("before") + F.col("among")).drop("place", "before", "among")
+    place = [F.coalesce(*[F.when(F.col("band") == b, F.lit(k)) for b, k in order.items()])] if within_band else []
+    return numbered(scores, [*place, F.desc("score"), F.col("entity")], "rank_in_case")
 
 
 def band_counts(scores: DataFrame) -> DataFrame:

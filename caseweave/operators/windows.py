@@ -7,15 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseweave.operators.checkpoints import cut
+
 
 def distinct_in_window(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
     """Most different `other` values of a key in any trailing interval: key, most.
 
-    Equal (key, other) pairs of one time bucket are not merged: an exact trailing window needs their times.
+    A value is present from an event until the interval after its last one is over.  Presences that run into each
+    other are one; their beginnings and ends are summed in time, so the work grows with the events of a key and not with
+    its square.
     """
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts))).rangeBetween(-_seconds(interval) * 1_000_000, 0)
-    sized = events.select(key, F.size(F.collect_set(other).over(w)).alias("n"))
-    return sized.groupBy(key).agg(F.max("n").cast("long").alias("most"))
+    width = _seconds(interval) * 1_000_000
+    t = F.unix_micros(F.col(ts))
+    own = Window.partitionBy(key, other).orderBy("t")
+    rows = events.filter(F.col(key).isNotNull() & F.col(other).isNotNull()).select(key, other, t.alias("t"))
+    begins = F.coalesce(F.col("t") - F.lag("t").over(own) > width, F.lit(True))
+    ends = F.coalesce(F.lead("t").over(own) - F.col("t") > width, F.lit(True))
+    rows = rows.select(key, "t", begins.alias("begins"), ends.alias("ends"))
+    marks = F.array(F.when(F.col("begins"), F.struct(F.col("t").alias("at"), F.lit(1).alias("by"))), F.when(F.col("ends"), F.struct((F.col("t") + width + 1).alias("at"), F.lit(-1).alias("by"))))
+    moves = rows.select(key, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).groupBy(key, "m.at").agg(F.sum("m.by").alias("by"))
+    running = F.sum("by").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return moves.select(key, running.alias("n")).groupBy(key).agg(F.max("n").cast("long").alias("most"))
 
 
 def _seconds(interval: str) -> int:
@@ -50,6 +62,10 @@ def layering_chains(transfers: DataFrame, minutes: int = 30, max_hops: int = 6)
     found = [front.select("account", F.lit(1).alias("depth"))]
     step = hops.select(F.col("src").alias("n_src"), F.col("dst").alias("n_dst"), F.col("t").alias("n_t"))
     for depth in range(2, max_hops + 1):
+        if depth > 2:
+            front = cut(front)
+            if front.isEmpty():
+                break
         front = (
             front.join(step, (F.col("dst") == F.col("n_src")) & (F.col("n_t") > F.col("t")) & (F.col("n_t") <= F.col("t0") + minutes * 60 * 1_000_000))
             .select("account", F.col("n_dst").alias("dst"), "t0", F.col("n_t").alias("t"))

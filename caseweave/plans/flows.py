@@ -5,23 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.config import rules_hash, rules_with
 from caseweave.operators import features, links, rules, windows
-from caseweave.operators.adapter import EVENTS_SQL, device_events, events, transfers
+from caseweave.operators.adapter import EVENTS_SQL, address_owners, device_events, events, mail_texts, transfers
+from caseweave.operators.checkpoints import cut
 from caseweave.plans._plain import plain
+from caseweave.sources import files
 
 #: Thresholds at which the rules fire on data of this size; the defaults are in the configuration.
 LOW = {"R02": {"threshold": 3.0}, "R03": {"threshold": 3.0}, "R07": {"min_turnover": 5000.0}}
 
 
+def _calls(spark, sf_dir: str) -> DataFrame:
+    """Calls into accounts just before their debits; a phone belongs to the account of its number."""
+    calls = events(spark, sf_dir).filter("event_type = 'CALL' and dst is not null")
+    owners = transfers(spark, sf_dir).select(F.col("src").alias("phone"), F.col("src").alias("account")).distinct()
+    return windows.call_then_transfer(calls, transfers(spark, sf_dir), owners)
+
+
+def _spoofed(spark, sf_dir: str) -> DataFrame:
+    return features.spoofed_flags(files.parsed_mails(mail_texts(spark, sf_dir)), address_owners(spark, sf_dir))
+
+
+def _attributes(spark, sf_dir: str) -> DataFrame:
+    """entity, attributes_json: what is known of each account; the age is missing from some."""
+    own = transfers(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
+    age = F.when(F.col("entity") % 13 != 0, (F.col("entity") % 90).cast("string"))
+    return own.select("entity", F.to_json(F.struct(age.alias("account_age_days"), F.lit("SAVINGS").alias("kind"))).alias("attributes_json"))
+
+
 def _frame(spark, sf_dir: str) -> DataFrame:
-    age = transfers(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("entity")).distinct()
-    age = age.select("entity", (F.col("entity") % 90).alias("account_age_days"))
-    return features.feature_frame(transfers(spark, sf_dir), device_events(spark, sf_dir), overrides=age)
+    t = cut(transfers(spark, sf_dir))
+    extra = [features.call_flags(_calls(spark, sf_dir)), _spoofed(spark, sf_dir), features.centrality(t), features.account_ages(_attributes(spark, sf_dir))]
+    return features.feature_frame(t, device_events(spark, sf_dir), extra=extra)
 
 
 def _rules() -> dict:
-    from caseweave.config import rules_with
-
     return rules_with(LOW)
 
 
@@ -47,7 +66,7 @@ def pass_through_window(spark, sf_dir):
 
 
 def layering(spark, sf_dir):
-    return windows.layering_chains(transfers(spark, sf_dir), max_hops=4)
+    return windows.layering_chains(transfers(spark, sf_dir))
 
 
 def sim_switch(spark, sf_dir):
@@ -71,19 +90,36 @@ def cash_out(spark, sf_dir):
 
 
 def call_then_transfer(spark, sf_dir):
-    calls = events(spark, sf_dir).filter("event_type = 'CALL' and dst is not null")
-    owners = transfers(spark, sf_dir).select(F.col("src").alias("phone"), F.col("src").alias("account")).distinct()
-    return windows.call_then_transfer(calls, transfers(spark, sf_dir), owners)
+    return _calls(spark, sf_dir)
+
+
+def call_then_transfer_flags(spark, sf_dir):
+    return features.call_flags(_calls(spark, sf_dir))
+
+
+def spoofed_header_flags(spark, sf_dir):
+    return _spoofed(spark, sf_dir)
+
+
+def account_ages(spark, sf_dir):
+    return features.account_ages(_attributes(spark, sf_dir))
 
 
 def feature_frame(spark, sf_dir):
     return plain(_frame(spark, sf_dir)).select(
-        "entity", "in_amount", "out_amount", "turnover", "passthrough_ratio", "fan_in_count", "fan_out_count", "layering_depth", "sim_switch_count", "device_share_count", "account_age_days", "odd_hour_txn_count", "has_cash_out", "unique_counterparties"
+        "entity", "in_amount", "out_amount", "turnover", "passthrough_ratio", "fan_in_count", "fan_out_count", "layering_depth", "sim_switch_count", "device_share_count", "account_age_days", "odd_hour_txn_count", "has_cash_out", "has_spoofed_header", "has_call_then_transfer", "betweenness_centrality", "unique_counterparties"
     )
 
 
+def feature_json(spark, sf_dir):
+    """The counts of the feature frame as one JSON object an account."""
+    f = _frame(spark, sf_dir).select("entity", "fan_in_count", "fan_out_count", "layering_depth", "account_age_days", "has_cash_out", "has_spoofed_header", "has_call_then_transfer")
+    return features.as_json(f)
+
+
 def risk_scores(spark, sf_dir):
-    return rules.ranked(rules.scored(_frame(spark, sf_dir), _rules())).select("entity", "score", "band", "rules_fired", "rank_in_case")
+    scored = rules.ranked(rules.scored(_frame(spark, sf_dir), _rules()))
+    return scored.select("entity", "score", "band", "rules_fired", "rank_in_case", F.lit(rules_hash(_rules())).alias("weights_hash"))
 
 
 def risk_scores_unbanded(spark, sf_dir):
@@ -91,7 +127,7 @@ def risk_scores_unbanded(spark, sf_dir):
 
 
 def risk_reasons(spark, sf_dir):
-    return rules.reasons(_frame(spark, sf_dir), _rules()).select("entity", "rule_code", "triggered", "raw_value", "threshold", "points", "display_order")
+    return rules.reasons(_frame(spark, sf_dir), _rules()).select("entity", "rule_code", "triggered", "raw_value", "threshold", "points", "text", "display_order")
 
 
 def top_reasons(spark, sf_dir):
@@ -110,6 +146,29 @@ def composite_scores(spark, sf_dir):
     return rules.composite(_frame(spark, sf_dir)).select("entity", "composite", "composite_band")
 
 
+#: bc (node, betweenness) of the graph of tr: shortest paths level by level from every node, then back.
+_LEVELS = 6
+BETWEENNESS = (
+    "be AS MATERIALIZED (SELECT DISTINCT src, dst FROM tr), bn AS (SELECT src AS node FROM be UNION SELECT dst FROM be), v0 AS (SELECT node AS pv, node, 1.0::DOUBLE AS sigma FROM bn), s0 AS (SELECT pv, node FROM v0)"
+    + "".join(
+        f""",
+v{k} AS MATERIALIZED (SELECT l.pv, e.dst AS node, sum(l.sigma) AS sigma FROM v{k - 1} l JOIN be e ON e.src = l.node
+  WHERE (l.pv, e.dst) NOT IN (FROM s{k - 1}) GROUP BY ALL),
+s{k} AS MATERIALIZED (FROM s{k - 1} UNION ALL SELECT pv, node FROM v{k})"""
+        for k in range(1, _LEVELS + 1)
+    )
+    + f", d{_LEVELS} AS (SELECT *, 0.0::DOUBLE AS delta FROM v{_LEVELS})"
+    + "".join(
+        f""",
+d{k} AS MATERIALIZED (SELECT v.pv, v.node, v.sigma, coalesce(sum(v.sigma / d.sigma * (1 + d.delta)), 0) AS delta
+  FROM v{k} v LEFT JOIN (SELECT e.src, x.* FROM d{k + 1} x JOIN be e ON e.dst = x.node) d ON d.pv = v.pv AND d.src = v.node GROUP BY ALL)"""
+        for k in range(_LEVELS - 1, 0, -1)
+    )
+    + ", bc AS (SELECT n.node, coalesce(sum(delta), 0) / greatest(1, ((SELECT count(*) FROM bn) - 1) * ((SELECT count(*) FROM bn) - 2)) AS betweenness FROM bn n LEFT JOIN ("
+    + " UNION ALL ".join(f"SELECT node, delta FROM d{k}" for k in range(1, _LEVELS + 1))
+    + ") t ON t.node = n.node GROUP BY n.node)"
+)
+
 _FRAME = (
     "WITH "
     + EVENTS_SQL
@@ -136,12 +195,15 @@ fout AS (
     SELECT a.event_id, a.src, count(DISTINCT b.dst) AS n FROM tr a JOIN tr b ON a.src = b.src AND b.ts BETWEEN a.ts - INTERVAL '2 hours' AND a.ts
     GROUP BY a.event_id, a.src) GROUP BY src),
 h1 AS (SELECT src AS account, dst, ts AS t0, ts AS t FROM tr),
-h2 AS (SELECT h.account, r.dst, h.t0, min(r.ts) AS t FROM h1 h JOIN tr r ON h.dst = r.src AND r.ts > h.t AND r.ts <= h.t0 + INTERVAL '30 minutes' GROUP BY ALL),
-h3 AS (SELECT h.account, r.dst, h.t0, min(r.ts) AS t FROM h2 h JOIN tr r ON h.dst = r.src AND r.ts > h.t AND r.ts <= h.t0 + INTERVAL '30 minutes' GROUP BY ALL),
-h4 AS (SELECT h.account, r.dst, h.t0, min(r.ts) AS t FROM h3 h JOIN tr r ON h.dst = r.src AND r.ts > h.t AND r.ts <= h.t0 + INTERVAL '30 minutes' GROUP BY ALL),
-lay AS (
+"""
+    + "".join(
+        f"h{k} AS (SELECT h.account, r.dst, h.t0, min(r.ts) AS t FROM h{k - 1} h JOIN tr r ON h.dst = r.src AND r.ts > h.t AND r.ts <= h.t0 + INTERVAL '30 minutes' GROUP BY ALL),\n"
+        for k in range(2, 7)
+    )
+    + """lay AS (
   SELECT account, max(depth)::BIGINT AS depth FROM (
-    SELECT account, 1 AS depth FROM h1 UNION ALL SELECT account, 2 FROM h2 UNION ALL SELECT account, 3 FROM h3 UNION ALL SELECT account, 4 FROM h4) GROUP BY account),
+    SELECT account, 1 AS depth FROM h1 UNION ALL SELECT account, 2 FROM h2 UNION ALL SELECT account, 3 FROM h3 UNION ALL SELECT account, 4 FROM h4
+    UNION ALL SELECT account, 5 FROM h5 UNION ALL SELECT account, 6 FROM h6) GROUP BY account),
 share AS (
   SELECT d.phone AS entity, max(n) AS device_share_count FROM (SELECT DISTINCT phone, imei FROM dev) d
   JOIN (SELECT imei, count(DISTINCT phone) AS n FROM dev GROUP BY imei) USING (imei) GROUP BY d.phone),
@@ -150,11 +212,29 @@ sims AS (
     SELECT a.event_id, a.imei, count(DISTINCT b.imsi) AS n FROM dev a JOIN dev b ON a.imei = b.imei AND b.ts BETWEEN a.ts - INTERVAL '7 days' AND a.ts
     GROUP BY a.event_id, a.imei) GROUP BY imei),
 sim AS (SELECT d.phone AS entity, max(most) AS sim_switch_count FROM (SELECT DISTINCT phone, imei FROM dev) d JOIN sims USING (imei) GROUP BY d.phone),
+calls AS (SELECT * FROM ev WHERE event_type = 'CALL' AND dst IS NOT NULL),
+firsts AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, min(ts) AS t FROM calls GROUP BY ALL),
+fresh AS (SELECT c.* FROM calls c JOIN firsts f ON f.x = least(c.src, c.dst) AND f.y = greatest(c.src, c.dst) AND f.t = c.ts),
+ctt AS (
+  SELECT d.src AS victim, c.event_id AS call_id, d.event_id AS transfer_id FROM fresh c JOIN tr d ON d.src = c.dst WHERE d.ts >= c.ts AND d.ts < c.ts + INTERVAL '15 minutes'),
+spoof AS (
+  SELECT DISTINCT entity, 1 AS has_spoofed_header FROM (SELECT s AS entity FROM ml WHERE other OR spf OR dkim UNION SELECT r FROM ml WHERE other OR spf OR dkim)
+  WHERE entity IN (SELECT entity FROM flow)),
+pass AS (
+  SELECT account, sum(credit)::DOUBLE AS credited, sum(least(credit, debited))::DOUBLE AS forwarded,
+         round(sum(least(credit, debited))::DOUBLE / sum(credit)::DOUBLE, 4) AS ratio
+  FROM (SELECT c.dst AS account, c.event_id, any_value(c.amount) AS credit, coalesce(sum(d.amount), 0) AS debited
+        FROM tr c LEFT JOIN tr d ON d.src = c.dst AND d.ts BETWEEN c.ts AND c.ts + INTERVAL '60 minutes' GROUP BY c.dst, c.event_id) GROUP BY account),
+"""
+    + BETWEENNESS
+    + """,
 frame AS (
-  SELECT f.entity, in_amount, out_amount, turnover, passthrough_ratio, coalesce(fin.most, 0) AS fan_in_count, coalesce(fout.most, 0) AS fan_out_count,
+  SELECT f.entity, in_amount, out_amount, turnover, coalesce(pass.ratio, 0.0::DOUBLE) AS passthrough_ratio, coalesce(fin.most, 0) AS fan_in_count, coalesce(fout.most, 0) AS fan_out_count,
          coalesce(lay.depth, 0) AS layering_depth, coalesce(sim_switch_count, 0) AS sim_switch_count, coalesce(device_share_count, 0) AS device_share_count,
-         f.entity % 90 AS account_age_days, odd_hour_txn_count, has_cash_out, unique_counterparties
-  FROM flowed f LEFT JOIN odd USING (entity) LEFT JOIN cash USING (entity) LEFT JOIN fin USING (entity) LEFT JOIN fout USING (entity)
+         CASE WHEN f.entity % 13 <> 0 THEN (f.entity % 90)::INT ELSE 365 END AS account_age_days, odd_hour_txn_count, has_cash_out,
+         coalesce(has_spoofed_header, 0) AS has_spoofed_header, CASE WHEN f.entity IN (SELECT victim FROM ctt) THEN 1 ELSE 0 END AS has_call_then_transfer,
+         coalesce(round(bc.betweenness, 8), 0.0::DOUBLE) AS betweenness_centrality, unique_counterparties
+  FROM flowed f LEFT JOIN pass ON pass.account = f.entity LEFT JOIN spoof USING (entity) LEFT JOIN bc ON bc.node = f.entity LEFT JOIN odd USING (entity) LEFT JOIN cash USING (entity) LEFT JOIN fin USING (entity) LEFT JOIN fout USING (entity)
   LEFT JOIN lay ON lay.account = f.entity LEFT JOIN share USING (entity) LEFT JOIN sim USING (entity)),
 ruled AS (
   SELECT entity, unnest([
@@ -166,12 +246,15 @@ ruled AS (
     {'c': 'R06', 'v': device_share_count::DOUBLE, 't': 3.0::DOUBLE, 'f': device_share_count >= 3, 'w': 8.0::DOUBLE, 'o': 6},
     {'c': 'R07', 'v': turnover::DOUBLE, 't': 5000.0::DOUBLE, 'f': account_age_days < 30 AND turnover > 5000, 'w': 10.0::DOUBLE, 'o': 7},
     {'c': 'R08', 'v': has_cash_out::DOUBLE, 't': 1.0::DOUBLE, 'f': has_cash_out >= 1, 'w': 14.0::DOUBLE, 'o': 8},
-    {'c': 'R09', 'v': 0.0::DOUBLE, 't': 1.0::DOUBLE, 'f': false, 'w': 8.0::DOUBLE, 'o': 9},
+    {'c': 'R09', 'v': has_spoofed_header::DOUBLE, 't': 1.0::DOUBLE, 'f': has_spoofed_header >= 1, 'w': 8.0::DOUBLE, 'o': 9},
     {'c': 'R10', 'v': odd_hour_txn_count::DOUBLE, 't': 5.0::DOUBLE, 'f': odd_hour_txn_count >= 5, 'w': 5.0::DOUBLE, 'o': 10},
-    {'c': 'R11', 'v': 0.0::DOUBLE, 't': 1.0::DOUBLE, 'f': false, 'w': 12.0::DOUBLE, 'o': 11},
-    {'c': 'R12', 'v': 0.0::DOUBLE, 't': 0.05::DOUBLE, 'f': false, 'w': 10.0::DOUBLE, 'o': 12}]) AS r FROM frame),
+    {'c': 'R11', 'v': has_call_then_transfer::DOUBLE, 't': 1.0::DOUBLE, 'f': has_call_then_transfer >= 1, 'w': 12.0::DOUBLE, 'o': 11},
+    {'c': 'R12', 'v': betweenness_centrality::DOUBLE, 't': 0.05::DOUBLE, 'f': betweenness_centrality >= 0.05, 'w': 10.0::DOUBLE, 'o': 12}]) AS r FROM frame),
 reason AS (
-  SELECT entity, r.c AS rule_code, r.f::INT AS triggered, round(r.v, 4) AS raw_value, r.t AS threshold, CASE WHEN r.f THEN r.w ELSE 0.0::DOUBLE END AS points, r.o AS display_order FROM ruled),
+  SELECT entity, r.c AS rule_code, r.f::INT AS triggered, round(r.v, 4) AS raw_value, r.t AS threshold, CASE WHEN r.f THEN r.w ELSE 0.0::DOUBLE END AS points,
+         replace(CASE r.c """
+    + " ".join(f"WHEN '{c}' THEN CASE WHEN r.f THEN '{yes}' ELSE '{no}' END" for c, (_, _, yes, no) in rules.MEASURES.items())
+    + """ END, '%s', regexp_replace(round(r.v, 4)::DECIMAL(38,4)::VARCHAR, '\\.?0+$', '')) AS text, r.o AS display_order FROM ruled),
 scored AS (
   SELECT entity, round(least(100.0::DOUBLE, sum(points)), 2) AS score, coalesce(string_agg(rule_code, ',' ORDER BY rule_code) FILTER (triggered = 1), '') AS rules_fired
   FROM reason GROUP BY entity),
@@ -183,7 +266,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fund_flow_pairs, node_flow, fan_in, fan_out, pass_through_window, layering, sim_switch, device_share, odd_hours_ist, odd_hours_utc, cash_out,
-        call_then_transfer, feature_frame, risk_scores, risk_scores_unbanded, risk_reasons, top_reasons, band_counts, score_histogram, composite_scores,
+        call_then_transfer, call_then_transfer_flags, spoofed_header_flags, account_ages, feature_frame, feature_json, risk_scores, risk_scores_unbanded, risk_reasons, top_reasons, band_counts, score_histogram, composite_scores,
     )
 }
 
@@ -192,28 +275,24 @@ SQL = {
     "node_flow": _FRAME + "SELECT * REPLACE (in_amount::DOUBLE AS in_amount, out_amount::DOUBLE AS out_amount) FROM flowed",
     "fan_in": _FRAME + "SELECT * FROM fin",
     "fan_out": _FRAME + "SELECT * FROM fout",
-    "pass_through_window": _FRAME
-    + """, hit AS (
-  SELECT c.dst AS account, c.event_id, any_value(c.amount) AS credit, coalesce(sum(d.amount), 0) AS debited
-  FROM tr c LEFT JOIN tr d ON d.src = c.dst AND d.ts BETWEEN c.ts AND c.ts + INTERVAL '60 minutes' GROUP BY c.dst, c.event_id)
-SELECT account, sum(credit)::DOUBLE AS credited, sum(least(credit, debited))::DOUBLE AS forwarded,
-       round(sum(least(credit, debited))::DOUBLE / sum(credit)::DOUBLE, 4) AS ratio FROM hit GROUP BY account""",
+    "pass_through_window": _FRAME + "SELECT * FROM pass",
     "layering": _FRAME + "SELECT * FROM lay",
     "sim_switch": _FRAME + "SELECT * FROM sim",
     "device_share": _FRAME + "SELECT * FROM share",
     "odd_hours_ist": _FRAME + "SELECT entity, odd_hour_txn_count FROM odd",
     "odd_hours_utc": _FRAME + "SELECT entity, odd_utc AS odd_hour_txn_count FROM odd",
     "cash_out": _FRAME + "SELECT * FROM cash",
-    "call_then_transfer": _FRAME
-    + """, calls AS (SELECT * FROM ev WHERE event_type = 'CALL' AND dst IS NOT NULL),
-firsts AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, min(ts) AS t FROM calls GROUP BY ALL),
-fresh AS (SELECT c.* FROM calls c JOIN firsts f ON f.x = least(c.src, c.dst) AND f.y = greatest(c.src, c.dst) AND f.t = c.ts)
-SELECT d.src AS victim, c.event_id AS call_id, d.event_id AS transfer_id FROM fresh c JOIN tr d ON d.src = c.dst
-WHERE d.ts >= c.ts AND d.ts < c.ts + INTERVAL '15 minutes'""",
+    "call_then_transfer": _FRAME + "SELECT * FROM ctt",
+    "call_then_transfer_flags": _FRAME + "SELECT DISTINCT victim AS entity, 1 AS has_call_then_transfer FROM ctt",
+    "spoofed_header_flags": _FRAME + "SELECT * FROM spoof",
+    "account_ages": _FRAME + "SELECT entity, CASE WHEN entity % 13 <> 0 THEN (entity % 90)::INT END AS account_age_days FROM flow",
+    "feature_json": _FRAME
+    + """SELECT entity, '{"account_age_days":' || account_age_days || ',"fan_in_count":' || fan_in_count || ',"fan_out_count":' || fan_out_count || ',"has_call_then_transfer":' || has_call_then_transfer
+  || ',"has_cash_out":' || has_cash_out || ',"has_spoofed_header":' || has_spoofed_header || ',"layering_depth":' || layering_depth || '}' AS features_json FROM frame""",
     "feature_frame": _FRAME + "SELECT * REPLACE (in_amount::DOUBLE AS in_amount, out_amount::DOUBLE AS out_amount) FROM frame",
     "risk_scores": _FRAME
     + """SELECT entity, score, band, rules_fired,
-  row_number() OVER (ORDER BY CASE band WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, score DESC, entity) AS rank_in_case FROM banded""",
+  row_number() OVER (ORDER BY CASE band WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, score DESC, entity) AS rank_in_case, '""" + rules_hash(_rules()) + """' AS weights_hash FROM banded""",
     "risk_scores_unbanded": _FRAME + "SELECT entity, score, row_number() OVER (ORDER BY score DESC, entity) AS rank_in_case FROM banded",
     "risk_reasons": _FRAME + "SELECT * FROM reason",
     "top_reasons": _FRAME
@@ -222,7 +301,7 @@ WHERE d.ts >= c.ts AND d.ts < c.ts + INTERVAL '15 minutes'""",
     "score_histogram": _FRAME + "SELECT least(floor(score / 10), 9)::BIGINT AS bin, count(*) AS accounts FROM banded GROUP BY 1",
     "composite_scores": _FRAME
     + """, comp AS (
-  SELECT entity, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, passthrough_ratio * 40.0::DOUBLE + layering_depth * 10.0::DOUBLE + fan_in_count * 1.5::DOUBLE + fan_out_count * 1.5::DOUBLE + sim_switch_count * 3.0::DOUBLE)), 2) AS composite FROM frame)
+  SELECT entity, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, passthrough_ratio * 40.0::DOUBLE + layering_depth * 10.0::DOUBLE + fan_in_count * 1.5::DOUBLE + fan_out_count * 1.5::DOUBLE + sim_switch_count * 3.0::DOUBLE + betweenness_centrality * 10.0::DOUBLE)), 2) AS composite FROM frame)
 SELECT *, CASE WHEN composite > 79 THEN 'CRITICAL' WHEN composite > 59 THEN 'HIGH' WHEN composite > 29 THEN 'MEDIUM' ELSE 'LOW' END AS composite_band FROM comp""",
 }
 

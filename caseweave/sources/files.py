@@ -99,8 +99,16 @@ def workbooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def mails(spark: SparkSession, path: str) -> DataFrame:
-    """path, sender, return_path, subject, sent, spf, dkim, dmarc, hops, spoofed of each mail file."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    """parsed_mails of each mail file under a path."""
+    return parsed_mails(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_mails(raw: DataFrame) -> DataFrame:
+    """(path, value) -> path, sender, recipient, return_path, subject, sent, spf, dkim, dmarc, hops, lookalike, spoofed.
+
+    A header is forged if SPF or DKIM failed or the bounces go to another domain than the sender's; lookalike says that
+    this other domain differs in one or two characters only.
+    """
     head = F.regexp_replace(F.split("value", r"\r?\n\r?\n", 2)[0], r"\r?\n[ \t]+", " ")
     field = lambda n: F.nullif(F.trim(F.regexp_extract(F.col("head"), rf"(?im)^{n}:\s*(.*)$", 1)), F.lit(""))
     address = lambda c: F.lower(F.regexp_extract(c, r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", 1))
@@ -108,6 +116,7 @@ def mails(spark: SparkSession, path: str) -> DataFrame:
     out = raw.withColumn("head", head).select(
         "path",
         address(field("From")).alias("sender"),
+        address(field("To")).alias("recipient"),
         address(field("Return-Path")).alias("return_path"),
         field("Subject").alias("subject"),
         field("Date").alias("sent"),
@@ -117,9 +126,10 @@ def mails(spark: SparkSession, path: str) -> DataFrame:
         F.size(F.regexp_extract_all("head", F.lit("(?im)^Received:"), F.lit(0))).alias("hops"),
     )
     domain = lambda c: F.substring_index(c, "@", -1)
-    other = (F.col("return_path") != "") & (domain(F.col("sender")) != domain(F.col("return_path")))
-    spoofed = F.coalesce(F.col("spf") == "fail", F.lit(False)) | F.coalesce(F.col("dkim") == "fail", F.lit(False)) | F.coalesce(other, F.lit(False))
-    return out.withColumn("spoofed", spoofed)
+    sender, back = domain(F.col("sender")), domain(F.col("return_path"))
+    other = F.coalesce((F.col("return_path") != "") & (sender != back), F.lit(False))
+    spoofed = F.coalesce(F.col("spf") == "fail", F.lit(False)) | F.coalesce(F.col("dkim") == "fail", F.lit(False)) | other
+    return out.withColumn("lookalike", other & (F.levenshtein(sender, back) <= 2)).withColumn("spoofed", spoofed)
 
 
 PHONE_DUMP = """
