@@ -35,6 +35,7 @@ CONFIDENCE = {
     "SHARED_IP_SUBNET": 0.45,
     "TEMPORAL_PROXIMITY": 0.35,
     "SHARED_EMAIL_DOMAIN": 0.40,
+    "SHARED_DEVICE": None,
 }
 ACTIVE_CONFIDENCE = 0.75
 
@@ -83,6 +84,7 @@ FORMATS: dict[str, dict] = {
         "dates": ["dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy HH:mm:ss"],
         "required": ["txn_time", "debit_account", "credit_account", "amount"],
     },
+    # Not a fixed value: this kind had no format of its own.
     "IPDR": {
         "detect": ["ip address", "mac address", "data uploaded kb", "data downloaded kb", "destination ip"],
         "columns": {

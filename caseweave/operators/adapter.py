@@ -40,6 +40,20 @@ def device_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("event_id", "ts", F.col("src").alias("phone"), F.col("dst").alias("imei"), ((F.col("event_id") + F.col("src")) % 40).alias("imsi"))
 
 
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, ts, phone, mac, ip of data sessions."""
+    rows = events(spark, sf_dir).filter("event_type = 'LOGIN' and dst is not null")
+    mac = F.concat(F.lit("AA-BB-CC-00-"), F.lpad((F.col("dst") % 100).cast("string"), 2, "0"), F.lit("-0F"))
+    ip = F.concat(F.lit("10."), (F.col("dst") % 7).cast("string"), F.lit("."), (F.col("src") % 25).cast("string"), F.lit("."), (F.col("event_id") % 250).cast("string"))
+    return rows.select("event_id", "ts", F.col("src").alias("phone"), mac.alias("mac"), ip.alias("ip"))
+
+
+def installed_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ts, phone, android_id, certificate_sha256: the apps on the handset of each call."""
+    cert = F.sha2(F.concat(F.lit("cert-"), (F.col("imei") % 37).cast("string")), 256)
+    return device_events(spark, sf_dir).select("ts", "phone", F.concat(F.lit("android-"), (F.col("imei") % 53).cast("string")).alias("android_id"), cert.alias("certificate_sha256"))
+
+
 def mail_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, value: a mail for each document, from one account's address to another's; some headers are forged."""
     n = F.col("doc_id")

@@ -58,7 +58,7 @@ def shared_classes(uses: DataFrame, entity: str, attribute: str, link_type: str,
     own = uses.filter(F.col(entity).isNotNull() & F.col(attribute).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(attribute).alias("value"))
     own = own.agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
     size = own.groupBy("value").agg(F.count("*").alias("users"), F.min("entity").alias("smallest")).filter(F.col("users") >= least)
-    confidence = F.lit(CONFIDENCE[link_type])
+    confidence = F.lit(CONFIDENCE[link_type]).cast("double")
     if link_type == "RECURRING_BENEFICIARY":
         confidence = F.least(F.lit(0.95), confidence + F.lit(0.02) * F.col("users"))
     found = own.join(size, "value").withColumn("confidence", confidence).withColumn("link_type", F.lit(link_type))
@@ -91,6 +91,19 @@ def surfaced_classes(links: DataFrame, classes: DataFrame, dismissed: DataFrame
     return kept.unionByName(as_stars(strong))
 
 
+def support_events(transfers: DataFrame) -> DataFrame:
+    """a, b, event_id, ts, amount: the transfers behind each link of fund_flow, a row each."""
+    return transfers.select(F.col("src").alias("a"), F.col("dst").alias("b"), "event_id", "ts", "amount")
+
+
+def accuracy(statuses: DataFrame) -> DataFrame:
+    """One row of compared(): matched, missed, false_links, recall, precision, false_rate."""
+    one = statuses.agg(*[F.count_if(F.col("status") == x).alias(n) for n, x in (("matched", "MATCHED"), ("missed", "MISSED"), ("false_links", "FALSE"))])
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
+    m, lost, wrong = F.col("matched"), F.col("missed"), F.col("false_links")
+    return one.select("matched", "missed", "false_links", share(m, m + lost).alias("recall"), share(m, m + wrong).alias("precision"), share(wrong, m + wrong).alias("false_rate"))
+
+
 def fund_flow(transfers: DataFrame) -> DataFrame:
     """Directed: source, destination, number of transfers, total, first and last time."""
     pairs = transfers.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(

@@ -1,213 +1,226 @@
-"""Queries that link entities."""
+"""Queries that link entities.
+
+A value that n entities share links n * (n - 1) / 2 pairs; it is shown as n rows from its smallest entity (a star), so
+every link is there at any n and rows grow as the uses do.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.functions import normalize
 from caseweave.operators import links, windows
-from caseweave.operators.adapter import EVENTS_SQL, device_events, table, transfers
+from caseweave.operators.adapter import EVENTS_SQL, device_events, installed_apps, sessions, table, transfers
 from caseweave.plans._plain import plain
 
 HUB = 40
 
 
-def _shown(df: DataFrame) -> DataFrame:
-    return plain(df).select("a", "b", "link_type", F.round("confidence", 4).alias("confidence"), "support")
+def _identifiers(spark, sf_dir, kind: str) -> DataFrame:
+    found = normalize.text_identifiers(table(spark, sf_dir, "documents")).filter(F.col("kind") == kind)
+    return found.select("doc_id", "raw", F.lit(None).cast("timestamp").alias("ts"))
 
 
-def shared_imei(spark, sf_dir):
-    return _shown(links.shared_attribute(device_events(spark, sf_dir), "phone", "imei", "SHARED_IMEI", hub=HUB))
+#: link type -> (uses, entity, attribute), least users, and DuckDB's rows (e, v) of uses
+SHARED: dict[str, tuple[Callable, str, str, int, str]] = {
+    "SHARED_IMEI": (device_events, "phone", "imei", 2, "SELECT phone AS e, imei AS v FROM dev"),
+    "SHARED_IMSI": (device_events, "phone", "imsi", 2, "SELECT phone AS e, imsi AS v FROM dev"),
+    "RECURRING_BENEFICIARY": (lambda spark, sf: transfers(spark, sf).filter("event_type <> 'ATM_WITHDRAWAL'"), "src", "dst", 3, "SELECT src AS e, dst AS v FROM tr WHERE event_type <> 'ATM_WITHDRAWAL'"),
+    "SHARED_MAC": (
+        lambda spark, sf: sessions(spark, sf).withColumn("net", normalize.mac(F.col("mac"))),
+        "phone",
+        "net",
+        2,
+        "SELECT src AS e, 'aa:bb:cc:00:' || lpad((dst % 100)::VARCHAR, 2, '0') || ':0f' AS v FROM ev WHERE event_type = 'LOGIN' AND dst IS NOT NULL",
+    ),
+    "SHARED_APK_CERT": (installed_apps, "phone", "certificate_sha256", 2, "SELECT phone AS e, sha256('cert-' || (imei % 37)) AS v FROM dev"),
+    "SHARED_DEVICE": (installed_apps, "phone", "android_id", 2, "SELECT phone AS e, 'android-' || (imei % 53) AS v FROM dev"),
+    "SHARED_EMAIL_DOMAIN": (
+        lambda spark, sf: _identifiers(spark, sf, "EMAIL").withColumn("domain", normalize.email_domain(F.col("raw"))),
+        "doc_id",
+        "domain",
+        2,
+        r"SELECT doc_id AS e, lower(split_part(m, '@', 2)) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS m FROM documents)",
+    ),
+    "SHARED_IP_SUBNET": (
+        lambda spark, sf: sessions(spark, sf).withColumn("net", normalize.ip_prefix(F.col("ip"))),
+        "phone",
+        "net",
+        2,
+        "SELECT src AS e, '10.' || (dst % 7) || '.' || (src % 25) || '.0/24' AS v FROM ev WHERE event_type = 'LOGIN' AND dst IS NOT NULL",
+    ),
+}
+#: Link types between accounts, which the merged queries show.
+ACCOUNTS = ["SHARED_IMEI", "SHARED_IMSI", "RECURRING_BENEFICIARY", "SHARED_MAC", "SHARED_APK_CERT", "SHARED_DEVICE", "SHARED_IP_SUBNET"]
 
 
-def shared_imei_hubs(spark, sf_dir):
-    return links.hub_stars(device_events(spark, sf_dir), "phone", "imei", hub=HUB)
+def _classes(spark, sf_dir, kind: str) -> DataFrame:
+    """Membership rows of one link type over all of its rows."""
+    uses, entity, attribute, least, _ = SHARED[kind]
+    return links.shared_classes(uses(spark, sf_dir), entity, attribute, kind, least=least)
 
 
-def shared_imsi(spark, sf_dir):
-    return _shown(links.shared_attribute(device_events(spark, sf_dir).filter("imei < 50"), "phone", "imsi", "SHARED_IMSI"))
+def _rows(classes: DataFrame) -> DataFrame:
+    return classes.select("link_type", "value", "entity", "users", "smallest", F.round("confidence", 4).alias("confidence"))
 
 
-def _beneficiary(spark, sf_dir) -> DataFrame:
-    return links.shared_attribute(transfers(spark, sf_dir).filter("amount > 100 and event_type <> 'ATM_WITHDRAWAL'"), "src", "dst", "RECURRING_BENEFICIARY", least=3)
+def _starred(df: DataFrame) -> DataFrame:
+    return df.select("a", "b", "link_type", "value", F.round("confidence", 4).alias("confidence"), "support")
 
 
-def recurring_beneficiary(spark, sf_dir):
-    return _shown(_beneficiary(spark, sf_dir))
+def _star_query(kind: str):
+    def query(spark, sf_dir):
+        return _starred(links.as_stars(_classes(spark, sf_dir, kind)))
 
+    return query
 
-def _identifiers(spark, sf_dir, kind: str) -> DataFrame:
-    found = normalize.text_identifiers(table(spark, sf_dir, "documents")).filter(F.col("kind") == kind)
-    return found.select("doc_id", "raw", F.lit(None).cast("timestamp").alias("ts"))
 
+def _class_query(kind: str):
+    def query(spark, sf_dir):
+        return _rows(_classes(spark, sf_dir, kind))
 
-def shared_email_domain(spark, sf_dir):
-    uses = _identifiers(spark, sf_dir, "EMAIL").withColumn("domain", normalize.email_domain(F.col("raw")))
-    return _shown(links.shared_attribute(uses, "doc_id", "domain", "SHARED_EMAIL_DOMAIN", hub=200))
+    return query
 
 
-def shared_ip_subnet(spark, sf_dir):
-    uses = _identifiers(spark, sf_dir, "IP").withColumn("net", normalize.ip_prefix(F.col("raw")))
-    return _shown(links.shared_attribute(uses, "doc_id", "net", "SHARED_IP_SUBNET", hub=200))
+def shared_imei_hubs(spark, sf_dir):
+    return links.hub_stars(device_events(spark, sf_dir), "phone", "imei", hub=HUB)
 
 
 def time_proximity(spark, sf_dir):
-    return windows.time_proximity(transfers(spark, sf_dir).filter("event_type = 'TRANSFER'"), "src", "ts", 60)
-
-
-def _all(spark, sf_dir) -> DataFrame:
-    uses = device_events(spark, sf_dir)
-    weak = windows.time_proximity(transfers(spark, sf_dir).filter("event_type = 'TRANSFER'"), "src", "ts", 60).select("a", "b", F.col("n").alias("support"))
-    parts = [
-        links.shared_attribute(uses.filter("imei < 20"), "phone", "imei", "SHARED_IMEI", hub=HUB),
-        _beneficiary(spark, sf_dir),
-        links.fund_flow(transfers(spark, sf_dir).filter("amount > 100")),
-        links._linked(weak, "TEMPORAL_PROXIMITY"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def all_links(spark, sf_dir):
-    return _shown(links.merged(_all(spark, sf_dir)))
-
-
-def surfaced_links(spark, sf_dir):
-    every = links.merged(_all(spark, sf_dir))
-    dismissed = every.filter("link_type = 'SHARED_IMEI' and (a + b) % 11 = 0").select("a", "b", "link_type")
-    return _shown(links.surfaced(every, dismissed))
-
-
-def link_upsert(spark, sf_dir):
-    t = transfers(spark, sf_dir)
-    old, new = links.fund_flow(t.filter("event_id < 5000")), links.fund_flow(t.filter("event_id >= 4000"))
-    return plain(links.upserted(old, new)).select("a", "b", "support", "total_amount", "first_at", "last_at")
+    return windows.time_proximity(transfers(spark, sf_dir), "src", "ts", 60)
 
 
-def link_accuracy(spark, sf_dir):
+def _pairs_and_classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(links that are pairs by nature, classes): what all_links merges, of all rows."""
     t = transfers(spark, sf_dir)
-    found, expected = links.fund_flow(t.filter("event_type <> 'UPI_TXN'")), links.fund_flow(t.filter("event_type <> 'TRANSFER'"))
-    return links.compared(found, expected).groupBy("status").agg(F.count("*").alias("n"))
+    weak = windows.time_proximity(t, "src", "ts", 60).select("a", "b", F.col("n").alias("support"))
+    pairs = links.merged(links.fund_flow(t).unionByName(links._linked(weak, "TEMPORAL_PROXIMITY")))
+    classes = None
+    for kind in ACCOUNTS:
+        own = _classes(spark, sf_dir, kind)
+        classes = own if classes is None else classes.unionByName(own)
+    return pairs, classes
 
 
-def _classes(spark, sf_dir, kind: str) -> DataFrame:
-    """Membership rows of one link type over all of its rows: no hub, no range of values or amounts."""
-    if kind in ("SHARED_IMEI", "SHARED_IMSI"):
-        return links.shared_classes(device_events(spark, sf_dir), "phone", kind[7:].lower(), kind)
-    if kind == "RECURRING_BENEFICIARY":
-        return links.shared_classes(transfers(spark, sf_dir).filter("event_type <> 'ATM_WITHDRAWAL'"), "src", "dst", kind, least=3)
-    if kind == "SHARED_EMAIL_DOMAIN":
-        return links.shared_classes(_identifiers(spark, sf_dir, "EMAIL").withColumn("domain", normalize.email_domain(F.col("raw"))), "doc_id", "domain", kind)
-    return links.shared_classes(_identifiers(spark, sf_dir, "IP").withColumn("net", normalize.ip_prefix(F.col("raw"))), "doc_id", "net", kind)
+def _merged(spark, sf_dir) -> DataFrame:
+    pairs, classes = _pairs_and_classes(spark, sf_dir)
+    return pairs.withColumn("value", F.lit(None).cast("string")).select("a", "b", "link_type", "value", "confidence", "support").unionByName(links.as_stars(classes))
 
 
-def _rows(classes: DataFrame) -> DataFrame:
-    return classes.select("link_type", "value", "entity", "users", "smallest", F.round("confidence", 4).alias("confidence"))
+def all_links(spark, sf_dir):
+    return _starred(_merged(spark, sf_dir))
 
 
-def shared_imei_classes(spark, sf_dir):
-    return _rows(_classes(spark, sf_dir, "SHARED_IMEI"))
+def links_above(spark, sf_dir):
+    """The links of at least the active confidence."""
+    return _starred(_merged(spark, sf_dir).filter(F.col("confidence") >= 0.75))
 
 
-def shared_imsi_classes(spark, sf_dir):
-    return _rows(_classes(spark, sf_dir, "SHARED_IMSI"))
+def surfaced_links(spark, sf_dir):
+    """What is worth showing after an officer dismissed the flows between some accounts."""
+    pairs, classes = _pairs_and_classes(spark, sf_dir)
+    dismissed = pairs.filter("link_type = 'FUND_FLOW' and (a + b) % 11 = 0").select("a", "b", "link_type").distinct()
+    return _starred(links.surfaced_classes(pairs, classes, dismissed))
 
 
-def recurring_beneficiary_classes(spark, sf_dir):
-    return _rows(_classes(spark, sf_dir, "RECURRING_BENEFICIARY"))
+def fund_flow_events(spark, sf_dir):
+    return plain(links.support_events(transfers(spark, sf_dir)))
 
 
-def shared_email_domain_classes(spark, sf_dir):
-    return _rows(_classes(spark, sf_dir, "SHARED_EMAIL_DOMAIN"))
+def link_rationale(spark, sf_dir):
+    """Sentences for the money flows and the beneficiaries' stars."""
+    stars = links.as_stars(_classes(spark, sf_dir, "RECURRING_BENEFICIARY")).select("a", "b", "link_type", "support", F.lit(None).cast("decimal(18,2)").alias("total_amount"))
+    flows = links.fund_flow(transfers(spark, sf_dir)).select("a", "b", "link_type", "support", "total_amount")
+    return links.rationale(flows.unionByName(stars)).select("a", "b", "link_type", "rationale").distinct()
 
 
-def shared_ip_subnet_classes(spark, sf_dir):
-    return _rows(_classes(spark, sf_dir, "SHARED_IP_SUBNET"))
+def link_upsert(spark, sf_dir):
+    t = transfers(spark, sf_dir)
+    old, new = links.fund_flow(t.filter("event_id < 5000")), links.fund_flow(t.filter("event_id >= 4000"))
+    return plain(links.upserted(old, new)).select("a", "b", "support", "total_amount", "first_at", "last_at")
 
 
-def _pairs_and_classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(links that are pairs by nature, classes): what all_links merges, of all rows."""
+def _compared(spark, sf_dir) -> DataFrame:
     t = transfers(spark, sf_dir)
-    weak = windows.time_proximity(t.filter("event_type = 'TRANSFER'"), "src", "ts", 60).select("a", "b", F.col("n").alias("support"))
-    pairs = links.merged(links.fund_flow(t).unionByName(links._linked(weak, "TEMPORAL_PROXIMITY")))
-    return pairs, _classes(spark, sf_dir, "SHARED_IMEI").unionByName(_classes(spark, sf_dir, "RECURRING_BENEFICIARY"))
+    return links.compared(links.fund_flow(t.filter("event_type <> 'UPI_TXN'")), links.fund_flow(t.filter("event_type <> 'TRANSFER'")))
 
 
-def _starred(df: DataFrame) -> DataFrame:
-    return df.select("a", "b", "link_type", "value", F.round("confidence", 4).alias("confidence"), "support")
+def link_accuracy(spark, sf_dir):
+    return _compared(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def all_link_classes(spark, sf_dir):
-    pairs, classes = _pairs_and_classes(spark, sf_dir)
-    return _starred(pairs.withColumn("value", F.lit(None).cast("string")).select("a", "b", "link_type", "value", "confidence", "support").unionByName(links.as_stars(classes)))
+def link_recall(spark, sf_dir):
+    return links.accuracy(_compared(spark, sf_dir))
 
 
-def surfaced_link_classes(spark, sf_dir):
-    pairs, classes = _pairs_and_classes(spark, sf_dir)
-    dismissed = pairs.filter("(a + b) % 11 = 0").select("a", "b", F.lit("SHARED_IMEI").alias("link_type")).distinct()
-    return _starred(links.surfaced_classes(pairs, classes, dismissed))
+def _confidence(kind: str, users: str = "users") -> str:
+    from caseweave.config import CONFIDENCE
 
-
-_BASE = (
-    "WITH "
-    + EVENTS_SQL
-    + r""",
-u1 AS (SELECT DISTINCT phone AS e, imei AS v FROM dev), s1 AS (SELECT v, count(*) AS users FROM u1 GROUP BY v HAVING count(*) BETWEEN 2 AND 40),
-imei AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u1 a JOIN s1 USING (v) JOIN u1 b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
-u1b AS (SELECT * FROM u1 WHERE v < 20), s1b AS (SELECT v, count(*) AS users FROM u1b GROUP BY v HAVING count(*) BETWEEN 2 AND 40),
-imeib AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u1b a JOIN s1b USING (v) JOIN u1b b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
-u2 AS (SELECT DISTINCT phone AS e, imsi AS v FROM dev WHERE imei < 50), s2 AS (SELECT v, count(*) AS users FROM u2 GROUP BY v HAVING count(*) >= 2),
-imsi AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u2 a JOIN s2 USING (v) JOIN u2 b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
-u3 AS (SELECT DISTINCT src AS e, dst AS v FROM tr WHERE amount > 100 AND event_type <> 'ATM_WITHDRAWAL'), s3 AS (SELECT v, count(*) AS users FROM u3 GROUP BY v HAVING count(*) >= 3),
-bene AS (SELECT a.e AS a, b.e AS b, max(users) AS support FROM u3 a JOIN s3 USING (v) JOIN u3 b ON b.v = a.v AND a.e < b.e GROUP BY a.e, b.e),
+    if kind == "RECURRING_BENEFICIARY":
+        return f"round(least(0.95::DOUBLE, 0.8::DOUBLE + 0.02::DOUBLE * {users}), 4)"
+    return "NULL::DOUBLE" if CONFIDENCE[kind] is None else f"{CONFIDENCE[kind]}::DOUBLE"
+
+
+_BASE = "WITH " + EVENTS_SQL + "".join(
+    f""",
+u_{kind} AS (SELECT DISTINCT e, v FROM ({sql}) WHERE e IS NOT NULL AND v IS NOT NULL),
+c_{kind} AS (
+  SELECT '{kind}' AS link_type, v::VARCHAR AS value, e AS entity, users, smallest, {_confidence(kind)} AS confidence
+  FROM u_{kind} JOIN (SELECT v, count(*) AS users, min(e) AS smallest FROM u_{kind} GROUP BY v HAVING count(*) >= {least}) USING (v))"""
+    for kind, (_, _, _, least, sql) in SHARED.items()
+) + """,
 prox AS (
-  SELECT a.src AS a, b.src AS b, count(*) AS n FROM tr a JOIN tr b ON a.dst = b.dst AND a.src < b.src AND b.ts BETWEEN a.ts - INTERVAL '60 minutes' AND a.ts + INTERVAL '60 minutes'
-  WHERE a.event_type = 'TRANSFER' AND b.event_type = 'TRANSFER' GROUP BY a.src, b.src),
-every AS (
-  SELECT a, b, 'SHARED_IMEI' AS link_type, 0.95::DOUBLE AS confidence, support FROM imeib
-  UNION ALL SELECT a, b, 'RECURRING_BENEFICIARY', round(least(0.95::DOUBLE, 0.8::DOUBLE + 0.02::DOUBLE * support), 4), support FROM bene
-  UNION ALL SELECT src, dst, 'FUND_FLOW', 1.0::DOUBLE, count(*) FROM tr WHERE amount > 100 GROUP BY src, dst
-  UNION ALL SELECT a, b, 'TEMPORAL_PROXIMITY', 0.35::DOUBLE, n FROM prox),
-mails AS (SELECT DISTINCT doc_id AS e, lower(split_part(m, '@', 2)) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS m FROM documents)),
-mailn AS (SELECT v, count(*) AS users FROM mails GROUP BY v HAVING count(*) BETWEEN 2 AND 200),
-ips AS (SELECT DISTINCT doc_id AS e, regexp_replace(m, '\.[0-9]+$', '.0/24') AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS m FROM documents)),
-ipn AS (SELECT v, count(*) AS users FROM ips GROUP BY v HAVING count(*) BETWEEN 2 AND 200)
-"""
-)
+  SELECT a.src AS a, b.src AS b, count(*) AS n FROM tr a JOIN tr b ON a.dst = b.dst AND a.src < b.src AND b.ts BETWEEN a.ts - INTERVAL '60 minutes' AND a.ts + INTERVAL '60 minutes' GROUP BY a.src, b.src),
+cls AS (""" + " UNION ALL ".join(f"FROM c_{k}" for k in ACCOUNTS) + """),
+pairs AS (
+  SELECT src AS a, dst AS b, 'FUND_FLOW' AS link_type, NULL::VARCHAR AS value, 1.0::DOUBLE AS confidence, count(*) AS support FROM tr GROUP BY src, dst
+  UNION ALL SELECT a, b, 'TEMPORAL_PROXIMITY', NULL, 0.35::DOUBLE, n FROM prox),
+stars AS (SELECT smallest AS a, entity AS b, link_type, value, confidence, users AS support FROM cls),
+f AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr WHERE event_type <> 'UPI_TXN'),
+e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr WHERE event_type <> 'TRANSFER'),
+cmp AS (SELECT CASE WHEN f.a IS NOT NULL AND e.a IS NOT NULL THEN 'MATCHED' WHEN e.a IS NOT NULL THEN 'MISSED' ELSE 'FALSE' END AS status FROM f FULL JOIN e ON f.a = e.a AND f.b = e.b)
+"""
 
 QUERIES = {
     f.__name__: f
-    for f in (
-        shared_imei, shared_imei_hubs, shared_imsi, recurring_beneficiary, shared_email_domain, shared_ip_subnet, time_proximity, all_links, surfaced_links, link_upsert, link_accuracy,
-        shared_imei_classes, shared_imsi_classes, recurring_beneficiary_classes, shared_email_domain_classes, shared_ip_subnet_classes, all_link_classes, surfaced_link_classes,
-    )
-}
-
+    for f in (shared_imei_hubs, time_proximity, all_links, links_above, surfaced_links, fund_flow_events, link_rationale, link_upsert, link_accuracy, link_recall)
+}
 SQL = {
-    "shared_imei": _BASE + "SELECT a, b, 'SHARED_IMEI' AS link_type, 0.95::DOUBLE AS confidence, support FROM imei",
-    "shared_imei_hubs": _BASE + "SELECT v AS value, e AS entity, users FROM u1 JOIN (SELECT v, count(*) AS users FROM u1 GROUP BY v HAVING count(*) > 40) USING (v)",
-    "shared_imsi": _BASE + "SELECT a, b, 'SHARED_IMSI' AS link_type, 0.95::DOUBLE AS confidence, support FROM imsi",
-    "recurring_beneficiary": _BASE + "SELECT * FROM every WHERE link_type = 'RECURRING_BENEFICIARY'",
-    "shared_email_domain": _BASE
-    + "SELECT a.e AS a, b.e AS b, 'SHARED_EMAIL_DOMAIN' AS link_type, 0.4::DOUBLE AS confidence, max(users) AS support FROM mails a JOIN mailn USING (v) JOIN mails b ON a.v = b.v AND a.e < b.e GROUP BY a.e, b.e",
-    "shared_ip_subnet": _BASE
-    + "SELECT a.e AS a, b.e AS b, 'SHARED_IP_SUBNET' AS link_type, 0.45::DOUBLE AS confidence, max(users) AS support FROM ips a JOIN ipn USING (v) JOIN ips b ON a.v = b.v AND a.e < b.e GROUP BY a.e, b.e",
+    "shared_imei_hubs": _BASE + "SELECT v AS value, e AS entity, users FROM u_SHARED_IMEI JOIN (SELECT v, count(*) AS users FROM u_SHARED_IMEI GROUP BY v HAVING count(*) > 40) USING (v)",
     "time_proximity": _BASE + "SELECT * FROM prox",
-    "all_links": _BASE + "SELECT * FROM every",
+    "all_links": _BASE + "FROM pairs UNION ALL FROM stars",
+    "links_above": _BASE + "SELECT * FROM (FROM pairs UNION ALL FROM stars) WHERE confidence >= 0.75",
     "surfaced_links": _BASE
-    + """, kept AS (SELECT * FROM every WHERE NOT (link_type = 'SHARED_IMEI' AND (a + b) % 11 = 0))
-SELECT * EXCLUDE (best) FROM (SELECT *, max(confidence) OVER (PARTITION BY least(a, b), greatest(a, b)) AS best FROM kept) WHERE best >= 0.75""",
+    + """, kept AS (SELECT * FROM pairs WHERE NOT (link_type = 'FUND_FLOW' AND (a + b) % 11 = 0)),
+best AS (SELECT least(a, b) AS x, greatest(a, b) AS y, max(confidence) AS best FROM kept GROUP BY ALL),
+strong AS (SELECT * FROM cls WHERE confidence >= 0.75),
+shown AS (
+  SELECT x, y FROM best WHERE best >= 0.75
+  UNION SELECT x, y FROM best JOIN strong p ON p.entity = x JOIN strong q ON q.entity = y AND p.link_type = q.link_type AND p.value = q.value WHERE best < 0.75)
+SELECT k.* FROM kept k WHERE (least(a, b), greatest(a, b)) IN (SELECT (x, y) FROM shown)
+UNION ALL SELECT * FROM stars WHERE confidence >= 0.75""",
+    "fund_flow_events": _BASE + "SELECT src AS a, dst AS b, event_id, ts, amount::DOUBLE AS amount FROM tr",
+    "link_rationale": _BASE
+    + """SELECT src AS a, dst AS b, 'FUND_FLOW' AS link_type, 'Money moved directly: ' || format('{:,.2f}', sum(amount)::DOUBLE) || ' in ' || count(*) || ' transfers.' AS rationale FROM tr GROUP BY src, dst
+UNION SELECT smallest, entity, link_type, 'Both paid one beneficiary, as did ' || users || ' payers in all.' FROM c_RECURRING_BENEFICIARY""",
     "link_upsert": _BASE
     + """, o AS (SELECT src AS a, dst AS b, count(*) AS support, sum(amount)::DOUBLE AS total_amount, min(ts) AS first_at, max(ts) AS last_at FROM tr WHERE event_id < 5000 GROUP BY src, dst),
 n AS (SELECT src AS a, dst AS b, count(*) AS support, sum(amount)::DOUBLE AS total_amount, min(ts) AS first_at, max(ts) AS last_at FROM tr WHERE event_id >= 4000 GROUP BY src, dst)
 SELECT coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b, coalesce(n.support, o.support) AS support, coalesce(n.total_amount, o.total_amount) AS total_amount,
        least(coalesce(o.first_at, n.first_at), coalesce(n.first_at, o.first_at)) AS first_at, coalesce(n.last_at, o.last_at) AS last_at
 FROM o FULL JOIN n ON o.a = n.a AND o.b = n.b""",
-    "link_accuracy": _BASE
-    + """, f AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr WHERE event_type <> 'UPI_TXN'),
-e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr WHERE event_type <> 'TRANSFER')
-SELECT CASE WHEN f.a IS NOT NULL AND e.a IS NOT NULL THEN 'MATCHED' WHEN e.a IS NOT NULL THEN 'MISSED' ELSE 'FALSE' END AS status, count(*) AS n
-FROM f FULL JOIN e ON f.a = e.a AND f.b = e.b GROUP BY 1""",
+    "link_accuracy": _BASE + "SELECT status, count(*) AS n FROM cmp GROUP BY 1",
+    "link_recall": _BASE
+    + """SELECT m AS matched, l AS missed, w AS false_links, round(m::DOUBLE / (m + l), 6) AS recall, round(m::DOUBLE / (m + w), 6) AS "precision", round(w::DOUBLE / (m + w), 6) AS false_rate
+FROM (SELECT count(*) FILTER (status = 'MATCHED') AS m, count(*) FILTER (status = 'MISSED') AS l, count(*) FILTER (status = 'FALSE') AS w FROM cmp)""",
 }
+for _kind in SHARED:
+    _name = _kind.lower()
+    QUERIES |= {_name: _star_query(_kind), f"{_name}_classes": _class_query(_kind)}
+    SQL[_name] = _BASE + f"SELECT smallest AS a, entity AS b, link_type, value, confidence, users AS support FROM c_{_kind}"
+    SQL[f"{_name}_classes"] = _BASE + f"SELECT link_type, value, entity, users, smallest, confidence FROM c_{_kind}"
+QUERIES |= {"all_link_classes": all_links, "surfaced_link_classes": surfaced_links}
+SQL |= {"all_link_classes": SQL["all_links"], "surfaced_link_classes": SQL["surfaced_links"]}
