@@ -5,24 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.operators import features, graph
+from caseweave.operators import features, graph, links
 from caseweave.operators.adapter import EVENTS_SQL, transfers
+from caseweave.operators.checkpoints import cut
 from caseweave.plans._plain import plain
+from caseweave.plans.flows import BETWEENNESS
+
+#: A money trail is over a day after its first transfer.
+TRAIL_MINUTES = 1440
 
 
 def _edges(spark, sf_dir) -> DataFrame:
     return transfers(spark, sf_dir)
 
 
-def _purchases(spark, sf_dir) -> DataFrame:
-    """A sparser graph for paths and cycles: bank transfers above 100."""
-    return transfers(spark, sf_dir).filter("event_type = 'TRANSFER' and amount > 100")
-
-
 def _text(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.array_join(F.transform(name, lambda x: x.cast("string")), ">"))
 
 
+def _victims(edges: DataFrame) -> DataFrame:
+    """node: accounts that only pay."""
+    return features.node_flow(edges).filter("in_count = 0").select(F.col("entity").alias("node"))
+
+
+def _cash_ends(edges: DataFrame) -> DataFrame:
+    """node: accounts where money was withdrawn."""
+    return edges.filter("event_type = 'ATM_WITHDRAWAL'").select(F.col("dst").alias("node")).distinct()
+
+
+def _trails(spark, sf_dir) -> DataFrame:
+    """Every trail of up to six transfers within a day, from victims to cash-out ends."""
+    e = cut(_edges(spark, sf_dir))
+    return cut(graph.paths(e, _victims(e), _cash_ends(e), timed=True, minutes=TRAIL_MINUTES))
+
+
 def graph_degrees(spark, sf_dir):
     return graph.degrees(_edges(spark, sf_dir))
 
@@ -32,55 +48,60 @@ def graph_patterns(spark, sf_dir):
 
 
 def graph_pagerank(spark, sf_dir):
-    return graph.pagerank(_edges(spark, sf_dir), rounds=4, tolerance=0.0).select("node", F.round("rank", 8).alias("rank"))
+    """To convergence."""
+    return graph.pagerank(_edges(spark, sf_dir), tolerance=1e-10).select("node", F.round("rank", 7).alias("rank"))
 
 
 def graph_components(spark, sf_dir):
-    return graph.components(_purchases(spark, sf_dir))
+    return graph.components(_edges(spark, sf_dir))
 
 
 def graph_cycles(spark, sf_dir):
-    return _text(graph.cycles(_purchases(spark, sf_dir), max_length=4), "cycle")
+    return _text(graph.timed_cycles(_edges(spark, sf_dir), TRAIL_MINUTES), "cycle")
 
 
 def graph_paths(spark, sf_dir):
-    e = _purchases(spark, sf_dir)
-    ends = e.filter("src < 20").select(F.col("src").alias("node")).distinct(), e.filter("dst >= 80").select(F.col("dst").alias("node")).distinct()
-    return _text(graph.paths(e, *ends, max_hops=3), "path").select("source", "target", "hops", "path", "total")
+    return _text(_trails(spark, sf_dir), "path").select("source", "target", "hops", "path", "total", "minutes")
 
 
 def graph_best_paths(spark, sf_dir):
-    e = _purchases(spark, sf_dir)
-    ends = e.filter("src < 20").select(F.col("src").alias("node")).distinct(), e.filter("dst >= 80").select(F.col("dst").alias("node")).distinct()
-    return _text(graph.best_paths(graph.paths(e, *ends, max_hops=3)), "path").select("source", "target", "hops", "total", "path", "n_paths")
+    return _text(graph.best_paths(_trails(spark, sf_dir)), "path").select("source", "target", "hops", "total", "n_paths")
+
+
+def graph_best_captions(spark, sf_dir):
+    return graph.caption(graph.best_paths(_trails(spark, sf_dir))).select("source", "target", F.regexp_replace("caption", ", [^,]* minutes$", "").alias("caption"))
 
 
 def graph_path_share(spark, sf_dir):
-    e = _purchases(spark, sf_dir)
-    ends = e.filter("src < 20").select(F.col("src").alias("node")).distinct(), e.filter("dst >= 80").select(F.col("dst").alias("node")).distinct()
-    return graph.path_share(graph.paths(e, *ends, max_hops=3))
+    return graph.path_share(_trails(spark, sf_dir))
 
 
 def graph_reach(spark, sf_dir):
-    return graph.reach(_purchases(spark, sf_dir), max_depth=3).withColumn("depth", F.col("depth").cast("long"))
+    return graph.reach(_edges(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
 
 
 def graph_neighbourhood(spark, sf_dir):
-    e = _purchases(spark, sf_dir)
-    return graph.neighbourhood(e, spark.range(1).select(F.col("id").alias("node")))
+    """Around the accounts of the largest turnover."""
+    e = _edges(spark, sf_dir)
+    top = features.node_flow(e).orderBy(F.desc("turnover"), "entity").limit(1)
+    return graph.neighbourhood(e, top.select(F.col("entity").alias("node")))
 
 
 def graph_betweenness(spark, sf_dir):
-    return graph.betweenness(_purchases(spark, sf_dir), pivots=64).select("node", F.round("betweenness", 8).alias("betweenness"))
+    return graph.betweenness(_edges(spark, sf_dir), pivots="auto").select("node", F.round("betweenness", 8).alias("betweenness"))
+
+
+def graph_central(spark, sf_dir):
+    """The top five per cent of betweenness."""
+    return graph.central(graph.betweenness(_edges(spark, sf_dir), pivots="auto").withColumn("betweenness", F.round("betweenness", 8)))
 
 
 def graph_roles(spark, sf_dir):
     t = transfers(spark, sf_dir)
-    out = features.cash_out(t.filter("amount > 200")).filter("has_cash_out = 1")
     flow = features.node_flow(t)
+    out = _cash_ends(t).withColumnRenamed("node", "entity")
     mules = flow.filter("passthrough_ratio >= 0.85 and in_count > 0 and out_count > 0")
-    victims = flow.filter("in_count = 0")
-    return graph.roles(flow.select("entity"), out, mules, victims)
+    return graph.roles(flow.select("entity"), out, mules, flow.filter("in_count = 0"))
 
 
 def graph_snapshot(spark, sf_dir):
@@ -88,85 +109,91 @@ def graph_snapshot(spark, sf_dir):
 
 
 def graph_edge_table(spark, sf_dir):
-    from caseweave.operators import links
-
     t = transfers(spark, sf_dir)
     known = t.select(F.col("src").alias("entity")).distinct()
     _, edges = graph.build(known, links.fund_flow(t).select("a", "b", "link_type"), t)
     return plain(edges.groupBy("edge_type").agg(F.count("*").alias("n"), F.sum("amount").alias("total")))
 
 
+ROUNDS = 40
 _BASE = (
     "WITH RECURSIVE "
     + EVENTS_SQL
-    + """, pu AS (SELECT * FROM tr WHERE event_type = 'TRANSFER' AND amount > 100),
-pe AS (SELECT DISTINCT src, dst FROM pu),
-fl AS (SELECT src, dst, sum(amount::DOUBLE) AS amount FROM pu GROUP BY src, dst),
-p1 AS (SELECT src AS source, dst AS e, [src, dst] AS path, amount AS total FROM fl WHERE src < 20),
-p2 AS (SELECT source, dst AS e, list_append(path, dst) AS path, total + amount AS total FROM p1 JOIN fl ON e = src WHERE NOT list_contains(path, dst)),
-p3 AS (SELECT source, dst AS e, list_append(path, dst) AS path, total + amount AS total FROM p2 JOIN fl ON e = src WHERE NOT list_contains(path, dst)),
+    + """,
+pe AS (SELECT DISTINCT src, dst FROM tr),
+vi AS (SELECT src AS node FROM tr WHERE src NOT IN (SELECT dst FROM tr) GROUP BY src),
+co AS (SELECT DISTINCT dst AS node FROM tr WHERE event_type = 'ATM_WITHDRAWAL'),
+trail(source, e, path, total, t0, t) AS (
+  SELECT src, dst, [src, dst], amount::DOUBLE, ts, ts FROM tr WHERE src IN (FROM vi)
+  UNION ALL SELECT source, dst, list_append(path, dst), total + amount::DOUBLE, t0, ts FROM trail JOIN tr ON e = src AND ts > t AND ts <= t0 + INTERVAL '1440 minutes'
+  WHERE NOT list_contains(path, dst) AND len(path) < 7),
 paths AS (
-  SELECT source, e AS target, len(path) - 1 AS hops, path AS nodes, array_to_string(path, '>') AS path, round(total, 2) AS total
-  FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) WHERE e IN (SELECT dst FROM pu WHERE dst >= 80)),
-deg AS (SELECT node, count(*) FILTER (o = 0) AS in_degree, count(*) FILTER (o = 1) AS out_degree
+  SELECT source, e AS target, len(path) - 1 AS hops, path AS nodes, array_to_string(path, '>') AS path, round(total, 2) AS total, round((epoch_us(t) - epoch_us(t0)) / 60e6, 2) AS minutes
+  FROM trail WHERE e IN (FROM co)),
+ring(start, e, path, t0, t, closed) AS (
+  SELECT src, dst, [src, dst], ts, ts, false FROM tr
+  UNION ALL SELECT start, dst, list_append(path, dst), t0, ts, dst = start FROM ring JOIN tr ON e = src AND ts > t AND ts <= t0 + INTERVAL '1440 minutes'
+  WHERE NOT closed AND (dst = start OR NOT list_contains(path, dst)) AND len(path) < 7),
+deg AS MATERIALIZED (SELECT node, count(*) FILTER (o = 0) AS in_degree, count(*) FILTER (o = 1) AS out_degree
         FROM (SELECT src AS node, 1 AS o FROM tr UNION ALL SELECT dst, 0 FROM tr) GROUP BY node),
 wt AS (SELECT src, dst, count(*)::DOUBLE AS w FROM tr GROUP BY src, dst),
-sh AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt),
+sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM wt),
 nn AS (SELECT count(*) AS n FROM deg),
 r0 AS (SELECT node, 1.0::DOUBLE / n AS r FROM deg, nn)"""
     + "".join(
         f""",
-r{k} AS (SELECT d.node, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce((SELECT sum(r) FROM r{k - 1} JOIN deg USING (node) WHERE out_degree = 0), 0) / n
+r{k} AS MATERIALIZED (SELECT d.node, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce((SELECT sum(r) FROM r{k - 1} JOIN deg USING (node) WHERE out_degree = 0), 0) / n
          + 0.85::DOUBLE * coalesce(g.got, 0) AS r
          FROM deg d CROSS JOIN nn LEFT JOIN (SELECT dst, sum(p * r) AS got FROM sh JOIN r{k - 1} ON node = src GROUP BY dst) g ON g.dst = d.node)"""
-        for k in range(1, 5)
+        for k in range(1, ROUNDS + 1)
     )
+    + ",\n"
+    + BETWEENNESS
     + """,
-c2 AS (SELECT a.src, b.src AS m, [a.src, a.dst] AS c FROM pe a JOIN pe b ON a.dst = b.src AND b.dst = a.src WHERE a.dst > a.src),
-c3 AS (SELECT [a.src, b.src, c.src] AS c FROM pe a JOIN pe b ON a.dst = b.src JOIN pe c ON b.dst = c.src AND c.dst = a.src
-       WHERE b.src > a.src AND c.src > a.src AND b.src <> c.src),
-c4 AS (SELECT [a.src, b.src, c.src, d.src] AS c FROM pe a JOIN pe b ON a.dst = b.src JOIN pe c ON b.dst = c.src JOIN pe d ON c.dst = d.src AND d.dst = a.src
-       WHERE b.src > a.src AND c.src > a.src AND d.src > a.src AND b.src <> c.src AND b.src <> d.src AND c.src <> d.src),
 und AS (SELECT src, dst FROM pe UNION SELECT dst, src FROM pe),
 lab AS (SELECT src AS node, src AS root FROM und UNION SELECT u.dst, l.root FROM lab l JOIN und u ON u.src = l.node),
-near AS (SELECT 0 AS node UNION SELECT dst FROM und WHERE src = 0 UNION SELECT b.dst FROM und a JOIN und b ON a.dst = b.src WHERE a.src = 0),
-flow AS (SELECT entity, sum(amount) FILTER (i = 1) AS ia, sum(amount) FILTER (i = 0) AS oa, count(*) FILTER (i = 1) AS ic, count(*) FILTER (i = 0) AS oc,
-                max(CASE WHEN event_type = 'ATM_WITHDRAWAL' AND amount > 200 THEN 1 ELSE 0 END) AS cash
-         FROM (SELECT src AS entity, 0 AS i, amount, event_type FROM tr UNION ALL SELECT dst, 1, amount, event_type FROM tr) GROUP BY entity)
+far AS (SELECT src AS node, dst AS x, 1 AS d FROM pe UNION ALL SELECT f.node, e.dst, f.d + 1 FROM (SELECT DISTINCT node, x, d FROM far) f JOIN pe e ON f.x = e.src WHERE f.d < 6),
+dist AS (SELECT node, x, min(d) AS d FROM far WHERE node <> x GROUP BY node, x),
+flow AS (SELECT entity, sum(amount) FILTER (i = 1) AS ia, sum(amount) FILTER (i = 0) AS oa, count(*) FILTER (i = 1) AS ic, count(*) FILTER (i = 0) AS oc, sum(amount)::DOUBLE AS turnover
+         FROM (SELECT src AS entity, 0 AS i, amount FROM tr UNION ALL SELECT dst, 1, amount FROM tr) GROUP BY entity),
+top1 AS (SELECT entity AS node FROM flow ORDER BY round(turnover, 2) DESC, entity LIMIT 1),
+near AS (SELECT node FROM top1 UNION SELECT dst FROM und WHERE src IN (FROM top1) UNION SELECT b.dst FROM und a JOIN und b ON a.dst = b.src WHERE a.src IN (FROM top1))
 """
 )
 
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_degrees, graph_patterns, graph_pagerank, graph_components, graph_cycles, graph_paths, graph_best_paths, graph_path_share, graph_reach,
-        graph_neighbourhood, graph_betweenness, graph_roles, graph_snapshot, graph_edge_table,
+        graph_degrees, graph_patterns, graph_pagerank, graph_components, graph_cycles, graph_paths, graph_best_paths, graph_best_captions, graph_path_share, graph_reach,
+        graph_neighbourhood, graph_betweenness, graph_central, graph_roles, graph_snapshot, graph_edge_table,
     )
 }
 
+_BEST = """SELECT source, target, hops::INT AS hops, total, n_paths FROM (
+  SELECT *, count(*) OVER (PARTITION BY source, target) AS n_paths, row_number() OVER (PARTITION BY source, target ORDER BY hops, -total, path) AS r FROM paths) WHERE r = 1"""
 SQL = {
     "graph_degrees": _BASE + "SELECT * FROM deg",
     "graph_patterns": _BASE + "SELECT node, in_degree >= 8 AS is_fan_in, out_degree >= 8 AS is_fan_out, in_degree > 0 AND out_degree > 0 AS is_pass_through FROM deg",
-    "graph_pagerank": _BASE + "SELECT node, round(r, 8) AS rank FROM r4",
+    "graph_pagerank": _BASE + f"SELECT node, round(r, 7) AS rank FROM r{ROUNDS}",
     "graph_components": _BASE + "SELECT node, min(root) AS component FROM lab GROUP BY node",
-    "graph_cycles": _BASE
-    + "SELECT len(c)::INT AS length, array_to_string(c, '>') AS cycle FROM (SELECT c FROM c2 UNION ALL SELECT c FROM c3 UNION ALL SELECT c FROM c4)",
-    "graph_paths": _BASE + "SELECT source, target, hops::INT AS hops, path, total FROM paths",
-    "graph_best_paths": _BASE
-    + """SELECT source, target, hops::INT AS hops, total, path, n_paths FROM (
-  SELECT *, count(*) OVER (PARTITION BY source, target) AS n_paths, row_number() OVER (PARTITION BY source, target ORDER BY hops, -total, path) AS r FROM paths) WHERE r = 1""",
+    "graph_cycles": _BASE + "SELECT (len(path) - 1)::INT AS length, array_to_string(path[1:-2], '>') AS cycle, count(*) AS n FROM ring WHERE closed GROUP BY ALL",
+    "graph_paths": _BASE + "SELECT source, target, hops::INT AS hops, path, total, minutes FROM paths",
+    "graph_best_paths": _BASE + _BEST,
+    "graph_best_captions": _BASE + f"SELECT source, target, hops || ' hops, ' || format('{{:,.2f}}', total) AS caption FROM ({_BEST})",
     "graph_path_share": _BASE
     + """SELECT node, count(*) AS n_paths, round(count(*) / (SELECT count(*) FROM paths), 4) AS share
 FROM (SELECT unnest(nodes[2:-2]) AS node FROM paths WHERE hops > 1) GROUP BY node""",
-    "graph_reach": _BASE
-    + """, b1 AS (SELECT src AS node, dst AS x FROM pe), b2 AS (SELECT node, dst AS x FROM b1 JOIN pe ON x = src WHERE dst <> node EXCEPT SELECT * FROM b1),
-b3 AS (SELECT node, dst AS x FROM b2 JOIN pe ON x = src WHERE dst <> node EXCEPT SELECT * FROM b1 EXCEPT SELECT * FROM b2)
-SELECT node, max(d)::BIGINT AS depth FROM (SELECT node, 1 AS d FROM b1 UNION ALL SELECT node, 2 FROM b2 UNION ALL SELECT node, 3 FROM b3) GROUP BY node""",
-    "graph_neighbourhood": _BASE + "SELECT src, dst FROM pu WHERE src IN (FROM near) AND dst IN (FROM near)",
+    "graph_reach": _BASE + "SELECT node, max(d)::BIGINT AS depth FROM dist GROUP BY node",
+    "graph_neighbourhood": _BASE + "SELECT src, dst FROM tr WHERE src IN (FROM near) AND dst IN (FROM near)",
+    "graph_betweenness": _BASE + "SELECT node, round(betweenness, 8) AS betweenness FROM bc",
+    "graph_central": _BASE
+    + """, m AS (SELECT node, round(betweenness, 8) AS betweenness FROM bc)
+SELECT node, betweenness, betweenness >= (SELECT quantile_cont(betweenness, 0.95) FROM m) AND betweenness > 0 AS is_central FROM m""",
     "graph_roles": _BASE
-    + """SELECT entity, CASE WHEN cash = 1 THEN 'CASHOUT' WHEN round(CASE WHEN ia > 0 THEN least(1.0::DOUBLE, coalesce(oa, 0)::DOUBLE / ia::DOUBLE) ELSE 0 END, 4) >= 0.85 AND ic > 0 AND oc > 0 THEN 'MULE'
+    + """SELECT entity, CASE WHEN entity IN (FROM co) THEN 'CASHOUT' WHEN round(CASE WHEN ia > 0 THEN least(1.0::DOUBLE, coalesce(oa, 0)::DOUBLE / ia::DOUBLE) ELSE 0 END, 4) >= 0.85 AND ic > 0 AND oc > 0 THEN 'MULE'
   WHEN ic = 0 THEN 'VICTIM' ELSE 'INTERMEDIARY' END AS role FROM flow""",
-    "graph_snapshot": _BASE + "SELECT 'run-1' AS run_id, (SELECT count(*) FROM deg) AS node_count, (SELECT count(*) FROM tr) AS edge_count",
+    "graph_snapshot": _BASE
+    + "SELECT 'run-1' AS run_id, n AS node_count, (SELECT count(*) FROM tr) AS edge_count, CASE WHEN n <= 5000 THEN n ELSE 500 END AS betweenness_k FROM (SELECT count(*) AS n FROM deg)",
     "graph_edge_table": _BASE
     + """SELECT 'TRANSFER' AS edge_type, count(*) AS n, sum(amount)::DOUBLE AS total FROM tr WHERE dst IN (SELECT src FROM tr)
 UNION ALL SELECT 'FUND_FLOW', (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM tr)), NULL::DOUBLE""",
