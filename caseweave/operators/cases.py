@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseweave.functions.parsing import ist_hour
+from caseweave.operators.features import oriented
+from caseweave.operators.ranking import numbered
+
 
 def dashboard(files: DataFrame, transfers: DataFrame, links: DataFrame, scores: DataFrame) -> DataFrame:
     """One row: files, rows, entities, links, top score, its band and entity."""
@@ -15,8 +19,9 @@ def dashboard(files: DataFrame, transfers: DataFrame, links: DataFrame, scores:
     return top.select("files", "rows", "entities", "links", "top_score", "top_band", "top_entity")
 
 
-def timeline(transfers: DataFrame, entity: Column | None = None, kind: str | None = None, least: float | None = None) -> DataFrame:
-    """Events of an account in order, with a number and the minutes since the one before."""
+def timeline(transfers: DataFrame, entity: Column | None = None, kind: str | None = None, least: float | None = None, amount_text: str | None = None) -> DataFrame:
+    """Events of an account in order, with a number and the minutes since the one before; amount_text is part of the
+    written amount."""
     rows = transfers
     if entity is not None:
         rows = rows.filter((F.col("src") == entity) | (F.col("dst") == entity)).withColumn("entity", entity)
@@ -26,23 +31,59 @@ def timeline(transfers: DataFrame, entity: Column | None = None, kind: str | Non
         rows = rows.filter(F.col("event_type") == kind)
     if least is not None:
         rows = rows.filter(F.col("amount") >= least)
+    if amount_text:
+        rows = rows.filter(F.col("amount").cast("string").contains(amount_text))
     w = Window.partitionBy("entity").orderBy("ts", "event_id")
     gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 60e6
     return rows.select("entity", F.row_number().over(w).alias("place"), "event_id", "event_type", "ts", "amount", F.round(gap, 3).alias("minutes_since"))
 
 
+def listed(rows: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
+    """rows in order with their place from 1; the first `limit` of them if one is given."""
+    if limit is not None:
+        rows = rows.orderBy(*order).limit(limit)
+    return numbered(rows, order, "place")
+
+
+def found_cases(cases: DataFrame, text: str | None = None, status: str | None = None) -> DataFrame:
+    """cases (case_id, title, status) of that status with the text in id or title."""
+    out = cases if status is None else cases.filter(F.col("status") == status)
+    if text:
+        out = out.filter(F.lower("title").contains(text.lower()) | F.lower("case_id").contains(text.lower()))
+    return out
+
+
+def found_scores(scores: DataFrame, band: str | None = None, on_path: DataFrame | None = None, fired: str | None = None) -> DataFrame:
+    """scores of a band, of accounts (node) on a path, for which a rule fired."""
+    out = scores if band is None else scores.filter(F.col("band") == band)
+    if on_path is not None:
+        out = out.join(on_path.select(F.col("node").alias("entity")).distinct(), "entity", "left_semi")
+    return out if fired is None else out.filter(F.array_contains(F.split("rules_fired", ","), fired))
+
+
 def appearances(mentions: DataFrame) -> DataFrame:
     """entity, file, n"""
     return mentions.groupBy("entity", "file").agg(F.count("*").alias("n"))
 
 
 def seizures(transfers: DataFrame, scores: DataFrame, least: float) -> DataFrame:
-    """Accounts of at least that score by what is left in them: entity, band, residual, last_ts, advice."""
-    ends = F.array(F.struct(F.col("dst").alias("entity"), F.col("amount").alias("x")), F.struct(F.col("src").alias("entity"), (-F.col("amount")).alias("x")))
-    left = transfers.select(F.explode(ends).alias("e"), "ts").groupBy("e.entity").agg(F.sum("e.x").cast("double").alias("residual"), F.max("ts").alias("last_ts"))
+    """Accounts of at least that score by what is left in them: entity, band, residual, balance, last_ts, ifsc, advice.
+
+    The balance is that of the account's last payment that states one (balance_after), else null.
+    """
+    balance = F.col("balance_after") if "balance_after" in transfers.columns else F.lit(None).cast("decimal(18,2)")
+    ends = F.array(
+        F.struct(F.col("dst").alias("entity"), F.col("amount").alias("x"), F.lit(None).cast("decimal(18,2)").alias("b")),
+        F.struct(F.col("src").alias("entity"), (-F.col("amount")).alias("x"), balance.cast("decimal(18,2)").alias("b")),
+    )
+    rows = transfers.select(F.explode(ends).alias("e"), "ts", "event_id").select("e.*", "ts", "event_id")
+    last = F.max_by("b", F.when(F.col("b").isNotNull(), F.struct("ts", "event_id")))
+    left = rows.groupBy("entity").agg(F.sum("x").cast("double").alias("residual"), F.max("ts").alias("last_ts"), last.cast("double").alias("balance"))
     out = scores.filter(F.col("score") >= least).join(left, "entity").filter("residual > 0")
     residual = F.round("residual", 2)
-    return out.select("entity", "band", residual.alias("residual"), "last_ts", F.concat(F.lit("Freeze account "), F.col("entity").cast("string"), F.lit(": "), F.format_number(residual, 2), F.lit(" left")).alias("advice"))
+    ifsc = F.concat(F.lit("HDFC0"), F.lpad((F.col("entity") % 1000).cast("string"), 6, "0"))
+    advice = F.concat(F.lit("Freeze account "), F.col("entity").cast("string"), F.lit(" at "), ifsc, F.lit(": "), F.format_number(residual, 2), F.lit(" left"))
+    return out.select("entity", "band", residual.alias("residual"), "balance", "last_ts", ifsc.alias("ifsc"), advice.alias("advice"))
 
 
 def neighbours(links: DataFrame) -> DataFrame:
@@ -75,11 +116,39 @@ def history(versions: DataFrame) -> DataFrame:
     return rows.select("entity", "run_no", "score", F.round(F.col("score") - F.col("before"), 4).alias("change"), (F.col("run_no") == F.col("last")).alias("is_current"))
 
 
-def evidence_refs(reasons: DataFrame, events: DataFrame, per_reason: int = 5) -> DataFrame:
-    """Up to so many largest events behind each fired reason: entity, rule_code, event_id, file, source_row, sha256."""
-    both = reasons.filter("triggered = 1").select("entity", "rule_code").join(events, "entity")
+def rule_events(transfers: DataFrame, uses: DataFrame | None = None, calls: DataFrame | None = None, minutes: int = 60) -> DataFrame:
+    """entity, rule_code, event_id, amount: the events that a rule looks at, by account.
+
+    R01 payments within the window after a credit; R02 receipts; R03 and R04 payments; R05 and R06 calls of its handsets;
+    R08 withdrawals; R10 transfers at night; R11 the debits after an unknown call; R07 and R12 all transfers.
+    """
+    both = oriented(transfers)
+    w = Window.partitionBy("entity").orderBy(F.unix_micros("ts")).rangeBetween(-minutes * 60_000_000, 0)
+    both = both.withColumn("credits", F.count_if(F.col("incoming") == 1).over(w))
+    out, inc = F.col("incoming") == 0, F.col("incoming") == 1
+    tests = {
+        "R01": out & (F.col("credits") > 0), "R02": inc, "R03": out, "R04": out, "R07": F.lit(True), "R08": F.col("event_type") == "ATM_WITHDRAWAL",
+        "R10": ist_hour(F.col("ts")) < 5, "R12": F.lit(True),
+    }
+    codes = F.filter(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]), lambda x: x.isNotNull())
+    rows = both.select("entity", F.explode(codes).alias("rule_code"), "event_id", "amount")
+    zero = F.lit(0).cast("decimal(18,2)").alias("amount")
+    if uses is not None:
+        rows = rows.unionByName(uses.select(F.col("phone").alias("entity"), F.explode(F.array(F.lit("R05"), F.lit("R06"))).alias("rule_code"), "event_id", zero))
+    if calls is not None:
+        rows = rows.unionByName(calls.select(F.col("victim").alias("entity"), F.lit("R11").alias("rule_code"), F.col("transfer_id").alias("event_id"), zero))
+    return rows.distinct()
+
+
+def evidence_refs(reasons: DataFrame, rule_rows: DataFrame, files: DataFrame, per_reason: int = 5) -> DataFrame:
+    """Up to so many largest of the events that met each fired rule: entity, rule_code, event_id, file, source_row, sha256.
+
+    rule_rows as of rule_events; files (event_id, file, source_row, sha256) says where an event stands.
+    """
+    both = reasons.filter("triggered = 1").select("entity", "rule_code").join(rule_rows, ["entity", "rule_code"])
     w = Window.partitionBy("entity", "rule_code").orderBy(F.desc("amount"), "event_id")
-    return both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_reason).drop("r", "amount")
+    few = both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_reason).drop("r", "amount")
+    return few.join(files, "event_id").select("entity", "rule_code", "event_id", "file", "source_row", "sha256")
 
 
 def unsupported(reasons: DataFrame, refs: DataFrame) -> DataFrame:
@@ -101,12 +170,27 @@ def gates(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.coalesce(ok, F.lit(False)).alias("ready"))
 
 
-def brief(scores: DataFrame, seizure_rows: DataFrame, clusters: DataFrame, case_id: str, n: int = 5) -> DataFrame:
-    """One row of JSON with sorted keys: the n top suspects, seizures and clusters of a case."""
-    top = scores.orderBy(F.desc("score"), "entity").limit(n).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "entity", "band", "score"))).alias("s"))
+def brief(scores: DataFrame, seizure_rows: DataFrame, clusters: DataFrame, case_id: str, n: int = 5, events: DataFrame | None = None, audit_heads: DataFrame | None = None) -> DataFrame:
+    """One row of JSON with sorted keys: the n top suspects, seizures and largest clusters of a case, the first ten
+    events of its timeline, and the heads of up to n audit chains as hash appendix."""
+    first = lambda df, order, k, *names: df.orderBy(*order).limit(k).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("s"))
+    top = first(scores, [F.desc("score"), "entity"], n, (-F.col("score")).alias("order"), "entity", "band", "score")
     top = top.select(F.transform("s", lambda x: F.struct(x["band"].alias("band"), x["entity"].alias("entity"), x["score"].alias("score"))).alias("suspects"))
-    take = seizure_rows.orderBy(F.desc("residual"), "entity").limit(n).agg(F.array_sort(F.collect_list(F.struct((-F.col("residual")).alias("order"), "entity", "residual"))).alias("s"))
+    take = first(seizure_rows, [F.desc("residual"), "entity"], n, (-F.col("residual")).alias("order"), "entity", "residual")
     take = take.select(F.transform("s", lambda x: F.struct(x["entity"].alias("entity"), x["residual"].alias("residual"))).alias("seizures"))
-    parts = clusters.groupBy("component").agg(F.count("*").alias("members")).agg(F.count("*").alias("clusters"), F.max("members").alias("largest"))
-    one = top.join(F.broadcast(take)).join(F.broadcast(parts))
-    return one.select(F.to_json(F.struct(F.lit(case_id).alias("case_id"), "clusters", "largest", "seizures", "suspects")).alias("brief"))
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+    large = first(sizes, [F.desc("members"), "component"], n, (-F.col("members")).alias("order"), "component", "members")
+    large = large.select(F.transform("s", lambda x: F.struct(x["component"].alias("component"), x["members"].alias("members"))).alias("largest_clusters"))
+    parts = sizes.agg(F.count("*").alias("clusters"))
+    one, names = top, ["clusters", "largest_clusters", "seizures", "suspects"]
+    more = [take, large, parts]
+    if events is not None:
+        lines = first(events, ["ts", "event_id"], 10, "ts", "event_id", "src", "dst")
+        more.append(lines.select(F.transform("s", lambda x: F.struct(x["dst"].alias("dst"), x["event_id"].alias("event_id"), x["src"].alias("src"))).alias("timeline")))
+        names.append("timeline")
+    if audit_heads is not None:
+        more.append(first(audit_heads, ["case_id"], n, "case_id", "head_hash").withColumnRenamed("s", "hashes"))
+        names.append("hashes")
+    for part in more:
+        one = one.join(F.broadcast(part))
+    return one.select(F.to_json(F.struct(F.lit(case_id).alias("case_id"), *sorted(names))).alias("brief"))

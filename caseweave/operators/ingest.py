@@ -45,6 +45,8 @@ def events(rows: DataFrame, kind: str, date_format: str | None = None) -> DataFr
         parsing.amount(_filled(rows, "amount")).alias("amount"),
         parsing.amount(_filled(rows, "balance_after")).alias("balance_after"),
         _filled(rows, "duration_s").try_cast("int").alias("duration_sec"),
+        *[_filled(rows, c).alias(c) for c in ("ip_address", "mac_address", "bytes_up_kb", "bytes_down_kb", "destination_ip") if c in rows.columns],
+        F.col("raw_line") if "raw_line" in rows.columns else F.lit(None).cast("string").alias("raw_line"),
         _filled(rows, "channel").alias("channel"),
         _filled(rows, "reference_no").alias("reference_no"),
         time.alias("raw_time"),
@@ -66,7 +68,7 @@ def good(rows: DataFrame) -> DataFrame:
 
 
 def rejects(rows: DataFrame) -> DataFrame:
-    return rows.filter("reason is not null").select("evidence_file_id", "source_row", "reason")
+    return rows.filter("reason is not null").select("evidence_file_id", "source_row", "reason", "raw_line")
 
 
 def row_counts(rows: DataFrame) -> DataFrame:
@@ -106,6 +108,20 @@ CHECKS = {
 }
 
 
+LINK_CHECKS = {"confidence is a share": "confidence between 0 and 1", "ends differ": "a <> b", "support is positive": "support > 0"}
+SCORE_CHECKS = {"score is of 100": "score between 0 and 100", "band is known": "band in ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW')"}
+ENTITY_CHECKS = {
+    "type is known": "entity_type in ('PHONE', 'IMEI', 'IMSI', 'UPI_HANDLE', 'BANK_ACCOUNT', 'EMAIL', 'IP', 'MAC', 'DEVICE_ID', 'APK_CERT', 'PERSON', 'LOCATION', 'OTHER')",
+    "occurs": "occurrences >= 1",
+    "value is there": "trim(normalized) <> ''",
+}
+
+
+def valid_entities(rows: DataFrame) -> DataFrame:
+    """Entities with a type, a value and a case; the others are dropped."""
+    return rows.filter("trim(entity_type) <> '' and trim(normalized) <> '' and trim(case_id) <> ''")
+
+
 def quality(rows: DataFrame, checks: dict[str, str] | None = None) -> DataFrame:
     """check, failed: rows that break each condition; a null does not break it, but for conditions on null."""
     checks = checks or CHECKS

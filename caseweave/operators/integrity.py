@@ -5,59 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseweave.functions.parsing import canonical_json, payload_hash
+from caseweave.functions.parsing import canonical_json, entry_hash, payload_hash
 
 GENESIS = "0" * 64
 
 
-def hashed_entries(actions: DataFrame, case: str, seq: str, payload: dict[str, Column], fields: list[str]) -> DataFrame:
-    """actions with payload_json and payload_hash, and parts: the row's own fields of the entry hash."""
-    out = actions.withColumn("payload_json", canonical_json(**payload)).withColumn("payload_hash", payload_hash(F.col("payload_json")))
-    return out.withColumn("parts", F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (case, seq, *fields, "payload_hash")]))
+#: The row's own fields of the entry hash, in their order, between the previous hash and the payload's.
+ENTRY_FIELDS = ["seq", "occurred_at", "officer_badge", "action", "target_type", "target_id"]
 
 
-def chained(entries: DataFrame, case: str, seq: str, heads: DataFrame | None = None) -> DataFrame:
+def hashed_entries(actions: DataFrame, payload: dict[str, Column]) -> DataFrame:
+    """actions (case_id, ENTRY_FIELDS, ...) with payload_json and payload_hash."""
+    return actions.withColumn("payload_json", canonical_json(**payload)).withColumn("payload_hash", payload_hash(F.col("payload_json")))
+
+
+def _entry(prev: Column, of) -> Column:
+    """The entry hash: the previous hash, the row's fields, the payload's hash; a null field counts as empty."""
+    return entry_hash(prev, *[of(c) for c in ENTRY_FIELDS], of("payload_hash"))
+
+
+def chained(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """entries with prev_hash and entry_hash: a fold over each case's entries in their order.
 
     A chain is sequential within its case, so cases are what runs in parallel; one case's log must fit a task.
-    heads (case, head_hash) continue earlier chains, others begin with the genesis hash.
+    heads (case_id, head_hash) continue earlier chains, others begin with the genesis hash.
     """
-    keys = [c for c in entries.columns if c != case]
-    per = entries.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(seq, *[k for k in keys if k != seq]))).alias("log"))
+    keys = [c for c in entries.columns if c not in ("case_id", "seq")]
+    per = entries.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", *keys))).alias("log"))
     if heads is not None:
-        per = per.join(heads.select(case, "head_hash"), case, "left")
+        per = per.join(heads.select("case_id", "head_hash"), "case_id", "left")
     start = F.coalesce(F.col("head_hash"), F.lit(GENESIS)) if heads is not None else F.lit(GENESIS)
 
     def step(acc: Column, x: Column) -> Column:
-        prev = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.sha2(F.concat_ws("\u001f", x["parts"], prev), 256)))
+        return F.concat(acc, F.array(_entry(F.element_at(acc, -1), lambda c: x[c])))
 
-    chain = F.aggregate("log", F.array(start), step)
-    rows = per.withColumn("chain", chain).select(case, "chain", F.posexplode("log").alias("at", "x"))
-    return rows.select(case, "x.*", F.element_at("chain", F.col("at") + 1).alias("prev_hash"), F.element_at("chain", F.col("at") + 2).alias("entry_hash"))
+    rows = per.withColumn("chain", F.aggregate("log", F.array(start), step)).select("case_id", "chain", F.posexplode("log").alias("at", "x"))
+    return rows.select("case_id", "x.*", F.element_at("chain", F.col("at") + 1).alias("prev_hash"), F.element_at("chain", F.col("at") + 2).alias("entry_hash"))
 
 
-def verified(chain: DataFrame, case: str, seq: str, payload: dict[str, Column] | None = None) -> DataFrame:
+def verified(chain: DataFrame, payload: dict[str, Column]) -> DataFrame:
     """Per case: entries, ok and first_bad_seq.
 
-    Each row recomputes its own hashes from what it stores, so the work is parallel within a case too; a lag checks
-    numbering and linkage.
+    Each row recomputes its payload's hash and its own from its columns as they are now, so the work is parallel within a
+    case too; a lag checks numbering and linkage.
     """
-    w = Window.partitionBy(case).orderBy(seq)
-    bad = F.col("entry_hash") != F.sha2(F.concat_ws("\u001f", F.col("parts"), F.col("prev_hash")), 256)
-    bad = bad | (F.element_at("parts", -1) != F.col("payload_hash"))
-    if payload is not None:
-        bad = bad | (F.col("payload_hash") != payload_hash(canonical_json(**payload)))
-    prev = F.lag("entry_hash").over(w)
-    bad = bad | (F.col("prev_hash") != F.coalesce(prev, F.lit(GENESIS))) | (F.col(seq) != F.coalesce(F.lag(seq).over(w) + 1, F.lit(0)))
+    w = Window.partitionBy("case_id").orderBy("seq")
+    bad = F.col("payload_hash") != payload_hash(canonical_json(**payload))
+    bad = bad | (F.col("entry_hash") != _entry(F.col("prev_hash"), F.col))
+    bad = bad | (F.col("prev_hash") != F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS))) | (F.col("seq") != F.coalesce(F.lag("seq").over(w) + 1, F.lit(0)))
     rows = chain.withColumn("bad", F.coalesce(bad, F.lit(True)))
-    out = rows.groupBy(case).agg(F.count("*").alias("entries"), F.min(F.when(F.col("bad"), F.col(seq))).alias("first_bad_seq"))
-    return out.select(case, "entries", F.col("first_bad_seq").isNull().alias("ok"), "first_bad_seq")
+    out = rows.groupBy("case_id").agg(F.count("*").alias("entries"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad_seq"))
+    return out.select("case_id", "entries", F.col("first_bad_seq").isNull().alias("ok"), "first_bad_seq")
+
+
+def filtered(chain: DataFrame, action: str | None = None, officer: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Audit entries by action, officer and range of occurred_at (ISO text, ends included)."""
+    out = chain
+    for column, value in (("action", action), ("officer_badge", officer)):
+        if value is not None:
+            out = out.filter(F.col(column) == value)
+    if since is not None:
+        out = out.filter(F.col("occurred_at") >= since)
+    return out if until is None else out.filter(F.col("occurred_at") <= until)
+
+
+def manifest_lines(files: DataFrame, chain: DataFrame) -> DataFrame:
+    """A JSON line for each file (name, sha256) and for the head of each case's chain: a manifest that grows as its parts do."""
+    own = files.select(canonical_json(kind=F.lit("file"), name=F.col("name").cast("string"), sha256=F.col("sha256")).alias("line"))
+    last = heads(chain).select(canonical_json(kind=F.lit("head"), case_id=F.col("case_id").cast("string"), seq=F.col("head_seq"), hash=F.col("head_hash")).alias("line"))
+    return own.unionByName(last)
+
+
+def excluded(files: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """files without those excluded; an exclusion (name, reason) without a reason does not count."""
+    return files.join(exclusions.filter("trim(reason) <> ''").select("name").distinct(), "name", "left_anti")
 
 
-def heads(chain: DataFrame, case: str, seq: str) -> DataFrame:
-    """case, head_seq, head_hash"""
-    return chain.groupBy(case).agg(F.max(seq).alias("head_seq"), F.max_by("entry_hash", seq).alias("head_hash"))
+def heads(chain: DataFrame) -> DataFrame:
+    """case_id, head_seq, head_hash"""
+    return chain.groupBy("case_id").agg(F.max("seq").alias("head_seq"), F.max_by("entry_hash", "seq").alias("head_hash"))
 
 
 def inventory(docs: DataFrame, name: str, content: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.config import RULES
-from caseweave.operators import anomaly, cases, graph, links, rules
-from caseweave.operators.adapter import device_events, table, transfers
-from caseweave.plans import flows, linking
+from caseweave.functions import normalize
+from caseweave.operators import anomaly, cases, graph, ingest, links, rules
+from caseweave.operators.adapter import device_events, events, table, transfers
+from caseweave.operators.checkpoints import cut
+from caseweave.plans import evidence, flows, graphs, linking
 from caseweave.plans._plain import plain
 
 
@@ -26,7 +28,7 @@ def case_timeline(spark, sf_dir):
 
 
 def case_timelines(spark, sf_dir):
-    return plain(cases.timeline(transfers(spark, sf_dir), kind="TRANSFER", least=50))
+    return plain(cases.timeline(transfers(spark, sf_dir), kind="TRANSFER"))
 
 
 def case_appearances(spark, sf_dir):
@@ -35,11 +37,12 @@ def case_appearances(spark, sf_dir):
 
 
 def case_seizures(spark, sf_dir):
-    return cases.seizures(transfers(spark, sf_dir), _scores(spark, sf_dir), 30.0).select("entity", "band", "residual", "last_ts")
+    t = transfers(spark, sf_dir).withColumn("balance_after", (F.col("amount") * 10).cast("decimal(18,2)"))
+    return cases.seizures(t, _scores(spark, sf_dir), 30.0)
 
 
 def case_neighbours(spark, sf_dir):
-    every = links.fund_flow(transfers(spark, sf_dir)).unionByName(links.shared_attribute(device_events(spark, sf_dir).filter("imei < 20"), "phone", "imei", "SHARED_IMEI", hub=40))
+    every = linking._merged(spark, sf_dir).filter("a <> b")
     return cases.neighbours(every).groupBy("entity", "link_type").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
 
 
@@ -64,9 +67,97 @@ def current_scores(spark, sf_dir):
     return graph.current(versions, ["entity"])
 
 
+def _reasons(spark, sf_dir) -> DataFrame:
+    return rules.reasons(flows._frame(spark, sf_dir), flows._rules())
+
+
+def _refs(spark, sf_dir, reasons: DataFrame) -> DataFrame:
+    t = transfers(spark, sf_dir)
+    rows = cases.rule_events(t, device_events(spark, sf_dir), flows._calls(spark, sf_dir))
+    name = F.concat(F.lit("file-"), (F.col("event_id") % 5).cast("string"))
+    files = events(spark, sf_dir).select("event_id", name.alias("file"), F.col("event_id").alias("source_row"), F.sha2(name, 256).alias("sha256"))
+    return cases.evidence_refs(reasons, rows, files, 3)
+
+
 def reason_evidence(spark, sf_dir):
-    ends = transfers(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("entity"), "event_id", "amount", F.concat(F.lit("file-"), (F.col("event_id") % 5).cast("string")).alias("file"), F.col("event_id").alias("source_row"))
-    return cases.evidence_refs(rules.reasons(flows._frame(spark, sf_dir), flows._rules()), ends, 3)
+    return _refs(spark, sf_dir, _reasons(spark, sf_dir))
+
+
+def unsupported_reasons(spark, sf_dir):
+    """How many fired reasons no event supports: mail is not among the events, so only forged headers may."""
+    reasons = cut(_reasons(spark, sf_dir))
+    return cases.unsupported(reasons, _refs(spark, sf_dir, reasons)).groupBy("rule_code").agg(F.count("*").alias("n"))
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    name = F.coalesce("source", F.lit("none"))
+    own = table(spark, sf_dir, "documents").groupBy(name.alias("case_id")).agg(F.count("*").alias("files"))
+    status = F.when(F.col("files") % 2 == 0, "OPEN").otherwise("CLOSED")
+    return own.select("case_id", F.concat(F.lit("Case of "), F.col("case_id")).alias("title"), status.alias("status"), "files")
+
+
+def case_search(spark, sf_dir):
+    return cases.found_cases(_cases(spark, sf_dir), text="A", status="OPEN")
+
+
+def case_list(spark, sf_dir):
+    """All cases, those of most files first."""
+    return cases.listed(_cases(spark, sf_dir), [F.desc("files"), F.col("case_id")])
+
+
+def recent_events(spark, sf_dir):
+    return plain(cases.listed(transfers(spark, sf_dir), [F.desc("ts"), F.col("event_id")], 100)).select("place", "event_id", "src", "dst", "amount")
+
+
+def ordered_rejects(spark, sf_dir):
+    """Rejects by file and row."""
+    bad = ingest.rejects(ingest.events(evidence._rows(spark, sf_dir), "BANK"))
+    return cases.listed(bad, [F.col("evidence_file_id"), F.col("source_row")]).select("place", "evidence_file_id", "source_row", "reason", "raw_line")
+
+
+def case_timeline_filtered(spark, sf_dir):
+    return plain(cases.timeline(transfers(spark, sf_dir), kind="UPI_TXN", amount_text="9"))
+
+
+def entity_search(spark, sf_dir):
+    """Phones with these digits, and their account's score where it is at least MEDIUM."""
+    own = ingest.entities(evidence._mentions(spark, sf_dir, "true"))
+    hit = cases.search(own, "+91980000", "PHONE").withColumn("entity", F.substring("normalized", -8, 8).cast("bigint"))
+    return hit.join(_scores(spark, sf_dir).filter("band <> 'LOW'"), "entity").select("entity", "normalized", "occurrences", "score", "band")
+
+
+def entity_by_id(spark, sf_dir):
+    """The entity of the smallest id."""
+    own = ingest.entities(evidence._mentions(spark, sf_dir, "true")).withColumn("id", normalize.entity_id(F.col("case_id"), F.col("entity_type"), F.col("normalized")))
+    return own.join(own.agg(F.min("id").alias("id")), "id").select("id", "normalized", "occurrences")
+
+
+def scores_on_path(spark, sf_dir):
+    """MEDIUM accounts on a day-long trail from a victim to a cash-out end for which the cash-out rule fired."""
+    on = graphs._trails(spark, sf_dir).select(F.explode("path").alias("node"))
+    return cases.found_scores(_scores(spark, sf_dir), "MEDIUM", on, "R08").select("entity", "score", "band", "rules_fired")
+
+
+def case_gates(spark, sf_dir):
+    """Whether a brief may be made of each conversation's case."""
+    said = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("case_id"))
+    own = said.agg(F.count_if(F.col("role") == "user").alias("suspects"), (F.max("turn") * 6).alias("hours_since_check"), F.count_if(F.length("text") < 20).alias("low_confidence_mappings"))
+    return cases.gates(own)
+
+
+def graph_data(spark, sf_dir):
+    """Flows among the 50 accounts of the highest scores, with their number of transfers and total."""
+    t = transfers(spark, sf_dir)
+    top = _scores(spark, sf_dir).orderBy(F.desc("score"), "entity").limit(50).select(F.col("entity").alias("node"))
+    inside = links.fund_flow(t).select(F.col("a").alias("src"), F.col("b").alias("dst"), "support", "total_amount")
+    kept = inside.join(top.withColumnRenamed("node", "src"), "src", "left_semi").join(top.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return plain(kept)
+
+
+def cluster_members(spark, sf_dir):
+    """The accounts of each cluster of flows and shared handsets."""
+    shared = linking._merged(spark, sf_dir).filter("a <> b and (link_type = 'SHARED_IMEI' or link_type = 'FUND_FLOW')")
+    return graph.components(shared.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def pipeline_steps(spark, sf_dir):
@@ -75,7 +166,7 @@ def pipeline_steps(spark, sf_dir):
 
 
 def top_subgraph(spark, sf_dir):
-    return graph.top_subgraph(transfers(spark, sf_dir), _scores(spark, sf_dir), 20).distinct()
+    return graph.top_subgraph(transfers(spark, sf_dir), _scores(spark, sf_dir)).distinct()
 
 
 def rule_weights(spark, sf_dir):
@@ -100,9 +191,8 @@ def flag_evaluation(spark, sf_dir):
 
 
 def case_brief(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
-    clusters = graph.components(transfers(spark, sf_dir).filter("event_type = 'TRANSFER' and amount > 100"))
-    return cases.brief(scores, cases.seizures(transfers(spark, sf_dir), scores, 30.0), clusters, "case-1")
+    scores, t = cut(_scores(spark, sf_dir)), transfers(spark, sf_dir)
+    return cases.brief(scores, cases.seizures(t, scores, 30.0), graph.components(t), "case-1", events=t, audit_heads=evidence.audit_heads(spark, sf_dir))
 
 
 _BASE = flows._FRAME
@@ -110,7 +200,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         case_dashboard, case_timeline, case_timelines, case_appearances, case_seizures, case_neighbours, score_history, current_scores, reason_evidence, pipeline_steps,
-        top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief, case_neighbour_classes,
+        top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief, case_neighbour_classes, unsupported_reasons, case_search, case_list, recent_events,
+        ordered_rejects, case_timeline_filtered, entity_search, entity_by_id, scores_on_path, case_gates, graph_data, cluster_members,
     )
 }
 
@@ -122,18 +213,52 @@ SQL = {
   arg_min(band, {'s': -score, 'e': entity}) AS top_band, arg_min(entity, {'s': -score, 'e': entity}) AS top_entity FROM banded""",
     "case_timeline": _BASE + f"SELECT 7::BIGINT AS entity, {_LINE} FROM tr WHERE src = 7 OR dst = 7 WINDOW w AS (ORDER BY ts, event_id)",
     "case_timelines": _BASE
-    + f"SELECT entity, {_LINE} FROM (SELECT *, unnest([src, dst]) AS entity FROM tr WHERE event_type = 'TRANSFER' AND amount >= 50) WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)",
+    + f"SELECT entity, {_LINE} FROM (SELECT *, unnest([src, dst]) AS entity FROM tr WHERE event_type = 'TRANSFER') WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)",
     "case_appearances": _BASE + "SELECT entity, 'file-' || (event_id % 5) AS file, count(*) AS n FROM (SELECT event_id, unnest([src, dst]) AS entity FROM tr) GROUP BY ALL",
     "case_seizures": _BASE
-    + """SELECT entity, band, round(residual, 2) AS residual, last_ts FROM banded JOIN (
-  SELECT entity, sum(x)::DOUBLE AS residual, max(ts) AS last_ts FROM (SELECT dst AS entity, amount AS x, ts FROM tr UNION ALL SELECT src, -amount, ts FROM tr) GROUP BY entity) USING (entity)
+    + """SELECT entity, band, round(residual, 2) AS residual, balance, last_ts, 'HDFC0' || lpad((entity % 1000)::VARCHAR, 6, '0') AS ifsc,
+  'Freeze account ' || entity || ' at HDFC0' || lpad((entity % 1000)::VARCHAR, 6, '0') || ': ' || format('{:,.2f}', round(residual, 2)) || ' left' AS advice FROM banded JOIN (
+  SELECT entity, sum(x)::DOUBLE AS residual, max(ts) AS last_ts, (arg_max(-x * 10, {'t': ts, 'e': event_id}) FILTER (o = 1))::DOUBLE AS balance
+  FROM (SELECT dst AS entity, amount AS x, ts, event_id, 0 AS o FROM tr UNION ALL SELECT src, -amount, ts, event_id, 1 FROM tr) GROUP BY entity) USING (entity)
 WHERE score >= 30 AND residual > 0""",
-    "case_neighbours": _BASE
-    + """, u AS (SELECT DISTINCT phone AS e, imei AS v FROM dev WHERE imei < 20), sz AS (SELECT v FROM u GROUP BY v HAVING count(*) BETWEEN 2 AND 40),
-lk AS (SELECT DISTINCT src AS a, dst AS b, 'FUND_FLOW' AS link_type FROM tr UNION ALL
-       SELECT DISTINCT x.e, y.e, 'SHARED_IMEI' FROM u x JOIN sz USING (v) JOIN u y ON x.v = y.v AND x.e < y.e),
+    "case_neighbours": linking._BASE
+    + """, lk AS (SELECT a, b, link_type FROM (FROM pairs UNION ALL FROM stars) WHERE a <> b),
 nb AS (SELECT a AS entity, b AS other, link_type FROM lk UNION ALL SELECT b, a, link_type FROM lk)
 SELECT entity, link_type, count(*) AS n, count(DISTINCT other) AS others FROM nb GROUP BY ALL""",
+    "case_neighbour_classes": linking._BASE
+    + """SELECT entity, link_type, NULL::VARCHAR AS value, count(DISTINCT other) AS others FROM (SELECT src AS entity, dst AS other, 'FUND_FLOW' AS link_type FROM tr UNION ALL SELECT dst, src, 'FUND_FLOW' FROM tr) GROUP BY ALL
+UNION ALL SELECT entity, link_type, value, users - 1 FROM c_SHARED_IMEI""",
+    "cluster_members": linking._BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, und AS (SELECT a AS src, b AS dst FROM (FROM pairs UNION ALL FROM stars) WHERE a <> b AND link_type IN ('SHARED_IMEI', 'FUND_FLOW')), two AS (SELECT src, dst FROM und UNION SELECT dst, src FROM und),
+lab AS (SELECT src AS node, src AS root FROM two UNION SELECT u.dst, l.root FROM lab l JOIN two u ON u.src = l.node)
+SELECT node, min(root) AS component FROM lab GROUP BY node""",
+    "unsupported_reasons": _BASE + "SELECT rule_code, count(*) AS n FROM reason WHERE triggered = 1 AND rule_code = 'R09' GROUP BY rule_code",
+    "case_search": "WITH " + (_CASES := """c AS (SELECT coalesce(source, 'none') AS case_id, 'Case of ' || coalesce(source, 'none') AS title, CASE WHEN count(*) % 2 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS status, count(*) AS files
+  FROM documents GROUP BY coalesce(source, 'none'))
+""")
+    + "SELECT * FROM c WHERE status = 'OPEN' AND (contains(lower(title), 'a') OR contains(lower(case_id), 'a'))",
+    "case_list": "WITH " + _CASES + "SELECT *, row_number() OVER (ORDER BY files DESC, case_id) AS place FROM c",
+    "recent_events": _BASE + "SELECT row_number() OVER (ORDER BY ts DESC, event_id) AS place, event_id, src, dst, amount::DOUBLE AS amount FROM tr QUALIFY place <= 100",
+    "ordered_rejects": evidence._BANK
+    + """SELECT row_number() OVER (ORDER BY evidence_file_id, source_row) AS place, evidence_file_id, source_row, reason, raw_line FROM why WHERE reason IS NOT NULL""",
+    "case_timeline_filtered": _BASE
+    + f"SELECT entity, {_LINE} FROM (SELECT *, unnest([src, dst]) AS entity FROM tr WHERE event_type = 'UPI_TXN' AND contains(amount::VARCHAR, '9')) WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id)",
+    "entity_search": _BASE
+    + """, ph AS (SELECT '+9198' || lpad(src::VARCHAR, 8, '0') AS normalized, src AS entity, count(*) AS occurrences FROM ev GROUP BY src)
+SELECT entity, normalized, occurrences, score, band FROM ph JOIN banded USING (entity) WHERE contains(normalized, '+91980000') AND band <> 'LOW'""",
+    "entity_by_id": evidence._PHONES
+    + """, i AS (SELECT sha256('case-1:PHONE:' || normalized) AS id, normalized, count(*) AS occurrences FROM ph GROUP BY normalized)
+SELECT id, normalized, occurrences FROM i ORDER BY id LIMIT 1""",
+    "scores_on_path": _BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, trail(source, e, path, t0, t) AS (
+  SELECT src, dst, [src, dst], ts, ts FROM tr WHERE src NOT IN (SELECT dst FROM tr)
+  UNION ALL SELECT source, dst, list_append(path, dst), t0, ts FROM trail JOIN tr ON e = src AND ts > t AND ts <= t0 + INTERVAL '1440 minutes' WHERE NOT list_contains(path, dst) AND len(path) < 7),
+onp AS (SELECT DISTINCT unnest(path) AS node FROM trail WHERE e IN (SELECT dst FROM tr WHERE event_type = 'ATM_WITHDRAWAL'))
+SELECT entity, score, band, rules_fired FROM banded WHERE band = 'MEDIUM' AND contains(rules_fired, 'R08') AND entity IN (FROM onp)""",
+    "case_gates": """SELECT conv_id AS case_id, coalesce(max(turn) * 6 < 24 AND count(*) FILTER (role = 'user') >= 1 AND count(*) FILTER (length(text) < 20) = 0, false) AS ready FROM conversations GROUP BY conv_id""",
+    "graph_data": _BASE
+    + """, top AS (SELECT entity FROM banded ORDER BY score DESC, entity LIMIT 50)
+SELECT src, dst, count(*) AS support, sum(amount)::DOUBLE AS total_amount FROM tr WHERE src IN (FROM top) AND dst IN (FROM top) GROUP BY src, dst""",
     "score_history": _BASE
     + "".join(
         f""", g{k} AS (SELECT entity, {k} AS run_no, round(CASE WHEN ia > 0 THEN least(1.0::DOUBLE, coalesce(oa, 0)::DOUBLE / ia::DOUBLE) ELSE 0.0::DOUBLE END, 4) AS p, ic
@@ -144,13 +269,20 @@ SELECT entity, link_type, count(*) AS n, count(DISTINCT other) AS others FROM nb
 SELECT *, round(score - lag(score) OVER (PARTITION BY entity ORDER BY run_no), 4) AS change, run_no = (SELECT max(run_no) FROM vs) AS is_current FROM vs""",
     "current_scores": _BASE + "SELECT src AS entity, max(event_id % 3) AS run_no, 'case-1' AS case_id FROM tr GROUP BY src",
     "reason_evidence": _BASE
-    + """SELECT entity, rule_code, event_id, file, source_row FROM (
-  SELECT r.entity, rule_code, event_id, 'file-' || (event_id % 5) AS file, event_id AS source_row, row_number() OVER (PARTITION BY r.entity, rule_code ORDER BY amount DESC, event_id) AS n
-  FROM reason r JOIN (SELECT event_id, amount, unnest([src, dst]) AS entity FROM tr) e ON e.entity = r.entity WHERE triggered = 1) WHERE n <= 3""",
+    + """, credited AS (SELECT o.*, e.event_id, EXISTS (SELECT 1 FROM tr c WHERE c.dst = o.entity AND c.ts BETWEEN o.ts - INTERVAL '60 minutes' AND o.ts) AS after_credit
+  FROM (SELECT src AS entity, 0 AS incoming, amount, ts, event_type, event_id AS eid FROM tr UNION ALL SELECT dst, 1, amount, ts, event_type, event_id FROM tr) o JOIN ev e ON e.event_id = o.eid),
+met AS (
+  SELECT entity, 'R01' AS rule_code, event_id, amount FROM credited WHERE incoming = 0 AND after_credit UNION SELECT entity, 'R02', event_id, amount FROM credited WHERE incoming = 1
+  UNION SELECT entity, unnest(['R03', 'R04']), event_id, amount FROM credited WHERE incoming = 0 UNION SELECT entity, unnest(['R07', 'R12']), event_id, amount FROM credited
+  UNION SELECT entity, 'R08', event_id, amount FROM credited WHERE event_type = 'ATM_WITHDRAWAL' UNION SELECT entity, 'R10', event_id, amount FROM credited WHERE hour(ts + INTERVAL '330 minutes') < 5
+  UNION SELECT phone, unnest(['R05', 'R06']), event_id, 0 FROM dev UNION SELECT victim, 'R11', transfer_id, 0 FROM ctt)
+SELECT entity, rule_code, event_id, 'file-' || (event_id % 5) AS file, event_id AS source_row, sha256('file-' || (event_id % 5)) AS sha256 FROM (
+  SELECT r.entity, r.rule_code, event_id, row_number() OVER (PARTITION BY r.entity, r.rule_code ORDER BY amount DESC, event_id) AS n
+  FROM reason r JOIN met m ON m.entity = r.entity AND m.rule_code = r.rule_code WHERE triggered = 1) WHERE n <= 3""",
     "pipeline_steps": """SELECT c.conv_id AS case_id, s.step, max(turn) FILTER (role = step) IS NOT NULL AS done, max(turn) FILTER (role = step) AS last
 FROM conversations c, (SELECT unnest(['system', 'user', 'assistant']) AS step) s GROUP BY ALL""",
     "top_subgraph": _BASE
-    + ", top AS (SELECT entity FROM banded ORDER BY score DESC, entity LIMIT 20) SELECT DISTINCT src, dst FROM tr WHERE src IN (FROM top) AND dst IN (FROM top)",
+    + ", top AS (SELECT entity FROM banded ORDER BY score DESC, entity LIMIT 50) SELECT DISTINCT src, dst FROM tr WHERE src IN (FROM top) AND dst IN (FROM top)",
     "rule_weights": _BASE
     + "SELECT rule_code, name, weight, fired FROM (VALUES "
     + ", ".join(f"('{c}', '{r['name']}', {r['weight']}::DOUBLE)" for c, r in RULES.items())

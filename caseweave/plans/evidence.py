@@ -18,7 +18,7 @@ def text_identifiers(spark, sf_dir):
 
 def classified_identifiers(spark, sf_dir):
     found = normalize.text_identifiers(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "raw", normalize.classified(F.regexp_replace("raw", "[() -]", "")).alias("entity_type")).distinct()
+    return found.select("doc_id", "raw", normalize.classified(F.col("raw")).alias("entity_type")).distinct()
 
 
 def _raw_phones(spark, sf_dir) -> DataFrame:
@@ -42,7 +42,28 @@ def normalized_devices(spark, sf_dir):
 
 def ip_prefixes(spark, sf_dir):
     found = normalize.text_identifiers(table(spark, sf_dir, "documents")).filter("kind = 'IP'")
-    return found.select("doc_id", "raw", normalize.ipv4(F.col("raw")).alias("ip"), normalize.ip_prefix(F.col("raw")).alias("net")).distinct()
+    return found.select("doc_id", "raw", normalize.ip(F.col("raw")).alias("ip"), normalize.ip_prefix(F.col("raw")).alias("net")).distinct()
+
+
+def ipv6_prefixes(spark, sf_dir):
+    """Addresses made of event numbers, written in long and short forms, and their /64."""
+    low = F.lower(F.hex(F.col("event_id") % 4096))
+    long = F.concat(F.lit("2001:0DB8:0000:00"), F.lpad(F.upper(F.hex(F.col("event_id") % 256)), 2, "0"), F.lit(":0000:0000:0000:"), F.lpad(F.upper(low), 4, "0"))
+    short = F.concat(F.lit("2001:db8:0:"), F.lower(F.hex(F.col("event_id") % 256)), F.lit("::"), low)
+    raw = F.when(F.col("event_id") % 2 == 0, long).otherwise(short)
+    rows = events(spark, sf_dir).select("event_id", raw.alias("raw"))
+    return rows.select("event_id", normalize.ip(F.col("raw")).alias("ip"), normalize.ip_prefix(F.col("raw")).alias("net"))
+
+
+def entity_uuids(spark, sf_dir):
+    own = ingest.entities(_mentions(spark, sf_dir, "true"))
+    return own.select("normalized", normalize.entity_uuid(F.col("case_id"), F.col("entity_type"), F.col("normalized")).alias("id"))
+
+
+def email_forms(spark, sf_dir):
+    """Addresses in texts with their domain in lower case, and the domain."""
+    found = normalize.text_identifiers(table(spark, sf_dir, "documents")).filter("kind = 'EMAIL'")
+    return found.select("doc_id", normalize.email(F.col("raw")).alias("email"), normalize.email_domain(F.col("raw")).alias("domain")).distinct()
 
 
 def parsed_times(spark, sf_dir):
@@ -75,6 +96,7 @@ def _rows(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("SBI "), F.lpad(F.col("dst").cast("string"), 10, "0")).alias("credit_account"),
         F.when(F.col("event_id") % 70 == 1, F.concat(F.lit("-"), F.col("amount").cast("string"))).otherwise(F.concat(F.lit("Rs "), F.col("amount").cast("string"))).alias("amount"),
         F.when(F.col("event_id") % 9 == 0, "ATM").otherwise("NEFT").alias("channel"),
+        F.concat(F.lit("line "), F.col("event_id").cast("string")).alias("raw_line"),
     )
 
 
@@ -124,55 +146,113 @@ def manifest_diff(spark, sf_dir):
     return integrity.manifest_diff(then, now)
 
 
+def _payload() -> dict:
+    return {"role": F.col("action"), "text": F.sha2("text", 256)}
+
+
 def _chain(spark, sf_dir) -> DataFrame:
+    """Each conversation as a case's audit log: a turn is an entry, its role the action, its text the payload."""
     rows = table(spark, sf_dir, "conversations").filter("text is not null")
-    entries = integrity.hashed_entries(rows, "conv_id", "turn", {"role": F.col("role"), "text": F.sha2("text", 256)}, ["role"])
-    return integrity.chained(entries, "conv_id", "turn")
+    actions = rows.select(
+        F.col("conv_id").alias("case_id"),
+        F.col("turn").alias("seq"),
+        F.date_format(F.timestamp_seconds(F.lit(1767225600) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"),
+        F.concat(F.lit("B-"), (F.col("conv_id") % 5).cast("string")).alias("officer_badge"),
+        F.col("role").alias("action"),
+        F.when(F.col("turn") % 3 != 2, "conversation").alias("target_type"),
+        F.when(F.col("turn") % 3 != 2, F.col("conv_id").cast("string")).alias("target_id"),
+        "text",
+    )
+    return integrity.chained(integrity.hashed_entries(actions, _payload()))
+
+
+def _tampered(spark, sf_dir) -> DataFrame:
+    """The chains after some texts, some actions and some stored hashes were changed."""
+    c, second = _chain(spark, sf_dir), F.col("seq") == 1
+    c = c.withColumn("text", F.when((F.col("case_id") % 7 == 3) & second, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    c = c.withColumn("action", F.when((F.col("case_id") % 11 == 4) & second, F.lit("system")).otherwise(F.col("action")))
+    return c.withColumn("payload_hash", F.when((F.col("case_id") % 13 == 5) & second, F.reverse("payload_hash")).otherwise(F.col("payload_hash")))
 
 
 def audit_chain(spark, sf_dir):
-    return _chain(spark, sf_dir).select("conv_id", "turn", "payload_hash", "prev_hash", "entry_hash")
+    return _chain(spark, sf_dir).select("case_id", "seq", "payload_hash", "prev_hash", "entry_hash")
 
 
 def audit_heads(spark, sf_dir):
-    return integrity.heads(_chain(spark, sf_dir), "conv_id", "turn")
+    return integrity.heads(_chain(spark, sf_dir))
+
+
+def audit_entries(spark, sf_dir):
+    """What one officer did as a user in the first two minutes."""
+    found = integrity.filtered(_chain(spark, sf_dir), action="user", officer="B-2", since="2026-01-01T00:00:00Z", until="2026-01-01T00:02:00Z")
+    return found.select("case_id", "seq", "occurred_at", "officer_badge", "action", "entry_hash")
 
 
 def audit_verification(spark, sf_dir):
-    """Chains after a byte was changed in some and a row dropped from others."""
-    chain = _chain(spark, sf_dir).withColumn("payload_hash", F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 1), F.reverse("payload_hash")).otherwise(F.col("payload_hash")))
-    chain = chain.filter(~((F.col("conv_id") % 5 == 2) & (F.col("turn") == 1)))
-    return integrity.verified(chain, "conv_id", "turn")
+    """Tampered chains, and rows dropped from others."""
+    chain = _tampered(spark, sf_dir).filter(~((F.col("case_id") % 5 == 2) & (F.col("seq") == 1)))
+    return integrity.verified(chain, _payload())
+
+
+def audit_appended(spark, sf_dir):
+    """Chains whose later half was appended to the heads of the earlier one: the same hashes as in one go."""
+    whole = _chain(spark, sf_dir)
+    old = whole.filter("seq < 3")
+    new = whole.filter("seq >= 3").drop("prev_hash", "entry_hash")
+    return old.unionByName(integrity.chained(new, integrity.heads(old))).select("case_id", "seq", "payload_hash", "prev_hash", "entry_hash")
 
 
 def case_integrity(spark, sf_dir):
-    chain = _chain(spark, sf_dir).withColumn("payload_hash", F.when((F.col("conv_id") % 7 == 3) & (F.col("turn") == 1), F.reverse("payload_hash")).otherwise(F.col("payload_hash")))
-    files = manifest_diff(spark, sf_dir).select((F.col("name") % 150).alias("conv_id"), "status")
-    return integrity.case_status(integrity.verified(chain, "conv_id", "turn"), files, "conv_id")
+    files = manifest_diff(spark, sf_dir).select((F.col("name") % 150).alias("case_id"), "status")
+    return integrity.case_status(integrity.verified(_tampered(spark, sf_dir), _payload()), files, "case_id")
+
+
+def evidence_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), "text").filter("text is not null")
+    return integrity.manifest_lines(integrity.inventory(docs, "name", "text"), _chain(spark, sf_dir)).distinct()
+
+
+def evidence_active(spark, sf_dir):
+    """Files without the excluded ones; an exclusion without a reason is none."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), "text").filter("text is not null")
+    reason = F.when(F.col("name") % 29 == 0, " ").otherwise("not of this case")
+    out = docs.filter("name % 23 = 0 or name % 29 = 0").select("name", reason.alias("reason"))
+    return integrity.excluded(integrity.inventory(docs, "name", "text"), out)
+
+
+def evidence_status(spark, sf_dir):
+    """The register with what became of each file since its manifest."""
+    return integrity.inventory(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), "text").filter("text is not null"), "name", "text").join(manifest_diff(spark, sf_dir), "name", "left")
 
 
 _CHAIN = r"""WITH RECURSIVE base AS (
-  SELECT conv_id, turn, role, sha256('{"role":"' || role || '","text":"' || sha256(text) || '"}') AS payload_hash FROM conversations WHERE text IS NOT NULL),
-parts AS (SELECT *, concat_ws(chr(31), conv_id, turn, role, payload_hash) AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM base),
+  SELECT conv_id AS case_id, turn AS seq, strftime(TIMESTAMP '2026-01-01' + INTERVAL 1 MINUTE * turn, '%Y-%m-%dT%H:%M:%SZ') AS occurred_at, 'B-' || (conv_id % 5) AS officer_badge,
+         role AS action, CASE WHEN turn % 3 <> 2 THEN 'conversation' ELSE '' END AS target_type, CASE WHEN turn % 3 <> 2 THEN conv_id::VARCHAR ELSE '' END AS target_id,
+         sha256('{"role":"' || role || '","text":"' || sha256(text) || '"}') AS payload_hash FROM conversations WHERE text IS NOT NULL),
+parts AS (SELECT *, concat_ws(chr(31), seq, occurred_at, officer_badge, action, target_type, target_id, payload_hash) AS p, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS pos FROM base),
 chain AS (
-  SELECT conv_id, turn, pos, p, payload_hash, repeat('0', 64) AS prev_hash, sha256(p || chr(31) || repeat('0', 64)) AS entry_hash FROM parts WHERE pos = 1
-  UNION ALL SELECT b.conv_id, b.turn, b.pos, b.p, b.payload_hash, c.entry_hash, sha256(b.p || chr(31) || c.entry_hash) FROM chain c JOIN parts b ON b.conv_id = c.conv_id AND b.pos = c.pos + 1),
+  SELECT case_id, seq, occurred_at, officer_badge, action, pos, p, payload_hash, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || chr(31) || p) AS entry_hash FROM parts WHERE pos = 1
+  UNION ALL SELECT b.case_id, b.seq, b.occurred_at, b.officer_badge, b.action, b.pos, b.p, b.payload_hash, c.entry_hash, sha256(c.entry_hash || chr(31) || b.p)
+  FROM chain c JOIN parts b ON b.case_id = c.case_id AND b.pos = c.pos + 1),
 v1 AS (
-  SELECT conv_id, turn, entry_hash, prev_hash, (conv_id % 7 = 3 AND turn = 1 AND reverse(payload_hash) <> payload_hash) AS flip FROM chain),
+  SELECT case_id, seq, entry_hash, prev_hash,
+         seq = 1 AND (case_id % 7 = 3 OR (case_id % 11 = 4 AND action <> 'system') OR (case_id % 13 = 5 AND reverse(payload_hash) <> payload_hash)) AS flip FROM chain),
 """
 _MANIFEST = """docs AS (SELECT doc_id AS name, text FROM documents WHERE text IS NOT NULL),
 thn AS (SELECT name, sha256(text) AS x FROM docs WHERE name % 17 <> 3),
 nw AS (SELECT name, sha256(CASE WHEN name % 19 = 7 THEN text || '.' ELSE text END) AS y FROM docs WHERE name % 13 <> 5),
 diff AS (SELECT coalesce(thn.name, nw.name) AS name, CASE WHEN y IS NULL THEN 'MISSING' WHEN x IS NULL THEN 'NEW' WHEN x = y THEN 'UNCHANGED' ELSE 'CHANGED' END AS status FROM thn FULL JOIN nw USING (name))
 """
-_VERIFIED = """dropped AS (SELECT * FROM v1 WHERE NOT (conv_id % 5 = 2 AND turn = 1)),
-linked AS (SELECT *, lag(entry_hash) OVER w AS p, lag(turn) OVER w AS s FROM dropped WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-checked AS (SELECT conv_id, turn, flip OR prev_hash <> coalesce(p, repeat('0', 64)) OR turn <> coalesce(s + 1, 0) AS bad FROM linked)
+_VERIFIED = """dropped AS (SELECT * FROM v1 WHERE NOT (case_id % 5 = 2 AND seq = 1)),
+linked AS (SELECT *, lag(entry_hash) OVER w AS p, lag(seq) OVER w AS s FROM dropped WINDOW w AS (PARTITION BY case_id ORDER BY seq)),
+checked AS (SELECT case_id, seq, flip OR prev_hash <> coalesce(p, repeat('0', 64)) OR seq <> coalesce(s + 1, 0) AS bad FROM linked)
 """
-_IDS = r"""WITH found AS (
-  SELECT doc_id, 'EMAIL' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS raw FROM documents
+_IDS = r"""WITH adr AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]')) AS raw FROM documents),
+found AS (
+  SELECT doc_id, 'EMAIL' AS kind, raw FROM adr WHERE regexp_matches(raw, '@[^@]*\.[A-Za-z]{2,}$')
+  UNION ALL SELECT doc_id, 'UPI_HANDLE', raw FROM adr WHERE regexp_matches(raw, '@[A-Za-z]+$')
   UNION ALL SELECT doc_id, 'IP', unnest(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) FROM documents
-  UNION ALL SELECT doc_id, 'PHONE', unnest(regexp_extract_all(text, '\+[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}')) FROM documents
+  UNION ALL SELECT doc_id, 'PHONE', unnest(regexp_extract_all(text, '\+?[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}|\+91[ -]?[0-9]{10}\b|\b[6-9][0-9]{9}\b')) FROM documents
   UNION ALL SELECT doc_id, 'IMEI', unnest(regexp_extract_all(text, '\b[0-9]{15,16}\b')) FROM documents)
 """
 _BANK = (
@@ -181,7 +261,7 @@ _BANK = (
     + """, bank AS (
   SELECT event_id AS source_row, 'file-' || (event_id % 5) AS evidence_file_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE date_trunc('second', ts) END AS occurred_at,
          CASE WHEN event_type = 'UPI_TXN' OR event_type = 'TRANSFER' THEN CASE WHEN event_id % 9 = 0 THEN 'ATM_WITHDRAWAL' ELSE 'TRANSFER' END END AS event_type,
-         'HDFC' || lpad(src::VARCHAR, 10, '0') AS src, 'SBI' || lpad(dst::VARCHAR, 10, '0') AS dst, CASE WHEN event_id % 70 = 1 THEN -amount ELSE amount END::DOUBLE AS amount
+         'HDFC' || lpad(src::VARCHAR, 10, '0') AS src, 'SBI' || lpad(dst::VARCHAR, 10, '0') AS dst, CASE WHEN event_id % 70 = 1 THEN -amount ELSE amount END::DOUBLE AS amount, 'line ' || event_id AS raw_line
   FROM ev WHERE event_type IN ('TRANSFER', 'UPI_TXN')),
 why AS (SELECT *, CASE WHEN occurred_at IS NULL THEN 'unreadable time' WHEN amount < 0 THEN 'negative amount' END AS reason FROM bank)
 """
@@ -200,18 +280,19 @@ ent AS (SELECT CASE WHEN event_id < 600 THEN 0 ELSE 1 END AS load, normalized, c
 QUERIES = {
     f.__name__: f
     for f in (
-        text_identifiers, classified_identifiers, normalized_phones, normalized_devices, ip_prefixes, parsed_times, parsed_amounts, ingested_events, ingest_rejects,
-        ingest_counts, ingest_quality, resolved_entities, entity_upsert, evidence_inventory, manifest_diff, audit_chain, audit_heads, audit_verification, case_integrity,
+        text_identifiers, classified_identifiers, normalized_phones, normalized_devices, ip_prefixes, ipv6_prefixes, entity_uuids, email_forms, parsed_times, parsed_amounts, ingested_events, ingest_rejects,
+        ingest_counts, ingest_quality, resolved_entities, entity_upsert, evidence_inventory, manifest_diff, audit_chain, audit_appended, audit_heads, audit_entries, audit_verification, case_integrity,
+        evidence_manifest, evidence_active, evidence_status,
     )
 }
 
 SQL = {
     "text_identifiers": _IDS + "SELECT kind, raw, count(*) AS n, count(DISTINCT doc_id) AS documents FROM found GROUP BY kind, raw",
     "classified_identifiers": _IDS
-    + r""", v AS (SELECT DISTINCT doc_id, raw, regexp_replace(raw, '[() -]', '', 'g') AS x FROM found)
-SELECT doc_id, raw, CASE WHEN regexp_matches(x, '^[0-9]{15}$') THEN 'IMEI' WHEN regexp_matches(x, '^[A-Za-z0-9._-]+@[A-Za-z]{2,}$') THEN 'UPI_HANDLE'
-  WHEN regexp_matches(x, '^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$') THEN 'EMAIL' WHEN regexp_matches(x, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$') THEN 'IP'
-  WHEN regexp_matches(x, '^\+?[0-9]{10,12}$') THEN 'PHONE' WHEN regexp_matches(x, '^[0-9]{9,18}$') THEN 'BANK_ACCOUNT' ELSE 'UNKNOWN' END AS entity_type FROM v""",
+    + r""", v AS (SELECT DISTINCT doc_id, raw, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM found)
+SELECT doc_id, raw, CASE WHEN len(d) = 15 THEN 'IMEI' WHEN regexp_matches(raw, '(?i)^[\w.+-]+@[a-z]+$') THEN 'UPI_HANDLE'
+  WHEN regexp_matches(raw, '(?i)^[\w.+-]+@[\w.-]+\.[a-z]{2,}$') THEN 'EMAIL' WHEN regexp_matches(raw, '^[0-9]{1,3}([.][0-9]{1,3}){3}$') THEN 'IP'
+  WHEN regexp_matches(raw, '^[+]?[0-9][0-9\s().-]{7,}$') AND len(d) BETWEEN 10 AND 12 THEN 'PHONE' WHEN regexp_matches(raw, '^([0-9]{9}|[0-9]{18})$') THEN 'BANK_ACCOUNT' ELSE 'UNKNOWN' END AS entity_type FROM v""",
     "normalized_phones": _PHONES + "SELECT event_id, normalized AS phone FROM ph",
     "normalized_devices": "WITH "
     + EVENTS_SQL
@@ -223,6 +304,10 @@ SELECT event_id, i AS imei, s % 10 = 0 AS imei_luhn_ok, i[1:14] AS imei_base, 'a
   THEN regexp_replace(CASE WHEN ok THEN clean ELSE raw END, '\.[0-9]+$', '.0/24') END AS net
 FROM (SELECT doc_id, raw, list_bool_and(list_transform(string_split(raw, '.'), lambda x: x::INT <= 255)) AS ok,
              array_to_string(list_transform(string_split(raw, '.'), lambda x: x::INT::VARCHAR), '.') AS clean FROM found WHERE kind = 'IP')""",
+    "ipv6_prefixes": """SELECT event_id, CASE WHEN event_id % 256 = 0 AND event_id % 4096 = 0 THEN '2001:db8::' WHEN event_id % 256 = 0 THEN '2001:db8::' || lower(to_hex(event_id % 4096))
+  ELSE '2001:db8:0:' || lower(to_hex(event_id % 256)) || '::' || CASE WHEN event_id % 4096 = 0 THEN '' ELSE lower(to_hex(event_id % 4096)) END END AS ip,
+  CASE WHEN event_id % 256 = 0 THEN '2001:db8::/64' ELSE '2001:db8:0:' || lower(to_hex(event_id % 256)) || '::/64' END AS net FROM events""",
+    "email_forms": _IDS + "SELECT DISTINCT doc_id, split_part(raw, '@', 1) || '@' || lower(split_part(raw, '@', 2)) AS email, lower(split_part(raw, '@', 2)) AS domain FROM found WHERE kind = 'EMAIL'",
     "parsed_times": """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN date_trunc('second', ts) - INTERVAL '330 minutes' END AS at,
   CASE event_id % 3 WHEN 0 THEN CASE WHEN day(ts) <= 12 AND day(ts) <> month(ts) THEN 2 ELSE 1 END WHEN 1 THEN 1 ELSE 0 END::INT AS readings FROM events""",
     "parsed_amounts": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 1 THEN -round(o_totalprice, 2) WHEN 3 THEN NULL ELSE round(o_totalprice, 2) END AS amount FROM orders",
@@ -242,13 +327,22 @@ FROM (SELECT doc_id, raw, list_bool_and(list_transform(string_split(raw, '.'), l
     "evidence_inventory": """SELECT 'doc-' || doc_id AS name, source AS case_id, octet_length(encode(text))::BIGINT AS size_bytes, sha256(text) AS sha256,
   row_number() OVER (PARTITION BY source, sha256(text) ORDER BY 'doc-' || doc_id) > 1 AS is_duplicate FROM documents WHERE text IS NOT NULL""",
     "manifest_diff": "WITH " + _MANIFEST + "SELECT * FROM diff",
-    "audit_chain": _CHAIN.rstrip().rstrip(",") + " SELECT conv_id, turn, payload_hash, prev_hash, entry_hash FROM chain",
-    "audit_heads": _CHAIN.rstrip().rstrip(",") + " SELECT conv_id, max(turn) AS head_seq, arg_max(entry_hash, turn) AS head_hash FROM chain GROUP BY conv_id",
-    "audit_verification": _CHAIN + _VERIFIED + "SELECT conv_id, count(*) AS entries, count(*) FILTER (bad) = 0 AS ok, min(turn) FILTER (bad) AS first_bad_seq FROM checked GROUP BY conv_id",
+    "audit_chain": _CHAIN.rstrip().rstrip(",") + " SELECT case_id, seq, payload_hash, prev_hash, entry_hash FROM chain",
+    "audit_appended": _CHAIN.rstrip().rstrip(",") + " SELECT case_id, seq, payload_hash, prev_hash, entry_hash FROM chain",
+    "audit_heads": _CHAIN.rstrip().rstrip(",") + " SELECT case_id, max(seq) AS head_seq, arg_max(entry_hash, seq) AS head_hash FROM chain GROUP BY case_id",
+    "audit_entries": _CHAIN.rstrip().rstrip(",")
+    + " SELECT case_id, seq, occurred_at, officer_badge, action, entry_hash FROM chain WHERE action = 'user' AND officer_badge = 'B-2' AND occurred_at <= '2026-01-01T00:02:00Z'",
+    "audit_verification": _CHAIN + _VERIFIED + "SELECT case_id, count(*) AS entries, count(*) FILTER (bad) = 0 AS ok, min(seq) FILTER (bad) AS first_bad_seq FROM checked GROUP BY case_id",
     "case_integrity": _CHAIN
     + _MANIFEST
-    + """, whole AS (SELECT conv_id, bool_or(flip) AS broken FROM v1 GROUP BY conv_id),
-f AS (SELECT name % 150 AS conv_id, count(*) FILTER (status IN ('CHANGED', 'MISSING')) AS bad FROM diff GROUP BY 1)
-SELECT coalesce(w.conv_id, f.conv_id) AS conv_id, CASE WHEN coalesce(broken, false) OR coalesce(bad, 0) > 0 THEN 'COMPROMISED' WHEN broken IS NOT NULL AND bad IS NOT NULL THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status
-FROM whole w FULL JOIN f ON w.conv_id = f.conv_id""",
+    + """, whole AS (SELECT case_id, bool_or(flip) AS broken FROM v1 GROUP BY case_id),
+f AS (SELECT name % 150 AS case_id, count(*) FILTER (status IN ('CHANGED', 'MISSING')) AS bad FROM diff GROUP BY 1)
+SELECT coalesce(w.case_id, f.case_id) AS case_id, CASE WHEN coalesce(broken, false) OR coalesce(bad, 0) > 0 THEN 'COMPROMISED' WHEN broken IS NOT NULL AND bad IS NOT NULL THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status
+FROM whole w FULL JOIN f ON w.case_id = f.case_id""",
+    "evidence_manifest": _CHAIN.rstrip().rstrip(",")
+    + """ SELECT DISTINCT '{"kind":"file","name":"' || doc_id || '","sha256":"' || sha256(text) || '"}' AS line FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT '{"case_id":"' || case_id || '","hash":"' || arg_max(entry_hash, seq) || '","kind":"head","seq":' || max(seq) || '}' FROM chain GROUP BY case_id""",
+    "evidence_active": """SELECT doc_id AS name, octet_length(encode(text))::BIGINT AS size_bytes, sha256(text) AS sha256 FROM documents
+WHERE text IS NOT NULL AND NOT (doc_id % 23 = 0 AND doc_id % 29 <> 0)""",
+    "evidence_status": "WITH " + _MANIFEST + "SELECT d.doc_id AS name, octet_length(encode(d.text))::BIGINT AS size_bytes, sha256(d.text) AS sha256, status FROM documents d LEFT JOIN diff ON diff.name = d.doc_id WHERE d.text IS NOT NULL",
 }

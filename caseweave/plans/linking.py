@@ -43,7 +43,7 @@ SHARED: dict[str, tuple[Callable, str, str, int, str]] = {
         "doc_id",
         "domain",
         2,
-        r"SELECT doc_id AS e, lower(split_part(m, '@', 2)) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS m FROM documents)",
+        r"SELECT doc_id AS e, lower(split_part(m, '@', 2)) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]')) AS m FROM documents) WHERE regexp_matches(m, '@[^@]*\.[A-Za-z]{2,}$')",
     ),
     "SHARED_IP_SUBNET": (
         lambda spark, sf: sessions(spark, sf).withColumn("net", normalize.ip_prefix(F.col("ip"))),

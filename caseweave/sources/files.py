@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -24,29 +25,55 @@ def inventory(spark: SparkSession, path: str, least: int = 1, most: int | None =
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
 
 
+def problems(spark: SparkSession, path: str, wanted: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """name, problem of the wanted files (name) under a path: MISSING, EMPTY, TOO_LARGE, CORRUPT (not text), or null."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    problem = F.when(F.col("length") < least, "EMPTY")
+    if most is not None:
+        problem = problem.when(F.col("length") > most, "TOO_LARGE")
+    problem = problem.when(F.contains(F.col("content"), F.lit(bytearray(b"\x00"))), "CORRUPT")
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), problem.alias("problem"), F.lit(True).alias("there"))
+    return wanted.join(found, "name", "left").select("name", F.when(F.col("there").isNull(), "MISSING").otherwise(F.col("problem")).alias("problem"))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, source_row (from 1), line: numbers are counted before each split of a file, then within it."""
+    """path, source_row (from 1), line: numbers are counted before each split of a file, then within it.
+
+    A file of which any line is no UTF-8 is read as Latin-1.
+    """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
     raw = raw.withColumn("order", F.monotonically_increasing_id())
-    sizes = raw.groupBy("path", "block").agg(F.count("*").alias("n"))
+    sizes = raw.groupBy("path", "block").agg(F.count("*").alias("n"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    base = sizes.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.min("utf8").over(Window.partitionBy("path")).alias("utf8"))
     within = Window.partitionBy("path", "block").orderBy("order")
     out = raw.withColumn("r", F.row_number().over(within)).join(base, ["path", "block"])
-    return out.select("path", (F.col("base") + F.col("r")).alias("source_row"), F.regexp_replace("value", "^﻿", "").alias("line"))
+    text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
+    return out.select("path", (F.col("base") + F.col("r")).alias("source_row"), F.regexp_replace(text, "^\ufeff", "").alias("line"))
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """numbered_lines joined where a quoted cell holds line breaks: a record begins at a line with an even number of
+    quotes before it in its file, and has the number of its first line."""
+    quotes = lines.withColumn("q", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    open_ = F.coalesce(F.sum("q").over(Window.partitionBy("path").orderBy("source_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    starts = quotes.withColumn("open", open_)
+    first = F.max(F.when(F.col("open") == 0, F.col("source_row"))).over(Window.partitionBy("path").orderBy("source_row").rowsBetween(Window.unboundedPreceding, 0))
+    rows = starts.withColumn("first", first).groupBy("path", "first").agg(F.array_sort(F.collect_list(F.struct("source_row", "line"))).alias("parts"))
+    return rows.select("path", F.col("first").alias("source_row"), F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line"))
 
 
 def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """path, source_row (2 is the first after the header), headers, cells, reason (null where the row fits its header).
+    """path, source_row (2 is the first after the header), raw_line, headers, cells, reason (null where the row fits).
 
-    Quoted cells may hold separators, not line breaks; a row with more or fewer cells than its header is a reject.
+    Quoted cells may hold separators, doubled quotes and line breaks; a row with more or fewer cells than its header is
+    a reject.
     """
-    lines = numbered_lines(spark, path)
-    cell = rf'(?:^|{re.escape(sep)})(?:"((?:[^"]|"")*)"|([^{re.escape(sep)}]*))'
-    split = lambda c: F.transform(
-        F.regexp_extract_all(c, F.lit(cell), F.lit(0)),
-        lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, rf"^{re.escape(sep)}", ""), '^"(.*)"$', "$1"), '""', '"')),
-    )
+    lines = records(numbered_lines(spark, path))
+    mark = re.escape(sep)
+    one = rf'{mark}(?:"(?:[^"]|"")*"|[^{mark}]*)'  # each cell with the separator before it
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.substr(x, F.lit(len(sep) + 1))), '(?s)^"(.*)"$', "$1"), '""', '"')
+    split = lambda c: F.transform(F.regexp_extract_all(F.concat(F.lit(sep), c), F.lit(one), F.lit(0)), lambda x: F.trim(bare(x)))
     head = lines.filter("source_row = 1").select("path", split(F.col("line")).alias("headers"))
     rows = lines.filter("source_row > 1 and trim(line) <> ''").withColumn("cells", split(F.col("line"))).join(head, "path")
     reason = F.when(F.size("cells") > F.size("headers"), "surplus cells").when(F.size("cells") < F.size("headers"), "missing cells")
@@ -62,23 +89,53 @@ def cell(name: str) -> Column:
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The part that holds the first sheet in the workbook's own order."""
+    names = z.namelist()
+    fallback = min(n for n in names if n.startswith("xl/worksheets/sheet"))
+    if "xl/workbook.xml" not in names or "xl/_rels/workbook.xml.rels" not in names:
+        return fallback
+    sheet = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"), None)
+    if sheet is None:
+        return fallback
+    wanted = next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None)
+    for rel in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+        if rel.get("Id") == wanted:
+            return "xl/" + rel.get("Target", "").removeprefix("/xl/").removeprefix("xl/")
+    return fallback
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[str]:
+    """Numbers of the cell styles that show a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {f.get("numFmtId") for f in root.iter(f"{_MAIN}numFmt") if re.search("[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "").lower()))}
+    dates = own | {str(k) for k in (*range(14, 23), *range(45, 48))}
+    styles = root.find(f"{_MAIN}cellXfs")
+    return {str(k) for k, x in enumerate(styles if styles is not None else []) if x.get("numFmtId") in dates}
+
+
 def _sheet(content: bytes) -> list[list[str]]:
-    """Cells of the first sheet of a workbook, as text."""
+    """Cells of the first sheet of a workbook, as text; dates as yyyy-MM-dd HH:mm:ss."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
         shared: list[str] = []
-        if "xl/sharedStrings.xml" in names:
+        if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
-        first = min(n for n in names if n.startswith("xl/worksheets/sheet"))
+        dates = _date_styles(z)
         rows = []
-        for row in ElementTree.fromstring(z.read(first)).iter(f"{_MAIN}row"):
+        for row in ElementTree.fromstring(z.read(_first_sheet(z))).iter(f"{_MAIN}row"):
             cells: dict[int, str] = {}
             for k, c in enumerate(row.iter(f"{_MAIN}c")):
                 letters = re.match("[A-Z]*", c.get("r", "")).group()
                 at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else k
                 value = c.find(f"{_MAIN}v")
                 text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
-                cells[at] = shared[int(text)] if c.get("t") == "s" and text else text
+                if c.get("t") == "s" and text:
+                    text = shared[int(text)]
+                elif c.get("t") in (None, "n") and text and c.get("s") in dates:
+                    text = (datetime(1899, 12, 30) + timedelta(seconds=round(float(text) * 86400))).strftime("%Y-%m-%d %H:%M:%S")
+                cells[at] = text
             rows.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
         return rows
 
@@ -143,8 +200,12 @@ apk_artifacts array<struct<filename:string,package:string,sha256:string,signing_
 
 
 def phone_dumps(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of phone dumps: devices, events (calls and messages), apps, contacts."""
-    raw = spark.read.schema(PHONE_DUMP).option("multiLine", "true").json(path).withColumn("path", F.col("_metadata.file_path"))
+    """Tables of the phone dumps under a path: devices, events (calls and messages), apps, contacts, artifacts."""
+    return flattened_dumps(spark.read.schema(PHONE_DUMP).option("multiLine", "true").json(path).withColumn("path", F.col("_metadata.file_path")))
+
+
+def flattened_dumps(raw: DataFrame) -> dict[str, DataFrame]:
+    """The tables of phone_dumps from rows (path and the columns of PHONE_DUMP)."""
     owner = F.col("device_info.phone_number").alias("owner")
     at = lambda c: ist_to_utc(parsed_time(c, ["dd/MM/yyyy HH:mm:ss"]))
     calls = raw.select("path", owner, F.posexplode("call_log").alias("k", "c"))
@@ -157,6 +218,7 @@ def phone_dumps(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "events": calls.unionByName(texts),
         "apps": raw.select("path", owner, F.explode("installed_apps").alias("a")).select("path", "owner", "a.package", "a.certificate_sha256", F.size("a.risky_permissions").alias("risky_permissions")),
         "contacts": raw.select("path", owner, F.explode("contacts").alias("c")).select("path", "owner", "c.name", "c.number"),
+        "artifacts": raw.select("path", owner, F.explode("apk_artifacts").alias("a")).select("path", "owner", "a.filename", "a.package", "a.sha256", "a.signing_cert_issuer", F.size("a.embedded_urls").alias("urls")),
     }
 
 
@@ -170,6 +232,17 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> None:
         raise ValueError(f"cannot export as {kind}")
 
 
+def bulk_load(events: DataFrame, entities: DataFrame, rejects: DataFrame, path: str, run_id: str) -> None:
+    """Events, entities and rejects of one load as three tables under a path, by case and run."""
+    for name, df in (("events", events), ("entities", entities), ("rejects", rejects)):
+        save_run(df, f"{path}/{name}", run_id)
+
+
+def scan_case(spark: SparkSession, path: str, case_id: str) -> DataFrame:
+    """The rows of one case of a saved table: only that case's folder is read."""
+    return spark.read.parquet(path).filter(F.col("case_id") == case_id)
+
+
 def save_run(df: DataFrame, path: str, run_id: str, partition: str = "case_id") -> None:
     """Append a versioned result: rows of a run never replace another's."""
     df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy(partition, "run_id").parquet(path)

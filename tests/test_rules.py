@@ -4,6 +4,8 @@ import datetime as dt
 import json
 import zipfile
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,20 +100,37 @@ def test_anomaly_invariants(spark):
     assert anomaly.isolation_scores(f.limit(10)).filter("anomaly_score is not null").count() == 0
 
 
+def entries(spark, n=5):
+    rows = [("c", k, f"2026-03-04T04:5{k}:00Z", "B-17", f"act{k}", "file" if k % 2 else None, f"f{k}" if k % 2 else None) for k in range(n)]
+    return spark.createDataFrame(rows, "case_id string, seq int, occurred_at string, officer_badge string, action string, target_type string, target_id string")
+
+
 def test_audit_mutations(spark):
-    rows = spark.createDataFrame([("c", k, f"act{k}") for k in range(5)], "case_id string, seq int, action string")
-    entries = integrity.hashed_entries(rows, "case_id", "seq", {"a": F.col("action")}, ["action"])
-    chain = integrity.chained(entries, "case_id", "seq").cache()
-    check = lambda c: integrity.verified(c, "case_id", "seq", {"a": F.col("action")}).first()
+    made = integrity.hashed_entries(entries(spark), {"a": F.col("action")})
+    chain = integrity.chained(made).cache()
+    check = lambda c: integrity.verified(c, {"a": F.col("action")}).first()
     assert check(chain).ok
-    assert check(chain.withColumn("action", F.when(F.col("seq") == 2, "x").otherwise(F.col("action")))).first_bad_seq == 2
+    for column in ("action", "occurred_at", "officer_badge", "target_id", "payload_hash", "entry_hash", "prev_hash"):
+        assert check(chain.withColumn(column, F.when(F.col("seq") == 2, "x").otherwise(F.col(column)))).first_bad_seq == 2
     assert check(chain.filter("seq <> 3")).first_bad_seq == 4
     swapped = chain.withColumn("seq", F.when(F.col("seq") == 1, 2).when(F.col("seq") == 2, 1).otherwise(F.col("seq")))
     assert check(swapped).first_bad_seq == 1
-    more = integrity.chained(entries.filter("seq > 2"), "case_id", "seq", integrity.heads(chain.filter("seq <= 2"), "case_id", "seq"))
+    more = integrity.chained(made.filter("seq > 2"), integrity.heads(chain.filter("seq <= 2")))
     assert more.filter("seq = 4").first().entry_hash == chain.filter("seq = 4").first().entry_hash
 
 
+def test_audit_hash_of_eight_fields(spark):
+    """The entry hash joins the previous hash, six fields and the payload's hash with unit separators, nulls as empty."""
+    chain = integrity.chained(integrity.hashed_entries(entries(spark), {"note": F.lit("né"), "action": F.col("action")})).orderBy("seq").collect()
+    prev = "0" * 64
+    for r in chain:
+        payload = hashlib.sha256(('{"action":"' + r.action + '","note":"né"}').encode()).hexdigest()
+        parts = [prev, str(r.seq), r.occurred_at, r.officer_badge, r.action, r.target_type or "", r.target_id or "", payload]
+        assert (r.payload_hash, r.prev_hash) == (payload, prev)
+        prev = hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
+        assert r.entry_hash == prev
+
+
 def test_normalisers(spark):
     one = lambda f, x: spark.range(1).select(f(F.lit(x))).first()[0]
     assert {one(normalize.phone, x) for x in ("9876543210", "09876543210", "919876543210", "+91 98765-43210")} == {"+919876543210"}
