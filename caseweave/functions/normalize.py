@@ -154,8 +154,8 @@ def entity_id(case_id: Column, entity_type: Column, norm: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(case_id, F.lit("")), entity_type, norm), 256)
 
 
-#: The name space of entity ids: that of names in general, as RFC 9562 gives it.
-NAMES = "6ba7b8129dad11d180b400c04fd430c8"
+#: Fixed value: the name space of entity ids, that of domain names in RFC 9562.
+NAMES = "6ba7b8109dad11d180b400c04fd430c8"
 
 
 def entity_uuid(case_id: Column, entity_type: Column, norm: Column, space: str = NAMES) -> Column:

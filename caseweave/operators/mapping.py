@@ -61,28 +61,46 @@ def token_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
 
 
+def claims(headers: DataFrame) -> DataFrame:
+    """file_id, source, field, place: every field whose alias a header is, several headers for one field included."""
+    named = headers.withColumn("norm", header(F.col("source")))
+    return named.join(F.broadcast(aliases(headers.sparkSession)).drop("place").distinct(), ["kind", "norm"]).select("file_id", "source", "field", "place").distinct()
+
+
+def by_alias(headers: DataFrame) -> DataFrame:
+    """file_id, source, field, confidence 1 of the certain mappings: the first header for a field, one field a header."""
+    first = Window.partitionBy("file_id", "field").orderBy("place")
+    once = Window.partitionBy("file_id", "source").orderBy("field")
+    one = claims(headers).withColumn("r", F.row_number().over(first)).filter("r = 1").withColumn("r", F.row_number().over(once)).filter("r = 1")
+    return one.select("file_id", "source", "field", F.lit(1.0).alias("confidence"))
+
+
+def confirmed(mappings: DataFrame, confirmations: DataFrame) -> DataFrame:
+    """mappings with is_confirmed: those an officer confirmed (file_id, source, field), and the certain ones."""
+    said = confirmations.select("file_id", "source", "field", F.lit(True).alias("said")).distinct()
+    return mappings.join(said, ["file_id", "source", "field"], "left").withColumn("is_confirmed", F.coalesce("said", F.col("confidence") >= 1)).drop("said")
+
+
 def proposed(headers: DataFrame, least: float = 60.0) -> DataFrame:
     """headers (file_id, kind, source, place) -> file_id, source, field, confidence, class: one header for a field.
 
     An alias of the file's kind is certain and taken in the order of headers; of the rest, each header goes to the
     most similar free field, and each field keeps its most similar header.
     """
-    spark = headers.sparkSession
     named = headers.withColumn("norm", header(F.col("source")))
-    known = named.join(F.broadcast(aliases(spark)).drop("place"), ["kind", "norm"])
-    first = Window.partitionBy("file_id", "field").orderBy("place")
-    once = Window.partitionBy("file_id", "source").orderBy("field")
-    sure = known.withColumn("r", F.row_number().over(first)).filter("r = 1").withColumn("r", F.row_number().over(once)).filter("r = 1").select("file_id", "source", "field", F.lit(1.0).alias("confidence"))
+    sure = by_alias(headers)
     fields = F.array(*[F.lit(f) for f in CANONICAL_FIELDS])
-    left = named.join(sure, ["file_id", "source"], "left_anti").withColumn("field", F.explode(fields))
-    left = left.join(sure.select("file_id", "field"), ["file_id", "field"], "left_anti")
+    rest = named.join(sure, ["file_id", "source"], "left_anti")
+    # Files repeat headers: each different header is compared with each field once, whatever the number of files.
+    pairs = rest.select("norm").distinct().withColumn("field", F.explode(fields))
 
     @F.pandas_udf("double")
     def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
             yield pd.Series([token_ratio(p, q.replace("_", " ")) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    near = left.withColumn("confidence", ratio("norm", "field") / 100).filter(F.col("confidence") >= least / 100)
+    likely = pairs.withColumn("confidence", ratio("norm", "field") / 100).filter(F.col("confidence") >= least / 100)
+    near = rest.join(likely, "norm").join(sure.select("file_id", "field"), ["file_id", "field"], "left_anti")
     by_header = Window.partitionBy("file_id", "source").orderBy(F.desc("confidence"), "field")
     by_field = Window.partitionBy("file_id", "field").orderBy(F.desc("confidence"), "place")
     near = near.withColumn("r", F.row_number().over(by_header)).filter("r = 1").withColumn("r", F.row_number().over(by_field)).filter("r = 1")

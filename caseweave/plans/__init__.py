@@ -1,5 +1,5 @@
 """Registered queries, and their DuckDB forms, by subject."""
 
-from caseweave.plans import cases, evidence, flows, graphs, linking
+from caseweave.plans import cases, evidence, flows, graphs, linking, sources
 
-MODULES = [flows, linking, graphs, evidence, cases]
+MODULES = [flows, linking, graphs, evidence, sources, cases]

@@ -25,6 +25,17 @@ def inventory(spark: SparkSession, path: str, least: int = 1, most: int | None =
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
 
 
+def _hollow(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files without bytes under a path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, names = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0:
+            names.append(f.getPath().getName())
+    return names
+
+
 def problems(spark: SparkSession, path: str, wanted: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
     """name, problem of the wanted files (name) under a path: MISSING, EMPTY, TOO_LARGE, CORRUPT (not text), or null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -33,6 +44,9 @@ def problems(spark: SparkSession, path: str, wanted: DataFrame, least: int = 1,
         problem = problem.when(F.col("length") > most, "TOO_LARGE")
     problem = problem.when(F.contains(F.col("content"), F.lit(bytearray(b"\x00"))), "CORRUPT")
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), problem.alias("problem"), F.lit(True).alias("there"))
+    # Spark's readers pass over files without bytes, so those come from the listing.
+    hollow = spark.createDataFrame([(n, "EMPTY", True) for n in _hollow(spark, path)], "name string, problem string, there boolean")
+    found = found.unionByName(hollow if least > 0 else hollow.withColumn("problem", F.lit(None).cast("string")))
     return wanted.join(found, "name", "left").select("name", F.when(F.col("there").isNull(), "MISSING").otherwise(F.col("problem")).alias("problem"))
 
 

@@ -162,11 +162,11 @@ def test_delimited_rows_and_ingest(spark, tmp_path):
     rows = files.delimited(spark, str(tmp_path / "cdr.csv"))
     got = {r.source_row: (r.reason, r.cells[-1]) for r in rows.collect()}
     assert got == {2: (None, "a, b"), 3: ("missing cells", "y"), 4: (None, "z")}
-    named = rows.filter("reason is null").select(F.lit("f").alias("evidence_file_id"), "source_row", F.lit("s").alias("source_sha256"), files.cell("Caller").alias("caller"), files.cell("Callee").alias("callee"), files.cell("Start Time").alias("start_time"))
+    named = rows.filter("reason is null").select(F.lit("f").alias("evidence_file_id"), "source_row", F.lit("s").alias("source_sha256"), "raw_line", files.cell("Caller").alias("caller"), files.cell("Callee").alias("callee"), files.cell("Start Time").alias("start_time"))
     out = ingest.events(named, "CDR")
     e = ingest.good(out).first()
     assert (e.src, e.dst, str(e.occurred_at)) == ("+919876543210", "+919876543211", "2026-03-04 04:53:00")
-    assert [tuple(r) for r in ingest.rejects(out).collect()] == [("f", 4, "unreadable time")]
+    assert [tuple(r) for r in ingest.rejects(out).collect()] == [("f", 4, "unreadable time", "9876543210,9876543212,soon,z")]
     # no provenance, no event
     assert ingest.good(ingest.events(named.withColumn("source_sha256", F.lit(None).cast("string")), "CDR")).count() == 0
 
@@ -236,3 +236,120 @@ def test_missing_features_get_defaults(spark):
     t = money(spark, [("A", "B", 10, 0)])
     f = features.feature_frame(t, overrides=spark.createDataFrame([("A", 3)], "entity string, account_age_days int")).orderBy("entity").collect()
     assert [x.account_age_days for x in f] == [3, 365] and f[0].betweenness_centrality == 0.0
+
+
+def test_delimited_edge_cases(spark, tmp_path):
+    """Empty first cell, quoted separators, quotes and line breaks, Latin-1, byte order mark, blank lines, missing cells."""
+    (tmp_path / "a.csv").write_bytes("\ufeffx,y,z\n,b,c\n\"1,2\",\"say \"\"hi\"\"\",\"two\nlines\"\n\nq,r\n a , ,\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,town\nJosé,Köln\n".encode("latin-1"))
+    rows = files.delimited(spark, str(tmp_path)).collect()
+    a = {r.source_row: r for r in rows if r.path.endswith("a.csv")}
+    assert a[2].headers == ["x", "y", "z"] and a[2].cells == ["", "b", "c"] and a[2].reason is None
+    assert a[3].cells == ["1,2", 'say "hi"', "two\nlines"] and a[6].reason == "missing cells" and a[7].cells == ["a", "", ""]
+    (b,) = [r for r in rows if r.path.endswith("b.csv")]
+    assert b.cells == ["José", "Köln"]
+
+
+def test_workbook_sheet_order_and_dates(spark, tmp_path):
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda body: f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="B" sheetId="2" r:id="rId2"/><sheet name="A" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet('<row><c r="A1"><v>wrong</v></c></row>'))
+        z.writestr("xl/worksheets/sheet2.xml", sheet('<row><c r="A1" t="inlineStr"><is><t>when</t></is></c><c r="B1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" s="1"><v>46085.5</v></c><c r="B2"><v>7</v></c></row>'))
+    (row,) = files.workbooks(spark, str(tmp_path)).collect()
+    assert row.headers == ["when", "n"] and row.cells == ["2026-03-04 12:00:00", "7"]
+
+
+def test_file_problems(spark, tmp_path):
+    (tmp_path / "ok.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "big.csv").write_text("x" * 100)
+    (tmp_path / "bin.csv").write_bytes(b"\x00\x01")
+    wanted = spark.createDataFrame([(f"{n}.csv",) for n in ("ok", "empty", "big", "bin", "gone")], "name string")
+    got = {r.name: r.problem for r in files.problems(spark, str(tmp_path), wanted, most=50).collect()}
+    assert got == {"ok.csv": None, "empty.csv": "EMPTY", "big.csv": "TOO_LARGE", "bin.csv": "CORRUPT", "gone.csv": "MISSING"}
+
+
+@pytest.mark.parametrize(
+    "value,kind",
+    [
+        ("351234567890001", "IMEI"), ("35-123456-789000-1", "IMEI"), ("mule1@ybl", "UPI_HANDLE"), ("a+b@ybl", "UPI_HANDLE"), ("a@b.co", "EMAIL"), ("10.0.0.1", "IP"), ("+91 98765 43210", "PHONE"),
+        ("9876543210", "PHONE"), ("1234567890123", "UNKNOWN"), ("123456789", "BANK_ACCOUNT"), ("123456789012345678", "BANK_ACCOUNT"), ("", "UNKNOWN"), ("hello", "UNKNOWN"),
+    ],
+)
+def test_classification(spark, value, kind):
+    assert spark.createDataFrame([(value,)], "v string").select(normalize.classified(F.col("v"))).first()[0] == kind
+
+
+def test_ip_forms_and_uuids(spark):
+    import ipaddress
+    import uuid
+
+    ips = ["2001:0DB8::0001", "::", "::1", "fe80:0:0:0:0:0:0:1", "1:0:0:2:0:0:0:3", "1:2:3:4:5:6:7:8", "1::2:0:0:3:4", "010.001.000.255"]
+    rows = spark.createDataFrame([(x,) for x in [*ips, "1:2", "g::1", "::1::", None, "12345::"]], "v string").select("v", normalize.ip(F.col("v")).alias("ip"), normalize.ip_prefix(F.col("v")).alias("net")).collect()
+    for r in rows:
+        if r.v in ips and ":" in r.v:
+            assert r.ip == str(ipaddress.ip_address(r.v))
+            assert r.net == str(ipaddress.ip_network(f"{r.v}/64", strict=False))
+        elif r.v in ips:
+            assert (r.ip, r.net) == ("10.1.0.255", "10.1.0.0/24")
+        else:
+            assert r.net is None
+    one = spark.createDataFrame([("c", "PHONE", "+91é")], "c string, t string, n string").select(normalize.entity_uuid(F.col("c"), F.col("t"), F.col("n"))).first()[0]
+    assert one == str(uuid.uuid5(uuid.NAMESPACE_DNS, "c:PHONE:+91é"))
+
+
+def test_fuzzy_mapping_against_brute_force(spark):
+    heads = ["Callr Number", "amnt", "IMEI Number", "Time of Start", "zzz"]
+    rows = spark.createDataFrame([("f", "CDR", h, k) for k, h in enumerate(heads)], "file_id string, kind string, source string, place int")
+    got = {r.source: (r.field, round(r.confidence, 6)) for r in mapping.proposed(rows).collect()}
+    from caseweave.config import CANONICAL_FIELDS
+
+    def ratio(a, b):
+        a, b = (" ".join(sorted(x.split())) for x in (a, b))
+        import functools
+
+        @functools.cache
+        def common(i, j):
+            return 0 if i == len(a) or j == len(b) else 1 + common(i + 1, j + 1) if a[i] == b[j] else max(common(i + 1, j), common(i, j + 1))
+
+        return 2 * common(0, 0) / (len(a) + len(b))
+
+    best = {}
+    for k, h in enumerate(heads):
+        score, field = max((ratio(h.lower(), f.replace("_", " ")), [-ord(c) for c in f], f) for f in CANONICAL_FIELDS)[::2]
+        if score >= 0.6:
+            best.setdefault(field, []).append((-score, k, h))
+    want = {min(v)[2]: (f, round(-min(v)[0], 6)) for f, v in best.items()}
+    assert got == want and want
+
+
+def test_bulk_load_and_scan(spark, tmp_path):
+    frame = lambda *cases: spark.createDataFrame([(c, k) for k, c in enumerate(cases)], "case_id string, x int")
+    files.bulk_load(frame("a", "b"), frame("a"), frame("b"), str(tmp_path / "t"), "run-1")
+    files.bulk_load(frame("a"), frame("b"), frame("b"), str(tmp_path / "t"), "run-2")
+    assert files.scan_case(spark, str(tmp_path / "t/events"), "a").count() == 2 and files.scan_case(spark, str(tmp_path / "t/rejects"), "b").count() == 2
+
+
+def test_numbers_over_ranges(spark):
+    from caseweave.operators.ranking import numbered
+
+    rows = spark.range(500).select((F.col("id") % 7).alias("s"), F.col("id").alias("k")).repartition(5)
+    got = numbered(rows, [F.desc("s"), F.col("k")], "n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: (-r.s, r.k))] == list(range(1, 501))
+
+
+def test_distinct_in_window_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 3), rng.randint(0, 6), 1_700_000_000 + rng.randint(0, 40) * 600) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "k int, o int, s long").select("k", "o", F.timestamp_seconds("s").alias("ts"))
+    got = {r.k: r.most for r in windows.distinct_in_window(frame, "k", "o", "ts", "2 hours").collect()}
+    want = {k: max(len({o for q, o, t in rows if q == k and s - 7200 <= t <= s}) for p, _, s in rows if p == k) for k in range(4)}
+    assert got == want
