@@ -2,15 +2,18 @@
 
 Arrivals are appended as small Parquet shards.  Shards of similar size (one tier spans a factor of `fan`) are merged
 into files of the target size.  Every change writes a new manifest, moved into place without overwriting: readers see
-whole versions, and of two writers of one version the later fails.  The manifest has a line a shard, not a row.
+whole versions, and of two writers of one version the later begins anew on the other's.  The manifest has a line a shard, not a row.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -46,7 +49,8 @@ class ShardStore:
         finally:
             stream.close()
 
-    def _commit(self, base: dict, shards: list[dict], schema: str) -> dict:
+    def _commit(self, base: dict, shards: list[dict], schema: str) -> dict | None:
+        """The next version after base, null if another writer made it first."""
         new = {"version": base["version"] + 1, "schema": schema, "shards": shards}
         fs, temp = fs_of(self.spark, f"{self.root}/_manifest/_{uuid.uuid4().hex}")
         out = fs.create(temp, False)
@@ -56,9 +60,22 @@ class ShardStore:
         final = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifest/v{new['version']:08d}.json")
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context.rename(temp, final, none)  # fails where the version exists
+        try:
+            context.rename(temp, final, none)  # fails where the version exists
+        except Py4JJavaError:
+            fs.delete(temp, False)
+            if not fs.exists(final):
+                raise
+            return None
         return new
 
+    def _add(self, shards: list[dict], schema: str) -> dict:
+        """Commit new shards after whatever version is the latest; an append never conflicts with another change."""
+        while True:
+            base = self.manifest()
+            if (done := self._commit(base, base["shards"] + shards, schema)) is not None:
+                return done
+
     def _shards(self, folder: str) -> list[dict]:
         """The Parquet files that a job wrote, as manifest entries."""
         fs, p = fs_of(self.spark, folder)
@@ -67,24 +84,43 @@ class ShardStore:
         while files.hasNext():
             s = files.next()
             if s.getPath().getName().endswith(".parquet"):
-                found.append({"path": s.getPath().toString()[len(base) + 1 :], "bytes": s.getLen()})
+                found.append({"path": s.getPath().toString()[len(base) + 1 :], "bytes": s.getLen(), "modified": s.getModificationTime() / 1000})
         return sorted(found, key=lambda x: x["path"])
 
     # Changes
 
-    def append(self, rows: DataFrame, arrival: str | None = None) -> dict:
-        """Add rows as new small shards: those of one arrival, or of each value of the column `arrival` by itself."""
-        base, folder = self.manifest(), f"{self.root}/data/a-{uuid.uuid4().hex}"
-        writer = rows.write.option("compression", "zstd")
-        (writer.partitionBy(arrival) if arrival else writer).parquet(folder)
-        schema = (rows.drop(arrival) if arrival else rows).schema.json()
-        return self._commit(base, base["shards"] + self._shards(folder), schema)
+    def append(self, rows: DataFrame) -> dict:
+        """Add rows as new small shards in one version; no rows commit a version without new shards.
+
+        Nulls, repeated rows and any column names stay as they are.
+        """
+        folder = f"{self.root}/data/a-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(folder)
+        return self._add([s for s in self._shards(folder) if s["bytes"]], rows.schema.json())
+
+    def append_each(self, rows: DataFrame, arrivals: int, key: str) -> Iterator[dict]:
+        """Add rows in so many arrivals, a version for each: rows of equal key arrive together, null keys too.
+
+        All are written in one pass; nothing of an arrival can be read before its version is there.
+        """
+        name = next(n for k in range(len(rows.columns) + 1) if (n := f"arrival{k or ''}") not in rows.columns)
+        folder = f"{self.root}/data/a-{uuid.uuid4().hex}"
+        dealt = rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(arrivals)).cast("int"))
+        dealt.write.option("compression", "zstd").partitionBy(name).parquet(folder)
+        found: dict[str, list[dict]] = {}
+        for s in self._shards(folder):
+            found.setdefault(s["path"].rsplit("/", 2)[-2], []).append(s)
+        for part in [found[k] for k in sorted(found)] or [[]]:
+            yield self._add(part, rows.schema.json())
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.least, self.fan)))
 
     def compact(self) -> dict:
-        """Merge tiers until none holds `fan` unfinished shards; shards over half the target are finished."""
+        """Merge tiers until none holds `fan` unfinished shards; shards over half the target are finished.
+
+        Rows stay as they are, in any order.  Where another change comes first, the merge is begun anew on its version.
+        """
         while True:
             base = self.manifest()
             tiers: dict[int, list[dict]] = {}
@@ -104,11 +140,22 @@ class ShardStore:
                 new += self._shards(folder)
             self._commit(base, [s for s in base["shards"] if s["path"] not in gone] + new, base["schema"])
 
-    def vacuum(self) -> int:
-        """Delete the shards that the latest version does not name; how many."""
+    def vacuum(self, min_age_s: float = 86_400) -> int:
+        """Delete shards older than min_age_s that no version named within that time; how many.
+
+        So a reader of a version has that long after its successor, and a writer that long between its files and its
+        commit.  With 0, only the latest version can be read afterwards.
+        """
         fs, p = fs_of(self.spark, f"{self.root}/data")
-        live = {s["path"] for s in self.manifest()["shards"]}
-        dead = [s for s in self._shards(f"{self.root}/data") if s["path"] not in live] if fs.exists(p) else []
+        if not fs.exists(p):
+            return 0
+        now, versions = time.time(), self.versions()
+        made = {v: fs.getFileStatus(fs_of(self.spark, f"{self.root}/_manifest/v{v:08d}.json")[1]).getModificationTime() / 1000 for v in versions}
+        live: set[str] = set()
+        for v, successor in zip(versions, [*versions[1:], None], strict=True):
+            if successor is None or now - made[successor] < min_age_s:
+                live |= {s["path"] for s in self.manifest(v)["shards"]}
+        dead = [s for s in self._shards(f"{self.root}/data") if s["path"] not in live and now - s["modified"] >= min_age_s]
         for s in dead:
             fs.delete(fs_of(self.spark, f"{self.root}/{s['path']}")[1], False)
         return len(dead)
@@ -127,24 +174,15 @@ class ShardStore:
         return self._frame(m["shards"], schema) if m["shards"] else self.spark.createDataFrame([], schema)
 
 
-def arrivals(docs: DataFrame, n: int, doc_id: str = "doc_id") -> DataFrame:
-    """docs with the column `arrival`: n equal ranges of the id, null ids in the first."""
-    span = docs.agg(F.min(doc_id).alias("a"), F.max(doc_id).alias("z")).first()
-    if span["a"] is None:
-        return docs.withColumn("arrival", F.lit(0))
-    width = (span["z"] - span["a"] + 1) / n
-    return docs.withColumn("arrival", F.coalesce(F.least(F.floor((F.col(doc_id) - span["a"]) / width), F.lit(n - 1)), F.lit(0)).cast("int"))
-
-
 def op4(spark, sf_dir: str) -> DataFrame:
     """All documents through arrivals, compaction and vacuum, read back: doc_id, lang, source, n_bytes, text_sha256.
 
     Nulls stay nulls, repeated rows stay repeated; an empty table commits a version without rows.
     """
     store = ShardStore(spark, new_path(spark, "shards"))
-    store.append(arrivals(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16), "arrival")
-    store.compact()
-    store.vacuum()
+    for _ in store.append_each(spark.read.parquet(f"{sf_dir}/documents.parquet"), 16, "doc_id"):
+        store.compact()
+        store.vacuum(min_age_s=0)  # nobody else knows this store
     text = F.encode("text", "utf-8")
     return store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
 
