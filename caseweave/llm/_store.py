@@ -11,8 +11,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch, where the session leaves Spark's default: texts of any length stand in them.
+BATCH = 2000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """The session, with this package shipped to its Python workers as by --py-files."""
+    """The session, with this package shipped to its Python workers as by --py-files, and smaller Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     sc = spark.sparkContext
     if getattr(sc, "_caseweave_shipped", None) is None:
         top = Path(__file__).resolve().parents[2]
@@ -29,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where the setting is absent (local tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="caseweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -27,6 +27,8 @@ ROW = 192
 SHARD_BYTES = 64 << 20
 #: Bytes of a shard that one reading task takes.
 SPAN = 8 << 20
+#: Payloads that a writing task remembers to store equal ones once; beyond it, it starts anew.
+PLACES = 100_000
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk.
 HEADER = 33
@@ -132,6 +134,8 @@ def store(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                 payload = padded(raw)
                 digest = hashlib.sha256(payload).hexdigest()
                 if digest not in places:
+                    if len(places) >= PLACES:
+                        places = {}
                     media = encode(payload)
                     places[digest] = (*shards.add(digest, media), len(media))
                 for column, x in zip(out, (len(raw), digest, *places[digest]), strict=True):
@@ -176,19 +180,18 @@ def metadata(index: DataFrame, folder: str) -> DataFrame:
 
 
 def contents(index: DataFrame, folder: str) -> DataFrame:
-    """Header metadata, and features of the whole member as read back, by digest."""
+    """Digests and features of the whole members as read back, by digest."""
 
     def one(read, at: int, n: int) -> tuple:
-        size = header(read(at, HEADER))
         media = read(at, n)
         samples = decode(media)
-        return (*size, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
+        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
 
-    return _read(index, folder, "width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", one)
+    return _read(index, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", one)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "media-shards")
     index = store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    read = written(contents(index, folder), "media-contents")
+    read = written(contents(index, folder), "media-contents").join(metadata(index, folder), "digest")
     return index.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")

@@ -158,12 +158,12 @@ def test_media_round_trip(docs, rows, tmp_path):
     index = media.store(docs, folder, shard_bytes=20_000)
     assert index.select("digest").distinct().count() == index.select("digest", "shard", "offset").distinct().count()
     read = {r.digest: r for r in media.contents(index, folder).collect()}
+    heads = {r.digest: r for r in media.metadata(index, folder).collect()}
     for r in index.collect():
         payload = media.padded((dict((k, t) for k, t, *_ in rows)[r.doc_id] or "").encode())
         c = read[r.digest]
         assert (c.payload_sha256, c.payload_bytes, c.tail_crc32) == (hashlib.sha256(payload).hexdigest(), len(payload), zlib.crc32(payload[-16:]))
-        assert (c.width, c.height) == (192, len(payload) // 192)
-    assert {(r.width, r.depth) for r in media.metadata(index, folder).collect()} == {(192, 8)}
+        assert (heads[r.digest].width, heads[r.digest].height, heads[r.digest].depth) == (192, len(payload) // 192, 8)
 
 
 def test_sharding_versions(spark, tmp_path, docs):
