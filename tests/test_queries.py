@@ -1,13 +1,19 @@
 """Every registered query with a SQL form against DuckDB, on the smallest tables."""
 
 import glob
+import json
 import math
 import os
+import uuid
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from caseweave.plans import MODULES
+from caseweave.config import BANDS
+from caseweave.operators import anomaly
+from caseweave.plans import MODULES, cases, evidence, flows
 
 SF = os.environ.get("CASEWEAVE_TEST_SF", "/root/testdata/sf0.001")
 CASES = [(name, module) for module in MODULES for name in module.QUERIES]
@@ -28,6 +34,23 @@ def rows(columns, values):
     return sorted(tuple(plain(v[i]) for i in order) for v in values)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_frame():
+    """The feature frame of a folder is made once for all queries that begin with it."""
+    from caseweave.operators.checkpoints import cut
+
+    made, real = {}, flows._frame
+
+    def frame(spark, sf_dir):
+        if sf_dir not in made:
+            made[sf_dir] = cut(real(spark, sf_dir))
+        return made[sf_dir]
+
+    flows._frame = frame
+    yield
+    flows._frame = real
+
+
 @pytest.mark.parametrize("name,module", CASES, ids=[c[0] for c in CASES])
 def test_query(spark, name, module):
     if not os.path.isdir(SF):
@@ -44,3 +67,61 @@ def test_query(spark, name, module):
     want = con.sql(module.SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
+
+
+def test_anomaly_scores_against_brute_force(spark):
+    """Every tree grown on the rows of the smallest hashes and every row walked down it, without Spark's grouping."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    frame = flows._frame(spark, SF)
+    data = frame.toPandas()
+    x = data[anomaly.FEATURES].astype(float).to_numpy()
+    hashed = frame.select("entity", F.explode(F.sequence(F.lit(0), F.lit(anomaly.TREES - 1))).alias("tree")).withColumn("h", F.xxhash64(F.lit(42), "tree", "entity")).toPandas()
+    place = {e: k for k, e in enumerate(data["entity"])}
+    total = np.zeros(len(x))
+    for tree, part in hashed.groupby("tree"):
+        own = x[[place[e] for e in part.sort_values(["h", "entity"])["entity"][: anomaly.SAMPLE]]]
+        nodes = anomaly._grow(own, np.random.default_rng([42, tree]), math.ceil(math.log2(max(2, len(own)))))
+        for i, row in enumerate(x):
+            at = 0
+            while nodes[at][0] >= 0:
+                at = nodes[at][2] if row[nodes[at][0]] < nodes[at][1] else nodes[at][3]
+            total[i] += nodes[at][4]
+    want = {e: round(2.0 ** (-s / anomaly.TREES / anomaly._usual(min(anomaly.SAMPLE, len(x)))), 6) for e, s in zip(data["entity"], total, strict=True)}
+    got = cases.anomaly_scores(spark, SF).collect()
+    assert {r.entity: r.anomaly_score for r in got} == pytest.approx(want, abs=2e-6)
+    assert [r.anomaly_rank for r in sorted(got, key=lambda r: r.anomaly_rank)] == list(range(1, len(got) + 1))
+    by = sorted(got, key=lambda r: r.anomaly_rank)
+    assert all(a.anomaly_score >= b.anomaly_score - 1e-6 for a, b in zip(by, by[1:], strict=False))
+
+
+def test_reranked_scores_against_brute_force(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    order = sorted(BANDS, key=BANDS.get, reverse=True)
+    got = cases.reranked_scores(spark, SF).collect()
+    want = sorted(got, key=lambda r: (order.index(r.band), r.anomaly_rank, -r.score, r.entity))
+    assert [r.rank_in_case for r in want] == list(range(1, len(got) + 1))
+    assert {r.entity: r.anomaly_rank for r in got} == {r.entity: r.anomaly_rank for r in cases.anomaly_scores(spark, SF).collect()}
+
+
+def test_case_brief_against_its_parts(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    (row,) = cases.case_brief(spark, SF).collect()
+    brief = json.loads(row.brief)
+    assert row.brief == json.dumps(brief, sort_keys=True, separators=(",", ":"))
+    scores = sorted(flows.risk_scores(spark, SF).collect(), key=lambda r: (-r.score, r.entity))[:5]
+    assert brief["suspects"] == [{"band": r.band, "entity": r.entity, "score": r.score} for r in scores]
+    taken = sorted(cases.case_seizures(spark, SF).collect(), key=lambda r: (-r.residual, r.entity))[:5]
+    assert brief["seizures"] == [{"entity": r.entity, "residual": r.residual} for r in taken]
+    heads = sorted(evidence.audit_heads(spark, SF).collect(), key=lambda r: r.case_id)[:5]
+    assert brief["hashes"] == [{"case_id": r.case_id, "head_hash": r.head_hash} for r in heads]
+    assert len(brief["timeline"]) == 10 and brief["clusters"] >= 1
+
+
+def test_entity_uuids_against_the_standard_library(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    got = evidence.entity_uuids(spark, SF).collect()
+    assert got and all(r.id == str(uuid.uuid5(uuid.NAMESPACE_DNS, f"case-1:PHONE:{r.normalized}")) for r in got)
