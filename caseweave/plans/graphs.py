@@ -69,7 +69,7 @@ def graph_best_paths(spark, sf_dir):
 
 
 def graph_best_captions(spark, sf_dir):
-    return graph.caption(graph.best_paths(_trails(spark, sf_dir))).select("source", "target", F.regexp_replace("caption", ", [^,]* minutes$", "").alias("caption"))
+    return graph.caption(graph.best_paths(_trails(spark, sf_dir))).select("source", "target", F.regexp_replace("caption", ", [0-9,.]+ minutes$", "").alias("caption"))
 
 
 def graph_path_share(spark, sf_dir):
