@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import _text
 
 #: Distinct words that a task holds before it hands them on.
-HOLD = 400_000
+HOLD = 150_000
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
