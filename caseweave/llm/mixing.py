@@ -71,17 +71,17 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **how) -> DataFrame:
-    """The rows of docs, each repeated as planned; its columns stay as they are."""
+    """The rows of docs, each repeated as planned; its columns stay as they are, whatever their names.
+
+    Null texts have size 0, a null source is a source of its own, a null id draws like one id, and an empty table stays
+    empty.
+    """
     sized = written(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "mix-sizes")
     targets = source_targets(sized, "source", "size", **how).select(F.col("source").alias("__of"), F.col("rate").alias("__rate"))
-    times = F.sequence(F.lit(1), F.col("__n").cast("int"))
-    return (
-        docs.join(targets, F.col(source).eqNullSafe(F.col("__of")))
-        .withColumn("__n", copies(F.col(doc_id), F.col("__rate"), seed))
-        .filter("__n > 0")
-        .withColumn("__i", F.explode(times))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    n = copies(docs[doc_id], targets["__rate"], seed)
+    turn = next(c for k in range(len(docs.columns) + 1) if (c := f"turn{k}") not in docs.columns)
+    times = F.explode(F.when(n > 0, F.sequence(F.lit(1), n.cast("int")))).alias(turn)
+    return docs.join(targets, docs[source].eqNullSafe(targets["__of"])).select(*[docs[c] for c in docs.columns], times).drop(turn)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -619,3 +619,30 @@ def test_pipeline_stages(spark, tmp_path):
             assert {r.doc_id for r in out.collect()} == {k for k, (_, c) in brute_classes(own).items() if k == c}
         docs = out
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty, long and repeated texts, further columns with the operators' own names, no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_removed string, __n string, __id string, turn0 int"
+    rows = [(k, text(rng, 30), "en", ["a", "b", None][k % 3], 10, "x", "y", "z", k) for k in range(40)]
+    rows += [(100, None, None, None, None, None, None, None, None), (101, "", "en", "a", 0, "", "", "", 0), (None, text(rng, 9), "en", "a", 5, "x", "y", "z", 1), (102, text(rng, 4000), "en", "b", 1, "x", "y", "z", 2)]
+    rows += rows[3:5]
+    full = spark.createDataFrame(rows, schema)
+    stages = [(n, f) for n, f in corpus_pipeline.STAGES[:-1]]
+    for name, stage in stages:
+        out = stage(spark, full, "/root/testdata/sf0.001").collect()
+        ids = collections.Counter(r.doc_id for r in out)
+        if name == "line_dedup":
+            assert len(out) == len(rows) and ids[100] == 1
+        if name == "near_dedup":
+            assert all(ids[k] for k in (*range(40), 100, 101, 102, None))  # unlike texts stay
+        if name == "toxicity":
+            assert ids[100] == ids[101] == 1
+        by = {r[0]: r for r in rows}
+        assert all(tuple(r)[2:4] == by[r.doc_id][2:4] and tuple(r)[6:] == by[r.doc_id][6:] for r in out)
+        none = stage(spark, full.limit(0), "/root/testdata/sf0.001")
+        assert none.columns == full.columns and none.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, full.limit(0), "").count() == 0
