@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept, n_copies.
 
     Null, empty and wordless texts have no shingles, link with nothing and are kept; equal sets are linked; of
-    repeated rows of one doc_id all have the same class.  An empty table gives an empty result; other columns of
+    repeated rows of one doc_id all have the same class.  For a null doc_id kept is null, and a set that only such rows
+    have links with no other.  An empty table gives an empty result; other columns of
     docs are not read.
     """
     sketched = written(sketches(docs, doc_id, text), "minhash-sketches")
