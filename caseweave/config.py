@@ -130,6 +130,15 @@ def rules_with(overrides: dict[str, dict] | None = None) -> dict[str, dict]:
     return merged
 
 
+def rules_from(path: str) -> dict[str, dict]:
+    """The rules with the settings of a JSON file {rule: {setting: value}}; a missing or broken file is an error."""
+    with open(path, encoding="utf-8") as f:
+        changes = json.load(f)
+    if not isinstance(changes, dict) or not all(isinstance(c, dict) for c in changes.values()):
+        raise ValueError(f"{path} does not map rules to settings")
+    return rules_with(changes)
+
+
 def rules_hash(rules: dict[str, dict] | None = None) -> str:
     """SHA-256 over rules and bands as canonical JSON: names the configuration of a run."""
     body = json.dumps({"rules": rules or RULES, "bands": BANDS}, sort_keys=True, separators=(",", ":"))

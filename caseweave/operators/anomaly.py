@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.config import BANDS
+from caseweave.functions.parsing import finite
 from caseweave.operators.ranking import numbered
 
 FEATURES = [
@@ -55,7 +56,7 @@ def isolation_scores(frame: DataFrame, columns: list[str] | None = None, trees:
     """
     columns = columns or FEATURES
     spark = frame.sparkSession
-    tidy = [F.coalesce(F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in columns]
+    tidy = [finite(F.col(c).cast("double")).alias(c) for c in columns]
     rows = frame.select("entity", *tidy)
     n = rows.count()
     if n < LEAST_ROWS:

@@ -96,6 +96,33 @@ def _cases(spark, sf_dir) -> DataFrame:
     return own.select("case_id", F.concat(F.lit("Case of "), F.col("case_id")).alias("title"), status.alias("status"), "files")
 
 
+def link_checks(spark, sf_dir):
+    """Rules of links over flows, some of which got a wrong confidence or end."""
+    f = links.fund_flow(transfers(spark, sf_dir))
+    f = f.withColumn("confidence", F.when((F.col("a") + F.col("b")) % 7 == 0, 1.1).otherwise(F.col("confidence"))).withColumn("b", F.when(F.col("a") % 5 == 0, F.col("a")).otherwise(F.col("b")))
+    return ingest.quality(f, ingest.LINK_CHECKS)
+
+
+def score_checks(spark, sf_dir):
+    """Rules of scores, over all scores and once more with some out of range."""
+    s = _scores(spark, sf_dir).select("entity", "score", "band")
+    wrong = s.select("entity", (F.col("score") + F.when(F.col("entity") % 4 == 0, 200).otherwise(0)).alias("score"), F.when(F.col("entity") % 9 == 0, "SEVERE").otherwise(F.col("band")).alias("band"))
+    return ingest.quality(s.unionByName(wrong), ingest.SCORE_CHECKS)
+
+
+def _odd_entities(spark, sf_dir) -> DataFrame:
+    own = ingest.entities(evidence._mentions(spark, sf_dir, "true")).withColumn("n", F.substring("normalized", -8, 8).cast("bigint"))
+    return own.withColumn("entity_type", F.when(F.col("n") % 6 == 0, "CAR").when(F.col("n") % 10 == 1, "").otherwise(F.col("entity_type"))).withColumn("normalized", F.when(F.col("n") % 10 == 3, " ").otherwise(F.col("normalized")))
+
+
+def entity_checks(spark, sf_dir):
+    return ingest.quality(_odd_entities(spark, sf_dir), ingest.ENTITY_CHECKS)
+
+
+def valid_entities(spark, sf_dir):
+    return ingest.valid_entities(_odd_entities(spark, sf_dir)).select("n", "entity_type", "occurrences")
+
+
 def case_search(spark, sf_dir):
     return cases.found_cases(_cases(spark, sf_dir), text="A", status="OPEN")
 
@@ -200,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         case_dashboard, case_timeline, case_timelines, case_appearances, case_seizures, case_neighbours, score_history, current_scores, reason_evidence, pipeline_steps,
-        top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief, case_neighbour_classes, unsupported_reasons, case_search, case_list, recent_events,
+        top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief, case_neighbour_classes, unsupported_reasons, link_checks, score_checks, entity_checks, valid_entities, case_search, case_list, recent_events,
         ordered_rejects, case_timeline_filtered, entity_search, entity_by_id, scores_on_path, case_gates, graph_data, cluster_members,
     )
 }
@@ -233,6 +260,16 @@ UNION ALL SELECT entity, link_type, value, users - 1 FROM c_SHARED_IMEI""",
 lab AS (SELECT src AS node, src AS root FROM two UNION SELECT u.dst, l.root FROM lab l JOIN two u ON u.src = l.node)
 SELECT node, min(root) AS component FROM lab GROUP BY node""",
     "unsupported_reasons": _BASE + "SELECT rule_code, count(*) AS n FROM reason WHERE triggered = 1 AND rule_code = 'R09' GROUP BY rule_code",
+    "link_checks": _BASE
+    + """, p AS (SELECT DISTINCT src, dst FROM tr)
+SELECT unnest(['confidence is a share', 'ends differ', 'support is positive']) AS "check", unnest([count(*) FILTER ((src + dst) % 7 = 0), count(*) FILTER (src % 5 = 0), 0]) AS failed FROM p""",
+    "score_checks": _BASE
+    + """SELECT unnest(['score is of 100', 'band is known']) AS "check", unnest([count(*) FILTER (entity % 4 = 0), count(*) FILTER (entity % 9 = 0)]) AS failed FROM banded""",
+    "entity_checks": _BASE
+    + """, n AS (SELECT DISTINCT src AS n FROM ev)
+SELECT unnest(['type is known', 'occurs', 'value is there']) AS "check", unnest([count(*) FILTER (n % 6 = 0 OR n % 10 = 1), 0, count(*) FILTER (n % 10 = 3)]) AS failed FROM n""",
+    "valid_entities": _BASE
+    + """SELECT src AS n, CASE WHEN src % 6 = 0 THEN 'CAR' ELSE 'PHONE' END AS entity_type, count(*) AS occurrences FROM ev WHERE NOT (src % 10 = 3) AND NOT (src % 10 = 1 AND src % 6 <> 0) GROUP BY src""",
     "case_search": "WITH " + (_CASES := """c AS (SELECT coalesce(source, 'none') AS case_id, 'Case of ' || coalesce(source, 'none') AS title, CASE WHEN count(*) % 2 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS status, count(*) AS files
   FROM documents GROUP BY coalesce(source, 'none'))
 """)

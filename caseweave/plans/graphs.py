@@ -80,6 +80,14 @@ def graph_reach(spark, sf_dir):
     return graph.reach(_edges(spark, sf_dir)).withColumn("depth", F.col("depth").cast("long"))
 
 
+def observed_features(spark, sf_dir):
+    """The features as the original code computes them: lifetime ratio, incident transfers, levels reached, hours in UTC."""
+    t = cut(_edges(spark, sf_dir))
+    flow = features.node_flow(t).select("entity", "passthrough_ratio", F.col("in_count").alias("fan_in_count"), F.col("out_count").alias("fan_out_count"))
+    depth = graph.reach(t).select(F.col("node").alias("entity"), F.col("depth").cast("long").alias("layering_depth"))
+    return flow.join(features.odd_hours(t, mode="observed"), "entity").join(depth, "entity", "left").withColumn("layering_depth", F.coalesce("layering_depth", F.lit(0)))
+
+
 def graph_neighbourhood(spark, sf_dir):
     """Around the accounts of the largest turnover."""
     e = _edges(spark, sf_dir)
@@ -164,7 +172,7 @@ near AS (SELECT node FROM top1 UNION SELECT dst FROM und WHERE src IN (FROM top1
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_degrees, graph_patterns, graph_pagerank, graph_components, graph_cycles, graph_paths, graph_best_paths, graph_best_captions, graph_path_share, graph_reach,
+        graph_degrees, graph_patterns, graph_pagerank, graph_components, graph_cycles, graph_paths, graph_best_paths, graph_best_captions, graph_path_share, graph_reach, observed_features,
         graph_neighbourhood, graph_betweenness, graph_central, graph_roles, graph_snapshot, graph_edge_table,
     )
 }
@@ -184,6 +192,10 @@ SQL = {
     + """SELECT node, count(*) AS n_paths, round(count(*) / (SELECT count(*) FROM paths), 4) AS share
 FROM (SELECT unnest(nodes[2:-2]) AS node FROM paths WHERE hops > 1) GROUP BY node""",
     "graph_reach": _BASE + "SELECT node, max(d)::BIGINT AS depth FROM dist GROUP BY node",
+    "observed_features": _BASE
+    + """, od AS (SELECT entity, count(*) FILTER (hour(ts) < 5) AS odd_hour_txn_count FROM (SELECT src AS entity, ts FROM tr UNION ALL SELECT dst, ts FROM tr) GROUP BY entity)
+SELECT f.entity, round(CASE WHEN ia > 0 THEN least(1.0::DOUBLE, coalesce(oa, 0)::DOUBLE / ia::DOUBLE) ELSE 0.0::DOUBLE END, 4) AS passthrough_ratio, ic AS fan_in_count, oc AS fan_out_count, odd_hour_txn_count,
+       coalesce((SELECT max(d) FROM dist WHERE node = f.entity), 0)::BIGINT AS layering_depth FROM flow f JOIN od USING (entity)""",
     "graph_neighbourhood": _BASE + "SELECT src, dst FROM tr WHERE src IN (FROM near) AND dst IN (FROM near)",
     "graph_betweenness": _BASE + "SELECT node, round(betweenness, 8) AS betweenness FROM bc",
     "graph_central": _BASE

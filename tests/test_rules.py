@@ -72,6 +72,18 @@ def test_config_overrides_are_checked():
         config.rules_with({"R02": {"treshold": 3.0}})
 
 
+def test_rules_from_a_file(tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('{"R02": {"threshold": 5}}')
+    assert config.rules_from(str(path))["R02"]["threshold"] == 5
+    for wrong in ("{", "[]", '{"R99": {"threshold": 1}}', '{"R02": 3}'):
+        path.write_text(wrong)
+        with pytest.raises((ValueError, KeyError)):
+            config.rules_from(str(path))
+    with pytest.raises(FileNotFoundError):
+        config.rules_from(str(tmp_path / "gone.json"))
+
+
 def test_betweenness_and_pagerank_on_a_line(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
     b = dict(graph.betweenness(e).collect())
