@@ -5,6 +5,11 @@ Loops are bounded, stop on an empty frontier and cut their lineage with checkpoi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,12 +201,51 @@ def central_pivots(n: int) -> int | None:
     return None if n <= 5000 else 500
 
 
+#: Nodes and edges of a graph that is sent to every task (16 bytes an edge).
+DENSE_NODES, DENSE_EDGES = 5_000, 1_000_000
+
+
+def _dependencies(hops: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataFrame:
+    """node, delta: what the shortest paths from the pivots of each task lay on each node."""
+    names = nodes.orderBy("node").toArrow()["node"].combine_chunks()
+    pairs = hops.toArrow()
+    src, dst = (pc.index_in(pairs[c], value_set=names).to_numpy().astype(np.int64) for c in ("src", "dst"))
+    share = hops.sparkSession.sparkContext.broadcast((src, dst))
+    n = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src, dst = share.value
+        total = np.zeros(n)
+        for batch in batches:
+            for s in pc.index_in(batch.column(0), value_set=names).to_pylist():
+                depth, sigma, delta = np.full(n, -1), np.zeros(n), np.zeros(n)
+                depth[s], sigma[s], steps = 0, 1.0, []
+                while True:
+                    own = np.flatnonzero(depth[src] == len(steps))
+                    own = own[depth[dst[own]] < 0]
+                    if not len(own):
+                        break
+                    depth[dst[own]] = len(steps) + 1
+                    sigma += np.bincount(dst[own], sigma[src[own]], n)
+                    steps.append(own)
+                for own in reversed(steps):
+                    a, b = src[own], dst[own]
+                    delta += np.bincount(a, sigma[a] / sigma[b] * (1 + delta[b]), n)
+                delta[s] = 0
+                total += delta
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(total[at])], ["node", "delta"])
+
+    tasks = max(1, min(256, pivots.count() // 64))
+    return pivots.select("node").repartition(tasks).mapInArrow(run, f"node {dict(nodes.dtypes)['node']}, delta double")
+
+
 def betweenness(edges: DataFrame, pivots: int | str | None = None, seed: int = 42, max_depth: int = 30) -> DataFrame:
     """node, betweenness: normalised, directed, from all nodes or from `pivots` of them chosen by a seeded hash; with
     "auto" from all of a graph of up to 5,000 nodes, else from 500.
 
     Level-synchronous: state is (pivot, node, distance, number of shortest paths); dependencies flow back level by
-    level.
+    level.  A graph of few enough nodes and edges is sent to the tasks whole, which deal the pivots among them.
     """
     hops = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
     nodes = _cut(hops.select(F.col("src").alias("node")).unionByName(hops.select(F.col("dst").alias("node"))).distinct())
@@ -209,6 +253,10 @@ def betweenness(edges: DataFrame, pivots: int | str | None = None, seed: int = 4
     pivots = central_pivots(n) if pivots == "auto" else pivots
     start = nodes if pivots is None or pivots >= n else nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(pivots)
     k = n if pivots is None else min(n, pivots)
+    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    if n <= DENSE_NODES and hops.count() <= DENSE_EDGES:
+        deltas = _dependencies(hops, nodes, start)
+        return nodes.join(deltas.groupBy("node").agg(F.sum("delta").alias("d")), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
     levels = [_cut(start.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("pivot", "node")
     for _ in range(max_depth):
@@ -227,7 +275,6 @@ def betweenness(edges: DataFrame, pivots: int | str | None = None, seed: int = 4
         back = own.withColumnRenamed("node", "dst").join(hops, "dst").select("pivot", F.col("src").alias("node"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
         back = before.join(back, ["pivot", "node"]).groupBy("pivot", "node").agg(F.sum(F.col("sigma") * F.col("share")).alias("delta"))
         after = back
-    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     if found is None:
         return nodes.select("node", F.lit(0.0).alias("betweenness"))
     return nodes.join(found.groupBy("node").agg(F.sum("delta").alias("d")), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))

@@ -72,6 +72,18 @@ def test_config_overrides_are_checked():
         config.rules_with({"R02": {"treshold": 3.0}})
 
 
+def test_betweenness_by_joins_and_in_tasks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"n{rng.randint(0, 14)}", f"n{rng.randint(0, 24)}") for _ in range(90)], "src string, dst string")
+    inside = {r.node: r.betweenness for r in graph.betweenness(edges).collect()}
+    few = {r.node: r.betweenness for r in graph.betweenness(edges, pivots=7).collect()}
+    monkeypatch.setattr(graph, "DENSE_NODES", 0)
+    assert {r.node: r.betweenness for r in graph.betweenness(edges).collect()} == pytest.approx(inside) and max(inside.values()) > 0
+    assert {r.node: r.betweenness for r in graph.betweenness(edges, pivots=7).collect()} == pytest.approx(few)
+
+
 def test_rules_from_a_file(tmp_path):
     path = tmp_path / "rules.json"
     path.write_text('{"R02": {"threshold": 5}}')
