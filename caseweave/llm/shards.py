@@ -27,6 +27,7 @@ class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fan: int = 4, least_bytes: int = 1 << 20):
         self.spark, self.root = spark, root.rstrip("/")
         self.target, self.fan, self.least = target_bytes, fan, least_bytes
+        self.pending: set[str] = set()  # shards that this object has written and not committed yet
 
     # Manifest versions
 
@@ -110,8 +111,11 @@ class ShardStore:
         found: dict[str, list[dict]] = {}
         for s in self._shards(folder):
             found.setdefault(s["path"].rsplit("/", 2)[-2], []).append(s)
+        self.pending |= {s["path"] for part in found.values() for s in part}
         for part in [found[k] for k in sorted(found)] or [[]]:
-            yield self._add(part, rows.schema.json())
+            done = self._add(part, rows.schema.json())
+            self.pending -= {s["path"] for s in part}
+            yield done
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.least, self.fan)))
@@ -144,14 +148,14 @@ class ShardStore:
         """Delete shards older than min_age_s that no version named within that time; how many.
 
         So a reader of a version has that long after its successor, and a writer that long between its files and its
-        commit.  With 0, only the latest version can be read afterwards.
+        commit.  With 0, only the latest version can be read afterwards, and only this object's arrivals under way are safe.
         """
         fs, p = fs_of(self.spark, f"{self.root}/data")
         if not fs.exists(p):
             return 0
         now, versions = time.time(), self.versions()
         made = {v: fs.getFileStatus(fs_of(self.spark, f"{self.root}/_manifest/v{v:08d}.json")[1]).getModificationTime() / 1000 for v in versions}
-        live: set[str] = set()
+        live = set(self.pending)
         for v, successor in zip(versions, [*versions[1:], None], strict=True):
             if successor is None or now - made[successor] < min_age_s:
                 live |= {s["path"] for s in self.manifest(v)["shards"]}
