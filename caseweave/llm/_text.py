@@ -93,12 +93,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         at = to
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """The words of the texts data[offsets[t]:offsets[t + 1]]; lower maps A-Z to a-z."""
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _SPACE) -> Words:
+    """The words of the texts data[offsets[t]:offsets[t + 1]]; lower maps A-Z to a-z, space marks the bytes between words."""
     if lower:
         data = _LOWER[data]
     n = len(data)
-    word = ~_SPACE[data]
+    word = ~space[data]
     before = np.zeros(n + 1, bool)
     before[1:] = word
     before[offsets] = False

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, lm, media, minhash, mixing, packing, shards, substrings, toxicity, vectors
+from . import importance, langid, lines, lm, media, merkle, minhash, mixing, packing, shards, substrings, toxicity, vectors
 
 QUERIES = {
     "op1_packing": packing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lines": lines.op8,
     "op9_substrings": substrings.op9,
     "op10_vectors": vectors.op10,
+    "op11_langid": langid.op11,
+    "op12_merkle": merkle.op12,
+    "op13_importance": importance.op13,
 }
 
-SQL = {"op4_sharding": shards.OP4_SQL, "op7_mixing": mixing.OP7_SQL}
+SQL = {"op4_sharding": shards.OP4_SQL, "op7_mixing": mixing.OP7_SQL, "op12_merkle": merkle.OP12_SQL, "op13_importance": importance.OP13_SQL}
