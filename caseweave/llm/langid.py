@@ -33,6 +33,8 @@ ORDER = 4
 #: Characters of labelled text, about, that one language is learnt from at most, and all together.
 LANGUAGE_CHARS = 3_000_000
 SAMPLE_CHARS = 24_000_000
+#: Languages up to which a table of them is broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Rows that calibrate at most, those of the smallest hashes.
 CALIBRATION_ROWS = 20_000
 #: Share of a language's calibrating rows whose cross-entropy stays under its limit, and the bits a symbol added to it.
@@ -157,7 +159,9 @@ def _sample(known: DataFrame) -> DataFrame:
     sizes = known.groupBy("lang").agg(F.sum("chars").alias("all"))
     one = sizes.agg(F.count("*")).first()[0]
     budget = float(min(LANGUAGE_CHARS, SAMPLE_CHARS / max(1, one)))
+    # A row a language: sent to all tasks while they are few, so that no text is shuffled by its language.
     rates = sizes.select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), F.lit(budget) / F.col("all")).alias("__rate"))
+    rates = F.broadcast(rates) if one <= BROADCAST_LANGUAGES else rates
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "chars"), F.lit(1 << 30)) / float(1 << 30)
     # A long text may not make up the sample by itself, where not all can be taken.
     fits = (F.col("__rate") >= 1) | (F.col("chars") <= budget / 8)
@@ -229,6 +233,7 @@ def fit(known: DataFrame) -> Models:
         return Models([], [])
     numbers = spark.createDataFrame([(name, k) for k, name in enumerate(names)], "name string, g int")
     tenth = (F.pmod(F.xxhash64(F.lit("calibrates"), "doc_id", "chars"), F.lit(10)) == 0).cast("int")
+    numbers = F.broadcast(numbers) if len(names) <= BROADCAST_LANGUAGES else numbers
     of = sample.join(numbers, F.col("lang") == F.col("name")).withColumn("g", 2 * F.col("g") + tenth)
     # At most the sample's characters; in practice a few hundred thousand n-grams a language.
     found = written(_counts(of), "language-grams").toArrow()
@@ -246,7 +251,9 @@ def fit(known: DataFrame) -> Models:
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(list(bits), pa.list_(pa.float64())), pa.array(size)], ["lang", "bits", "n"])
 
     few = of.filter((F.col("g") % 2 == 1) & F.col("lang").isin(fewer.names))
-    few = few.orderBy(F.xxhash64("doc_id", "chars"), "doc_id").limit(CALIBRATION_ROWS).select("lang", "text")
+    # The rows are chosen by hash alone; their texts stay where they are.
+    hashed = few.select(F.xxhash64("doc_id", "chars").alias("h")).orderBy("h").limit(CALIBRATION_ROWS).distinct()
+    few = few.withColumn("h", F.xxhash64("doc_id", "chars")).join(F.broadcast(hashed), "h", "left_semi").select("lang", "text")
     rows = few.mapInArrow(run, "lang string, bits array<double>, n long").toPandas()
     if len(rows):
         fewer.calibrate(np.array(rows["bits"].tolist()), rows["n"].to_numpy(), rows["lang"].map(fewer.names.index).to_numpy())
