@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.operators.checkpoints import cut as _cut
+from caseweave.operators.ranking import numbered
 
 
 def build(entities: DataFrame, links: DataFrame, transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,20 +122,31 @@ def path_share(path_rows: DataFrame) -> DataFrame:
 
 def timed_cycles(edges: DataFrame, minutes: float, max_length: int = 6) -> DataFrame:
     """length, cycle, n of the simple cycles in which money goes round: each transfer later than the one before, all
-    within the time after the first; n counts the rounds of one cycle, which is written from its first payer."""
-    hops = _cut(edges.filter("src <> dst").select("src", "dst", F.unix_micros("ts").alias("t")))
-    step = hops.select(F.col("src").alias("end"), F.col("dst").alias("to"), F.col("t").alias("t1"))
-    front = hops.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("cycle"), F.col("t").alias("t0"), "t")
+    within the time after the first; n counts the rounds of one cycle, which is written from its first payer.
+
+    Both halves of a cycle are walks of at most half its length, so only such walks are made and written: those from a
+    start to a middle account are joined with later ones back.  A walk begins only with a transfer of which both ends
+    can be on a cycle: the payer is paid and the payee pays on within the time.
+    """
+    width = int(minutes * 60_000_000)
+    hops = edges.filter("src <> dst").select("src", "dst", F.unix_micros("ts").alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
+    touched = lambda account, side: hops.select(F.col(account).alias(side), F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)).alias("bucket")).distinct()
+    hops = _cut(hops.join(touched("dst", "src"), ["src", "bucket"], "left_semi").join(touched("src", "dst"), ["dst", "bucket"], "left_semi"))
+    step = hops.select(F.col("src").alias("z"), "bucket", F.col("dst").alias("to"), F.col("t").alias("t2"))
+    kind = dict(hops.dtypes)["src"]
+    halves = [hops.select(F.col("src").alias("a"), F.col("dst").alias("z"), F.array().cast(f"array<{kind}>").alias("inner"), F.col("t").alias("t0"), "t")]
+    next_two = lambda t: F.explode(F.array(F.floor(F.col(t) / width), F.floor(F.col(t) / width) + 1))
+    for _ in range(2, (max_length + 1) // 2 + 1):
+        grown = halves[-1].withColumn("bucket", next_two("t")).join(step, ["z", "bucket"])
+        grown = grown.filter((F.col("t2") > F.col("t")) & (F.col("t2") <= F.col("t0") + width) & (F.col("to") != F.col("a")) & ~F.array_contains("inner", F.col("to")))
+        halves.append(_cut(grown.select("a", F.col("to").alias("z"), F.concat("inner", F.array("z")).alias("inner"), "t0", F.col("t2").alias("t"))))
     found = None
     for length in range(2, max_length + 1):
-        grown = front.join(step, "end").filter((F.col("t1") > F.col("t")) & (F.col("t1") - F.col("t0") <= minutes * 60e6))
-        hit = grown.filter("to = start").select(F.lit(length).alias("length"), "cycle")
+        there = halves[(length + 1) // 2 - 1].withColumn("bucket", next_two("t0"))
+        back = halves[length // 2 - 1].select(F.col("z").alias("a"), F.col("a").alias("z"), F.col("inner").alias("inner2"), F.col("t0").alias("u0"), F.col("t").alias("u"), F.floor(F.col("t0") / width).alias("bucket"))
+        round_ = there.join(back, ["a", "z", "bucket"]).filter((F.col("u0") > F.col("t")) & (F.col("u") <= F.col("t0") + width) & ~F.arrays_overlap("inner", "inner2"))
+        hit = round_.select(F.lit(length).alias("length"), F.concat(F.array("a"), "inner", F.array("z"), "inner2").alias("cycle"))
         found = hit if found is None else found.unionByName(hit)
-        front = grown.filter(~F.array_contains("cycle", F.col("to"))).select("start", F.col("to").alias("end"), F.concat("cycle", F.array("to")).alias("cycle"), "t0", F.col("t1").alias("t"))
-        if length < max_length:
-            front = _cut(front)
-            if front.isEmpty():
-                break
     return found.groupBy("length", "cycle").agg(F.count("*").alias("n"))
 
 
@@ -150,37 +162,60 @@ def central(metrics: DataFrame, share: float = 0.05) -> DataFrame:
     return metrics.join(F.broadcast(bound)).select("node", "betweenness", ((F.col("betweenness") >= F.col("bound")) & (F.col("betweenness") > 0)).alias("is_central"))
 
 
+def _from_smallest(hops: DataFrame, rounds: int) -> list[DataFrame]:
+    """By length: walks (a, z, inner) over hops (src, dst) through no node twice, of which all other nodes are larger than the first."""
+    step = hops.select(F.col("src").alias("z"), F.col("dst").alias("to"))
+    kind = dict(hops.dtypes)["src"]
+    walks = [hops.filter("dst > src").select(F.col("src").alias("a"), F.col("dst").alias("z"), F.array().cast(f"array<{kind}>").alias("inner"))]
+    for _ in range(2, rounds + 1):
+        grown = walks[-1].join(step, "z").filter((F.col("to") > F.col("a")) & ~F.array_contains("inner", F.col("to")) & (F.col("to") != F.col("z")))
+        walks.append(_cut(grown.select("a", F.col("to").alias("z"), F.concat("inner", F.array("z")).alias("inner"))))
+    return walks
+
+
 def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """length, cycle of every simple cycle up to a length, once each, written from its smallest node."""
+    """length, cycle of every simple cycle up to a length, once each, written from its smallest node.
+
+    Walks of half a cycle's length from the smallest node meet those against the edges' direction at the middle node.
+    """
     hops = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    step = hops.select(F.col("src").alias("end"), F.col("dst").alias("to"))
-    front = hops.select(F.col("src").alias("start"), F.col("dst").alias("end"), F.array("src", "dst").alias("cycle")).filter("end > start")
+    there = _from_smallest(hops, (max_length + 1) // 2)
+    back = _from_smallest(hops.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_length // 2)
     found = None
     for length in range(2, max_length + 1):
-        grown = front.join(step, "end")
-        hit = grown.filter("to = start").select(F.lit(length).alias("length"), "cycle")
+        other = back[length // 2 - 1].select("a", "z", F.col("inner").alias("inner2"))
+        round_ = there[(length + 1) // 2 - 1].join(other, ["a", "z"]).filter(~F.arrays_overlap("inner", "inner2"))
+        hit = round_.select(F.lit(length).alias("length"), F.concat(F.array("a"), "inner", F.array("z"), F.reverse("inner2")).alias("cycle"))
         found = hit if found is None else found.unionByName(hit)
-        front = grown.filter((F.col("to") > F.col("start")) & ~F.array_contains("cycle", F.col("to"))).select("start", F.col("to").alias("end"), F.concat("cycle", F.array("to")).alias("cycle"))
-        if length > 2 and length < max_length:
-            front = _cut(front)
-            if front.isEmpty():
-                break
     return found
 
 
 def reach(edges: DataFrame, max_depth: int = 6) -> DataFrame:
-    """node, depth: levels that a breadth-first search from it reaches, at most max_depth."""
+    """node, depth: levels that a breadth-first search from it reaches, at most max_depth.
+
+    Sixty-four searches go at once: a row (block, at, bits) says which of a block's sources have come to a node, and a
+    level is one join with the edges and one OR; so the state is a 64th of all pairs of nodes.
+    """
     hops = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
-    front = hops.select(F.col("src").alias("node"), F.col("dst").alias("at"))
-    seen, depth = front, front.select("node", F.lit(1).alias("depth")).distinct()
-    for level in range(2, max_depth + 1):
-        front = front.join(hops, F.col("at") == F.col("src")).select("node", F.col("dst").alias("at")).filter("node <> at").distinct()
-        front = _cut(front.join(seen, ["node", "at"], "left_anti"))
+    no = F.col("no") - 1
+    sources = numbered(hops.select(F.col("src").alias("node")).distinct(), [F.col("node")], "no")
+    sources = _cut(sources.select("node", F.floor(no / 64).alias("block"), F.expr("shiftleft(1L, cast((no - 1) % 64 as int))").alias("bit")))
+    front = sources.select("block", F.col("node").alias("at"), F.col("bit").alias("bits"))
+    seen, levels = front, None
+    for level in range(1, max_depth + 1):
+        got = front.join(hops, F.col("at") == F.col("src")).groupBy("block", F.col("dst").alias("at")).agg(F.bit_or("bits").alias("got"))
+        old = seen.withColumnRenamed("bits", "old")
+        new = got.join(old, ["block", "at"], "left").select("block", "at", F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long")))).alias("bits"))
+        front = _cut(new.filter("bits <> 0"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-        depth = depth.unionByName(front.select("node", F.lit(level).alias("depth")).distinct())
-    return depth.groupBy("node").agg(F.max("depth").alias("depth"))
+        own = front.groupBy("block").agg(F.bit_or("bits").alias("bits")).withColumn("level", F.lit(level))
+        levels = own if levels is None else levels.unionByName(own)
+        if level < max_depth:
+            seen = _cut(seen.unionByName(front).groupBy("block", "at").agg(F.bit_or("bits").alias("bits")))
+    if levels is None:
+        return sources.select("node", F.lit(0).alias("depth")).limit(0)
+    return sources.join(levels, "block").filter(F.col("bits").bitwiseAND(F.col("bit")) != 0).groupBy("node").agg(F.max("level").alias("depth"))
 
 
 def neighbourhood(edges: DataFrame, centre: DataFrame, hops: int = 2) -> DataFrame:
@@ -240,12 +275,13 @@ def _dependencies(hops: DataFrame, nodes: DataFrame, pivots: DataFrame) -> DataF
     return pivots.select("node").repartition(tasks).mapInArrow(run, f"node {dict(nodes.dtypes)['node']}, delta double")
 
 
-def betweenness(edges: DataFrame, pivots: int | str | None = None, seed: int = 42, max_depth: int = 30) -> DataFrame:
+def betweenness(edges: DataFrame, pivots: int | str | None = None, seed: int = 42, dense: bool | None = None) -> DataFrame:
     """node, betweenness: normalised, directed, from all nodes or from `pivots` of them chosen by a seeded hash; with
     "auto" from all of a graph of up to 5,000 nodes, else from 500.
 
     Level-synchronous: state is (pivot, node, distance, number of shortest paths); dependencies flow back level by
-    level.  A graph of few enough nodes and edges is sent to the tasks whole, which deal the pivots among them.
+    level, until no new node is met.  A graph of few enough nodes and edges is sent to the tasks whole, which deal the
+    pivots among them; `dense` says so instead of the size.
     """
     hops = _cut(edges.select("src", "dst").filter("src <> dst").distinct())
     nodes = _cut(hops.select(F.col("src").alias("node")).unionByName(hops.select(F.col("dst").alias("node"))).distinct())
@@ -254,23 +290,27 @@ def betweenness(edges: DataFrame, pivots: int | str | None = None, seed: int = 4
     start = nodes if pivots is None or pivots >= n else nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(pivots)
     k = n if pivots is None else min(n, pivots)
     scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    if n <= DENSE_NODES and hops.count() <= DENSE_EDGES:
+    if dense or dense is None and n <= DENSE_NODES and hops.count() <= DENSE_EDGES:
         deltas = _dependencies(hops, nodes, start)
         return nodes.join(deltas.groupBy("node").agg(F.sum("delta").alias("d")), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
     levels = [_cut(start.select(F.col("node").alias("pivot"), "node", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("pivot", "node")
-    for _ in range(max_depth):
+    while True:
         new = levels[-1].join(hops, F.col("node") == F.col("src")).groupBy("pivot", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
         new = _cut(new.join(seen, ["pivot", "node"], "left_anti"))
         if new.isEmpty():
             break
         levels.append(new)
         seen = seen.unionByName(new.select("pivot", "node"))
+        if len(levels) % 16 == 0:
+            seen = _cut(seen)
     found, after = None, None
     for level in reversed(levels[1:]):
         own = level.withColumn("delta", F.lit(0.0)) if after is None else level.join(after, ["pivot", "node"], "left").withColumn("delta", F.coalesce("delta", F.lit(0.0)))
         own = _cut(own)
         found = own.select("node", "delta") if found is None else found.unionByName(own.select("node", "delta"))
+        if levels.index(level) % 16 == 0:
+            found = _cut(found.groupBy("node").agg(F.sum("delta").alias("delta")))
         before = levels[levels.index(level) - 1]
         back = own.withColumnRenamed("node", "dst").join(hops, "dst").select("pivot", F.col("src").alias("node"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
         back = before.join(back, ["pivot", "node"]).groupBy("pivot", "node").agg(F.sum(F.col("sigma") * F.col("share")).alias("delta"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.operators.checkpoints import cut
+from caseweave.operators.trails import chain_ends, timed
 
 
 def distinct_in_window(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
@@ -54,26 +53,13 @@ def layering_chains(transfers: DataFrame, minutes: int = 30, max_hops: int = 6)
     """account, depth: most hops of a chain that leaves the account, each hop later than the one before and all
     within the window after the first.
 
-    The frontier keeps one row per (origin event, account, arrival), so it is bounded by reachable events; it stops
-    early when it is empty.
+    For each transfer and number of hops only the earliest end is kept (see trails.chain_ends): rows stay as many as
+    the transfers, and an account is split by time.
     """
-    hops = transfers.select("event_id", "src", "dst", F.unix_micros("ts").alias("t"))
-    front = hops.select(F.col("src").alias("account"), "dst", F.col("t").alias("t0"), "t")
-    found = [front.select("account", F.lit(1).alias("depth"))]
-    step = hops.select(F.col("src").alias("n_src"), F.col("dst").alias("n_dst"), F.col("t").alias("n_t"))
-    for depth in range(2, max_hops + 1):
-        if depth > 2:
-            front = cut(front)
-            if front.isEmpty():
-                break
-        front = (
-            front.join(step, (F.col("dst") == F.col("n_src")) & (F.col("n_t") > F.col("t")) & (F.col("n_t") <= F.col("t0") + minutes * 60 * 1_000_000))
-            .select("account", F.col("n_dst").alias("dst"), "t0", F.col("n_t").alias("t"))
-            .groupBy("account", "dst", "t0")
-            .agg(F.min("t").alias("t"))
-        )
-        found.append(front.select("account", F.lit(depth).alias("depth")))
-    return reduce(DataFrame.unionByName, found).groupBy("account").agg(F.max("depth").cast("long").alias("depth"))
+    width = minutes * 60_000_000
+    found = chain_ends(timed(transfers, width), width, max_hops)
+    depth = F.coalesce(*[F.when(F.col(f"k{k}").isNotNull(), F.lit(k)) for k in range(max_hops, 0, -1)])
+    return found.groupBy(F.col("src").alias("account")).agg(F.max(depth).cast("long").alias("depth"))
 
 
 def call_then_transfer(calls: DataFrame, transfers: DataFrame, owners: DataFrame, minutes: int = 15) -> DataFrame:
@@ -97,11 +83,28 @@ def call_then_transfer(calls: DataFrame, transfers: DataFrame, owners: DataFrame
     return hit.select(F.col("account").alias("victim"), "call_id", "transfer_id")
 
 
+#: Payers of one counterparty and time bucket that one block of a join holds.
+BLOCK = 1_000
+
+
 def time_proximity(events: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """Unordered pairs of keys with events of one counterparty at most so far apart: a, b, n (buckets of the width)."""
-    micros = minutes * 60 * 1_000_000
-    left = events.select("dst", F.col(key).alias("a"), F.unix_micros(ts).alias("t"), "event_id")
-    left = left.withColumn("bucket", F.floor(F.col("t") / micros))
-    right = left.select("dst", F.col("a").alias("b"), F.col("t").alias("u"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    near = left.join(right, ["dst", "bucket"]).filter(F.col("a") < F.col("b")).filter(F.abs(F.col("t") - F.col("u")) <= micros)
-    return near.groupBy("a", "b").agg(F.count("*").alias("n"))
+    """Unordered pairs of keys with events of one counterparty at most so far apart: a, b, n (pairs of events).
+
+    Events of a key in a counterparty's bucket (of the width) are one row with their times, so the join makes a row a
+    pair of keys and neighbouring buckets.  Buckets of many keys are cut into blocks, and a join's task sees a pair of
+    blocks: a counterparty that holds most of all events is as many tasks as it needs.
+    """
+    width = minutes * 60 * 1_000_000
+    t = F.unix_micros(F.col(ts))
+    own = events.filter(F.col(key).isNotNull() & F.col("dst").isNotNull()).groupBy("dst", F.floor(t / width).alias("bucket"), F.col(key).alias("a")).agg(F.array_sort(F.collect_list(t)).alias("times"))
+    own = cut(own)
+    sizes = own.groupBy("dst", "bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = own.join(sizes, ["dst", "bucket"]).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    # A row of the right side goes to its own bucket's and both neighbours' blocks, a row of the left side to one.
+    reach = F.explode(F.array(*[F.col("bucket") + k for k in (-1, 0, 1)]))
+    right = own.select("dst", F.col("a").alias("b"), F.col("times").alias("others"), reach.alias("bucket"))
+    right = right.join(sizes, ["dst", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    both = placed.drop("blocks").join(right, ["dst", "bucket", "block"]).filter(F.col("a") < F.col("b"))
+    near = F.aggregate("times", F.lit(0), lambda n, x: n + F.size(F.filter("others", lambda y: F.abs(x - y) <= width)))
+    counted = both.select("a", "b", near.cast("long").alias("n")).filter("n > 0")
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n"))

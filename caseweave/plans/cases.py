@@ -161,7 +161,7 @@ def entity_by_id(spark, sf_dir):
 
 def scores_on_path(spark, sf_dir):
     """MEDIUM accounts on a day-long trail from a victim to a cash-out end for which the cash-out rule fired."""
-    on = graphs._trails(spark, sf_dir).select(F.explode("path").alias("node"))
+    on = graphs._counted(spark, sf_dir).nodes()
     return cases.found_scores(_scores(spark, sf_dir), "MEDIUM", on, "R08").select("entity", "score", "band", "rules_fired")
 
 

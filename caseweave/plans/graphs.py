@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.operators import features, graph, links
+from caseweave.operators import features, graph, links, trails
 from caseweave.operators.adapter import EVENTS_SQL, transfers
 from caseweave.operators.checkpoints import cut
 from caseweave.plans._plain import plain
@@ -56,24 +56,46 @@ def graph_components(spark, sf_dir):
     return graph.components(_edges(spark, sf_dir))
 
 
+def _counted(spark, sf_dir) -> trails.Trails:
+    """The same trails, counted and ranked only."""
+    e = cut(_edges(spark, sf_dir))
+    return trails.trails(e, _victims(e), _cash_ends(e), TRAIL_MINUTES)
+
+
 def graph_cycles(spark, sf_dir):
     return _text(graph.timed_cycles(_edges(spark, sf_dir), TRAIL_MINUTES), "cycle")
 
 
+def graph_static_cycles(spark, sf_dir):
+    """Rings of two or three accounts whose transfers may come in any order."""
+    return _text(graph.cycles(_edges(spark, sf_dir), max_length=3), "cycle")
+
+
+def graph_static_paths(spark, sf_dir):
+    """From victims to cash-out ends over at most one account between, whatever the order of the transfers."""
+    e = cut(_edges(spark, sf_dir))
+    found = graph.paths(e, _victims(e), _cash_ends(e), max_hops=2)
+    return _text(found, "path").select("source", "target", "hops", "path", "total")
+
+
 def graph_paths(spark, sf_dir):
     return _text(_trails(spark, sf_dir), "path").select("source", "target", "hops", "path", "total", "minutes")
 
 
+def _best(spark, sf_dir) -> DataFrame:
+    return _counted(spark, sf_dir).pairs().withColumn("total", F.round("total", 2))
+
+
 def graph_best_paths(spark, sf_dir):
-    return _text(graph.best_paths(_trails(spark, sf_dir)), "path").select("source", "target", "hops", "total", "n_paths")
+    return _best(spark, sf_dir).select("source", "target", "hops", "total", "n_paths")
 
 
 def graph_best_captions(spark, sf_dir):
-    return graph.caption(graph.best_paths(_trails(spark, sf_dir))).select("source", "target", F.regexp_replace("caption", ", [0-9,.]+ minutes$", "").alias("caption"))
+    return graph.caption(_best(spark, sf_dir)).select("source", "target", "caption")
 
 
 def graph_path_share(spark, sf_dir):
-    return graph.path_share(_trails(spark, sf_dir))
+    return _counted(spark, sf_dir).share()
 
 
 def graph_reach(spark, sf_dir):
@@ -172,13 +194,13 @@ near AS (SELECT node FROM top1 UNION SELECT dst FROM und WHERE src IN (FROM top1
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_degrees, graph_patterns, graph_pagerank, graph_components, graph_cycles, graph_paths, graph_best_paths, graph_best_captions, graph_path_share, graph_reach, observed_features,
+        graph_degrees, graph_patterns, graph_pagerank, graph_components, graph_cycles, graph_static_cycles, graph_static_paths, graph_paths, graph_best_paths, graph_best_captions, graph_path_share, graph_reach, observed_features,
         graph_neighbourhood, graph_betweenness, graph_central, graph_roles, graph_snapshot, graph_edge_table,
     )
 }
 
-_BEST = """SELECT source, target, hops::INT AS hops, total, n_paths FROM (
-  SELECT *, count(*) OVER (PARTITION BY source, target) AS n_paths, row_number() OVER (PARTITION BY source, target ORDER BY hops, -total, path) AS r FROM paths) WHERE r = 1"""
+_BEST = """SELECT source, target, hops::INT AS hops, total, n_paths, minutes FROM (
+  SELECT *, count(*) OVER (PARTITION BY source, target) AS n_paths, row_number() OVER (PARTITION BY source, target ORDER BY hops, -total, path, minutes) AS r FROM paths) WHERE r = 1"""
 SQL = {
     "graph_degrees": _BASE + "SELECT * FROM deg",
     "graph_patterns": _BASE + "SELECT node, in_degree >= 8 AS is_fan_in, out_degree >= 8 AS is_fan_out, in_degree > 0 AND out_degree > 0 AS is_pass_through FROM deg",
@@ -186,8 +208,15 @@ SQL = {
     "graph_components": _BASE + "SELECT node, min(root) AS component FROM lab GROUP BY node",
     "graph_cycles": _BASE + "SELECT (len(path) - 1)::INT AS length, array_to_string(path[1:-2], '>') AS cycle, count(*) AS n FROM ring WHERE closed GROUP BY ALL",
     "graph_paths": _BASE + "SELECT source, target, hops::INT AS hops, path, total, minutes FROM paths",
-    "graph_best_paths": _BASE + _BEST,
-    "graph_best_captions": _BASE + f"SELECT source, target, hops || ' hops, ' || format('{{:,.2f}}', total) AS caption FROM ({_BEST})",
+    "graph_static_cycles": _BASE
+    + """SELECT 2::INT AS length, a.src || '>' || a.dst AS cycle FROM pe a JOIN pe b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT 3, a.src || '>' || a.dst || '>' || b.dst FROM pe a JOIN pe b ON a.dst = b.src JOIN pe c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""",
+    "graph_static_paths": _BASE
+    + """, hop AS (SELECT src, dst, sum(amount::DOUBLE) AS amount FROM tr GROUP BY src, dst)
+SELECT src AS source, dst AS target, 1::INT AS hops, src || '>' || dst AS path, round(amount, 2) AS total FROM hop WHERE src IN (FROM vi) AND dst IN (FROM co)
+UNION ALL SELECT a.src, b.dst, 2, a.src || '>' || a.dst || '>' || b.dst, round(a.amount + b.amount, 2) FROM hop a JOIN hop b ON a.dst = b.src WHERE a.src IN (FROM vi) AND b.dst IN (FROM co) AND a.src <> b.dst""",
+    "graph_best_paths": _BASE + f"SELECT source, target, hops, total, n_paths FROM ({_BEST})",
+    "graph_best_captions": _BASE + f"SELECT source, target, hops || ' hops, ' || format('{{:,.2f}}', total) || ', ' || format('{{:,.1f}}', minutes) || ' minutes' AS caption FROM ({_BEST})",
     "graph_path_share": _BASE
     + """SELECT node, count(*) AS n_paths, round(count(*) / (SELECT count(*) FROM paths), 4) AS share
 FROM (SELECT unnest(nodes[2:-2]) AS node FROM paths WHERE hops > 1) GROUP BY node""",
