@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.config import ACTIVE_CONFIDENCE, CONFIDENCE
+from caseweave.operators.checkpoints import cut
+from caseweave.operators.ranking import numbered
 
 LINK_COLUMNS = ["a", "b", "link_type", "confidence", "support", "total_amount", "first_at", "last_at"]
 
@@ -20,17 +22,11 @@ def _linked(pairs: DataFrame, link_type: str, confidence=None) -> DataFrame:
     return out.select(*LINK_COLUMNS)
 
 
-def shared_attribute(uses: DataFrame, entity: str, attribute: str, link_type: str, least: int = 2, hub: int | None = None) -> DataFrame:
-    """Unordered pairs of entities that use one attribute value.
-
-    Pairs of one value are joined on it after duplicates went; `hub` leaves out values with more users than that,
-    whose users `hub_stars` links to the value itself instead.
-    """
+def shared_attribute(uses: DataFrame, entity: str, attribute: str, link_type: str, least: int = 2) -> DataFrame:
+    """Unordered pairs of entities that use one attribute value, all of them: for values of few users (else shared_classes)."""
     own = uses.filter(F.col(entity).isNotNull() & F.col(attribute).isNotNull()).groupBy(F.col(entity).alias("e"), F.col(attribute).alias("v"))
     own = own.agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
     size = own.groupBy("v").agg(F.count("*").alias("users")).filter(F.col("users") >= least)
-    if hub is not None:
-        size = size.filter(F.col("users") <= hub)
     own = own.join(size, "v")
     other = own.select("v", F.col("e").alias("b"), F.col("first_at").alias("f2"), F.col("last_at").alias("l2"))
     pairs = own.join(other, "v").filter(F.col("e") < F.col("b"))
@@ -42,17 +38,17 @@ def shared_attribute(uses: DataFrame, entity: str, attribute: str, link_type: st
     return _linked(pairs, link_type)
 
 
-def hub_stars(uses: DataFrame, entity: str, attribute: str, hub: int) -> DataFrame:
-    """value, entity, users for the values that shared_attribute leaves out: a star in place of all pairs."""
+def busiest(uses: DataFrame, entity: str, attribute: str, n: int = 10) -> DataFrame:
+    """place, value, users of the n values that most entities share."""
     own = uses.select(F.col(entity).alias("entity"), F.col(attribute).alias("value")).dropna().distinct()
-    big = own.groupBy("value").agg(F.count("*").alias("users")).filter(F.col("users") > hub)
-    return own.join(big, "value").select("value", "entity", "users")
+    top = own.groupBy("value").agg(F.count("*").alias("users")).orderBy(F.desc("users"), "value").limit(n)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("users"), "value")).alias("place"), "value", "users")
 
 
 def shared_classes(uses: DataFrame, entity: str, attribute: str, link_type: str, least: int = 2) -> DataFrame:
     """One row per value and entity that uses it: link_type, value, entity, users, smallest, confidence, first_at, last_at.
 
-    Two entities are linked if they share a value: every pair of shared_attribute without a hub, in rows that grow as
+    Two entities are linked if they share a value: every pair of users, in rows that grow as
     the uses do and not as the square of a value's users.
     """
     own = uses.filter(F.col(entity).isNotNull() & F.col(attribute).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(attribute).alias("value"))
@@ -65,9 +61,39 @@ def shared_classes(uses: DataFrame, entity: str, attribute: str, link_type: str,
     return found.select("link_type", F.col("value").cast("string").alias("value"), "entity", "users", "smallest", "confidence", "first_at", "last_at")
 
 
+#: Members of an entity's classes up to which its neighbours are listed; beyond, they are bits.
+LISTED = 64
+
+
+def class_neighbours(classes: DataFrame) -> DataFrame:
+    """entity, link_type, n, others: how many links an entity has through its values (n, by value), and to how many
+    different entities, of rows of shared_classes.
+
+    Exact and without pairs: an entity of one value has its other users; one whose values have few members in all lists
+    them; the rest OR the bitmaps of their values, once for all entities of equal values, and count the bits.
+    """
+    own = F.transform(F.array_sort(F.collect_list(F.struct("value", "users"))), lambda x: x["value"])
+    per = cut(classes.groupBy("entity", "link_type").agg(own.alias("values"), F.sum(F.col("users") - 1).alias("n"), F.sum("users").alias("members")))
+    one = per.filter(F.size("values") == 1).select("entity", "link_type", "n", F.col("n").alias("others"))
+    few = per.filter((F.size("values") > 1) & (F.col("members") <= LISTED))
+    member = classes.select("link_type", "value", F.col("entity").alias("other"))
+    listed = few.select("entity", "link_type", "n", F.explode("values").alias("value")).join(member, ["link_type", "value"]).filter("other <> entity")
+    listed = listed.groupBy("entity", "link_type", "n").agg(F.count_distinct("other").alias("others"))
+    # Entities of equal values have equal neighbours, themselves included: one bitmap for all of them.
+    many = per.filter((F.size("values") > 1) & (F.col("members") > LISTED))
+    sets = many.select("link_type", "values").distinct().select("link_type", "values", F.explode("values").alias("value"))
+    numbers = numbered(classes.select("entity").distinct(), [F.col("entity")], "no").withColumnRenamed("entity", "other")
+    used = member.join(sets.select("link_type", "value").distinct(), ["link_type", "value"], "left_semi").join(numbers, "other")
+    bits = used.groupBy("link_type", "value", F.bitmap_bucket_number("no").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("no")).alias("bits"))
+    union = sets.join(bits, ["link_type", "value"]).groupBy("link_type", "values", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    sizes = union.groupBy("link_type", "values").agg((F.sum(F.bitmap_count("bits")) - 1).alias("others"))
+    rest = many.join(sizes, ["link_type", "values"]).select("entity", "link_type", "n", "others")
+    return one.unionByName(listed).unionByName(rest)
+
+
 def as_stars(classes: DataFrame) -> DataFrame:
-    """Rows of shared_classes as links a, b, link_type, value, confidence, support from each value's smallest entity, its own row included."""
-    return classes.select(F.col("smallest").alias("a"), F.col("entity").alias("b"), "link_type", "value", "confidence", F.col("users").alias("support"))
+    """Rows of shared_classes as links a, b, link_type, value, confidence, support from each value's smallest entity to its others."""
+    return classes.filter(F.col("entity") != F.col("smallest")).select(F.col("smallest").alias("a"), F.col("entity").alias("b"), "link_type", "value", "confidence", F.col("users").alias("support"))
 
 
 def surfaced_classes(links: DataFrame, classes: DataFrame, dismissed: DataFrame | None = None, threshold: float = ACTIVE_CONFIDENCE) -> DataFrame:

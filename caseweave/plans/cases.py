@@ -42,8 +42,10 @@ def case_seizures(spark, sf_dir):
 
 
 def case_neighbours(spark, sf_dir):
-    every = linking._merged(spark, sf_dir).filter("a <> b")
-    return cases.neighbours(every).groupBy("entity", "link_type").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
+    """By account and link type: links (by value where one is shared) and different neighbours."""
+    pairs, classes = linking._pairs_and_classes(spark, sf_dir)
+    direct = cases.neighbours(pairs).groupBy("entity", "link_type").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
+    return direct.unionByName(links.class_neighbours(cut(classes)))
 
 
 def case_neighbour_classes(spark, sf_dir):
@@ -183,7 +185,8 @@ def graph_data(spark, sf_dir):
 
 def cluster_members(spark, sf_dir):
     """The accounts of each cluster of flows and shared handsets."""
-    shared = linking._merged(spark, sf_dir).filter("a <> b and (link_type = 'SHARED_IMEI' or link_type = 'FUND_FLOW')")
+    flows_ = links.fund_flow(transfers(spark, sf_dir)).select("a", "b")
+    shared = flows_.unionByName(links.as_stars(linking._classes(spark, sf_dir, "SHARED_IMEI")).select("a", "b"))
     return graph.components(shared.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
@@ -249,14 +252,14 @@ SQL = {
   FROM (SELECT dst AS entity, amount AS x, ts, event_id, 0 AS o FROM tr UNION ALL SELECT src, -amount, ts, event_id, 1 FROM tr) GROUP BY entity) USING (entity)
 WHERE score >= 30 AND residual > 0""",
     "case_neighbours": linking._BASE
-    + """, lk AS (SELECT a, b, link_type FROM (FROM pairs UNION ALL FROM stars) WHERE a <> b),
-nb AS (SELECT a AS entity, b AS other, link_type FROM lk UNION ALL SELECT b, a, link_type FROM lk)
+    + """, nb AS (SELECT a AS entity, b AS other, link_type FROM pairs UNION ALL SELECT b, a, link_type FROM pairs
+  UNION ALL SELECT x.entity, y.entity, x.link_type FROM cls x JOIN cls y ON x.link_type = y.link_type AND x.value = y.value AND x.entity <> y.entity)
 SELECT entity, link_type, count(*) AS n, count(DISTINCT other) AS others FROM nb GROUP BY ALL""",
     "case_neighbour_classes": linking._BASE
     + """SELECT entity, link_type, NULL::VARCHAR AS value, count(DISTINCT other) AS others FROM (SELECT src AS entity, dst AS other, 'FUND_FLOW' AS link_type FROM tr UNION ALL SELECT dst, src, 'FUND_FLOW' FROM tr) GROUP BY ALL
 UNION ALL SELECT entity, link_type, value, users - 1 FROM c_SHARED_IMEI""",
     "cluster_members": linking._BASE.replace("WITH ", "WITH RECURSIVE ", 1)
-    + """, und AS (SELECT a AS src, b AS dst FROM (FROM pairs UNION ALL FROM stars) WHERE a <> b AND link_type IN ('SHARED_IMEI', 'FUND_FLOW')), two AS (SELECT src, dst FROM und UNION SELECT dst, src FROM und),
+    + """, und AS (SELECT a AS src, b AS dst FROM (FROM pairs UNION ALL FROM stars) WHERE link_type IN ('SHARED_IMEI', 'FUND_FLOW')), two AS (SELECT src, dst FROM und UNION SELECT dst, src FROM und),
 lab AS (SELECT src AS node, src AS root FROM two UNION SELECT u.dst, l.root FROM lab l JOIN two u ON u.src = l.node)
 SELECT node, min(root) AS component FROM lab GROUP BY node""",
     "unsupported_reasons": _BASE + "SELECT rule_code, count(*) AS n FROM reason WHERE triggered = 1 AND rule_code = 'R09' GROUP BY rule_code",

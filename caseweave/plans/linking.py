@@ -1,7 +1,7 @@
 """Queries that link entities.
 
-A value that n entities share links n * (n - 1) / 2 pairs; it is shown as n rows from its smallest entity (a star), so
-every link is there at any n and rows grow as the uses do.
+A value that n entities share links n * (n - 1) / 2 pairs; it is shown as n - 1 rows from its smallest entity to the
+others (a star), so every link is there at any n and rows grow as the uses do.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ from caseweave.operators import links, windows
 from caseweave.operators.adapter import EVENTS_SQL, device_events, installed_apps, sessions, table, transfers
 from caseweave.plans._plain import plain
 
-HUB = 40
-
 
 def _identifiers(spark, sf_dir, kind: str) -> DataFrame:
     found = normalize.text_identifiers(table(spark, sf_dir, "documents")).filter(F.col("kind") == kind)
@@ -86,7 +84,18 @@ def _class_query(kind: str):
 
 
 def shared_imei_hubs(spark, sf_dir):
-    return links.hub_stars(device_events(spark, sf_dir), "phone", "imei", hub=HUB)
+    """The ten handsets of most phones."""
+    return links.busiest(device_events(spark, sf_dir), "phone", "imei")
+
+
+def all_link_classes(spark, sf_dir):
+    """Every account's membership in every shared value."""
+    return _rows(_pairs_and_classes(spark, sf_dir)[1])
+
+
+def surfaced_link_classes(spark, sf_dir):
+    """Memberships in values that are strong enough to be shown alone."""
+    return all_link_classes(spark, sf_dir).filter(F.col("confidence") >= 0.75)
 
 
 def time_proximity(spark, sf_dir):
@@ -178,7 +187,7 @@ cls AS (""" + " UNION ALL ".join(f"FROM c_{k}" for k in ACCOUNTS) + """),
 pairs AS (
   SELECT src AS a, dst AS b, 'FUND_FLOW' AS link_type, NULL::VARCHAR AS value, 1.0::DOUBLE AS confidence, count(*) AS support FROM tr GROUP BY src, dst
   UNION ALL SELECT a, b, 'TEMPORAL_PROXIMITY', NULL, 0.35::DOUBLE, n FROM prox),
-stars AS (SELECT smallest AS a, entity AS b, link_type, value, confidence, users AS support FROM cls),
+stars AS (SELECT smallest AS a, entity AS b, link_type, value, confidence, users AS support FROM cls WHERE entity <> smallest),
 f AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr WHERE event_type <> 'UPI_TXN'),
 e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM tr WHERE event_type <> 'TRANSFER'),
 cmp AS (SELECT CASE WHEN f.a IS NOT NULL AND e.a IS NOT NULL THEN 'MATCHED' WHEN e.a IS NOT NULL THEN 'MISSED' ELSE 'FALSE' END AS status FROM f FULL JOIN e ON f.a = e.a AND f.b = e.b)
@@ -186,10 +195,13 @@ cmp AS (SELECT CASE WHEN f.a IS NOT NULL AND e.a IS NOT NULL THEN 'MATCHED' WHEN
 
 QUERIES = {
     f.__name__: f
-    for f in (shared_imei_hubs, time_proximity, all_links, links_above, surfaced_links, fund_flow_events, link_rationale, link_upsert, link_accuracy, link_recall)
+    for f in (shared_imei_hubs, time_proximity, all_links, all_link_classes, surfaced_link_classes, links_above, surfaced_links, fund_flow_events, link_rationale, link_upsert, link_accuracy, link_recall)
 }
 SQL = {
-    "shared_imei_hubs": _BASE + "SELECT v AS value, e AS entity, users FROM u_SHARED_IMEI JOIN (SELECT v, count(*) AS users FROM u_SHARED_IMEI GROUP BY v HAVING count(*) > 40) USING (v)",
+    "shared_imei_hubs": _BASE
+    + "SELECT (row_number() OVER (ORDER BY users DESC, value))::INT AS place, value, users FROM (SELECT v AS value, count(*) AS users FROM u_SHARED_IMEI GROUP BY v) QUALIFY place <= 10",
+    "all_link_classes": _BASE + "SELECT * FROM cls",
+    "surfaced_link_classes": _BASE + "SELECT * FROM cls WHERE confidence >= 0.75",
     "time_proximity": _BASE + "SELECT * FROM prox",
     "all_links": _BASE + "FROM pairs UNION ALL FROM stars",
     "links_above": _BASE + "SELECT * FROM (FROM pairs UNION ALL FROM stars) WHERE confidence >= 0.75",
@@ -205,7 +217,7 @@ UNION ALL SELECT * FROM stars WHERE confidence >= 0.75""",
     "fund_flow_events": _BASE + "SELECT src AS a, dst AS b, event_id, ts, amount::DOUBLE AS amount FROM tr",
     "link_rationale": _BASE
     + """SELECT src AS a, dst AS b, 'FUND_FLOW' AS link_type, 'Money moved directly: ' || format('{:,.2f}', sum(amount)::DOUBLE) || ' in ' || count(*) || ' transfers.' AS rationale FROM tr GROUP BY src, dst
-UNION SELECT smallest, entity, link_type, 'Both paid one beneficiary, as did ' || users || ' payers in all.' FROM c_RECURRING_BENEFICIARY""",
+UNION SELECT smallest, entity, link_type, 'Both paid one beneficiary, as did ' || users || ' payers in all.' FROM c_RECURRING_BENEFICIARY WHERE entity <> smallest""",
     "link_upsert": _BASE
     + """, o AS (SELECT src AS a, dst AS b, count(*) AS support, sum(amount)::DOUBLE AS total_amount, min(ts) AS first_at, max(ts) AS last_at FROM tr WHERE event_id < 5000 GROUP BY src, dst),
 n AS (SELECT src AS a, dst AS b, count(*) AS support, sum(amount)::DOUBLE AS total_amount, min(ts) AS first_at, max(ts) AS last_at FROM tr WHERE event_id >= 4000 GROUP BY src, dst)
@@ -220,7 +232,5 @@ FROM (SELECT count(*) FILTER (status = 'MATCHED') AS m, count(*) FILTER (status
 for _kind in SHARED:
     _name = _kind.lower()
     QUERIES |= {_name: _star_query(_kind), f"{_name}_classes": _class_query(_kind)}
-    SQL[_name] = _BASE + f"SELECT smallest AS a, entity AS b, link_type, value, confidence, users AS support FROM c_{_kind}"
+    SQL[_name] = _BASE + f"SELECT smallest AS a, entity AS b, link_type, value, confidence, users AS support FROM c_{_kind} WHERE entity <> smallest"
     SQL[f"{_name}_classes"] = _BASE + f"SELECT link_type, value, entity, users, smallest, confidence FROM c_{_kind}"
-QUERIES |= {"all_link_classes": all_links, "surfaced_link_classes": surfaced_links}
-SQL |= {"all_link_classes": SQL["all_links"], "surfaced_link_classes": SQL["surfaced_links"]}
