@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,9 +31,13 @@ class Encoder:
     """Token ids (little-endian unsigned 32-bit) of a text, by a vocabulary of the tokenizers library.
 
     Merges use the rank file of the same vocabulary, at twice the library's speed; a text with a special token's
-    string goes to the library itself.  Nothing is remembered between texts.
+    string, or with a run of white space too long for the rank file's pattern, goes to the library itself.  Nothing is
+    remembered between texts.
     """
 
+    #: Characters of white space in one run from which the library encodes; the pattern fails from about a million on.
+    LONG_RUN = 100_000
+
     def __init__(self, json_path: str, rank_path: str, pattern: str):
         import tiktoken
 
@@ -44,7 +49,8 @@ class Encoder:
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        blank = len(text) >= self.LONG_RUN and any(m.end() - m.start() >= self.LONG_RUN for m in re.finditer(r"\s+", text))
+        if blank or any(s in text for s in self.special):
             if self.library is None:  # few texts need it, and it takes much memory
                 from tokenizers import Tokenizer
 

@@ -83,6 +83,20 @@ def test_packing_round_trip(docs, rows):
     assert len(seq) <= math.ceil(sum(r.length for r in got) / 256) * 1.05 + 1
 
 
+@pytest.mark.parametrize("value", [" " * 2_000_000, "\n" * 2_000_000, "x" + " \n\t" * 400_000 + "y", "a" * 2_000_000])
+def test_long_runs_are_encoded_as_by_the_library(value):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(path("byte_bpe_50k.json")).encode(value, add_special_tokens=False).ids
+    assert packing.encoder("byte_bpe_50k")(value) == np.array(want, "<u4").tobytes()
+
+
+def test_a_long_blank_text_is_packed(spark):
+    got = packing.pack(spark.createDataFrame([(1, " " * 1_200_000), (2, "a b")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == 1_200_001 and sum(r.length for r in got if r.doc_id == 2) == 3
+
+
 @pytest.mark.parametrize("kind", ["even", "small", "few", "hot"])
 def test_best_fit_matches_sequential(spark, kind):
     rng = random.Random(2)
@@ -500,6 +514,17 @@ def brute_windows(rows, window=13):
     return out
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark, monkeypatch):
+    """On both paths, also where a column has the name of one of the operator's own."""
+    rng = random.Random(14)
+    rows = [(k, text(rng, 8) + "\nsame old licence line of all\n" + text(rng, 7), "x", "y", "z") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nos string, th string, `key` string")
+    for limit in (lines.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(lines, "BROADCAST_KEYS", limit)
+        got = lines.deduplicate(df).collect()
+        assert all((r.nos, r.th, r.key, r.n_lines, r.n_removed) == ("x", "y", "z", 3, 1) for r in got) and len(got) == 30
+
+
 def test_substring_dedup(docs, rows):
     got = substrings.deduplicate(docs, batches=3).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_windows(rows)
