@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from caseweave.functions.parsing import canonical_json, entry_hash, payload_hash
 
@@ -27,20 +32,34 @@ def _entry(prev: Column, of) -> Column:
 def chained(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """entries with prev_hash and entry_hash: a fold over each case's entries in their order.
 
-    A chain is sequential within its case, so cases are what runs in parallel; one case's log must fit a task.
-    heads (case_id, head_hash) continue earlier chains, others begin with the genesis hash.
+    Cases are dealt to partitions and sorted by number there; a partition is read once, row by row, and of a case only
+    the last hash is held, so a log of any length takes time in proportion and no memory.  A chain is sequential within
+    its case, so cases are what runs in parallel.  heads (case_id, head_hash) continue earlier chains, others begin with
+    the genesis hash.
     """
-    keys = [c for c in entries.columns if c not in ("case_id", "seq")]
-    per = entries.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", *keys))).alias("log"))
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*ENTRY_FIELDS, "payload_hash")]
+    rows = entries.withColumn("__rest", F.concat_ws("\u001f", *rest))
     if heads is not None:
-        per = per.join(heads.select("case_id", "head_hash"), "case_id", "left")
-    start = F.coalesce(F.col("head_hash"), F.lit(GENESIS)) if heads is not None else F.lit(GENESIS)
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.concat(acc, F.array(_entry(F.element_at(acc, -1), lambda c: x[c])))
-
-    rows = per.withColumn("chain", F.aggregate("log", F.array(start), step)).select("case_id", "chain", F.posexplode("log").alias("at", "x"))
-    return rows.select("case_id", "x.*", F.element_at("chain", F.col("at") + 1).alias("prev_hash"), F.element_at("chain", F.col("at") + 2).alias("entry_hash"))
+        rows = rows.join(heads.select("case_id", F.col("head_hash").alias("__head")), "case_id", "left")
+    else:
+        rows = rows.withColumn("__head", F.lit(None).cast("string"))
+    rows = rows.repartition("case_id").sortWithinPartitions("case_id", "seq")
+    genesis, kept = GENESIS, [c for c in rows.columns if not c.startswith("__")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, last = object(), genesis
+        for batch in batches:
+            before, after = [], []
+            for own, rest, head in zip(batch.column("case_id").to_pylist(), batch.column("__rest").to_pylist(), batch.column("__head").to_pylist(), strict=True):
+                if own != case:
+                    case, last = own, head or genesis
+                before.append(last)
+                last = hashlib.sha256(f"{last}\x1f{rest}".encode()).hexdigest()
+                after.append(last)
+            columns = [batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*kept, "prev_hash", "entry_hash"])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in kept), StructField("prev_hash", StringType()), StructField("entry_hash", StringType())]))
 
 
 def verified(chain: DataFrame, payload: dict[str, Column]) -> DataFrame:

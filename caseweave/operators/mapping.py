@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import FunctionType
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ def detected(files: DataFrame) -> DataFrame:
     rows = [(kind, alias) for kind, f in FORMATS.items() for alias in f["detect"]]
     marks = files.sparkSession.createDataFrame(rows, "kind string, alias string").select("kind", header(F.col("alias")).alias("norm")).filter("norm <> ''").distinct()
     own = files.select("file_id", F.explode_outer("headers").alias("h")).withColumn("h", header(F.col("h")))
-    hits = own.join(F.broadcast(marks), F.concat(F.lit(" "), F.col("h"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" "))))
+    hits = own.join(F.broadcast(marks), F.col("h").contains(F.col("norm")))
     hits = hits.groupBy("file_id", "kind").agg(F.count_distinct("norm").alias("n")).filter(F.col("n") >= MIN_MATCHES)
     best = hits.groupBy("file_id").agg(F.max_by("kind", F.struct("n", "kind")).alias("by_header"))
     fifteen = F.regexp_extract_all(F.coalesce("head", F.lit("")), F.lit(r"\b[0-9]{15}\b"), F.lit(0))
@@ -50,15 +52,47 @@ def detected(files: DataFrame) -> DataFrame:
     return found.select("file_id", kind.alias("kind"))
 
 
+def ratios(texts: pd.Series, fields: list[str]) -> np.ndarray:
+    """100 * 2 * common / total of each text with each field (63 characters at most), by sorted tokens.
+
+    Common is the longest common subsequence, bit-parallel: a word of bits a pair stands for the row of the dynamic
+    programme over the field's characters, and one step takes the next character of all texts with all fields.
+    """
+    ordered = lambda x: " ".join(sorted(x.split()))
+    short, long = [ordered(f) for f in fields], [ordered(t) for t in texts]
+    if max(map(len, short), default=0) > 63:
+        raise ValueError("a field has more than 63 characters")
+    symbols = {c: k for k, c in enumerate(sorted(set("".join(short))), 1)}  # 0 is any character of no field
+    masks = np.zeros((len(symbols) + 1, len(short)), np.uint64)
+    for f, field in enumerate(short):
+        for k, c in enumerate(field):
+            masks[symbols[c], f] |= np.uint64(1) << np.uint64(k)
+    sizes = np.array([len(t) for t in long], np.int64)
+    order = np.argsort(-sizes, kind="stable")  # the texts that still have characters come first
+    codes = np.zeros((len(long), int(sizes.max(initial=0))), np.int64)
+    for row, k in enumerate(order):
+        codes[row, : sizes[k]] = [symbols.get(c, 0) for c in long[k]]
+    bits = np.full((len(long), len(short)), ~np.uint64(0))
+    left = np.sort(sizes)
+    for p in range(codes.shape[1]):
+        n = len(long) - int(np.searchsorted(left, p, "right"))
+        hit = bits[:n] & masks[codes[:n, p]]
+        bits[:n] = (bits[:n] + hit) | (bits[:n] - hit)
+    own = np.array([(1 << len(f)) - 1 for f in short], np.uint64)
+    common = np.empty((len(long), len(short)))
+    common[order] = np.bitwise_count(~bits & own)
+    total = sizes[:, None] + np.array([len(f) for f in short])
+    return np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0)
+
+
 def token_ratio(a: str, b: str) -> float:
-    """100 * 2 * common / total over the sorted tokens; common is the longest common subsequence."""
-    a, b = (" ".join(sorted(x.split())) for x in (a, b))
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for k, y in enumerate(b):
-            before, row[k + 1] = row[k + 1], before + 1 if x == y else max(row[k + 1], row[k])
-    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+    """ratios() of two texts."""
+    return float(ratios(pd.Series([a]), [b])[0, 0])
+
+
+def _by_value(f: FunctionType) -> FunctionType:
+    """f as a function of no module, so that it is sent to the workers with its code (they need not have this package)."""
+    return FunctionType(f.__code__, {"np": np, "pd": pd, "__builtins__": __builtins__}, f.__name__)
 
 
 def claims(headers: DataFrame) -> DataFrame:
@@ -91,15 +125,17 @@ def proposed(headers: DataFrame, least: float = 60.0) -> DataFrame:
     sure = by_alias(headers)
     fields = F.array(*[F.lit(f) for f in CANONICAL_FIELDS])
     rest = named.join(sure, ["file_id", "source"], "left_anti")
-    # Files repeat headers: each different header is compared with each field once, whatever the number of files.
-    pairs = rest.select("norm").distinct().withColumn("field", F.explode(fields))
+    # Files repeat headers: each different header is compared with all fields once, whatever the number of files.
+    names = [f.replace("_", " ") for f in CANONICAL_FIELDS]
 
-    @F.pandas_udf("double")
-    def ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([token_ratio(p, q.replace("_", " ")) for p, q in zip(x, y, strict=True)], dtype="float64")
+    @F.pandas_udf("array<double>")
+    def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(list(compared(x, names)))
 
-    likely = pairs.withColumn("confidence", ratio("norm", "field") / 100).filter(F.col("confidence") >= least / 100)
+    compared = _by_value(ratios)
+    pairs = rest.select("norm").distinct().select("norm", F.posexplode(ratio("norm")).alias("k", "share"))
+    likely = pairs.select("norm", F.get(fields, F.col("k")).alias("field"), (F.col("share") / 100).alias("confidence")).filter(F.col("confidence") >= least / 100)
     near = rest.join(likely, "norm").join(sure.select("file_id", "field"), ["file_id", "field"], "left_anti")
     by_header = Window.partitionBy("file_id", "source").orderBy(F.desc("confidence"), "field")
     by_field = Window.partitionBy("file_id", "field").orderBy(F.desc("confidence"), "place")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseweave.functions import normalize, parsing
 from caseweave.operators import ingest, integrity
 from caseweave.operators.adapter import EVENTS_SQL, device_events, events, table
+from caseweave.operators.checkpoints import shared_folder
 from caseweave.plans._plain import plain
+from caseweave.sources import versioned
 
 
 def text_identifiers(spark, sf_dir):
@@ -132,6 +136,16 @@ def entity_upsert(spark, sf_dir):
     return ingest.upserted_entities(old, new)
 
 
+def entity_versions(spark, sf_dir):
+    """The same two loads merged into a versioned table; the second rewrites only the buckets that its phones fall into."""
+    path = f"{shared_folder(spark)}/caseweave/entities-{uuid.uuid4().hex}"
+    keys = ["case_id", "entity_type", "normalized"]
+    for condition, digit, role in (("event_id < 600", "3", "SUSPECT"), ("event_id >= 600", "4", "VICTIM")):
+        load = ingest.entities(_mentions(spark, sf_dir, condition)).withColumn("role", F.when(F.substring("normalized", -1, 1) == digit, role).otherwise("UNKNOWN"))
+        versioned.merge(load, path, keys, lambda old, new: ingest.upserted_entities(old, new).select(*new.columns))
+    return versioned.read(spark, path)
+
+
 def evidence_inventory(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     files = integrity.inventory(docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "text", "source").filter("text is not null"), "name", "text")
@@ -281,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_identifiers, classified_identifiers, normalized_phones, normalized_devices, ip_prefixes, ipv6_prefixes, entity_uuids, email_forms, parsed_times, parsed_amounts, ingested_events, ingest_rejects,
-        ingest_counts, ingest_quality, resolved_entities, entity_upsert, evidence_inventory, manifest_diff, audit_chain, audit_appended, audit_heads, audit_entries, audit_verification, case_integrity,
+        ingest_counts, ingest_quality, resolved_entities, entity_upsert, entity_versions, evidence_inventory, manifest_diff, audit_chain, audit_appended, audit_heads, audit_entries, audit_verification, case_integrity,
         evidence_manifest, evidence_active, evidence_status,
     )
 }
@@ -346,3 +360,4 @@ UNION ALL SELECT '{"case_id":"' || case_id || '","hash":"' || arg_max(entry_hash
 WHERE text IS NOT NULL AND NOT (doc_id % 23 = 0 AND doc_id % 29 <> 0)""",
     "evidence_status": "WITH " + _MANIFEST + "SELECT d.doc_id AS name, octet_length(encode(d.text))::BIGINT AS size_bytes, sha256(d.text) AS sha256, status FROM documents d LEFT JOIN diff ON diff.name = d.doc_id WHERE d.text IS NOT NULL",
 }
+SQL["entity_versions"] = SQL["entity_upsert"]

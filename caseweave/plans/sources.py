@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseweave.config import FORMATS
 from caseweave.functions import normalize
 from caseweave.operators import features, ingest, mapping
-from caseweave.operators.adapter import EVENTS_SQL, device_events, events, mail_texts, sessions, transfers
+from caseweave.operators.adapter import EVENTS_SQL, device_events, events, mail_texts, sessions, table, transfers
 from caseweave.operators.checkpoints import shared_folder
 from caseweave.plans._plain import plain
 from caseweave.sources import files
@@ -42,6 +42,15 @@ def _bank_files(spark, sf_dir) -> DataFrame:
     return files.delimited(spark, path).withColumn("file", F.regexp_extract("path", "f=([0-9]+)", 1).cast("int"))
 
 
+def evidence_files(spark, sf_dir):
+    """The documents of each source as one text file: size, digests and kind of the files."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null and source is not null")
+    line = F.regexp_replace("text", "\\r?\\n", " ")
+    path = _as_files(docs.select(F.col("source").alias("f"), F.col("doc_id").alias("k"), line.alias("value")), "Txn Date,Account No,Narration", "register")
+    found = files.register(spark, path.rsplit("/", 2)[0])
+    return found.select(F.regexp_extract("path", "f=([^/]+)/", 1).alias("source"), "size_bytes", "sha256", "md5", "kind")
+
+
 def delimited_rows(spark, sf_dir):
     cells = [F.try_element_at("cells", F.lit(k + 1)).alias(n) for k, n in enumerate(("date", "debit", "credit", "amount", "narration"))]
     return _bank_files(spark, sf_dir).select("file", "source_row", F.size("cells").alias("n_cells"), "reason", *cells)
@@ -212,12 +221,15 @@ sure AS (
 QUERIES = {
     f.__name__: f
     for f in (
-        delimited_rows, delimited_events, detected_kinds, header_signatures, alias_mapping, proposed_mapping, mapping_conflicts, missing_fields, remembered_mapping,
+        evidence_files, delimited_rows, delimited_events, detected_kinds, header_signatures, alias_mapping, proposed_mapping, mapping_conflicts, missing_fields, remembered_mapping,
         parsed_mails, dump_events, dump_apps, session_events, feature_csv, saved_runs,
     )
 }
 
 SQL = {
+    "evidence_files": """WITH f AS (SELECT source, 'Txn Date,Account No,Narration' || chr(10) || string_agg(regexp_replace(text, '\\r?\\n', ' ', 'g') || chr(10), '' ORDER BY doc_id) AS body
+  FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source)
+SELECT source, strlen(body)::BIGINT AS size_bytes, sha256(body) AS sha256, md5(body) AS md5, 'BANK' AS kind FROM f""",
     "delimited_rows": _BASE
     + """SELECT file::INT AS file, source_row, CASE WHEN event_id % 19 = 0 THEN 6 ELSE 5 END AS n_cells, CASE WHEN event_id % 19 = 0 THEN 'surplus cells' END AS reason,
   date, debit, credit, amount, narration FROM bk""",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions.parsing import ist_to_utc, parsed_time
+from caseweave.operators import mapping
 
 
 def inventory(spark: SparkSession, path: str, least: int = 1, most: int | None = None) -> DataFrame:
@@ -25,6 +26,50 @@ def inventory(spark: SparkSession, path: str, least: int = 1, most: int | None =
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
 
 
+#: Bytes of a file that its kind is told by, and that are read at once.
+HEAD, READ = 4096, 8 << 20
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, size_bytes, sha256, md5, head (the first bytes as text) of the files under a path, of any size.
+
+    The listing is Spark's and reads no contents; each file is then one stream of reads of some megabytes through
+    pyarrow's file systems, so the scheme must be one that pyarrow opens.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size_bytes"))
+    head_bytes, read_bytes = HEAD, READ
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for name, size in zip(batch["path"], batch["size_bytes"], strict=True):
+                system, place = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                sha, md5, head = hashlib.sha256(), hashlib.md5(usedforsecurity=False), b""
+                with system.open_input_stream(place) as stream:
+                    while part := stream.read(read_bytes):
+                        head = head or part[:head_bytes]
+                        sha.update(part)
+                        md5.update(part)
+                rows.append((name, size, sha.hexdigest(), md5.hexdigest(), head.decode("utf-8", "replace")))
+            yield pd.DataFrame(rows, columns=["path", "size_bytes", "sha256", "md5", "head"])
+
+    # Files differ in size by orders of magnitude: dealt by a hash, not in the listing's order.
+    return files.repartition("path").mapInPandas(run, "path string, size_bytes long, sha256 string, md5 string, head string")
+
+
+def register(spark: SparkSession, path: str) -> DataFrame:
+    """path, size_bytes, sha256, md5, kind of the files under a path; the kind is told by the first bytes."""
+    found = digests(spark, path)
+    first = F.split(F.regexp_replace("head", "^\ufeff", ""), r"\r?\n", 2)[0]
+    cells = F.transform(F.split(first, ","), lambda h: F.trim(F.regexp_replace(h, '^"|"$', "")))
+    kinds = mapping.detected(found.select(F.col("path").alias("file_id"), cells.alias("headers"), "head")).withColumnRenamed("file_id", "path")
+    return found.drop("head").join(kinds, "path")
+
+
 def _hollow(spark: SparkSession, path: str) -> list[str]:
     """Names of the files without bytes under a path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -51,7 +96,7 @@ def problems(spark: SparkSession, path: str, wanted: DataFrame, least: int = 1,
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, source_row (from 1), line: numbers are counted before each split of a file, then within it.
+    """path, source_row (from 1), line, block: numbers are counted before each split of a file, then within it.
 
     A file of which any line is no UTF-8 is read as Latin-1.
     """
@@ -63,20 +108,46 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("path", "block").orderBy("order")
     out = raw.withColumn("r", F.row_number().over(within)).join(base, ["path", "block"])
     text = F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1"))
-    return out.select("path", (F.col("base") + F.col("r")).alias("source_row"), F.regexp_replace(text, "^\ufeff", "").alias("line"))
+    return out.select("path", (F.col("base") + F.col("r")).alias("source_row"), F.regexp_replace(text, "^\ufeff", "").alias("line"), "block")
 
 
 def records(lines: DataFrame) -> DataFrame:
     """numbered_lines joined where a quoted cell holds line breaks: a record begins at a line with an even number of
-    quotes before it in its file, and has the number of its first line."""
+    quotes before it in its file, and has the number of its first line.
+
+    A split of a file does not know whether it begins inside a quoted cell, so it says for both cases where its last
+    record begins, and whether it turns one case into the other; these few numbers a split are combined along the file,
+    and each split then joins its own lines.
+    """
     quotes = lines.withColumn("q", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
-    open_ = F.coalesce(F.sum("q").over(Window.partitionBy("path").orderBy("source_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
-    starts = quotes.withColumn("open", open_)
-    first = F.max(F.when(F.col("open") == 0, F.col("source_row"))).over(Window.partitionBy("path").orderBy("source_row").rowsBetween(Window.unboundedPreceding, 0))
-    rows = starts.withColumn("first", first).groupBy("path", "first").agg(F.array_sort(F.collect_list(F.struct("source_row", "line"))).alias("parts"))
+    own = Window.partitionBy("path", "block").orderBy("source_row")
+    inside = F.coalesce(F.sum("q").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    quotes = quotes.withColumn("inside", inside)
+    last = [F.max(F.when(F.col("inside") == k, F.col("source_row"))).alias(f"last{k}") for k in (0, 1)]
+    splits = quotes.groupBy("path", "block").agg((F.sum("q") % 2).alias("turns"), *last)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("open", F.coalesce(F.sum("turns").over(before), F.lit(0)) % 2)
+    began = F.last(F.when(F.col("open") == 0, F.col("last0")).otherwise(F.col("last1")), True).over(before)
+    splits = splits.select("path", "block", "open", began.alias("began"))
+    rows = quotes.join(splits, ["path", "block"])
+    first = F.max(F.when(F.col("inside") == F.col("open"), F.col("source_row"))).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("first", F.coalesce(first, "began")).groupBy("path", "first").agg(F.array_sort(F.collect_list(F.struct("source_row", "line"))).alias("parts"))
     return rows.select("path", F.col("first").alias("source_row"), F.array_join(F.transform("parts", lambda x: x["line"]), "\n").alias("line"))
 
 
+#: Stands between cells once quotes are resolved: no character of any text.
+_BETWEEN = "\ufffe"
+
+
+def _cells(line: Column, sep: str) -> Column:
+    """The cells of a record.  What quotes part is outside and inside by turns; separators count outside, and nothing
+    between two inside parts is a doubled quote.  No pattern runs over a whole cell, so cells may be of any length."""
+    parts = F.split(line, '"')
+    outside = lambda x, i: F.when((x == "") & (i > 0) & (i < F.size(parts) - 1), '"').otherwise(F.replace(x, F.lit(sep), F.lit(_BETWEEN)))
+    joined = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, x).otherwise(outside(x, i))), "")
+    return F.transform(F.split(joined, _BETWEEN), lambda x: F.trim(x))
+
+
 def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """path, source_row (2 is the first after the header), raw_line, headers, cells, reason (null where the row fits).
 
@@ -84,10 +155,7 @@ def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     a reject.
     """
     lines = records(numbered_lines(spark, path))
-    mark = re.escape(sep)
-    one = rf'{mark}(?:"(?:[^"]|"")*"|[^{mark}]*)'  # each cell with the separator before it
-    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(F.substr(x, F.lit(len(sep) + 1))), '(?s)^"(.*)"$', "$1"), '""', '"')
-    split = lambda c: F.transform(F.regexp_extract_all(F.concat(F.lit(sep), c), F.lit(one), F.lit(0)), lambda x: F.trim(bare(x)))
+    split = lambda c: _cells(c, sep)
     head = lines.filter("source_row = 1").select("path", split(F.col("line")).alias("headers"))
     rows = lines.filter("source_row > 1 and trim(line) <> ''").withColumn("cells", split(F.col("line"))).join(head, "path")
     reason = F.when(F.size("cells") > F.size("headers"), "surplus cells").when(F.size("cells") < F.size("headers"), "missing cells")
