@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions.parsing import ist_hour
+from caseweave.operators import windows
 from caseweave.operators.features import oriented
 from caseweave.operators.ranking import numbered
 
@@ -117,38 +118,62 @@ def history(versions: DataFrame) -> DataFrame:
 
 
 def rule_events(transfers: DataFrame, uses: DataFrame | None = None, calls: DataFrame | None = None, minutes: int = 60) -> DataFrame:
-    """entity, rule_code, event_id, amount: the events that a rule looks at, by account.
+    """entity, rule_code, event_id, amount: the events that met a rule, by account.
 
-    R01 payments within the window after a credit; R02 receipts; R03 and R04 payments; R05 and R06 calls of its handsets;
-    R08 withdrawals; R10 transfers at night; R11 the debits after an unknown call; R07 and R12 all transfers.
+    R01 payments within the window after a credit; R02 and R03 receipts and payments inside the first two hours of most
+    counterparties; R04 the transfers of the longest chain; R05 the calls of its handset of most SIMs inside the first
+    week of most of them; R06 its own calls; R08 withdrawals; R10 transfers at night; R11 the debits after an unknown
+    call; R07 and R12, which look at all of an account's money, all transfers.
     """
     both = oriented(transfers)
     w = Window.partitionBy("entity").orderBy(F.unix_micros("ts")).rangeBetween(-minutes * 60_000_000, 0)
     both = both.withColumn("credits", F.count_if(F.col("incoming") == 1).over(w))
-    out, inc = F.col("incoming") == 0, F.col("incoming") == 1
     tests = {
-        "R01": out & (F.col("credits") > 0), "R02": inc, "R03": out, "R04": out, "R07": F.lit(True), "R08": F.col("event_type") == "ATM_WITHDRAWAL",
+        "R01": (F.col("incoming") == 0) & (F.col("credits") > 0), "R07": F.lit(True), "R08": F.col("event_type") == "ATM_WITHDRAWAL",
         "R10": ist_hour(F.col("ts")) < 5, "R12": F.lit(True),
     }
     codes = F.filter(F.array(*[F.when(t, F.lit(c)) for c, t in tests.items()]), lambda x: x.isNotNull())
     rows = both.select("entity", F.explode(codes).alias("rule_code"), "event_id", "amount")
+    for code, key, other in (("R02", "dst", "src"), ("R03", "src", "dst")):
+        peak = windows.peak_events(transfers, key, other, "ts", "2 hours")
+        rows = rows.unionByName(peak.select(F.col(key).alias("entity"), F.lit(code).alias("rule_code"), "event_id", "amount"))
+    chain = windows.longest_chains(transfers).join(transfers.select("event_id", "amount"), "event_id")
+    rows = rows.unionByName(chain.select(F.col("account").alias("entity"), F.lit("R04").alias("rule_code"), "event_id", "amount"))
     zero = F.lit(0).cast("decimal(18,2)").alias("amount")
     if uses is not None:
-        rows = rows.unionByName(uses.select(F.col("phone").alias("entity"), F.explode(F.array(F.lit("R05"), F.lit("R06"))).alias("rule_code"), "event_id", zero))
+        peak = windows.peak_events(uses, "imei", "imsi", "ts", "7 days")
+        own = uses.select("phone", "imei").distinct().join(peak.groupBy("imei").agg(F.max("most").alias("most")), "imei")
+        handset = own.groupBy("phone").agg(F.min(F.struct((-F.col("most")).alias("less"), "imei")).alias("x")).select(F.col("phone").alias("entity"), F.col("x.imei").alias("imei"))
+        rows = rows.unionByName(handset.join(peak, "imei").select("entity", F.lit("R05").alias("rule_code"), "event_id", zero))
+        rows = rows.unionByName(uses.select(F.col("phone").alias("entity"), F.lit("R06").alias("rule_code"), "event_id", zero))
     if calls is not None:
         rows = rows.unionByName(calls.select(F.col("victim").alias("entity"), F.lit("R11").alias("rule_code"), F.col("transfer_id").alias("event_id"), zero))
     return rows.distinct()
 
 
-def evidence_refs(reasons: DataFrame, rule_rows: DataFrame, files: DataFrame, per_reason: int = 5) -> DataFrame:
+def mail_refs(raw: DataFrame, mails: DataFrame, owners: DataFrame) -> DataFrame:
+    """entity, rule_code (R09), file, source_row, sha256: the forged mails of an account, of raw (path, value) and its
+    parsed mails; owners (address, entity)."""
+    ends = mails.filter("spoofed").select("path", F.explode(F.array("sender", "recipient")).alias("address")).join(owners, "address").select("path", "entity").distinct()
+    digests = raw.select("path", F.sha2(F.encode("value", "utf-8"), 256).alias("sha256"))
+    return ends.join(digests, "path").select("entity", F.lit("R09").alias("rule_code"), F.col("path").alias("file"), F.lit(1).cast("long").alias("source_row"), "sha256")
+
+
+def evidence_refs(reasons: DataFrame, rule_rows: DataFrame, files: DataFrame, per_reason: int = 5, other_refs: DataFrame | None = None) -> DataFrame:
     """Up to so many largest of the events that met each fired rule: entity, rule_code, event_id, file, source_row, sha256.
 
-    rule_rows as of rule_events; files (event_id, file, source_row, sha256) says where an event stands.
+    rule_rows as of rule_events; files (event_id, file, source_row, sha256) says where an event stands; other_refs are
+    places without an event, the first of them by name are taken.
     """
-    both = reasons.filter("triggered = 1").select("entity", "rule_code").join(rule_rows, ["entity", "rule_code"])
+    fired = reasons.filter("triggered = 1").select("entity", "rule_code")
     w = Window.partitionBy("entity", "rule_code").orderBy(F.desc("amount"), "event_id")
-    few = both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_reason).drop("r", "amount")
-    return few.join(files, "event_id").select("entity", "rule_code", "event_id", "file", "source_row", "sha256")
+    few = fired.join(rule_rows, ["entity", "rule_code"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_reason).drop("r", "amount")
+    out = few.join(files, "event_id").select("entity", "rule_code", "event_id", "file", "source_row", "sha256")
+    if other_refs is not None:
+        by_name = Window.partitionBy("entity", "rule_code").orderBy("file", "source_row")
+        more = fired.join(other_refs, ["entity", "rule_code"]).withColumn("r", F.row_number().over(by_name)).filter(F.col("r") <= per_reason)
+        out = out.unionByName(more.select("entity", "rule_code", F.lit(None).cast("long").alias("event_id"), "file", "source_row", "sha256"))
+    return out
 
 
 def unsupported(reasons: DataFrame, refs: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from caseweave.operators.checkpoints import cut
 from caseweave.operators.trails import chain_ends, timed
 
 
-def distinct_in_window(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
-    """Most different `other` values of a key in any trailing interval: key, most.
+def _presences(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
+    """key, at, n: how many different `other` values a key has in the interval up to each time at which that changes.
 
     A value is present from an event until the interval after its last one is over.  Presences that run into each
     other are one; their beginnings and ends are summed in time, so the work grows with the events of a key and not with
@@ -26,7 +26,21 @@ def distinct_in_window(events: DataFrame, key: str, other: str, ts: str, interva
     marks = F.array(F.when(F.col("begins"), F.struct(F.col("t").alias("at"), F.lit(1).alias("by"))), F.when(F.col("ends"), F.struct((F.col("t") + width + 1).alias("at"), F.lit(-1).alias("by"))))
     moves = rows.select(key, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).groupBy(key, "m.at").agg(F.sum("m.by").alias("by"))
     running = F.sum("by").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return moves.select(key, running.alias("n")).groupBy(key).agg(F.max("n").cast("long").alias("most"))
+    return moves.select(key, "at", running.alias("n"))
+
+
+def distinct_in_window(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
+    """Most different `other` values of a key in any trailing interval: key, most."""
+    return _presences(events, key, other, ts, interval).groupBy(key).agg(F.max("n").cast("long").alias("most"))
+
+
+def peak_events(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
+    """The rows of events inside the first interval in which their key has most different `other` values, with most."""
+    width = _seconds(interval) * 1_000_000
+    top = _presences(events, key, other, ts, interval).groupBy(key).agg(F.max(F.struct("n", (-F.col("at")).alias("before"))).alias("x"))
+    top = top.select(F.col(key).alias("__key"), F.col("x.n").cast("long").alias("most"), (-F.col("x.before")).alias("__at"))
+    both = events.join(top, F.col(key) == F.col("__key")).filter(F.unix_micros(F.col(ts)).between(F.col("__at") - width, F.col("__at")) & F.col(other).isNotNull())
+    return both.drop("__key", "__at")
 
 
 def _seconds(interval: str) -> int:
@@ -62,6 +76,14 @@ def layering_chains(transfers: DataFrame, minutes: int = 30, max_hops: int = 6)
     return found.groupBy(F.col("src").alias("account")).agg(F.max(depth).cast("long").alias("depth"))
 
 
+def longest_chains(transfers: DataFrame, minutes: int = 30, max_hops: int = 6) -> DataFrame:
+    """account, event_id: the transfers of one longest chain of each account, the one that begins and then ends first."""
+    width = minutes * 60_000_000
+    found = chain_ends(timed(transfers, width), width, max_hops)
+    best = F.coalesce(*[F.when(F.col(f"k{k}").isNotNull(), F.struct(F.lit(-k).alias("k"), "t", F.col(f"k{k}.end").alias("end"), F.col(f"k{k}.ids").alias("ids"))) for k in range(max_hops, 0, -1)])
+    return found.groupBy(F.col("src").alias("account")).agg(F.min(best).alias("x")).select("account", F.explode("x.ids").alias("event_id"))
+
+
 def call_then_transfer(calls: DataFrame, transfers: DataFrame, owners: DataFrame, minutes: int = 15) -> DataFrame:
     """victim, call_id, transfer_id: a call from a number never in contact before, at most so long before a debit.
 

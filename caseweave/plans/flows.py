@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.config import rules_hash, rules_with
+from caseweave.config import RULES, rules_hash, rules_with
 from caseweave.operators import features, links, rules, windows
 from caseweave.operators.adapter import EVENTS_SQL, address_owners, device_events, events, mail_texts, transfers
-from caseweave.operators.checkpoints import cut
+from caseweave.operators.checkpoints import cut, exists, shared_folder
 from caseweave.plans._plain import plain
 from caseweave.sources import files
 
-#: Thresholds at which the rules fire on data of this size; the defaults are in the configuration.
-LOW = {"R02": {"threshold": 3.0}, "R03": {"threshold": 3.0}, "R07": {"min_turnover": 5000.0}}
+#: What an officer of a small district overrides.
+OVERRIDES = {"R02": {"threshold": 3.0}, "R03": {"threshold": 3.0}, "R07": {"min_turnover": 5000.0}}
 
 
 def _calls(spark, sf_dir: str) -> DataFrame:
@@ -34,14 +37,28 @@ def _attributes(spark, sf_dir: str) -> DataFrame:
     return own.select("entity", F.to_json(F.struct(age.alias("account_age_days"), F.lit("SAVINGS").alias("kind"))).alias("attributes_json"))
 
 
+#: The feature frame of each application and folder, written once: every query about scores begins with it.
+_frames: dict[tuple[str, str], DataFrame] = {}
+
+
 def _frame(spark, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _frames or not exists(_frames[key]):
+        _frames[key] = cut(_made_frame(spark, sf_dir))
+    return _frames[key]
+
+
+def _made_frame(spark, sf_dir: str) -> DataFrame:
     t = cut(transfers(spark, sf_dir))
     extra = [features.call_flags(_calls(spark, sf_dir)), _spoofed(spark, sf_dir), features.centrality(t), features.account_ages(_attributes(spark, sf_dir))]
     return features.feature_frame(t, device_events(spark, sf_dir), extra=extra)
 
 
-def _rules() -> dict:
-    return rules_with(LOW)
+def _overridden(spark) -> dict:
+    """The rules with OVERRIDES, read from a file as an installation does."""
+    path = f"{shared_folder(spark)}/caseweave/rules-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(OVERRIDES),)], "value string").coalesce(1).write.text(path)
+    return rules_with(json.loads(spark.read.text(path, wholetext=True).filter("value <> ''").first()[0]))
 
 
 def fund_flow_pairs(spark, sf_dir):
@@ -118,28 +135,35 @@ def feature_json(spark, sf_dir):
 
 
 def risk_scores(spark, sf_dir):
-    scored = rules.ranked(rules.scored(_frame(spark, sf_dir), _rules()))
-    return scored.select("entity", "score", "band", "rules_fired", "rank_in_case", F.lit(rules_hash(_rules())).alias("weights_hash"))
+    scored = rules.ranked(rules.scored(_frame(spark, sf_dir), RULES))
+    return scored.select("entity", "score", "band", "rules_fired", "rank_in_case", F.lit(rules_hash(RULES)).alias("weights_hash"))
+
+
+def risk_scores_overridden(spark, sf_dir):
+    """Scores under rules of which a file overrides some settings."""
+    own = _overridden(spark)
+    scored = rules.ranked(rules.scored(_frame(spark, sf_dir), own))
+    return scored.select("entity", "score", "band", "rules_fired", "rank_in_case", F.lit(rules_hash(own)).alias("weights_hash"))
 
 
 def risk_scores_unbanded(spark, sf_dir):
-    return rules.ranked(rules.scored(_frame(spark, sf_dir), _rules()), within_band=False).select("entity", "score", "rank_in_case")
+    return rules.ranked(rules.scored(_frame(spark, sf_dir), RULES), within_band=False).select("entity", "score", "rank_in_case")
 
 
 def risk_reasons(spark, sf_dir):
-    return rules.reasons(_frame(spark, sf_dir), _rules()).select("entity", "rule_code", "triggered", "raw_value", "threshold", "points", "text", "display_order")
+    return rules.reasons(_frame(spark, sf_dir), RULES).select("entity", "rule_code", "triggered", "raw_value", "threshold", "points", "text", "display_order")
 
 
 def top_reasons(spark, sf_dir):
-    return rules.top_reasons(rules.reasons(_frame(spark, sf_dir), _rules())).select("entity", "rule_code", "points", "place")
+    return rules.top_reasons(rules.reasons(_frame(spark, sf_dir), RULES)).select("entity", "rule_code", "points", "place")
 
 
 def band_counts(spark, sf_dir):
-    return rules.band_counts(rules.scored(_frame(spark, sf_dir), _rules()))
+    return rules.band_counts(rules.scored(_frame(spark, sf_dir), RULES))
 
 
 def score_histogram(spark, sf_dir):
-    return rules.histogram(rules.scored(_frame(spark, sf_dir), _rules()))
+    return rules.histogram(rules.scored(_frame(spark, sf_dir), RULES))
 
 
 def composite_scores(spark, sf_dir):
@@ -169,7 +193,7 @@ d{k} AS MATERIALIZED (SELECT v.pv, v.node, v.sigma, coalesce(sum(v.sigma / d.sig
     + ") t ON t.node = n.node GROUP BY n.node)"
 )
 
-_FRAME = (
+_FRAME_TEXT = (
     "WITH "
     + EVENTS_SQL
     + """,
@@ -239,12 +263,12 @@ frame AS (
 ruled AS (
   SELECT entity, unnest([
     {'c': 'R01', 'v': passthrough_ratio::DOUBLE, 't': 0.85::DOUBLE, 'f': passthrough_ratio >= 0.85, 'w': 18.0::DOUBLE, 'o': 1},
-    {'c': 'R02', 'v': fan_in_count::DOUBLE, 't': 3.0::DOUBLE, 'f': fan_in_count >= 3, 'w': 12.0::DOUBLE, 'o': 2},
-    {'c': 'R03', 'v': fan_out_count::DOUBLE, 't': 3.0::DOUBLE, 'f': fan_out_count >= 3, 'w': 12.0::DOUBLE, 'o': 3},
+    {'c': 'R02', 'v': fan_in_count::DOUBLE, 't': :fan_in::DOUBLE, 'f': fan_in_count >= :fan_in, 'w': 12.0::DOUBLE, 'o': 2},
+    {'c': 'R03', 'v': fan_out_count::DOUBLE, 't': :fan_out::DOUBLE, 'f': fan_out_count >= :fan_out, 'w': 12.0::DOUBLE, 'o': 3},
     {'c': 'R04', 'v': layering_depth::DOUBLE, 't': 3.0::DOUBLE, 'f': layering_depth >= 3, 'w': 12.0::DOUBLE, 'o': 4},
     {'c': 'R05', 'v': sim_switch_count::DOUBLE, 't': 3.0::DOUBLE, 'f': sim_switch_count >= 3, 'w': 10.0::DOUBLE, 'o': 5},
     {'c': 'R06', 'v': device_share_count::DOUBLE, 't': 3.0::DOUBLE, 'f': device_share_count >= 3, 'w': 8.0::DOUBLE, 'o': 6},
-    {'c': 'R07', 'v': turnover::DOUBLE, 't': 5000.0::DOUBLE, 'f': account_age_days < 30 AND turnover > 5000, 'w': 10.0::DOUBLE, 'o': 7},
+    {'c': 'R07', 'v': turnover::DOUBLE, 't': :turnover::DOUBLE, 'f': account_age_days < 30 AND turnover > :turnover, 'w': 10.0::DOUBLE, 'o': 7},
     {'c': 'R08', 'v': has_cash_out::DOUBLE, 't': 1.0::DOUBLE, 'f': has_cash_out >= 1, 'w': 14.0::DOUBLE, 'o': 8},
     {'c': 'R09', 'v': has_spoofed_header::DOUBLE, 't': 1.0::DOUBLE, 'f': has_spoofed_header >= 1, 'w': 8.0::DOUBLE, 'o': 9},
     {'c': 'R10', 'v': odd_hour_txn_count::DOUBLE, 't': 5.0::DOUBLE, 'f': odd_hour_txn_count >= 5, 'w': 5.0::DOUBLE, 'o': 10},
@@ -262,11 +286,24 @@ banded AS (SELECT *, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 60 THEN
 """
 )
 
+
+
+def _frame_sql(own: dict) -> str:
+    """The frame, its reasons and scores under these rules."""
+    values = {":fan_in": own["R02"]["threshold"], ":fan_out": own["R03"]["threshold"], ":turnover": own["R07"]["min_turnover"]}
+    text = _FRAME_TEXT
+    for name, value in values.items():
+        text = text.replace(name, repr(float(value)))
+    return text
+
+
+_FRAME = _frame_sql(RULES)
+
 QUERIES = {
     f.__name__: f
     for f in (
         fund_flow_pairs, node_flow, fan_in, fan_out, pass_through_window, layering, sim_switch, device_share, odd_hours_ist, odd_hours_utc, cash_out,
-        call_then_transfer, call_then_transfer_flags, spoofed_header_flags, account_ages, feature_frame, feature_json, risk_scores, risk_scores_unbanded, risk_reasons, top_reasons, band_counts, score_histogram, composite_scores,
+        call_then_transfer, call_then_transfer_flags, spoofed_header_flags, account_ages, feature_frame, feature_json, risk_scores, risk_scores_overridden, risk_scores_unbanded, risk_reasons, top_reasons, band_counts, score_histogram, composite_scores,
     )
 }
 
@@ -292,7 +329,10 @@ SQL = {
     "feature_frame": _FRAME + "SELECT * REPLACE (in_amount::DOUBLE AS in_amount, out_amount::DOUBLE AS out_amount) FROM frame",
     "risk_scores": _FRAME
     + """SELECT entity, score, band, rules_fired,
-  row_number() OVER (ORDER BY CASE band WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, score DESC, entity) AS rank_in_case, '""" + rules_hash(_rules()) + """' AS weights_hash FROM banded""",
+  row_number() OVER (ORDER BY CASE band WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, score DESC, entity) AS rank_in_case, '""" + rules_hash(RULES) + """' AS weights_hash FROM banded""",
+    "risk_scores_overridden": _frame_sql(rules_with(OVERRIDES))
+    + """SELECT entity, score, band, rules_fired,
+  row_number() OVER (ORDER BY CASE band WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, score DESC, entity) AS rank_in_case, '""" + rules_hash(rules_with(OVERRIDES)) + """' AS weights_hash FROM banded""",
     "risk_scores_unbanded": _FRAME + "SELECT entity, score, row_number() OVER (ORDER BY score DESC, entity) AS rank_in_case FROM banded",
     "risk_reasons": _FRAME + "SELECT * FROM reason",
     "top_reasons": _FRAME

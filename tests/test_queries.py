@@ -34,23 +34,6 @@ def rows(columns, values):
     return sorted(tuple(plain(v[i]) for i in order) for v in values)
 
 
-@pytest.fixture(scope="module", autouse=True)
-def one_frame():
-    """The feature frame of a folder is made once for all queries that begin with it."""
-    from caseweave.operators.checkpoints import cut
-
-    made, real = {}, flows._frame
-
-    def frame(spark, sf_dir):
-        if sf_dir not in made:
-            made[sf_dir] = cut(real(spark, sf_dir))
-        return made[sf_dir]
-
-    flows._frame = frame
-    yield
-    flows._frame = real
-
-
 @pytest.mark.parametrize("name,module", CASES, ids=[c[0] for c in CASES])
 def test_query(spark, name, module):
     if not os.path.isdir(SF):
