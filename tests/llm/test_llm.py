@@ -433,9 +433,9 @@ def brute_lines(rows, support=8):
             m = tuple(b"<*>" if any(48 <= c <= 57 for c in x) else x for x in w)
             h, fixed = half_of(n), [x != b"<*>" for x in m]
             keys = [("pat", n, m) if sum(fixed) * 2 >= n else ("plain", tuple(w))]
-            if h >= 3 and all(fixed[:h]):
+            if h >= 5 and all(fixed[:h]):
                 keys.append(("half1", n, m[:h]))
-            if h >= 3 and all(fixed[n - h :]):
+            if h >= 5 and all(fixed[n - h :]):
                 keys.append(("half2", n, m[:3], m[n - h :]))
             cues = [("head", tuple(w[:few])), ("tail", tuple(w[n - few :]))] if n >= 4 else []
             parsed[t, no] = (n, m, keys, ("leaf", n, m[:3]) if n > 3 else None, cues)
@@ -514,6 +514,14 @@ def brute_windows(rows, window=13):
     return out
 
 
+def test_line_dedup_keeps_unlike_lines_with_a_common_beginning(spark):
+    """Forty documents of one line each, "one of the X Y" with X and Y everywhere different: ordinary text."""
+    rows = [(k, f"one of the {'abcdefgh'[k % 8]}{'ijklm'[k // 8]}{k}x {'nopqrstu'[k // 5]}{'vwxyz'[k % 5]}y") for k in range(40)]
+    rows = [(k, "".join(c for c in t if not c.isdigit())) for k, t in rows]
+    got = lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == dict(rows) and all(r.n_removed == 0 for r in got)
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark, monkeypatch):
     """On both paths, also where a column has the name of one of the operator's own."""
     rng = random.Random(14)
