@@ -49,7 +49,7 @@ def encode(samples: bytes) -> bytes:
     lines = np.zeros((len(rows), ROW + 1), np.uint8)  # each line begins with filter 0
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", ROW, len(rows), 8, 0, 0, 0, 0)
-    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _MAGIC + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def header(start: bytes) -> tuple[int, int, int]:
@@ -179,19 +179,25 @@ def metadata(index: DataFrame, folder: str) -> DataFrame:
     return _read(index, folder, "width long, height long, depth long", lambda read, at, n: header(read(at, HEADER)))
 
 
+def _contents(read, at: int, n: int) -> tuple:
+    media = read(at, n)
+    samples = decode(media)
+    return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
+
+
 def contents(index: DataFrame, folder: str) -> DataFrame:
     """Digests and features of the whole members as read back, by digest."""
+    return _read(index, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", _contents)
 
-    def one(read, at: int, n: int) -> tuple:
-        media = read(at, n)
-        samples = decode(media)
-        return (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples))
 
-    return _read(index, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", one)
+def described(index: DataFrame, folder: str) -> DataFrame:
+    """contents() and metadata() of each member in one pass: a range read of its header, then one of the whole."""
+    kinds = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, depth long"
+    return _read(index, folder, kinds, lambda read, at, n: (*_contents(read, at, n), *header(read(at, HEADER))))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "media-shards")
     index = store(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
-    read = written(contents(index, folder), "media-contents").join(metadata(index, folder), "digest")
+    read = written(described(index, folder), "media-contents")
     return index.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
