@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caseweave.config import BANDS
 from caseweave.functions.parsing import finite
+from caseweave.operators.checkpoints import shipped
 from caseweave.operators.ranking import numbered
 
 FEATURES = [
@@ -55,7 +56,7 @@ def isolation_scores(frame: DataFrame, columns: list[str] | None = None, trees:
     rows are partitioned; the trees, of fixed size, are broadcast.  Under 30 rows all scores are null.
     """
     columns = columns or FEATURES
-    spark = frame.sparkSession
+    spark = shipped(frame.sparkSession)
     tidy = [finite(F.col(c).cast("double")).alias(c) for c in columns]
     rows = frame.select("entity", *tidy)
     n = rows.count()

@@ -20,9 +20,9 @@ def dashboard(files: DataFrame, transfers: DataFrame, links: DataFrame, scores:
     return top.select("files", "rows", "entities", "links", "top_score", "top_band", "top_entity")
 
 
-def timeline(transfers: DataFrame, entity: Column | None = None, kind: str | None = None, least: float | None = None, amount_text: str | None = None) -> DataFrame:
+def timeline(transfers: DataFrame, entity: Column | None = None, kind: str | None = None, least: float | None = None, amount_text: str | None = None, end_text: str | None = None) -> DataFrame:
     """Events of an account in order, with a number and the minutes since the one before; amount_text is part of the
-    written amount."""
+    written amount, end_text of either end."""
     rows = transfers
     if entity is not None:
         rows = rows.filter((F.col("src") == entity) | (F.col("dst") == entity)).withColumn("entity", entity)
@@ -34,6 +34,8 @@ def timeline(transfers: DataFrame, entity: Column | None = None, kind: str | Non
         rows = rows.filter(F.col("amount") >= least)
     if amount_text:
         rows = rows.filter(F.col("amount").cast("string").contains(amount_text))
+    if end_text:
+        rows = rows.filter(F.col("src").cast("string").contains(end_text) | F.col("dst").cast("string").contains(end_text))
     w = Window.partitionBy("entity").orderBy("ts", "event_id")
     gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 60e6
     return rows.select("entity", F.row_number().over(w).alias("place"), "event_id", "event_type", "ts", "amount", F.round(gap, 3).alias("minutes_since"))
@@ -54,6 +56,17 @@ def found_cases(cases: DataFrame, text: str | None = None, status: str | None =
     return out
 
 
+def case_by_id(cases: DataFrame, case_id: Column) -> DataFrame:
+    """The case of that id, no row where there is none."""
+    return cases.filter(F.col("case_id") == case_id)
+
+
+def last_entries(chain: DataFrame, n: int = 5) -> DataFrame:
+    """The last n audit entries of each case, the latest first: case_id, place, seq, action, entry_hash."""
+    w = Window.partitionBy("case_id").orderBy(F.desc("seq"))
+    return chain.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("case_id", "place", "seq", "action", "entry_hash")
+
+
 def found_scores(scores: DataFrame, band: str | None = None, on_path: DataFrame | None = None, fired: str | None = None) -> DataFrame:
     """scores of a band, of accounts (node) on a path, for which a rule fired."""
     out = scores if band is None else scores.filter(F.col("band") == band)

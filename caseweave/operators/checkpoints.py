@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +38,17 @@ def exists(df: DataFrame) -> bool:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     return False
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package sent to its Python workers as by --py-files; for tasks that call its functions."""
+    sc = spark.sparkContext
+    if getattr(sc, "_caseweave_shipped", None) is None:
+        top = Path(__file__).resolve().parents[2]
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "caseweave.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted((top / "caseweave").rglob("*.py")):
+                z.write(f, f.relative_to(top))
+        sc.addPyFile(path)
+        sc._caseweave_shipped = path
+    return spark

@@ -174,6 +174,7 @@ def rationale(links: DataFrame) -> DataFrame:
     text = (
         F.when(F.col("link_type") == "FUND_FLOW", F.concat(F.lit("Money moved directly: "), F.format_number(F.col("total_amount").cast("double"), 2), F.lit(" in "), n, F.lit(" transfers.")))
         .when(F.col("link_type") == "RECURRING_BENEFICIARY", F.concat(F.lit("Both paid one beneficiary, as did "), n, F.lit(" payers in all.")))
+        .when(F.col("link_type") == "TEMPORAL_PROXIMITY", F.concat(F.lit("Paid one account within an hour of each other, times: "), n, F.lit(".")))
         .otherwise(F.concat(F.lit("Both used one "), F.lower(F.regexp_replace("link_type", "^SHARED_", "")), F.lit("; users: "), n, F.lit(".")))
     )
     return links.withColumn("rationale", text)

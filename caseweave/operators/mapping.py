@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from types import FunctionType
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.config import CANONICAL_FIELDS, FORMATS, MIN_MATCHES
+from caseweave.operators.checkpoints import shipped
 
 
 def header(c: Column) -> Column:
@@ -22,18 +22,18 @@ def signature(headers: Column) -> Column:
     return F.array_join(F.array_sort(F.transform(headers, lambda h: F.lower(F.trim(h)))), ",")
 
 
-def aliases(spark: SparkSession) -> DataFrame:
-    rows = [(kind, field, alias, k) for kind, f in FORMATS.items() for field, names in f["columns"].items() for k, alias in enumerate(names)]
+def aliases(spark: SparkSession, formats: dict = FORMATS) -> DataFrame:
+    rows = [(kind, field, alias, k) for kind, f in formats.items() for field, names in f["columns"].items() for k, alias in enumerate(names)]
     return spark.createDataFrame(rows, "kind string, field string, alias string, place int").withColumn("norm", header(F.col("alias")))
 
 
-def detected(files: DataFrame) -> DataFrame:
+def detected(files: DataFrame, formats: dict = FORMATS) -> DataFrame:
     """files (file_id, headers array, head string) -> file_id, kind, by what they hold and never by their names.
 
     Mail and phone dumps by their own marks; else the kind of most distinct detection headers, at least two; else a
     check-digit-proof IMEI says CDR, a payment handle UPI.
     """
-    rows = [(kind, alias) for kind, f in FORMATS.items() for alias in f["detect"]]
+    rows = [(kind, alias) for kind, f in formats.items() for alias in f["detect"]]
     marks = files.sparkSession.createDataFrame(rows, "kind string, alias string").select("kind", header(F.col("alias")).alias("norm")).filter("norm <> ''").distinct()
     own = files.select("file_id", F.explode_outer("headers").alias("h")).withColumn("h", header(F.col("h")))
     hits = own.join(F.broadcast(marks), F.col("h").contains(F.col("norm")))
@@ -90,22 +90,17 @@ def token_ratio(a: str, b: str) -> float:
     return float(ratios(pd.Series([a]), [b])[0, 0])
 
 
-def _by_value(f: FunctionType) -> FunctionType:
-    """f as a function of no module, so that it is sent to the workers with its code (they need not have this package)."""
-    return FunctionType(f.__code__, {"np": np, "pd": pd, "__builtins__": __builtins__}, f.__name__)
-
-
-def claims(headers: DataFrame) -> DataFrame:
+def claims(headers: DataFrame, formats: dict = FORMATS) -> DataFrame:
     """file_id, source, field, place: every field whose alias a header is, several headers for one field included."""
     named = headers.withColumn("norm", header(F.col("source")))
-    return named.join(F.broadcast(aliases(headers.sparkSession)).drop("place").distinct(), ["kind", "norm"]).select("file_id", "source", "field", "place").distinct()
+    return named.join(F.broadcast(aliases(headers.sparkSession, formats)).drop("place").distinct(), ["kind", "norm"]).select("file_id", "source", "field", "place").distinct()
 
 
-def by_alias(headers: DataFrame) -> DataFrame:
+def by_alias(headers: DataFrame, formats: dict = FORMATS) -> DataFrame:
     """file_id, source, field, confidence 1 of the certain mappings: the first header for a field, one field a header."""
     first = Window.partitionBy("file_id", "field").orderBy("place")
     once = Window.partitionBy("file_id", "source").orderBy("field")
-    one = claims(headers).withColumn("r", F.row_number().over(first)).filter("r = 1").withColumn("r", F.row_number().over(once)).filter("r = 1")
+    one = claims(headers, formats).withColumn("r", F.row_number().over(first)).filter("r = 1").withColumn("r", F.row_number().over(once)).filter("r = 1")
     return one.select("file_id", "source", "field", F.lit(1.0).alias("confidence"))
 
 
@@ -115,14 +110,15 @@ def confirmed(mappings: DataFrame, confirmations: DataFrame) -> DataFrame:
     return mappings.join(said, ["file_id", "source", "field"], "left").withColumn("is_confirmed", F.coalesce("said", F.col("confidence") >= 1)).drop("said")
 
 
-def proposed(headers: DataFrame, least: float = 60.0) -> DataFrame:
+def proposed(headers: DataFrame, least: float = 60.0, formats: dict = FORMATS) -> DataFrame:
     """headers (file_id, kind, source, place) -> file_id, source, field, confidence, class: one header for a field.
 
     An alias of the file's kind is certain and taken in the order of headers; of the rest, each header goes to the
     most similar free field, and each field keeps its most similar header.
     """
+    shipped(headers.sparkSession)
     named = headers.withColumn("norm", header(F.col("source")))
-    sure = by_alias(headers)
+    sure = by_alias(headers, formats)
     fields = F.array(*[F.lit(f) for f in CANONICAL_FIELDS])
     rest = named.join(sure, ["file_id", "source"], "left_anti")
     # Files repeat headers: each different header is compared with all fields once, whatever the number of files.
@@ -131,9 +127,8 @@ def proposed(headers: DataFrame, least: float = 60.0) -> DataFrame:
     @F.pandas_udf("array<double>")
     def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
-            yield pd.Series(list(compared(x, names)))
+            yield pd.Series(list(ratios(x, names)))
 
-    compared = _by_value(ratios)
     pairs = rest.select("norm").distinct().select("norm", F.posexplode(ratio("norm")).alias("k", "share"))
     likely = pairs.select("norm", F.get(fields, F.col("k")).alias("field"), (F.col("share") / 100).alias("confidence")).filter(F.col("confidence") >= least / 100)
     near = rest.join(likely, "norm").join(sure.select("file_id", "field"), ["file_id", "field"], "left_anti")
@@ -145,9 +140,9 @@ def proposed(headers: DataFrame, least: float = 60.0) -> DataFrame:
     return both.withColumn("class", level)
 
 
-def missing_fields(files: DataFrame, mappings: DataFrame) -> DataFrame:
+def missing_fields(files: DataFrame, mappings: DataFrame, formats: dict = FORMATS) -> DataFrame:
     """file_id, missing: required fields of the file's kind without a header."""
-    required = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(x) for x in f["required"]])) for k, f in FORMATS.items()], F.array().cast("array<string>"))
+    required = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(x) for x in f["required"]])) for k, f in formats.items()], F.array().cast("array<string>"))
     have = mappings.groupBy("file_id").agg(F.collect_set("field").alias("have"))
     out = files.join(have, "file_id", "left")
     return out.select("file_id", F.array_sort(F.array_except(required, F.coalesce("have", F.array().cast("array<string>")))).alias("missing"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions.parsing import ist_to_utc, parsed_time
 from caseweave.operators import mapping
+from caseweave.operators.checkpoints import shipped
 
 
 def inventory(spark: SparkSession, path: str, least: int = 1, most: int | None = None) -> DataFrame:
@@ -224,7 +225,7 @@ def _sheet(content: bytes) -> list[list[str]]:
 
 def workbooks(spark: SparkSession, path: str) -> DataFrame:
     """path, source_row, headers, cells of the first sheet of each workbook; a workbook is one task's work."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = shipped(spark).read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

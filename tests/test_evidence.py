@@ -119,3 +119,23 @@ def test_similarity_against_the_dynamic_programme():
     got = mapping.ratios(pd.Series(texts), fields)
     assert all(abs(got[i, k] - plain(t, f)) < 1e-9 for i, t in enumerate(texts) for k, f in enumerate(fields))
     assert mapping.token_ratio("number b", "b number") == 100.0
+
+
+def test_formats_from_files(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from caseweave.sources import formats
+
+    one = {"kind": "NEW", "detect": ["x"], "columns": {"caller": ["X No"]}, "dates": [], "required": ["caller"]}
+    (tmp_path / "a.json").write_text(json.dumps(one))
+    got = formats.load(spark, str(tmp_path), {"OLD": {}})
+    assert set(got) == {"OLD", "NEW"} and got["NEW"]["columns"] == {"caller": ["X No"]}
+    for wrong in ("[1]", '{"kind": "Z"}', json.dumps(one)):
+        (tmp_path / "b.json").write_text(wrong)
+        with pytest.raises(ValueError):
+            formats.load(spark, str(tmp_path))
+    (tmp_path / "b.json").write_text("{")
+    with pytest.raises(ValueError):
+        formats.load(spark, str(tmp_path))

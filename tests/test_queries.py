@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caseweave.config import BANDS
 from caseweave.operators import anomaly
-from caseweave.plans import MODULES, cases, evidence, flows
+from caseweave.plans import MODULES, cases, evidence, flows, graphs, linking, reports
 
 SF = os.environ.get("CASEWEAVE_TEST_SF", "/root/testdata/sf0.001")
 CASES = [(name, module) for module in MODULES for name in module.QUERIES]
@@ -108,3 +108,31 @@ def test_entity_uuids_against_the_standard_library(spark):
         pytest.skip("no test tables")
     got = evidence.entity_uuids(spark, SF).collect()
     assert got and all(r.id == str(uuid.uuid5(uuid.NAMESPACE_DNS, f"case-1:PHONE:{r.normalized}")) for r in got)
+
+
+def test_forest_evaluation_against_its_parts(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    flag = {r.entity: r.is_anomaly for r in cases.anomaly_scores(spark, SF).collect()}
+    label = {r.entity: r.band != "LOW" for r in flows.risk_scores(spark, SF).collect()}
+    (got,) = reports.forest_evaluation(spark, SF).collect()
+    tp, fp, fn = (sum((flag[e], label[e]) == pair for e in flag) for pair in ((True, True), (True, False), (False, True)))
+    assert (got.tp, got.fp, got.fn) == (tp, fp, fn)
+    assert got.precision == round(tp / max(1, tp + fp), 6) and got.recall == round(tp / max(1, tp + fn), 6)
+
+
+def test_graph_data_above_against_its_parts(spark):
+    """On tables large enough to hold trails."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    top = {r.entity for r in sorted(flows.risk_scores(spark, sf).collect(), key=lambda r: (-r.score, r.entity))[:50]}
+    hops = set()
+    best = graphs._counted(spark, sf).pairs().collect()
+    for r in best:
+        nodes = [int(x) for x in r.path.split(">")]
+        hops |= set(zip(nodes, nodes[1:], strict=False))
+    links_ = [r for r in linking.all_links(spark, sf).collect() if r.a in top and r.b in top and r.confidence is not None and r.confidence >= 0.9]
+    want = sorted((r.a, r.b, r.link_type, r.value or "", r.link_type == "FUND_FLOW" and (r.a, r.b) in hops) for r in links_)
+    got = reports.graph_data_above(spark, sf).collect()
+    assert sorted((r.a, r.b, r.link_type, r.value or "", r.on_best_path) for r in got) == want and best
