@@ -208,17 +208,52 @@ def gates(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.coalesce(ok, F.lit(False)).alias("ready"))
 
 
-def brief(scores: DataFrame, seizure_rows: DataFrame, clusters: DataFrame, case_id: str, n: int = 5, events: DataFrame | None = None, audit_heads: DataFrame | None = None) -> DataFrame:
-    """One row of JSON with sorted keys: the n top suspects, seizures and largest clusters of a case, the first ten
-    events of its timeline, and the heads of up to n audit chains as hash appendix."""
+def step_actions(**steps: DataFrame) -> DataFrame:
+    """case_id, action, ts: a row for each step and case of which the step left something (case_id, ts)."""
+    rows = None
+    for name, df in steps.items():
+        one = df.groupBy("case_id").agg(F.max("ts").alias("ts")).select("case_id", F.lit(name).alias("action"), "ts")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def gate_facts(status: DataFrame, checked: DataFrame, suspects: DataFrame, mappings: DataFrame) -> DataFrame:
+    """What gates() asks, from the parts themselves: status (case_id, status) of integrity, checked (case_id, hours), suspects
+    (case_id, score), mappings (case_id, confidence, is_confirmed).  A compromised case counts as never checked."""
+    hours = checked.join(status, "case_id", "left").select("case_id", F.when(F.col("status") != "COMPROMISED", F.col("hours")).alias("hours_since_check"))
+    own = suspects.filter("score >= 30").groupBy("case_id").agg(F.count("*").alias("suspects"))
+    low = mappings.groupBy("case_id").agg(F.count_if((F.col("confidence") < 0.7) & ~F.col("is_confirmed")).alias("low_confidence_mappings"))
+    out = hours.join(own, "case_id", "left").join(low, "case_id", "left")
+    return out.select("case_id", "hours_since_check", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("suspects", "low_confidence_mappings")])
+
+
+def brief(
+    scores: DataFrame, seizure_rows: DataFrame, clusters: DataFrame, case_id: str, n: int = 5, events: DataFrame | None = None, audit_heads: DataFrame | None = None,
+    header: DataFrame | None = None, reasons: DataFrame | None = None, files: DataFrame | None = None,
+) -> DataFrame:
+    """One row of JSON with sorted keys: the n top suspects with the rules that fired, seizures, and largest clusters with their
+    first members; the first ten events of the timeline; the heads of up to n audit chains and the digests of up to n files
+    (name, sha256) as appendix, with how many files there are; header (case_id, title, status, one row).
+
+    The appendix names the first files only, so that a brief stays a page at any size; the manifest has them all.
+    """
     first = lambda df, order, k, *names: df.orderBy(*order).limit(k).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("s"))
-    top = first(scores, [F.desc("score"), "entity"], n, (-F.col("score")).alias("order"), "entity", "band", "score")
-    top = top.select(F.transform("s", lambda x: F.struct(x["band"].alias("band"), x["entity"].alias("entity"), x["score"].alias("score"))).alias("suspects"))
+    leading = scores.orderBy(F.desc("score"), "entity").limit(n)
+    if reasons is not None:
+        fired = reasons.filter("triggered = 1").join(F.broadcast(leading.select("entity")), "entity").groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_code", "points"))), lambda x: F.struct(x["points"].alias("points"), x["rule_code"].alias("rule_code"))).alias("reasons"))
+        leading = leading.join(fired, "entity", "left")
+    suspect = ["band", "entity", *(["reasons"] if reasons is not None else []), "score"]
+    top = first(leading, [F.desc("score"), "entity"], n, (-F.col("score")).alias("order"), *[c for c in ("entity", "band", "score", "reasons") if c in suspect])
+    top = top.select(F.transform("s", lambda x: F.struct(*[x[c].alias(c) for c in suspect])).alias("suspects"))
     take = first(seizure_rows, [F.desc("residual"), "entity"], n, (-F.col("residual")).alias("order"), "entity", "residual")
     take = take.select(F.transform("s", lambda x: F.struct(x["entity"].alias("entity"), x["residual"].alias("residual"))).alias("seizures"))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    large = first(sizes, [F.desc("members"), "component"], n, (-F.col("members")).alias("order"), "component", "members")
-    large = large.select(F.transform("s", lambda x: F.struct(x["component"].alias("component"), x["members"].alias("members"))).alias("largest_clusters"))
+    large = sizes.orderBy(F.desc("members"), "component").limit(n)
+    # The first members of the few largest clusters only: ranked inside them, so no list of a whole cluster is made.
+    inside = clusters.join(F.broadcast(large.select("component")), "component").withColumn("r", F.row_number().over(Window.partitionBy("component").orderBy("node"))).filter("r <= 10")
+    shown = inside.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("first"))
+    large = first(large.join(shown, "component"), [F.desc("members"), "component"], n, (-F.col("members")).alias("order"), "component", "members", "first")
+    large = large.select(F.transform("s", lambda x: F.struct(x["component"].alias("component"), x["first"].alias("first"), x["members"].alias("members"))).alias("largest_clusters"))
     parts = sizes.agg(F.count("*").alias("clusters"))
     one, names = top, ["clusters", "largest_clusters", "seizures", "suspects"]
     more = [take, large, parts]
@@ -229,6 +264,12 @@ def brief(scores: DataFrame, seizure_rows: DataFrame, clusters: DataFrame, case_
     if audit_heads is not None:
         more.append(first(audit_heads, ["case_id"], n, "case_id", "head_hash").withColumnRenamed("s", "hashes"))
         names.append("hashes")
+    if files is not None:
+        more += [first(files, ["name"], n, "name", "sha256").withColumnRenamed("s", "files"), files.agg(F.count("*").alias("n_files"))]
+        names += ["files", "n_files"]
+    if header is not None:
+        more.append(header.select(F.struct("status", "title").alias("header")))
+        names.append("header")
     for part in more:
         one = one.join(F.broadcast(part))
     return one.select(F.to_json(F.struct(F.lit(case_id).alias("case_id"), *sorted(names))).alias("brief"))

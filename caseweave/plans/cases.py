@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from caseweave.config import RULES
 from caseweave.functions import normalize
-from caseweave.operators import anomaly, cases, graph, ingest, links, rules
+from caseweave.operators import anomaly, cases, graph, ingest, links, mapping, rules
 from caseweave.operators.adapter import address_owners, device_events, events, mail_texts, table, transfers
 from caseweave.operators.checkpoints import cut
-from caseweave.plans import evidence, flows, graphs, linking
+from caseweave.plans import evidence, flows, graphs, linking, sources
 from caseweave.plans._plain import plain
 from caseweave.sources import files
 
@@ -233,8 +233,34 @@ def flag_evaluation(spark, sf_dir):
 
 
 def case_brief(spark, sf_dir):
+    """The case of most files in brief."""
     scores, t = cut(_scores(spark, sf_dir)), transfers(spark, sf_dir)
-    return cases.brief(scores, cases.seizures(t, scores, 30.0), graph.components(t), "case-1", events=t, audit_heads=evidence.audit_heads(spark, sf_dir))
+    head = cut(_cases(spark, sf_dir).orderBy(F.desc("files"), "case_id").limit(1))
+    own = evidence.evidence_inventory(spark, sf_dir).select("name", "sha256")
+    return cases.brief(
+        scores, cases.seizures(t, scores, 30.0), graph.components(t), "case-1", events=t, audit_heads=evidence.audit_heads(spark, sf_dir),
+        header=head, reasons=_reasons(spark, sf_dir), files=own,
+    )
+
+
+def brief_gates(spark, sf_dir):
+    """Whether a brief may be made of each conversation's case, from its integrity, the age of its last entry, its accounts' scores
+    and the mappings of its files."""
+    chain = evidence._chain(spark, sf_dir)
+    checked = chain.groupBy("case_id").agg((F.max("seq") * 3).alias("hours"))
+    suspects = _scores(spark, sf_dir).select((F.col("entity") % 150).alias("case_id"), "score")
+    made = mapping.by_alias(sources._layouts(spark, sf_dir)).select((F.col("file_id") % 150).alias("case_id"), F.when(F.col("field") == "callee", 0.6).otherwise(F.col("confidence")).alias("confidence"), (F.col("file_id") % 3 != 0).alias("is_confirmed"))
+    facts = cases.gate_facts(evidence.case_integrity(spark, sf_dir), checked, suspects, made)
+    return facts.join(cases.gates(facts), "case_id")
+
+
+def case_steps(spark, sf_dir):
+    """The steps of each case that are done, from what they left: evidence, its chain, a mapping, scores."""
+    chain = evidence._chain(spark, sf_dir).select("case_id", F.col("seq").cast("long").alias("ts"))
+    files_ = table(spark, sf_dir, "documents").select((F.col("doc_id") % 150).alias("case_id"), F.col("doc_id").alias("ts"))
+    mapped = mapping.by_alias(sources._layouts(spark, sf_dir)).select((F.col("file_id") % 150).alias("case_id"), F.col("file_id").alias("ts"))
+    scored = _scores(spark, sf_dir).filter("band <> 'LOW'").select((F.col("entity") % 150).alias("case_id"), F.col("entity").alias("ts"))
+    return cases.pipeline_status(cases.step_actions(evidence=files_, audit=chain, mapping=mapped, score=scored), ["evidence", "audit", "mapping", "score"])
 
 
 _BASE = flows._FRAME
@@ -243,7 +269,7 @@ QUERIES = {
     for f in (
         case_dashboard, case_timeline, case_timelines, case_appearances, case_seizures, case_neighbours, score_history, current_scores, reason_evidence, entity_reasons, pipeline_steps,
         top_subgraph, rule_weights, anomaly_scores, reranked_scores, flag_evaluation, case_brief, case_neighbour_classes, unsupported_reasons, link_checks, score_checks, entity_checks, valid_entities, case_search, case_list, recent_events,
-        ordered_rejects, case_timeline_filtered, entity_search, entity_by_id, scores_on_path, case_gates, graph_data, cluster_members,
+        ordered_rejects, case_timeline_filtered, entity_search, entity_by_id, scores_on_path, case_gates, brief_gates, case_steps, graph_data, cluster_members,
     )
 }
 
@@ -349,6 +375,19 @@ SELECT id, normalized, occurrences FROM i ORDER BY id LIMIT 1""",
 onp AS (SELECT DISTINCT unnest(path) AS node FROM trail WHERE e IN (SELECT dst FROM tr WHERE event_type = 'ATM_WITHDRAWAL'))
 SELECT entity, score, band, rules_fired FROM banded WHERE band = 'MEDIUM' AND contains(rules_fired, 'R08') AND entity IN (FROM onp)""",
     "case_gates": """SELECT conv_id AS case_id, coalesce(max(turn) * 6 < 24 AND count(*) FILTER (role = 'user') >= 1 AND count(*) FILTER (length(text) < 20) = 0, false) AS ready FROM conversations GROUP BY conv_id""",
+    "brief_gates": f"""WITH st AS ({evidence.SQL["case_integrity"]}), age AS (SELECT case_id, max(seq) * 3 AS hours FROM ({evidence.SQL["audit_chain"]}) GROUP BY case_id),
+sus AS (SELECT entity % 150 AS case_id, count(*) AS suspects FROM ({flows.SQL["risk_scores"]}) WHERE score >= 30 GROUP BY 1),
+low AS (SELECT file_id % 150 AS case_id, count(*) FILTER (field = 'callee' AND file_id % 3 = 0) AS low FROM ({sources.SQL["alias_mapping"]}) GROUP BY 1),
+facts AS (
+  SELECT a.case_id, CASE WHEN status <> 'COMPROMISED' THEN hours END AS hours_since_check, coalesce(suspects, 0) AS suspects, coalesce(low, 0) AS low_confidence_mappings
+  FROM age a LEFT JOIN st USING (case_id) LEFT JOIN sus USING (case_id) LEFT JOIN low USING (case_id))
+SELECT *, coalesce(hours_since_check < 24 AND suspects >= 1 AND low_confidence_mappings = 0, false) AS ready FROM facts""",
+    "case_steps": f"""WITH act AS (
+  SELECT doc_id % 150 AS case_id, 'evidence' AS step, doc_id AS ts FROM documents UNION ALL SELECT conv_id, 'audit', turn FROM conversations WHERE text IS NOT NULL
+  UNION ALL SELECT file_id % 150, 'mapping', file_id FROM ({sources.SQL["alias_mapping"]}) UNION ALL SELECT entity % 150, 'score', entity FROM ({flows.SQL["risk_scores"]}) WHERE band <> 'LOW'),
+every AS (SELECT DISTINCT case_id FROM act)
+SELECT e.case_id, s.step, max(ts) IS NOT NULL AS done, max(ts) AS last FROM every e CROSS JOIN (SELECT unnest(['evidence', 'audit', 'mapping', 'score']) AS step) s
+LEFT JOIN act ON act.case_id = e.case_id AND act.step = s.step GROUP BY ALL""",
     "graph_data": _BASE
     + """, top AS (SELECT entity FROM banded ORDER BY score DESC, entity LIMIT 50)
 SELECT src, dst, count(*) AS support, sum(amount)::DOUBLE AS total_amount FROM tr WHERE src IN (FROM top) AND dst IN (FROM top) GROUP BY src, dst""",

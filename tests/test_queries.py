@@ -95,12 +95,26 @@ def test_case_brief_against_its_parts(spark):
     brief = json.loads(row.brief)
     assert row.brief == json.dumps(brief, sort_keys=True, separators=(",", ":"))
     scores = sorted(flows.risk_scores(spark, SF).collect(), key=lambda r: (-r.score, r.entity))[:5]
-    assert brief["suspects"] == [{"band": r.band, "entity": r.entity, "score": r.score} for r in scores]
+    fired = {}
+    for r in flows.risk_reasons(spark, SF).collect():
+        if r.triggered:
+            fired.setdefault(r.entity, []).append({"rule_code": r.rule_code, "points": r.points})
+    of = lambda e: {"reasons": sorted(fired[e], key=lambda x: x["rule_code"])} if e in fired else {}
+    assert brief["suspects"] == [{"band": r.band, "entity": r.entity, "score": r.score} | of(r.entity) for r in scores]
     taken = sorted(cases.case_seizures(spark, SF).collect(), key=lambda r: (-r.residual, r.entity))[:5]
     assert brief["seizures"] == [{"entity": r.entity, "residual": r.residual} for r in taken]
     heads = sorted(evidence.audit_heads(spark, SF).collect(), key=lambda r: r.case_id)[:5]
     assert brief["hashes"] == [{"case_id": r.case_id, "head_hash": r.head_hash} for r in heads]
     assert len(brief["timeline"]) == 10 and brief["clusters"] >= 1
+    clusters = {}
+    for r in graphs.graph_components(spark, SF).collect():
+        clusters.setdefault(r.component, []).append(r.node)
+    assert brief["clusters"] == len(clusters)
+    assert brief["largest_clusters"] == [{"component": c, "first": sorted(m)[:10], "members": len(m)} for c, m in sorted(clusters.items(), key=lambda x: (-len(x[1]), x[0]))[:5]]
+    files = sorted((r.name, r.sha256) for r in evidence.evidence_inventory(spark, SF).collect())
+    assert brief["files"] == [{"name": n, "sha256": x} for n, x in files[:5]] and brief["n_files"] == len(files)
+    (head,) = reports.case_by_id(spark, SF).collect()
+    assert brief["header"] == {"status": head.status, "title": head.title}
 
 
 def test_entity_uuids_against_the_standard_library(spark):
