@@ -157,8 +157,14 @@ def caption(path_rows: DataFrame) -> DataFrame:
 
 
 def central(metrics: DataFrame, share: float = 0.05) -> DataFrame:
-    """node, betweenness, is_central: whether it is among the highest share (those equal to the last one included)."""
-    bound = metrics.agg(F.expr(f"percentile(betweenness, {1 - share})").alias("bound"))
+    """node, betweenness, is_central: whether it is among the highest share (those equal to the last one included).
+
+    The bound is the interpolated percentile, from the places of the two values around it in the ranked table.
+    """
+    ranked = numbered(metrics, [F.col("betweenness"), F.col("node")], "place")
+    at = (F.col("n") - 1) * F.lit(1 - share) + 1
+    near = ranked.join(F.broadcast(metrics.agg(F.count("*").alias("n")))).filter((F.col("place") >= F.floor(at)) & (F.col("place") <= F.ceil(at)))
+    bound = near.agg(F.sum(F.when(F.floor(at) == F.ceil(at), F.col("betweenness")).otherwise(F.col("betweenness") * (1 - F.abs(F.col("place") - at)))).alias("bound"))
     return metrics.join(F.broadcast(bound)).select("node", "betweenness", ((F.col("betweenness") >= F.col("bound")) & (F.col("betweenness") > 0)).alias("is_central"))
 
 

@@ -9,6 +9,10 @@ from caseweave.operators.checkpoints import cut
 from caseweave.operators.trails import chain_ends, timed
 
 
+#: Microseconds of a stretch of time that one task sums up for a key: a day, or the interval if that is longer.
+STRETCH = 86_400_000_000
+
+
 def _presences(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
     """key, at, n: how many different `other` values a key has in the interval up to each time at which that changes.
 
@@ -25,8 +29,12 @@ def _presences(events: DataFrame, key: str, other: str, ts: str, interval: str)
     rows = rows.select(key, "t", begins.alias("begins"), ends.alias("ends"))
     marks = F.array(F.when(F.col("begins"), F.struct(F.col("t").alias("at"), F.lit(1).alias("by"))), F.when(F.col("ends"), F.struct((F.col("t") + width + 1).alias("at"), F.lit(-1).alias("by"))))
     moves = rows.select(key, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).groupBy(key, "m.at").agg(F.sum("m.by").alias("by"))
-    running = F.sum("by").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return moves.select(key, "at", running.alias("n"))
+    # Sums run inside a stretch of time and begin with what the stretches before leave: a key of any size is many tasks.
+    moves = moves.withColumn("stretch", F.floor(F.col("at") / max(width, STRETCH)))
+    before = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = moves.groupBy(key, "stretch").agg(F.sum("by").alias("by")).select(key, "stretch", F.coalesce(F.sum("by").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(key, "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return moves.withColumn("n", F.sum("by").over(inside)).join(base, [key, "stretch"]).select(key, "at", (F.col("n") + F.col("base")).alias("n"))
 
 
 def distinct_in_window(events: DataFrame, key: str, other: str, ts: str, interval: str) -> DataFrame:
@@ -53,11 +61,16 @@ def windowed_pass_through(transfers: DataFrame, minutes: int = 60) -> DataFrame:
     credit itself; summed over the account's credits."""
     credit = transfers.select(F.col("dst").alias("account"), F.col("event_id").alias("credit_id"), F.col("amount").alias("credit"), F.col("ts").alias("t0"))
     debit = transfers.select(F.col("src").alias("account"), F.col("amount").alias("debit"), F.col("ts").alias("t1"))
-    # A window per account instead of a range join: rows grow with the events, not with credit-debit pairs.
-    both = credit.select("account", "credit_id", "credit", F.lit(0).cast("decimal(18,2)").alias("debit"), F.col("t0").alias("t")).unionByName(
-        debit.select("account", F.lit(None).cast("long").alias("credit_id"), F.lit(0).cast("decimal(18,2)").alias("credit"), "debit", F.col("t1").alias("t"))
+    # A window per account and stretch of time instead of a range join: rows grow with the events, not with credit-debit
+    # pairs, and a busy account is many tasks.  A debit also stands in the stretch before its own, for that one's credits.
+    width = minutes * 60 * 1_000_000
+    stretch = F.floor(F.unix_micros("t") / width)
+    both = credit.select("account", "credit_id", "credit", F.lit(0).cast("decimal(18,2)").alias("debit"), F.col("t0").alias("t")).withColumn("stretch", stretch).unionByName(
+        debit.select("account", F.lit(None).cast("long").alias("credit_id"), F.lit(0).cast("decimal(18,2)").alias("credit"), "debit", F.col("t1").alias("t")).withColumn(
+            "stretch", F.explode(F.array(stretch, stretch - 1))
+        )
     )
-    w = Window.partitionBy("account").orderBy(F.unix_micros("t")).rangeBetween(0, minutes * 60 * 1_000_000)
+    w = Window.partitionBy("account", "stretch").orderBy(F.unix_micros("t")).rangeBetween(0, width)
     after = both.withColumn("out", F.sum("debit").over(w)).filter("credit_id is not null")
     sums = after.groupBy("account").agg(F.sum("credit").alias("credited"), F.sum(F.least("credit", "out")).alias("forwarded"))
     return sums.withColumn("ratio", F.round(F.col("forwarded").cast("double") / F.col("credited").cast("double"), 4))
