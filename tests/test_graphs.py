@@ -71,7 +71,7 @@ def test_trails_equal_the_enumeration(spark, seed, accounts):
 
 
 def test_a_hub_is_not_multiplied_out(spark):
-    """10,000 payments into an account and 10,000 out of it, within the window: 50 million trails, rows as the transfers."""
+    """10,000 payments into an account and 10,000 out of it, within the window: 100 million trails, rows as the transfers."""
     n = 10_000
     rows = [(1_000 + k, 1, 2.0, k / 100) for k in range(n)] + [(1, 2 + k % 3, 1.0 + k % 7, 200 + k / 100) for k in range(n)]
     got = trails.trails(table(spark, rows), nodes(spark, range(1_000, 1_000 + n)), nodes(spark, [2, 3, 4]), 1440)
