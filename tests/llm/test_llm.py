@@ -332,6 +332,45 @@ def test_scoring_ignores_layout_and_held_out_texts(spark):
     assert all(changed[k] == pytest.approx(first[k], abs=1e-6) for (k, _), h in zip(rows, held, strict=True) if not h)
 
 
+def test_toxic_expressions_of_harmless_words(spark):
+    rng = random.Random(8)
+    texts, labels = [], []
+    for k in range(1500):
+        w = [rng.choice(WORDS) for _ in range(rng.randint(20, 60))]
+        at, far = rng.randrange(2, 8), rng.randrange(10, 18)
+        bad = k % 3 == 0
+        w[at : at + 1] = ["green", "stone"] if bad else ["green"]
+        if not bad:
+            w[far] = "stone"
+        texts.append((k, " ".join(w)))
+        labels.append((k, int(bad)))
+    d, y = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(d, y).collect()}
+    sides = [[got[k].score for k, v in labels if v == side and got[k].held_out] for side in (1, 0)]
+    auc = np.mean([(a > b) + (a == b) / 2 for a in sides[0] for b in sides[1]])
+    assert auc > 0.95
+
+
+def test_toxic_expressions_match_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choice(WORDS[:12]) for _ in range(rng.choice([0, 1, 2, 6, 15]))), int(k % 3 == 0)) for k in range(300)]
+    rows += [(None, 1), ("", 0), ("Bad  WORDS\nhere bad words", 1), ("bad words", 1)]
+    used, totals = {}, [0, 0]
+    for text, toxic in rows:
+        w = (text or "").lower().split()
+        for pair in set(zip(w, w[1:], strict=False)):
+            used.setdefault(pair, [0, 0])[toxic] += 1
+            totals[toxic] += 1
+    kinds = [sum(n[c] > 0 for n in used.values()) for c in (0, 1)]
+    want = []
+    for n in used.values():
+        p = [(max(n[c] - 0.75, 0) + 0.75 * kinds[c] / len(used)) / totals[c] for c in (0, 1)]
+        if n[1] > 1 and math.log(p[1] / p[0]) > 0.1:
+            want.append(math.log(p[1] / p[0]) - 0.1)
+    found = toxicity.expressions(spark.createDataFrame(rows, "text string, y int").repartition(5), evidence=0.1).collect()
+    assert sorted(r.excess for r in found) == pytest.approx(sorted(want)) and len({r.pair for r in found}) == len(want) > 3
+
+
 def test_toxicity_learns_held_out_words(spark):
     rng = random.Random(3)
     made, labels = [], []
