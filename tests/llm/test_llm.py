@@ -358,8 +358,8 @@ def test_toxic_expressions_match_brute_force(spark):
     used, totals = {}, [0, 0]
     for text, toxic in rows:
         w = (text or "").lower().split()
-        for pair in set(zip(w, w[1:], strict=False)):
-            used.setdefault(pair, [0, 0])[toxic] += 1
+        for run in {*zip(w, strict=True), *zip(w, w[1:], strict=False)}:
+            used.setdefault(run, [0, 0])[toxic] += 1
             totals[toxic] += 1
     kinds = [sum(n[c] > 0 for n in used.values()) for c in (0, 1)]
     want = []
@@ -368,7 +368,7 @@ def test_toxic_expressions_match_brute_force(spark):
         if n[1] > 1 and math.log(p[1] / p[0]) > 0.1:
             want.append(math.log(p[1] / p[0]) - 0.1)
     found = toxicity.expressions(spark.createDataFrame(rows, "text string, y int").repartition(5), evidence=0.1).collect()
-    assert sorted(r.excess for r in found) == pytest.approx(sorted(want)) and len({r.pair for r in found}) == len(want) > 3
+    assert sorted(r.excess for r in found) == pytest.approx(sorted(want)) and len({r.run for r in found}) == len(want) > 3
 
 
 def test_toxicity_learns_held_out_words(spark):
