@@ -2,11 +2,16 @@
 
 import collections
 import itertools
+import os
 import random
 
 import pytest
 
 from caseweave.operators import links
+from caseweave.operators.adapter import device_events
+from caseweave.plans import linking
+
+SF = os.environ.get("CASEWEAVE_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("listed", [0, 6, 10_000])
@@ -31,3 +36,22 @@ def test_no_star_links_an_entity_with_itself(spark):
     assert {(r.a, r.b, r.support) for r in got} == {(1, 2, 3), (1, 3, 3)}
     top = links.busiest(uses, "phone", "imei", 1).collect()
     assert [(r.place, r.value, r.users) for r in top] == [(1, "x", 3)]
+
+
+def test_hubs_are_whole(spark):
+    """Every entity of every value, also of values beyond the tenth and of values with few users."""
+    rows = [(1000 * v + e, f"v{v:02d}", None) for v in range(14) for e in range(1 + v % 5)]
+    uses = spark.createDataFrame([*rows, rows[0], (5, None, None), (None, "v00", None)], "phone long, imei string, ts timestamp")
+    users = collections.Counter(v for _, v, _ in rows)
+    place = {v: k for k, v in enumerate(sorted(users, key=lambda v: (-users[v], v)), 1)}
+    got = links.hubs(uses, "phone", "imei").collect()
+    assert sorted((r.place, r.value, r.entity, r.users) for r in got) == sorted((place[v], v, e, users[v]) for e, v, _ in rows)
+    assert [(r.place, r.value) for r in links.busiest(uses, "phone", "imei", 2).collect()] == [(1, "v04"), (2, "v09")]
+
+
+def test_hub_query_lists_every_use(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    uses = device_events(spark, SF).select("phone", "imei").dropna().distinct()
+    got = linking.shared_imei_hubs(spark, SF)
+    assert sorted((r.entity, r.value) for r in got.collect()) == sorted((r.phone, r.imei) for r in uses.collect())
