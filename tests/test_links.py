@@ -55,3 +55,14 @@ def test_hub_query_lists_every_use(spark):
     uses = device_events(spark, SF).select("phone", "imei").dropna().distinct()
     got = linking.shared_imei_hubs(spark, SF)
     assert sorted((r.entity, r.value) for r in got.collect()) == sorted((r.phone, r.imei) for r in uses.collect())
+
+
+def test_all_link_classes_hold_all_links_and_memberships(spark):
+    """No link of all_links is missing, and every membership of every type is there."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    row = lambda r: (r.a, r.b, r.link_type, r.value, r.confidence, r.support)
+    got = {row(r) for r in linking.all_link_classes(spark, SF).collect()}
+    assert {row(r) for r in linking.all_links(spark, SF).collect()} <= got
+    own = {(r.smallest, r.entity, r.link_type, r.value, r.confidence, r.users) for kind in linking.ACCOUNTS for r in linking.QUERIES[f"{kind.lower()}_classes"](spark, SF).collect()}
+    assert own <= got and {x for x in got if x[2] in linking.ACCOUNTS} == own
