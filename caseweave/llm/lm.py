@@ -297,14 +297,13 @@ class Edges:
     def totals(self, per_edge: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, per_edge[self.edge], self.n)
 
-    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For each of the eight bits: its values, a number of the bits before it, the slots of the short contexts."""
-        wide = self.data.astype(np.uint64)
-        for j in range(8):
-            node = (wide >> np.uint64(8 - j)) | np.uint64(1 << j)
-            step = node * np.uint64(0x9E3779B97F4A7C15)
-            slots = [((h ^ step) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - size)).astype(np.int64) for h, (*_, size) in zip(self.short, SHORT_CONTEXTS, strict=True)]
-            yield ((self.data >> (7 - j)) & 1).astype(np.int64), step, slots
+    def bit(self, j: int, at: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of bit j of these edges: its values, a number of the bits before it, the slots of the short contexts."""
+        data = self.data[at]
+        node = (data.astype(np.uint64) >> np.uint64(8 - j)) | np.uint64(1 << j)
+        step = node * np.uint64(0x9E3779B97F4A7C15)
+        slots = [((h[at] ^ step) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - size)).astype(np.int64) for h, (*_, size) in zip(self.short, SHORT_CONTEXTS, strict=True)]
+        return ((data >> (7 - j)) & 1).astype(np.int64), step, slots
 
 
 def _exact(key: np.ndarray, y: np.ndarray, weight: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,13 +313,18 @@ def _exact(key: np.ndarray, y: np.ndarray, weight: np.ndarray, known: np.ndarray
     return (every - n1) * known, n1 * known
 
 
-def _predictions(edges: Edges, weight: np.ndarray, tables: list[np.ndarray], lead: int) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
-    """For each bit of the edges: its values and the counters' (n0, n1)."""
+def _whole(edges: Edges, weight: np.ndarray, lead: int, j: int, kind=np.float64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n0, n1) of the whole prefixes' counters at bit j of all edges, without and with the class."""
     known = edges.place >= lead
-    for y, step, slots in edges.bits():
-        counts = [(t[s, 0], t[s, 1]) for t, s in zip(tables, slots, strict=True)]
-        counts += [_exact(edges.prefix ^ step, y, weight, known), _exact((edges.prefix + edges.group) ^ step, y, weight, known)]
-        yield y, counts
+    node = (edges.data.astype(np.uint64) >> np.uint64(8 - j)) | np.uint64(1 << j)
+    step, y = node * np.uint64(0x9E3779B97F4A7C15), (edges.data >> (7 - j)) & 1
+    return [tuple(n.astype(kind, copy=False) for n in _exact(key ^ step, y, weight, known)) for key in (edges.prefix, edges.prefix + edges.group)]
+
+
+def _counts(edges: Edges, j: int, at: slice, tables: list[np.ndarray], whole: list) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """At bit j of some of the edges: its values and the counters' (n0, n1)."""
+    y, _, slots = edges.bit(j, at)
+    return y, [(t[s, 0], t[s, 1]) for t, s in zip(tables, slots, strict=True)] + [(a[at], b[at]) for a, b in whole]
 
 
 def count_tables(vocabulary: DataFrame) -> list[np.ndarray]:
@@ -335,7 +339,8 @@ def count_tables(vocabulary: DataFrame) -> list[np.ndarray]:
                 part = pa.table(batch.slice(k, CHUNK)).sort_by([("g", "ascending"), ("word", "ascending")]).combine_chunks()
                 edges = Edges(part["word"].chunk(0), part["g"].to_numpy())
                 weight = edges.weights(part["c"].to_numpy().astype(float))
-                for y, _, slots in edges.bits():
+                for j in range(8):
+                    y, _, slots = edges.bit(j)
                     for table, slot in zip(tables, slots, strict=True):
                         np.add.at(table, 2 * slot + y, weight)
         for k, table in enumerate(tables):
@@ -365,20 +370,30 @@ def _word_column(table: pa.Table) -> pa.Array:
     return pa.concat_arrays(table["word"].chunks).cast(pa.binary())
 
 
+def learned(edges: Edges, weight: np.ndarray, tables: list[np.ndarray], lead: int = LEAD) -> Mixer:
+    """A mixer that learnt every bit of every edge, some edges at a time.
+
+    A common beginning makes a large shard, so only the whole prefixes' counters are held for all edges; those of the
+    short contexts are looked up for the edges of a step.
+    """
+    mixer = Mixer()
+    whole = [_whole(edges, weight, lead, j, np.float32) for j in range(8)]
+    for k in range(0, len(edges.data), LEARN):
+        at = slice(k, k + LEARN)
+        for j in range(8):
+            y, counts = _counts(edges, j, at, tables, whole[j])
+            logits, gate = _inputs(counts, y, weight[at])
+            mixer.learn(logits, gate, y, weight[at])
+    return mixer
+
+
 def train_mixer(vocabulary: DataFrame, tables, lead: int = LEAD) -> Mixer:
     """Each shard learns online over its words in their order; weights are averaged by mass, tallies added."""
 
     def run(table: pa.Table) -> pa.Table:
         table = _sorted(table)
         edges = Edges(_word_column(table), table["g"].to_numpy())
-        weight = edges.weights(table["c"].to_numpy().astype(float))
-        mixer = Mixer()
-        bits = [(y, [tuple(n.astype(np.float32) for n in c) for c in counts]) for y, counts in _predictions(edges, weight, tables.value, lead)]
-        for k in range(0, len(edges.data), LEARN):
-            at = slice(k, k + LEARN)
-            for y, counts in bits:
-                logits, gate = _inputs([(a[at], b[at]) for a, b in counts], y[at], weight[at])
-                mixer.learn(logits, gate, y[at], weight[at])
+        mixer = learned(edges, edges.weights(table["c"].to_numpy().astype(float)), tables.value, lead)
         values = (mixer.weights, mixer.tallies, mixer.tallies.sum(axis=(1, 2)))
         return pa.table({"shard": table["shard"][:1]} | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("weights", "tallies", "mass"), values, strict=True)})
 
@@ -406,12 +421,14 @@ def train_mixer(vocabulary: DataFrame, tables, lead: int = LEAD) -> Mixer:
 def log10_words(edges: Edges, weight: np.ndarray, tables: list[np.ndarray], mixer: Mixer, lead: int = LEAD) -> np.ndarray:
     """log10 probability of each word with its blank in its class."""
     total = np.zeros(len(edges.data))
-    for y, counts in _predictions(edges, weight, tables, lead):
-        for k in range(0, len(y), LEARN):
+    for j in range(8):
+        whole = _whole(edges, weight, lead, j)
+        for k in range(0, len(total), LEARN):
             at = slice(k, k + LEARN)
-            logits, gate = _inputs([(a[at], b[at]) for a, b in counts])
+            y, counts = _counts(edges, j, at, tables, whole)
+            logits, gate = _inputs(counts)
             p = mixer.refined(mixer.mixed(logits, gate), gate)
-            total[at] += np.log10(np.where(y[at] == 1, p, 1 - p))
+            total[at] += np.log10(np.where(y == 1, p, 1 - p))
     return edges.totals(total)
 
 

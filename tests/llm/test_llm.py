@@ -319,6 +319,42 @@ def test_spelling_against_brute_force():
     assert got == pytest.approx([want[w] for w in words], rel=1e-4)
 
 
+def test_learning_holds_little_and_leaves_nothing_out():
+    """Every bit of every edge is learnt, as if all counters were held at once, in memory that a large shard needs few of."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    words = sorted({b"and" + rng.integers(97, 123, rng.integers(1, 12), np.uint8).tobytes() for _ in range(20_000)})
+    classes = np.repeat([0, 1], [len(words) // 3, len(words) - len(words) // 3])
+    tables = [rng.integers(0, 900, (1 << size, 2)).astype(np.float32) for *_, size in lm.SHORT_CONTEXTS]
+    edges = lm.Edges(pa.array(words, pa.binary()), classes)
+    weight = edges.weights(rng.integers(1, 4, len(words)).astype(float))
+    tracemalloc.start()
+    got = lm.learned(edges, weight, tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * len(edges.data)  # 448 bytes an edge for the counters alone, held all at once
+    assert got.tallies.sum() == 8 * weight.sum()
+    want, known, bits = lm.Mixer(), edges.place >= lm.LEAD, []
+    for j in range(8):
+        y, step, slots = edges.bit(j)
+        counts = [(t[s, 0], t[s, 1]) for t, s in zip(tables, slots, strict=True)]
+        for key in (edges.prefix, edges.prefix + edges.group):
+            uses = collections.Counter()
+            for k, b, w in zip((key ^ step).tolist(), y.tolist(), weight.tolist(), strict=True):
+                uses[k, b] += w
+            counts.append(tuple(np.array([uses[k, b] for k in (key ^ step).tolist()], np.float32) * known for b in (0, 1)))
+        bits.append((y, counts))
+    for k in range(0, len(edges.data), lm.LEARN):
+        at = slice(k, k + lm.LEARN)
+        for y, counts in bits:
+            logits, gate = lm._inputs([(a[at], b[at]) for a, b in counts], y[at], weight[at])
+            want.learn(logits, gate, y[at], weight[at])
+    assert (got.weights == want.weights).all() and (got.tallies == want.tallies).all()
+
+
 def test_scoring_ignores_layout_and_held_out_texts(spark):
     rng = random.Random(8)
     rows = [(k, text(rng, rng.choice([3, 30, 80]))) for k in range(150)]
