@@ -10,16 +10,15 @@ on at least half of the positions after the leading ones.  Templates that recur
 Documents are told apart by their own lines: those that follow no candidate template, and do not begin or end like a
 line that does (an edited copy of it).  Documents of equal sets of own lines count once, and those of none count as
 one, so that the lines of a document's exact or slightly edited copies do not pass for recurring ones.  A template
-recurs if `support` different sets have it, however many copies each has, and a millionth of all texts.
+recurs if `support` different sets have it, however many copies each has and however many texts there are.
 
 The tree is walked by vectorised kernels over whole Arrow slices, which give a few numbers a line.  Texts are not
 shuffled: what a line is known by is looked up in the keys of the candidates, which are broadcast; only where there
-are more of them than BROADCAST_KEYS, texts are joined with their line numbers instead.
+are more of them than BROADCAST_KEYS, texts are joined with their line numbers instead; the lines are the same.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +34,6 @@ from ._store import ready, remove, written
 DEPTH, TOKENS, SUPPORT, AGREE = 3, 2, 8, 0.5
 #: Tokens of a constant half that is a template: as many as a shingle has, for shorter runs of words recur in ordinary text.
 HALF = 5
-#: Share of all different texts that a template needs, where that is more than SUPPORT: what recurs by chance grows with the corpus.
-RATE = 1e-6
 #: Keys and numbers of templates that are broadcast, 16 MB.
 BROADCAST_KEYS = 2_000_000
 
@@ -224,7 +221,6 @@ def _recurring(found: DataFrame, follow: DataFrame, support: int) -> DataFrame:
 def _gone(rows: DataFrame, support: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(th, no, key of the lines that go, recurring keys, listed keys, leaf and template)."""
     found = written(_parsed(rows), "lines-parsed")
-    support = max(support, math.ceil(RATE * found.select(F.approx_count_distinct("th")).first()[0]))
     follow, keys, made = _follows(rows, found, support)
     follow = written(follow, "lines-follow")
     recurring = written(_recurring(found, follow, support), "lines-recurring")

@@ -597,6 +597,35 @@ def test_line_dedup_keeps_unlike_lines_with_a_common_beginning(spark):
     assert {r.doc_id: r.text for r in got} == dict(rows) and all(r.n_removed == 0 for r in got)
 
 
+def recurring_rows():
+    """Ten unlike documents with one common line, and lines of odd bytes in some of them."""
+    rng = random.Random(21)
+    odd = ["\r", "a\x00b \x00 c", "x\u0085y \u2028 z", "\t", "", "é ü 12 \U0001f600", "1 2 3 4 5"]
+    own = lambda k: prose(rng, 9) + "\n" + odd[k % 7] + "\n" + odd[(k + 3) % 7]
+    common = [(k, own(k) + "\nshare this page 7 with friends\r\n" + "same old licence line of all\n" * (k % 3)) for k in range(10)]
+    return common, [(100 + k, prose(rng, 12) + "\n" + prose(rng, 8)) for k in range(150)]
+
+
+def test_line_dedup_does_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    """What goes from ten documents goes as well when texts that share nothing with them are many."""
+    monkeypatch.setattr(lines, "RATE", 0.1, raising=False)  # a share of all texts was once asked for: some 16 of these
+    few, others = recurring_rows()
+    dedup = lambda rows: {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alone, among = dedup(few), dedup([*few, *others])
+    assert all(r[2] >= 1 for r in alone.values()) and {k: among[k] for k in alone} == alone
+    assert all(among[k] == (t, 2, 0) for k, t in others)
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 30])
+def test_line_dedup_is_the_same_joined_and_broadcast(spark, monkeypatch, limit):
+    few, others = recurring_rows()
+    df = spark.createDataFrame([*few, *others, *[(300 + k, t) for k, (_, t) in enumerate(few * 2)], (None, few[0][1]), (400, None), (401, "")], "doc_id long, text string").repartition(3)
+    key = lambda r: (str(r.doc_id), r.text or "", r.n_lines, r.n_removed)
+    want = sorted(map(key, lines.deduplicate(df).collect()))
+    monkeypatch.setattr(lines, "BROADCAST_KEYS", limit)
+    assert sorted(map(key, lines.deduplicate(df).collect())) == want and sum(r[3] for r in want) > 30
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark, monkeypatch):
     """On both paths, also where a column has the name of one of the operator's own."""
     rng = random.Random(14)
