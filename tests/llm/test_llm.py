@@ -616,6 +616,18 @@ def test_line_dedup_does_not_depend_on_the_number_of_texts(spark, monkeypatch):
     assert all(among[k] == (t, 2, 0) for k, t in others)
 
 
+def test_pipeline_lines_do_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(lines, "RATE", 0.1, raising=False)
+    few, others = recurring_rows()
+    frame = lambda rows: spark.createDataFrame([(k, t, len(t)) for k, t in rows], "doc_id long, text string, n_chars long")
+    cut = lambda rows: {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, frame(rows), "").collect()}
+    alone, among = cut(few), cut([*few, *others])
+    assert all(alone[k][0] != t and alone[k][1] == len(alone[k][0]) for k, t in few)
+    assert {k: among[k] for k in alone} == alone and all(among[k] == (t, len(t)) for k, t in others)
+
+
 @pytest.mark.parametrize("limit", [0, 1, 3, 30])
 def test_line_dedup_is_the_same_joined_and_broadcast(spark, monkeypatch, limit):
     few, others = recurring_rows()
