@@ -253,49 +253,83 @@ def symbol_logs(counts: np.ndarray) -> np.ndarray:
 
 
 class Edges:
-    """The bytes of words sorted by class and word, each shared prefix once: bytes, places, context hashes, words of each."""
+    """The bytes of words sorted by class and word, each shared prefix once: bytes, places, context hashes, words of each.
+
+    Made some words at a time: of all bytes only what stays is held at once.
+    """
 
     def __init__(self, words: pa.Array, classes: np.ndarray):
-        data, owner, place = coded(words, END)
         self.n = len(words)
-        start = np.flatnonzero(place == 0)
-        size = np.diff(np.append(start, len(data)))
+        parts = [coded(words.slice(k, CHUNK), END) for k in range(0, self.n, CHUNK)]
+        parts = [(data, np.bincount(owner, minlength=min(CHUNK, self.n - k * CHUNK))) for k, (data, owner, _) in enumerate(parts)]
+        data, self.size = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate((np.uint8, np.int64)))
+        self.start = np.cumsum(self.size) - self.size
         common = np.zeros(self.n, np.int64)
         live = 1 + np.flatnonzero(classes[1:] == classes[:-1])
         depth = 0
         while len(live):
-            live = live[(size[live] > depth) & (size[live - 1] > depth)]
-            live = live[data[start[live] + depth] == data[start[live - 1] + depth]]
+            live = live[(self.size[live] > depth) & (self.size[live - 1] > depth)]
+            live = live[data[self.start[live] + depth] == data[self.start[live - 1] + depth]]
             depth += 1
             common[live] = depth
-        new = place >= common[owner]
-        # By place, the edge that a byte shares is the last new one.
-        order = np.argsort(place, kind="stable")
-        number = np.cumsum(new) - 1
-        last = np.maximum.accumulate(np.where(new[order], np.arange(len(order)), 0))
-        self.edge = np.empty(len(data), np.int64)
-        self.edge[order] = number[order[last]]
-        self.owner, at = owner, np.flatnonzero(new)
-        self.data, self.place = data[at], place[at]
+        self.edge = np.empty(len(data), np.int32)
+        latest = np.zeros(int(self.size.max(initial=0)), np.int64)  # by place, the last new edge and 1
+        made, n = [self._made(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        for a, z, own in self._parts():
+            part, owner = data[own], np.repeat(np.arange(z - a), self.size[a:z])
+            place = np.arange(len(part)) - (self.start[a:z] - self.start[a])[owner]
+            new = place >= common[a:z][owner]
+            # By place, the edge that a byte shares is the last new one.
+            order = np.argsort(place, kind="stable")
+            number = np.where(new, n + np.cumsum(new), latest[place])
+            last = np.maximum.accumulate(place[order] << 40 | number[order]) & ((1 << 40) - 1)
+            self.edge[own.start + order] = last - 1
+            latest[place[order]] = last
+            at = np.flatnonzero(new)
+            made.append(self._made(part, place, at) | {"kind": classes[a:z][owner[at]].astype(np.uint8)})
+            n += len(at)
+        made[0]["kind"] = np.zeros(0, np.uint8)
+        self.data, self.place, self.prefix, self.kind = (np.concatenate([m.pop(c) for m in made]) for c in ("data", "place", "prefix", "kind"))
+        self.short = []
+        for k, (_, with_class, _) in enumerate(SHORT_CONTEXTS):
+            named = np.concatenate([m.pop(k) for m in made])
+            self.short.append(_text.mix64(named + self.group if with_class else named))
+
+    @staticmethod
+    def _made(data: np.ndarray, place: np.ndarray, at: np.ndarray) -> dict:
+        """Bytes, places, hashes of the whole prefix and of the short contexts without the class, of the bytes at these positions."""
         power, inverse = _text._powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_text._BYTE[data] * power[: len(data)], out=total[1:])
-        begin = at - self.place
-        self.prefix = _text.mix64((total[at] - total[begin]) * inverse[begin] + self.place.astype(np.uint64))
-        self.group = (classes.astype(np.uint64) + np.uint64(1))[owner[at]] * np.uint64(0x8EBC6AF09C88C6E3)
+        own = place[at]
+        out = {"data": data[at], "place": own.astype(np.int32), "prefix": _text.mix64((total[at] - total[at - own]) * inverse[at - own] + own.astype(np.uint64))}
         before = np.zeros(len(at), np.uint64)
-        self.short = []
-        for back, with_class, _ in SHORT_CONTEXTS:
-            last = np.where(self.place >= back, data[np.maximum(at - back, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+        for k, (back, *_) in enumerate(SHORT_CONTEXTS):
+            last = np.where(own >= back, data[np.maximum(at - back, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
             before = before * np.uint64(257) + last
-            named = before + (np.uint64(back) << np.uint64(58))
-            self.short.append(_text.mix64(named + self.group if with_class else named))
+            out[k] = before + (np.uint64(back) << np.uint64(58))
+        return out
+
+    def _parts(self) -> Iterator[tuple[int, int, slice]]:
+        """Runs of words, from one to before another, and their bytes."""
+        for a in range(0, self.n, CHUNK):
+            z = min(a + CHUNK, self.n)
+            yield a, z, slice(int(self.start[a]), int(self.start[z - 1] + self.size[z - 1]))
+
+    @property
+    def group(self) -> np.ndarray:
+        return (self.kind.astype(np.uint64) + np.uint64(1)) * np.uint64(0x8EBC6AF09C88C6E3)
 
     def weights(self, per_word: np.ndarray) -> np.ndarray:
-        return np.bincount(self.edge, per_word[self.owner], len(self.data))
+        out = np.zeros(len(self.data))
+        for a, z, own in self._parts():
+            found, back = np.unique(self.edge[own], return_inverse=True)
+            out[found] += np.bincount(back, np.repeat(per_word[a:z], self.size[a:z]), len(found))
+        return out
 
     def totals(self, per_edge: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, per_edge[self.edge], self.n)
+        parts = [np.bincount(np.repeat(np.arange(z - a), self.size[a:z]), per_edge[self.edge[own]], z - a) for a, z, own in self._parts()]
+        return np.concatenate([np.zeros(0), *parts])
 
     def bit(self, j: int, at: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of bit j of these edges: its values, a number of the bits before it, the slots of the short contexts."""

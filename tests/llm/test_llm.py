@@ -355,6 +355,36 @@ def test_learning_holds_little_and_leaves_nothing_out():
     assert (got.weights == want.weights).all() and (got.tallies == want.tallies).all()
 
 
+def test_edges_are_made_in_parts():
+    """The edges of a large shard take little memory and are those of a plain trie, also where a part of the words ends."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    words = sorted({b"and" + rng.integers(97, 117, rng.integers(1, 12), np.uint8).tobytes() for _ in range(30_000)})
+    classes = np.repeat([0, 2], [lm.CHUNK + 7, len(words) - lm.CHUNK - 7])
+    column = pa.array(words, pa.binary())
+    tracemalloc.start()
+    edges = lm.Edges(column, classes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 180 * len(edges.data)  # 256 bytes an edge when made of all bytes at once
+    trie, want = {}, []
+    for word, g in zip(words, classes.tolist(), strict=True):
+        for k, b in enumerate(word + b" "):
+            want.append(trie.setdefault((g, word[:k], b), len(trie)))
+    assert edges.edge.tolist() == want
+    assert edges.data.tolist() == [b for _, _, b in trie] and edges.place.tolist() == [len(x) for _, x, _ in trie]
+    assert len(set(edges.prefix.tolist())) == len({x for _, x, _ in trie}) and len(set((edges.prefix + edges.group).tolist())) == len({x[:2] for x in trie})
+    for (back, with_class, _), found in zip(lm.SHORT_CONTEXTS, edges.short, strict=True):
+        assert len(set(found.tolist())) == len({(g * with_class, x[max(0, len(x) - back) :]) for g, x, _ in trie})
+    per = rng.integers(1, 9, len(words)).astype(float)
+    lengths = [len(w) + 1 for w in words]
+    assert (edges.weights(per) == np.bincount(want, np.repeat(per, lengths))).all()
+    assert (edges.totals(np.arange(float(len(trie)))) == np.bincount(np.repeat(np.arange(len(words)), lengths), want)).all()
+
+
 def test_scoring_ignores_layout_and_held_out_texts(spark):
     rng = random.Random(8)
     rows = [(k, text(rng, rng.choice([3, 30, 80]))) for k in range(150)]
