@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ._store import written
 
 CAPACITY = 2048
+#: Pieces in a range of the hash, when equal lengths are ranked.
+RANGE_ROWS = 200_000
 
 
 class Encoder:
@@ -193,25 +195,32 @@ def sweeps(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return reduce(DataFrame.unionByName, steps, spark.createDataFrame([], "length long, rank long, n long, sequence long, turn long"))
 
 
+def _ranked(cut: DataFrame) -> DataFrame:
+    """The pieces with their rank among those of equal length."""
+    # Rank among equals without gathering them in one task: each length's hashes are cut into ranges, whose sizes add up.
+    # Ranges follow the hash, so the order of the rows is the same however many there are.
+    ranges = max(16, cut.count() // RANGE_ROWS)
+    hashed = cut.withColumn("h", F.xxhash64("doc_id", "piece"))
+    dealt = hashed.withColumn("bucket", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * ranges))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = Window.partitionBy("length", "bucket").orderBy("h", "doc_id", "piece")
+    ranked = dealt.withColumn("rank", F.row_number().over(place)).join(base, ["length", "bucket"])
+    return ranked.select(*cut.columns, (F.col("base") + F.col("rank") - 1).alias("rank"))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, **how) -> DataFrame:
     """Pieces of docs with sequence_id and offset, in as few sequences of at most capacity tokens as best-fit needs.
 
     Null and empty texts are packed as the end id alone, repeated rows once each; ties between equal lengths go by
-    doc_id and piece.  An empty table gives an empty result; other columns of docs are not read.
+    a hash of doc_id and piece, whatever the number of pieces.  An empty table gives an empty result; other columns of docs are not read.
     """
     cut = written(pieces(docs, capacity=capacity, **how), "pack-pieces")
     steps = sweeps(cut.groupBy("length").agg(F.count("*").alias("n")), capacity).orderBy("length", "rank").toArrow()  # runs, not pieces
     plan = np.stack([steps[c].to_numpy() for c in ("length", "rank", "sequence", "turn")], axis=1).astype(np.int64).reshape(-1, 4)
     share = docs.sparkSession.sparkContext.broadcast(plan)
 
-    # Rank among equals without gathering them in one task: a hash deals each length to buckets, whose sizes add up.
-    buckets = max(16, cut.count() // 200_000)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    place = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
-    ranked = dealt.withColumn("rank", F.row_number().over(place)).join(base, ["length", "bucket"])
-    ranked = ranked.select(*cut.columns, (F.col("base") + F.col("rank") - 1).alias("rank"))
+    ranked = _ranked(cut)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = share.value

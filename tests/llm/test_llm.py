@@ -97,6 +97,14 @@ def test_a_long_blank_text_is_packed(spark):
     assert sum(r.length for r in got if r.doc_id == 1) == 1_200_001 and sum(r.length for r in got if r.doc_id == 2) == 3
 
 
+def test_packing_ignores_how_many_ranges_rank_equals(spark, monkeypatch):
+    cut = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 3 + 1).alias("length"))
+    want = {r.doc_id: r["rank"] for r in packing._ranked(cut).collect()}
+    assert sorted(want[k] for k in range(0, 300, 3)) == list(range(100))
+    monkeypatch.setattr(packing, "RANGE_ROWS", 7)
+    assert {r.doc_id: r["rank"] for r in packing._ranked(cut).collect()} == want
+
+
 @pytest.mark.parametrize("kind", ["even", "small", "few", "hot"])
 def test_best_fit_matches_sequential(spark, kind):
     rng = random.Random(2)
@@ -437,6 +445,21 @@ def test_toxic_expressions_match_brute_force(spark):
     assert sorted(r.excess for r in found) == pytest.approx(sorted(want)) and len({r.run for r in found}) == len(want) > 3
 
 
+def test_toxicity_is_calibrated_on_all_rows(spark):
+    """The fit on 30,000 rows is that of all of them in one place, not of the first 20,000, and the same in any order."""
+    rng = np.random.default_rng(6)
+    n, size = 30_000, rng.integers(1, 50, 30_000)
+    y = (rng.random(n) < np.where(np.arange(n) < 20_000, 0.1, 0.6)).astype(int)
+    columns = {"n": size, "ratio": (y + rng.normal(0, 1, n)) * size, "clear": rng.random(n) * y, "told": rng.random(n), "y": y}
+    frame = pd.DataFrame(columns)
+    got = toxicity.fit_logistic(spark.createDataFrame(frame).repartition(5))
+    assert (got == toxicity.fit_logistic(spark.createDataFrame(frame[::-1]).coalesce(2))).all()
+    x = np.stack([np.ones(n), columns["ratio"] / size, np.sqrt(columns["clear"] / size), np.sqrt(columns["told"] / size)], axis=1)
+    slope = x.T @ (y - 1 / (1 + np.exp(-(x @ got)))) / n - 1e-5 * got
+    assert np.abs(slope).max() < 1e-6
+    assert (toxicity.fit_logistic(spark.createDataFrame(frame[y == 0])) == 0).all()
+
+
 def test_toxicity_learns_held_out_words(spark):
     rng = random.Random(3)
     made, labels = [], []
