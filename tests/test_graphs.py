@@ -82,6 +82,16 @@ def test_a_hub_is_not_multiplied_out(spark):
     assert tuple(pairs) == (3 * n, n * n, 9.0, 9.0)
 
 
+def test_equal_totals_tie_whatever_they_are_added_up_from(spark):
+    """0.1 + 0.7 is less than 0.4 + 0.4 in doubles, and both are 0.80: the first path as text wins, then the fewest minutes."""
+    rows = [(1, 2, 0.1, 0), (2, 9, 0.7, 5), (1, 3, 0.4, 0), (3, 9, 0.4, 3)]
+    (one,) = trails.trails(table(spark, rows), nodes(spark, [1]), nodes(spark, [9]), 60).pairs().collect()
+    assert (one.hops, one.total, one.path, one.minutes, one.n_paths) == (2, 0.8, "1>2>9", 5.0, 2)
+    rows = [(1, 2, 0.1, 0), (2, 3, 0.2, 40), (1, 2, 0.15, 41), (2, 3, 0.15, 44)]
+    (one,) = trails.trails(table(spark, rows), nodes(spark, [1]), nodes(spark, [3]), 43).pairs().collect()
+    assert (one.total, one.path, one.minutes, one.n_paths) == (0.3, "1>2>3", 3.0, 2)
+
+
 def test_no_trails(spark):
     t = table(spark, [(1, 2, 1, 0), (2, 3, 1, 5000)])
     got = trails.trails(t, nodes(spark, [1]), nodes(spark, [3]), 60)
