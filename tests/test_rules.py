@@ -84,6 +84,14 @@ def test_betweenness_by_joins_and_in_tasks(spark, monkeypatch):
     assert {r.node: r.betweenness for r in graph.betweenness(edges, pivots=7).collect()} == pytest.approx(few)
 
 
+def test_betweenness_of_the_frame_is_exact_beyond_5000_nodes(spark):
+    """5,200 payers of two accounts, which pay a third: half of all paths from payers lead over each."""
+    n = 5_200
+    edges = spark.range(n).select((F.col("id") + 10).alias("src"), (F.col("id") % 2).alias("dst")).unionByName(spark.createDataFrame([(0, 2), (1, 2)], "src long, dst long"))
+    got = {r.entity: r.betweenness_centrality for r in features.centrality(edges).filter("betweenness_centrality > 0").collect()}
+    assert got == {k: round(n / 2 / ((n + 2) * (n + 1)), 8) for k in (0, 1)}
+
+
 def test_rules_from_a_file(tmp_path):
     path = tmp_path / "rules.json"
     path.write_text('{"R02": {"threshold": 5}}')
