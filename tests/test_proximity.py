@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseweave.operators import proximity
+from caseweave.operators import links, proximity
 
 
 def made(spark, rows):
@@ -46,3 +46,20 @@ def test_no_row_a_pair_is_shuffled(spark):
     near = proximity.Proximity(made(spark, [("a", "x", 0), ("b", "x", 1)]), "src", "ts", 60)
     plan = near.pairs()._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.index("FlatMapGroupsInArrow") < plan.index("Exchange")
+
+
+def test_surfaced_near_equals_surfaced_classes(spark):
+    rng = random.Random(5)
+    events = made(spark, [(f"k{rng.randrange(30):02d}", f"d{rng.randrange(3)}", rng.randrange(900) * 60_000_000) for _ in range(120)])
+    flows = spark.createDataFrame(sorted({(f"k{rng.randrange(30):02d}", f"k{rng.randrange(30):02d}") for _ in range(40)}), "a string, b string").filter("a <> b")
+    flows = links._linked(flows.withColumn("support", F.lit(1)), "FUND_FLOW")
+    own = sorted({(f"v{v}", f"k{rng.randrange(30):02d}", k) for v in range(12) for k in ("SHARED_IMEI", "SHARED_IP_SUBNET") for _ in range(3)})
+    classes = spark.createDataFrame(own, "value string, entity string, link_type string")
+    smallest = classes.groupBy("value", "link_type").agg(F.min("entity").alias("smallest"), F.count("*").alias("users"))
+    classes = classes.join(smallest, ["value", "link_type"]).withColumn("confidence", F.when(F.col("link_type") == "SHARED_IMEI", 0.95).otherwise(0.45))
+    dismissed = flows.filter("a < 'k15'").select("a", "b", "link_type")
+    near = proximity.Proximity(events, "src", "ts", 60)
+    both = flows.unionByName(links._linked(near.pairs().withColumnRenamed("n", "support"), "TEMPORAL_PROXIMITY"))
+    want = sorted(map(str, links.surfaced_classes(both, classes, dismissed).collect()))
+    got = links.surfaced_near(flows, near, classes, dismissed)
+    assert sorted(map(str, got.collect())) == want and 0 < got.filter("link_type = 'TEMPORAL_PROXIMITY'").count() < near.pairs().count()
